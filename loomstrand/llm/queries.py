@@ -18,4 +18,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
-QUERIES = {"op1_packing": op1_packing}
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    from loomstrand.llm.simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op1_packing": op1_packing, "op7_simhash": op7_simhash}
