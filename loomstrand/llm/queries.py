@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from loomstrand.llm.common import table
+from loomstrand.llm.common import fold_of, table
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -25,4 +26,28 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_packing": op1_packing, "op7_simhash": op7_simhash}
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, learned from four fifths of the labels."""
+    from loomstrand.llm.quality import KEPT_FROM, quality_scores
+
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    scores = quality_scores(table(spark, sf_dir, "documents"), labels, fold_of(F.col("doc_id")) != 0)
+    return scores.select(
+        "doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= KEPT_FROM).cast("int").alias("predicted")
+    )
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from four fifths of the rows."""
+    from loomstrand.llm.language import identify
+
+    found = identify(table(spark, sf_dir, "documents"), fold_of(F.col("doc_id")) != 0)
+    return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {
+    "op1_packing": op1_packing,
+    "op5_quality": op5_quality,
+    "op6_language": op6_language,
+    "op7_simhash": op7_simhash,
+}
