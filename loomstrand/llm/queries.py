@@ -45,9 +45,24 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold_of(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score")
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 8 shards whose row counts are at most one apart."""
+    from loomstrand.llm.sharding import bounded_ring
+
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id",
+        (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"),
+        F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_crc32"),
+    )
+    placed = bounded_ring(docs, 8, text="text_crc32")
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
+    "op8_sharding": op8_sharding,
 }
