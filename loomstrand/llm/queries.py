@@ -59,10 +59,19 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest by inner product of every vector whose id is divisible by 20."""
+    from loomstrand.llm.neighbours import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
+    "op9_neighbours": op9_neighbours,
 }
