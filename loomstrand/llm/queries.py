@@ -67,6 +67,14 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    from loomstrand.llm.html_text import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op5_quality": op5_quality,
@@ -74,4 +82,5 @@ QUERIES = {
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_neighbours": op9_neighbours,
+    "op10_main_text": op10_main_text,
 }
