@@ -340,15 +340,18 @@ def rebuilt(paragraphs: list[str], draw: np.random.Generator) -> str:
         "comments": lambda: wrapped("".join(f'<div class="comment"><p>{say(3, 60)}</p></div>' for _ in range(int(draw.integers(1, 5)))), *named("comments", "comments", "comment-list", "discussion", "respond")),
         "foot": lambda: wrapped(pick(f"&copy; {say(1, 12)}", f"<p>{say(3, 30)}</p>", links(2, 6)), "footer", "footer", *named("footer", "site-footer", "copyright")),
     }
+    paragraphs = paragraphs[: int(draw.integers(1, 5))] if draw.random() < 0.3 else paragraphs
     inner = [f"<h1>{say(2, 9)}</h1>"] if draw.random() < 0.7 else []
     for p in paragraphs:
         roll = draw.random()
         inner.append(f"<blockquote>{esc(p)}</blockquote>" if roll < 0.04 else f"<ul><li>{esc(p[:60])}</li><li>{esc(p[60:])}</li></ul>" if roll < 0.1 else f"<h2>{say(1, 6)}</h2><p>{esc(p)}</p>" if roll < 0.2 else f"<div>{esc(p)}</div>" if roll < 0.25 else f"<p>{esc(p)}</p>")
-        if draw.random() < 0.08:
-            inner.append(parts[pick("advert", "share", "side", "notice", "form")]())
+        if draw.random() < 0.15:
+            inner.append(parts[pick("advert", "share", "side", "side", "notice", "form", "menu")]())
     if draw.random() < 0.15:
         inner.append(parts["comments"]())
     body = "".join(inner)
+    if draw.random() < 0.12:
+        return pick("", "<html y=1><body>", "<html y=1><body><div>") + body
     for _ in range(int(draw.integers(1, 3))):
         opening = pick("article", "article", "main", 'div class="content"', 'div id="main"', 'div class="post-body"', 'div class="entry"', "section", "div", 'div class="article-text"')
         body = f"<{opening} y=1>{body}</{opening.split()[0]}>"
