@@ -75,8 +75,17 @@ def op10_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item that it contains."""
+    from loomstrand.llm.decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
     "op7_simhash": op7_simhash,
