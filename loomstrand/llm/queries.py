@@ -83,8 +83,24 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def _only(kind: str):
+    """A step that keeps this kind and turns others into null."""
+    return lambda k: F.when(k == kind, k)
+
+
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document: counts and a digest of the base spans, and all spans."""
+    from loomstrand.llm.secrets import KINDS, scan
+
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["begin"], s["end"])), ",")
+    counts = [F.size(F.array_compact(F.transform("base.kind", _only(kind)))).cast("long").alias(f"n_{kind}") for kind in KINDS]
+    return scan(table(spark, sf_dir, "documents")).select("doc_id", *counts, F.sha2(written("base"), 256).alias("base_sha256"), written("spans").alias("spans"))
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op3_secrets": op3_secrets,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
     "op6_language": op6_language,
