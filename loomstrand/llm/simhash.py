@@ -1,13 +1,19 @@
 """SimHash near-duplicates by a hierarchical index over fingerprints in Gray order.
 
-Fingerprints are made where the texts are read; equal ones fall together before anything is compared. Two fingerprints
-that differ in at most `DISTANCE` bits agree wholly on `bands - DISTANCE` of `bands` bands, so each is dealt out once
-for every such choice of bands and only meets those that agree there (exact, by the pigeonhole principle). That
-agreement is the top node of an index: below it the fingerprints are sorted by Gray rank, runs of `FAN` become a node
-that holds the bits on which they agree and its parent did not, and so on upwards. A search runs down all levels
-for many fingerprints at once, adds up the differing bits node by node, and drops a whole group as soon as the sum
-passes the distance, or if all of the group already is in the searcher's component. Each task gives back only a
-spanning forest of the links it found, never all pairs.
+Fingerprints are made where the texts are read; equal ones fall together before anything is compared. The others are dealt
+out once for each of several masks and only meet those that agree on all of the mask's bits. That agreement is the top node
+of an index: below it the fingerprints are sorted by the Gray rank of the word that the mask is in, runs of `FAN` become a
+node that holds the bits on which they agree and its parent did not, and so on upwards. A search runs down all levels for
+many fingerprints at once, adds up the differing bits node by node, and drops a whole group as soon as the sum passes the
+distance, or if all of the group already is in the searcher's component. Each task gives back only a spanning forest of the
+links it found, never all pairs.
+
+* `simhash_groups` links 64-bit fingerprints that differ in at most `DISTANCE` bits. Its masks are choices of
+  `bands - DISTANCE` of `bands` bands, on one of which such a pair agrees wholly (exact, by the pigeonhole principle).
+* `similar_groups` links texts whose sets of word shingles have a Jaccard similarity of `SIMILARITY` or more, as `WORDS`
+  words of fingerprint estimate it: the share of differing bits is the angle between the sets. Its masks are the fifths of
+  each word. A pair at the threshold agrees on one of the 40 with probability 0.99, closer pairs surely; the estimate's
+  standard error there is 0.04.
 
 Null and empty texts have fingerprint zero and link like others. Texts of fewer words than a shingle are one shingle.
 Repeated rows and ids stay rows of the result; a component without any id has a null component. An empty table gives
@@ -16,13 +22,14 @@ no rows. Other columns are not carried.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loomstrand.llm import common
@@ -31,53 +38,73 @@ from loomstrand.llm.components import components
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
+SIMILARITY, SIMILAR_SHINGLE, WORDS = 0.8, 5, 8
 #: Children of an index node, fingerprints that search at once, and rows that one search task should hold.
 FAN, SEARCHERS, TASK_ROWS = 8, 4096, 250_000
 #: Fingerprints that agree on one choice of bands should be so many at most; more bands are taken beyond.
 CROWD = 256
 
 
-def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
-    """The 64-bit SimHash of a text's word shingles, repeats included."""
+def shingle_hashes(text: str, shingle: int = SHINGLE, seed: int = SEED) -> np.ndarray:
+    """XXH64 of a text's word shingles, repeats included; A to Z count as lower case."""
     from xxhash import xxh64_intdigest
 
     words = text.encode("utf-8", "surrogatepass").lower().split()
-    if not words:
-        return 0
     joined = b" ".join(words)
     if len(words) <= shingle:
-        hashes = [xxh64_intdigest(joined, seed)]
-    else:
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        ends = np.cumsum(sizes + 1) - 1
-        begins = (ends - sizes)[: 1 - shingle].tolist()
-        hashes = [xxh64_intdigest(joined[i:j], seed) for i, j in zip(begins, ends[shingle - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, dtype="<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_bits = 2 * bits.sum(axis=0, dtype=np.int64) > len(hashes)
-    return int(np.packbits(set_bits, bitorder="little").view("<u8")[0])
+        return np.array([xxh64_intdigest(joined, seed)] if words else [], dtype=np.uint64)
+    sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+    ends = np.cumsum(sizes + 1) - 1
+    begins = (ends - sizes)[: 1 - shingle].tolist()
+    return np.array([xxh64_intdigest(joined[i:j], seed) for i, j in zip(begins, ends[shingle - 1 :].tolist(), strict=True)], dtype=np.uint64)
+
+
+def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
+    """Words of a fingerprint: a bit is set if it is in over half of the hashes. Later words remix the hashes."""
+    out = np.zeros(words, dtype=np.uint64)
+    for k in range(words if len(hashes) else 0):
+        if k:
+            hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            hashes = hashes ^ (hashes >> np.uint64(32))
+        bits = np.unpackbits(np.ascontiguousarray(hashes).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        out[k] = np.packbits(2 * bits.sum(axis=0, dtype=np.int32) > len(hashes), bitorder="little").view(np.uint64)[0]
+    return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id long, fp long) for every row; fp holds the fingerprint's bits."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words: int = 1, sets: bool = False) -> DataFrame:
+    """(doc_id long, code binary) for every row: the words of its fingerprint; `sets`: repeats of a shingle count once."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            found = np.array([fingerprint(t or "", shingle, seed) for t in batch.column("text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+            codes = []
+            for text in batch.column("text").to_pylist():
+                hashes = shingle_hashes(text or "", shingle, seed)
+                codes.append(majority(np.unique(hashes) if sets else hashes, words).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.binary())], ["doc_id", "code"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return texts.mapInArrow(made, "doc_id long, fp long")
+    return texts.mapInArrow(made, "doc_id long, code binary")
 
 
-def band_masks(count: int, distance: int = DISTANCE) -> list[int]:
-    """Masks of the choices of bands, as signed 64-bit numbers, for so many fingerprints."""
+def band_masks(count: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
+    """(word, mask as a signed number) of the choices of bands for so many fingerprints of one word."""
     bands = distance + 1
     while bands < distance + 3 and count > CROWD << (64 * (bands - distance) // bands):
         bands += 1
     edges = [64 * i // bands for i in range(bands + 1)]
     parts = [(1 << hi) - (1 << lo) for lo, hi in zip(edges, edges[1:], strict=False)]
     chosen = [reduce(int.__or__, some) for some in combinations(parts, bands - distance)]
-    return [m - (1 << 64) if m >> 63 else m for m in chosen]
+    return [(0, m - (1 << 64) if m >> 63 else m) for m in chosen]
+
+
+def fifth_masks(words: int) -> list[tuple[int, int]]:
+    """(word, mask as a signed number) of the fifths of each word."""
+    return [(k, mask) for k in range(words) for _, mask in band_masks(0)]
+
+
+def differing(similarity: float, words: int) -> int:
+    """How many bits differ at this Jaccard similarity of two sets of one size."""
+    return int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
 
 
 def gray_rank(codes: np.ndarray) -> np.ndarray:
@@ -89,10 +116,10 @@ def gray_rank(codes: np.ndarray) -> np.ndarray:
 
 
 class GrayIndex:
-    """A forest over fingerprints sorted by (group, Gray rank): one tree for each group."""
+    """A forest over fingerprints (rows of words) sorted by group and Gray rank: one tree for each group."""
 
     def __init__(self, codes: np.ndarray, group: np.ndarray) -> None:
-        self.codes, self.group = codes, group
+        self.codes = codes
         every = np.uint64(0xFFFFFFFFFFFFFFFF)
         self.levels: list[dict[str, np.ndarray]] = []
         owner = group
@@ -107,10 +134,10 @@ class GrayIndex:
             if len(heads) == len(firsts):
                 break
         self.levels.reverse()
+        self.levels[0]["own"] = self.levels[0]["agreed"]
         for level, above in zip(self.levels[1:], self.levels[:-1], strict=True):
             parent = np.repeat(np.arange(len(above["begin"])), np.diff(above["child"]))
             level["own"] = level["agreed"] & ~above["agreed"][parent]
-        self.levels[0]["own"] = self.levels[0]["agreed"]
         for level in self.levels:
             level["end"] = np.r_[level["begin"][1:], len(codes)]
         self.root = np.cumsum(np.r_[False, group[1:] != group[:-1]])
@@ -119,8 +146,7 @@ class GrayIndex:
         """Places of a spanning forest of the pairs at `distance` or less."""
         label = np.arange(len(self.codes))
         forest: list[tuple[int, int]] = []
-        at = 0
-        step = 64
+        at, step = 0, 64
         while at < len(self.codes):
             searchers = np.arange(at, min(len(self.codes), at + step))
             at += step
@@ -147,70 +173,115 @@ class GrayIndex:
         sums = np.zeros(len(q), dtype=np.int64)
         for level in self.levels:
             least, most = np.minimum.reduceat(label, level["begin"]), np.maximum.reduceat(label, level["begin"])
-            sums = sums + np.bitwise_count((self.codes[q] ^ level["pattern"][node]) & level["own"][node])
-            kept = (sums <= distance) & (level["end"][node] > q + 1) & ~((least[node] == most[node]) & (least[node] == label[q]))
+            kept = (level["end"][node] > q + 1) & ~((least[node] == most[node]) & (least[node] == label[q]))
+            q, node, sums = q[kept], node[kept], sums[kept]
+            sums = sums + np.bitwise_count((self.codes[q] ^ level["pattern"][node]) & level["own"][node]).sum(axis=1, dtype=np.int64)
+            kept = sums <= distance
             q, node, sums = q[kept], node[kept], sums[kept]
             first, many = level["child"][node], level["child"][node + 1] - level["child"][node]
             q, sums = np.repeat(q, many), np.repeat(sums, many)
             node = np.repeat(first, many) + np.arange(len(q)) - np.repeat(np.cumsum(many) - many, many)
         kept = (node > q) & (label[node] != label[q])
         q, node = q[kept], node[kept]
-        kept = np.bitwise_count(self.codes[q] ^ self.codes[node]) <= distance
-        return q[kept].tolist(), node[kept].tolist()
+        for k in range(self.codes.shape[1]):
+            if k == 0:
+                sums = np.zeros(len(q), dtype=np.int64)
+            sums = sums + np.bitwise_count(self.codes[q, k] ^ self.codes[node, k])
+            kept = sums <= distance
+            q, node, sums = q[kept], node[kept], sums[kept]
+        return q.tolist(), node.tolist()
 
 
-def _linked(batches: Iterator[pa.RecordBatch], distance: int) -> Iterator[pa.RecordBatch]:
+def _linked(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int]], distance: int) -> Iterator[pa.RecordBatch]:
     held = [b for b in batches if b.num_rows]
     if not held:
         return
     rows = pa.Table.from_batches(held)
-    fp, shared, choice, block = (np.asarray(rows.column(c).to_numpy()) for c in ("fp", "shared", "choice", "block"))
-    codes = fp.view(np.uint64)
-    rank = gray_rank(codes ^ shared.view(np.uint64))
-    order = np.lexsort((rank, block, shared, choice))
+    node, shared, choice, block = (rows.column(c).to_numpy() for c in ("node", "shared", "choice", "block"))
+    codes = np.frombuffer(b"".join(rows.column("code").to_pylist()), dtype=np.uint64).reshape(len(node), -1)
+    word = np.array([k for k, _ in masks])[choice]
+    rank = gray_rank(codes[np.arange(len(node)), word] ^ shared.view(np.uint64))
+    order = np.lexsort((node, rank, block, shared, choice))
     key = np.stack([choice[order].astype(np.int64), shared[order], block[order]])
     group = np.cumsum(np.r_[False, (key[:, 1:] != key[:, :-1]).any(axis=0)])
-    codes = codes[order]
-    a, b = GrayIndex(codes, group).links(distance)
-    codes = codes.view(np.int64)
-    yield pa.RecordBatch.from_arrays([pa.array(codes[a]), pa.array(codes[b])], ["a", "b"])
+    node = node[order]
+    a, b = GrayIndex(codes[order], group).links(distance)
+    yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
-def fingerprint_links(distinct: DataFrame, distance: int = DISTANCE) -> DataFrame:
-    """(a, b): links between different values of column fp that hold together all that differ in `distance` bits at most.
+def fingerprint_links(distinct: DataFrame, count: int, masks: list[tuple[int, int]], distance: int) -> DataFrame:
+    """(a, b): links between nodes of `distinct` (node long, code binary), `count` rows, whose codes differ in `distance` bits at
+    most and agree on one of the masks. They hold all such together that meet; no pair that they imply is named.
 
-    A choice of bands on which more agree than `block` rows is split into blocks, every two of which meet in a task.
+    What agrees on one mask beyond `block` rows is split into blocks, every two of which meet in a task.
     """
     session = distinct.sparkSession
-    count = distinct.count()
-    masks = band_masks(count, distance)
     rows = count * len(masks)
     tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
     block = min(TASK_ROWS, max(1024, rows // (2 * tasks)))
-    dealt = distinct.select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("shared")) for i, m in enumerate(masks)])).alias("x")
-    ).select("fp", "x.choice", "x.shared")
+
+    def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word, mask = np.array([k for k, _ in masks]), np.array([m for _, m in masks], dtype=np.int64).view(np.uint64)
+        for batch in batches:
+            if n := batch.num_rows:
+                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), dtype=np.uint64).reshape(n, -1)
+                shared = (codes[:, word] & mask).ravel().view(np.int64)
+                again = pa.array(np.repeat(np.arange(n), len(masks)))
+                choice = pa.array(np.tile(np.arange(len(masks), dtype=np.int32), n))
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(again), batch.column("code").take(again), choice, pa.array(shared)], ["node", "code", "choice", "shared"])
+
+    keyed = "node long, code binary, choice int, shared long"
+    dealt = distinct.select("node", "code").mapInArrow(dealt_out, keyed)
     #: At most rows / block of them.
     crowded = dealt.groupBy("choice", "shared").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")).where("blocks > 1")
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
     met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
     pair = F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
         F.filter(met, lambda p: F.floor(p / F.col("blocks")) != p % F.col("blocks"))
     )
     return (
         dealt.join(F.broadcast(crowded), ["choice", "shared"], "left")
-        .select("fp", "choice", "shared", F.explode(pair).alias("block"))
+        .select("node", "code", "choice", "shared", F.explode(pair).alias("block"))
         .repartition(tasks, "choice", "shared", "block")
-        .mapInArrow(lambda batches: _linked(batches, distance), "a long, b long")
+        .mapInArrow(lambda batches: _linked(batches, masks, distance), "a long, b long")
     )
 
 
-def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(doc_id, fingerprint, component_id) for every row of `docs` (doc_id, text)."""
-    prints = common.materialise(fingerprints(docs, shingle, seed))
-    classes = common.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")))
-    roots = components(common.materialise(fingerprint_links(classes.select("fp"), distance)))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "least_id", F.coalesce("root", "fp").alias("root"))
+def _grouped(prints: DataFrame, node: Column, masks: list[tuple[int, int]] | None, distance: int) -> DataFrame:
+    """(doc_id, code, component_id) for rows of (doc_id, code)."""
+    prints = common.materialise(prints.withColumn("node", node))
+    classes = common.materialise(prints.groupBy("node", "code").agg(F.min("doc_id").alias("least_id")))
+    count = classes.count()
+    links = fingerprint_links(classes, count, band_masks(count, distance) if masks is None else masks, distance)
+    roots = components(common.materialise(links)).withColumnRenamed("node", "linked")
+    rooted = classes.join(roots, classes.node == roots.linked, "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    named = rooted.join(ids, "root").select("node", "component_id")
+    return prints.join(named, "node").select("doc_id", "code", "component_id")
+
+
+def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """(doc_id, fingerprint, component_id) for every row of `docs` (doc_id, text): links at `distance` bits or less."""
+    written = F.lower(F.array_join(F.transform(F.sequence(F.lit(15), F.lit(1), F.lit(-2)), lambda i: F.substring(F.hex("code"), i, F.lit(2))), ""))
+    #: The 64 bits themselves, so that no two fingerprints share a node.
+    node = F.conv(written, 16, -10).cast("long")
+    grouped = _grouped(fingerprints(docs, shingle, seed), node, None, distance)
+    return grouped.select("doc_id", written.alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> DataFrame:
+    """(doc_id, component_id) for every row of `docs` (doc_id, text): links at this similarity or more."""
+    prints = fingerprints(docs, shingle, SEED, words, sets=True)
+    return _grouped(prints, F.xxhash64("code"), fifth_masks(words), differing(similarity, words)).select("doc_id", "component_id")
+
+
+def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """The rows of `docs` without those of ids that aren't the least of their group; rows that repeat id and text stay once.
+
+    Rows with a null id can't be named by a decision and stay.
+    """
+    groups = similar_groups(docs, similarity).where("doc_id is not null")
+    kept = groups.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("kept"), F.count("*").alias("n"))
+    kept = common.materialise(kept)
+    out = docs.join(kept.where("not kept").select("doc_id"), "doc_id", "left_anti")
+    return out.dropDuplicates(["doc_id", "text"]) if kept.where("n > 1").head(1) else out
