@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -212,16 +213,19 @@ def _batches(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
         yield held
 
 
+def _indexes(items: DataFrame) -> Iterator[Broadcast]:
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"\w"))
+    for batch in _batches(known.orderBy("item_id", "text")):
+        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex(batch))
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     """FOUND: a row for each document of `docs` (doc_id, text) and each item of `items` (item_id, text) that it contains."""
-    session = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"\w"))
-    out = session.createDataFrame([], FOUND)
-    for batch in _batches(known.orderBy("item_id", "text")):
-        shared = session.sparkContext.broadcast(BlockMaxIndex(batch))
+    out = docs.sparkSession.createDataFrame([], FOUND)
+    for shared in _indexes(items):
 
-        def found(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def found(rows: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for part in common.slices(rows, "text"):
                 made = [
@@ -239,5 +243,13 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of `docs` whose id isn't that of a document with an item in it."""
-    return docs.join(contamination(docs, items).select("doc_id").distinct(), "doc_id", "left_anti")
+    """The rows of `docs` in which no item is found; each row is decided by its own text, where it is read."""
+    out = docs
+    for shared in _indexes(items):
+
+        def clean(rows: Iterator[pa.RecordBatch], shared: Broadcast = shared) -> Iterator[pa.RecordBatch]:
+            for part in common.slices(rows, "text"):
+                yield part.filter(pa.array([not shared.value.matches(t or "") for t in part.column("text").to_pylist()]))
+
+        out = out.mapInArrow(clean, docs.schema)
+    return out

@@ -196,3 +196,17 @@ def quality_scores(docs: DataFrame, labels: DataFrame, learned_from: Column, lim
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
     return stats.mapInArrow(scored, "doc_id long, score double")
+
+
+def kept(docs: DataFrame, labels: DataFrame, learned_from: Column, least: float = KEPT_FROM, limit: int = TRAIN_ROWS) -> DataFrame:
+    """The rows of `docs` whose score is `least` or more; no text leaves its task."""
+    marked = labels.where("label is not null and doc_id is not null").where(learned_from).select("doc_id").distinct()
+    stats = text_statistics(docs).join(marked, "doc_id", "left_semi")
+    learned = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, learned_from, limit))
+
+    def chosen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            found = np.array([statistics(t or "") for t in batch.column("text").to_pylist()], dtype=np.float32)
+            yield batch.filter(pa.array(learned.value.score(found.astype(np.float64)) >= least))
+
+    return docs.mapInArrow(chosen, docs.schema)
