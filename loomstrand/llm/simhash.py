@@ -10,10 +10,10 @@ links it found, never all pairs.
 
 * `simhash_groups` links 64-bit fingerprints that differ in at most `DISTANCE` bits. Its masks are choices of
   `bands - DISTANCE` of `bands` bands, on one of which such a pair agrees wholly (exact, by the pigeonhole principle).
-* `similar_groups` links texts whose sets of word shingles have a Jaccard similarity of `SIMILARITY` or more, as `WORDS`
-  words of fingerprint estimate it: the share of differing bits is the angle between the sets. Its masks are the fifths of
-  each word. A pair at the threshold agrees on one of the 40 with probability 0.99, closer pairs surely; the estimate's
-  standard error there is 0.04.
+* `similar_groups` links texts whose sets of word shingles have a Jaccard similarity of `SIMILARITY` or more. The share of
+  differing bits in `WORDS` words of fingerprint is the angle between two sets, so the index finds pairs that this puts at
+  `SIMILARITY` - `SLACK` or more (its standard error is 0.04); its masks are the fifths of each word, on one of the 40 of
+  which a pair at the threshold agrees with probability 0.99. Each link is then held against the sets themselves.
 
 Null and empty texts have fingerprint zero and link like others. Texts of fewer words than a shingle are one shingle.
 Repeated rows and ids stay rows of the result; a component without any id has a null component. An empty table gives
@@ -23,7 +23,7 @@ no rows. Other columns are not carried.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import combinations
 
@@ -38,7 +38,7 @@ from loomstrand.llm.components import components
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
-SIMILARITY, SIMILAR_SHINGLE, WORDS = 0.8, 5, 8
+SIMILARITY, SIMILAR_SHINGLE, WORDS, SLACK = 0.8, 5, 8, 0.06
 #: Children of an index node, fingerprints that search at once, and rows that one search task should hold.
 FAN, SEARCHERS, TASK_ROWS = 8, 4096, 250_000
 #: Fingerprints that agree on one choice of bands should be so many at most; more bands are taken beyond.
@@ -189,7 +189,8 @@ class GrayIndex:
             sums = sums + np.bitwise_count(self.codes[q, k] ^ self.codes[node, k])
             kept = sums <= distance
             q, node, sums = q[kept], node[kept], sums[kept]
-        return q.tolist(), node.tolist()
+        nearest_first = np.argsort(sums, kind="stable")
+        return q[nearest_first].tolist(), node[nearest_first].tolist()
 
 
 def _linked(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int]], distance: int) -> Iterator[pa.RecordBatch]:
@@ -247,13 +248,38 @@ def fingerprint_links(distinct: DataFrame, count: int, masks: list[tuple[int, in
     )
 
 
-def _grouped(prints: DataFrame, node: Column, masks: list[tuple[int, int]] | None, distance: int) -> DataFrame:
-    """(doc_id, code, component_id) for rows of (doc_id, code)."""
+def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
+    """The links (a, b) whose texts' sets of shingles are this similar; classes without an id can't be looked up and pass."""
+    named = classes.where("least_id is not null").select("node", F.col("least_id").alias("doc_id"))
+    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named.join(linked, "node"), "doc_id")
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            found = [np.unique(shingle_hashes(t or "", shingle)).tobytes() for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "items"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                good = []
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    both = None if x is None or y is None else len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    good.append(both is None or both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
+                yield batch.filter(pa.array(good)).select(["a", "b"])
+
+    items = texts.select("node", "text").mapInArrow(sets, "node long, items binary").dropDuplicates(["node"])
+    first, second = items.select(F.col("node").alias("a"), F.col("items").alias("x")), items.select(F.col("node").alias("b"), F.col("items").alias("y"))
+    return links.join(first, "a", "left").join(second, "b", "left").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+
+
+def _grouped(prints: DataFrame, node: Column, masks: list[tuple[int, int]] | None, distance: int, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(doc_id, code, component_id) for rows of (doc_id, code); `check` may drop links of the classes."""
     prints = common.materialise(prints.withColumn("node", node))
     classes = common.materialise(prints.groupBy("node", "code").agg(F.min("doc_id").alias("least_id")))
     count = classes.count()
-    links = fingerprint_links(classes, count, band_masks(count, distance) if masks is None else masks, distance)
-    roots = components(common.materialise(links)).withColumnRenamed("node", "linked")
+    links = common.materialise(fingerprint_links(classes, count, band_masks(count, distance) if masks is None else masks, distance).distinct())
+    roots = components(links if check is None else common.materialise(check(links, classes))).withColumnRenamed("node", "linked")
     rooted = classes.join(roots, classes.node == roots.linked, "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = rooted.join(ids, "root").select("node", "component_id")
@@ -272,7 +298,8 @@ def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHI
 def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> DataFrame:
     """(doc_id, component_id) for every row of `docs` (doc_id, text): links at this similarity or more."""
     prints = fingerprints(docs, shingle, SEED, words, sets=True)
-    return _grouped(prints, F.xxhash64("code"), fifth_masks(words), differing(similarity, words)).select("doc_id", "component_id")
+    check = lambda links, classes: verified(links, classes, docs, similarity, shingle)
+    return _grouped(prints, F.xxhash64("code"), fifth_masks(words), differing(similarity - SLACK, words), check).select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
