@@ -98,8 +98,17 @@ def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data."""
+    from loomstrand.llm.surrogates import surrogates
+
+    return surrogates(table(spark, sf_dir, "documents"), b"a key that production takes from its vault")
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_surrogates": op2_surrogates,
     "op3_secrets": op3_secrets,
     "op4_decontamination": op4_decontamination,
     "op5_quality": op5_quality,
