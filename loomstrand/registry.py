@@ -2,5 +2,94 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from loomstrand.functions import budgets, text
+from loomstrand.operators import zones
+from loomstrand.oracles import ORACLE_SQL as ORACLE_SQL
+from loomstrand.sources import logs
+
+WINDOW = 60_000
+RECENT, FORGET = WINDOW // 5, WINDOW // 2
+
+
+def _zoned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return zones.with_zones(zones.with_cuts(logs.surface_of(logs.tool_log(spark, sf_dir))), RECENT, FORGET)
+
+
+def token_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated tokens of every message."""
+    return logs.conv_log(spark, sf_dir).select("session_id", "seq", "tokens")
+
+
+def zone_partition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone totals of every conversation."""
+    surface = logs.surface_of(logs.conv_log(spark, sf_dir))
+    return zones.zone_totals(zones.with_zones(zones.with_cuts(surface), 200, 500))
+
+
+def zone_partition_safe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Zone totals where calls, results and steps must not be parted."""
+    return zones.zone_totals(_zoned(spark, sf_dir))
+
+
+def pairing_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open calls before and after every node."""
+    return zones.pairing_balance(logs.surface_of(logs.tool_log(spark, sf_dir)))
+
+
+def forget_batch_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The oldest batch of every session's forget zone."""
+    return zones.forget_batch(_zoned(spark, sf_dir), 4_000, 6_000)
+
+
+def pressure_span_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The span that would end pressure in every session."""
+    return zones.pressure_span(_zoned(spark, sf_dir), reclaim=8_000, cap=20_000, least=1_000)
+
+
+def legacy_tail_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every session's tail starts if only pairs, not steps, must stay whole."""
+    rows = zones.tail_start(zones.with_cuts(logs.surface_of(logs.tool_log(spark, sf_dir))), RECENT, "tail_start", step_checked=False)
+    return rows.groupBy("session_id").agg(F.max("tail_start").alias("tail_start"))
+
+
+def retained_tail_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of the turns that every session must keep."""
+    log = logs.tool_log(spark, sf_dir)
+    return zones.retained_tail_floor(logs.surface_of(log), log)
+
+
+def envelope_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Budgets of a call in every session, with an envelope that grows with the session's number."""
+    sums = logs.surface_of(logs.tool_log(spark, sf_dir)).groupBy("session_id").agg(F.sum("tokens").alias("s"))
+    total = F.col("s") + F.col("session_id") % 5 * 3000
+    call = budgets.call_budget(total, F.col("s"), window=WINDOW, reserve=8192, margin=2048, instruction=500, checkpoint=1000, tail=RECENT, tail_min=2000)
+    zone = budgets.zone_budget(total, F.col("s"), waterline=42_000, pressure=48_000, forget=FORGET, tail=RECENT, tail_min=2000)
+    out = sums.select("session_id", call.alias("c"), zone.alias("z"))
+    return out.select("session_id", "c.*", F.col("z.forget").alias("zone_forget"), "z.deficit", F.col("z.dominated").alias("zone_dominated"))
+
+
+def prune_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head, marker and tail of every overlong document taken as a tool result."""
+    docs = logs.table(spark, sf_dir, "documents").where(F.length("text") > text.PRUNE_THRESHOLD)
+    cut = text.pruned("text")
+    return docs.select(
+        (F.col("doc_id") % 50).alias("session_id"), F.col("doc_id").alias("seq"), F.length("text").cast("long").alias("chars_before"), F.length(cut).cast("long").alias("chars_after"), F.md5(cut.cast("binary")).alias("digest")
+    )
+
+
+def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document within 100 bytes."""
+    docs = logs.table(spark, sf_dir, "documents")
+    return docs.select("doc_id", text.bounded("text", 100).alias("bounded"), (F.octet_length("text") > 100).alias("truncated"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        token_estimate, zone_partition, zone_partition_safe, pairing_balance, forget_batch_plan, pressure_span_plan, legacy_tail_split,
+        retained_tail_floor, envelope_budget, prune_documents, bounded_text,
+    )
+}
