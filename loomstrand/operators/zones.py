@@ -6,11 +6,18 @@ Spark sorts a session once. A session is one window partition; its order is glob
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-BY_POS = Window.partitionBy("session_id").orderBy("pos")
-WHOLE = Window.partitionBy("session_id")
+
+def by_pos() -> WindowSpec:
+    """Each session in the order of its surface."""
+    return Window.partitionBy("session_id").orderBy("pos")
+
+
+def whole() -> WindowSpec:
+    """Each session as one frame."""
+    return Window.partitionBy("session_id")
 
 
 def with_cuts(surface: DataFrame) -> DataFrame:
@@ -20,9 +27,9 @@ def with_cuts(surface: DataFrame) -> DataFrame:
     by counts, not by call ids.
     """
     delta = F.when(F.col("type") == "assistant/message", F.col("tool_calls")).when(F.col("type") == "tool/result", -1).otherwise(0).cast("long")
-    upto = BY_POS.rowsBetween(Window.unboundedPreceding, 0)
+    upto = by_pos().rowsBetween(Window.unboundedPreceding, 0)
     after = F.sum(delta).over(upto)
-    same_step = F.coalesce((F.lead("turn").over(BY_POS) == F.col("turn")) & (F.lead("step").over(BY_POS) == F.col("step")), F.lit(False))
+    same_step = F.coalesce((F.lead("turn").over(by_pos()) == F.col("turn")) & (F.lead("step").over(by_pos()) == F.col("step")), F.lit(False))
     rows = surface.withColumns(
         {
             "delta": delta,
@@ -30,29 +37,29 @@ def with_cuts(surface: DataFrame) -> DataFrame:
             "open_before": after - delta,
             "step_end": ~same_step,
             "upto": F.sum("tokens").over(upto),
-            "total": F.sum("tokens").over(WHOLE),
-            "nodes": F.count("*").over(WHOLE),
+            "total": F.sum("tokens").over(whole()),
+            "nodes": F.count("*").over(whole()),
         }
     )
     rows = rows.withColumn("safe_end", (F.col("open_after") == 0) & F.col("step_end"))
-    before = F.coalesce(F.lag("step_end").over(BY_POS), F.lit(True))
+    before = F.coalesce(F.lag("step_end").over(by_pos()), F.lit(True))
     return rows.withColumn("safe_start", (F.col("open_before") == 0) & before)
 
 
 def pairing_balance(surface: DataFrame) -> DataFrame:
     """(session_id, pos, open_before, open_after, corrupt): corrupt sessions once had more results than calls."""
     rows = with_cuts(surface)
-    return rows.select("session_id", "pos", "open_before", "open_after", (F.min("open_after").over(WHOLE) < 0).alias("corrupt"))
+    return rows.select("session_id", "pos", "open_before", "open_after", (F.min("open_after").over(whole()) < 0).alias("corrupt"))
 
 
 def tail_start(cuts: DataFrame, boundary: Column | int, name: str, step_checked: bool = True) -> DataFrame:
     """Adds the position where the tail of at least `boundary` tokens starts, moved back to a safe cut; the surface's end if the boundary isn't positive."""
     boundary = F.lit(boundary) if isinstance(boundary, int) else boundary
     suffix = F.col("total") - F.col("upto") + F.col("tokens")
-    raw = F.coalesce(F.max(F.when(suffix >= boundary, F.col("pos"))).over(WHOLE), F.lit(0).cast("long"))
+    raw = F.coalesce(F.max(F.when(suffix >= boundary, F.col("pos"))).over(whole()), F.lit(0).cast("long"))
     safe = F.col("safe_start") if step_checked else F.col("open_before") == 0
     rows = cuts.withColumn("_raw", raw)
-    moved = F.coalesce(F.max(F.when(safe & (F.col("pos") <= F.col("_raw")), F.col("pos"))).over(WHOLE), F.lit(0).cast("long"))
+    moved = F.coalesce(F.max(F.when(safe & (F.col("pos") <= F.col("_raw")), F.col("pos"))).over(whole()), F.lit(0).cast("long"))
     return rows.withColumn(name, F.when(boundary <= 0, F.col("nodes")).otherwise(moved)).drop("_raw")
 
 
@@ -99,9 +106,9 @@ def pressure_span(zoned: DataFrame, *, reclaim: int, cap: Column | int, least: i
     cap = F.lit(max(0, cap)) if isinstance(cap, int) else F.greatest(F.lit(0), cap)
     head = F.col("recent_start") - 1 if max_end is None else F.least(F.col("recent_start") - 1, max_end)
     rows = zoned.withColumns({"_head": head, "_cap": cap})
-    start = F.min(F.when((F.col("pos") >= min_start) & (F.col("safe_start") if min_start else F.col("open_before") == 0) & (F.col("pos") <= F.col("_head")), F.col("pos"))).over(WHOLE)
-    rows = rows.withColumn("_start", start if min_start else F.when(F.max(F.when(F.col("pos") == 0, F.col("open_before"))).over(WHOLE) == 0, F.lit(0).cast("long")))
-    skipped = F.coalesce(F.max(F.when(F.col("pos") < F.col("_start"), F.col("upto"))).over(WHOLE), F.lit(0).cast("long"))
+    start = F.min(F.when((F.col("pos") >= min_start) & (F.col("safe_start") if min_start else F.col("open_before") == 0) & (F.col("pos") <= F.col("_head")), F.col("pos"))).over(whole())
+    rows = rows.withColumn("_start", start if min_start else F.when(F.max(F.when(F.col("pos") == 0, F.col("open_before"))).over(whole()) == 0, F.lit(0).cast("long")))
+    skipped = F.coalesce(F.max(F.when(F.col("pos") < F.col("_start"), F.col("upto"))).over(whole()), F.lit(0).cast("long"))
     rows = rows.withColumn("_span", F.col("upto") - skipped)
     end = F.col("safe_end") & (F.col("pos") >= F.col("_start")) & (F.col("pos") <= F.col("_head")) & (F.col("_span") <= F.col("_cap"))
     found = rows.groupBy("session_id").agg(
@@ -132,5 +139,5 @@ def retained_tail_floor(surface: DataFrame, log: DataFrame, turns: int = 2) -> D
     met = lambda turn: F.col(turn).isNull() | F.coalesce(F.max(F.col("turn") == F.col(turn)).over(before), F.lit(False))
     stop = F.col("_new") & (F.coalesce(F.count_if("_new").over(before), F.lit(0)) >= turns) & met("opened") & met("completed")
     rows = rows.withColumn("_stop", stop)
-    cut = F.max(F.when(F.col("_stop"), F.col("pos"))).over(WHOLE)
+    cut = F.max(F.when(F.col("_stop"), F.col("pos"))).over(whole())
     return rows.withColumn("_cut", F.coalesce(cut, F.lit(-1))).groupBy("session_id").agg(F.coalesce(F.sum(F.when(F.col("pos") > F.col("_cut"), F.col("tokens"))), F.lit(0)).alias("tokens"))

@@ -49,6 +49,51 @@ zoned as (select c.*, recent_start, forget_start, case when pos >= recent_start
 
 ZONE_TOTALS = "select session_id, zone, count(*) as n, cast(sum(tokens) as bigint) as tokens, min(pos) as first_pos, max(pos) as last_pos from zoned group by all"
 
+SEGMENTS = """b as (select *, (type = 'assistant/message' and tool_calls > 0) or type = 'tool/result' as burst from cuts),
+b2 as (select *, burst and not coalesce(lag(burst) over w, false) or (burst and lag(turn) over w is distinct from turn) as breaks from b window w as (partition by session_id order by pos)),
+b3 as (select *, sum(cast(breaks as int)) over (partition by session_id order by pos rows unbounded preceding) as island from b2),
+calls as (select session_id, island, min(pos) as c from b3 where burst and type = 'assistant/message' group by 1, 2),
+edge as (select b3.session_id, b3.island, min(pos) filter (open_before = 0) as a, max(pos) filter (open_after = 0) as z
+    from b3 join calls on b3.session_id = calls.session_id and b3.island = calls.island and pos >= c where burst group by 1, 2),
+seg as (select b3.* from b3 join edge on b3.session_id = edge.session_id and b3.island = edge.island and burst and a < z and pos between a and z)"""
+
+CHUNKS = """atoms0 as (select *, coalesce(sum(cast(open_after = 0 and step_end as int)) over (partition by session_id, island order by pos rows between unbounded preceding and 1 preceding), 0) as atom from picked),
+atoms as (select session_id, island, atom, sum(tokens) as tokens from atoms0 group by all),
+fold as (select session_id, island, atom, tokens as held, 0 as chunk from atoms where atom = 0
+    union all select a.session_id, a.island, a.atom, case when held + tokens > {cap} then tokens else held + tokens end, case when held + tokens > {cap} then chunk + 1 else chunk end
+    from fold f join atoms a on a.session_id = f.session_id and a.island = f.island and a.atom = f.atom + 1)"""
+
+REPLACED = """longs as (select session_id, seq, row_number() over (partition by session_id order by seq) - 1 as i from tool_log where type = 'tool/result' and chars > 7000),
+size as (select session_id, count(*) as n, count(*) filter (type = 'tool/result' and chars > 7000) as m from tool_log group by 1),
+oldest as (select s.session_id, s.pos, coalesce(n + 2 * i + 1, s.seq) as now, n + 2 * m as top from surface s join size using (session_id) left join longs l on l.session_id = s.session_id and l.seq = s.seq where pos < 9),
+sum1 as (select session_id, list(now order by pos) as covers, max(top) as seq from oldest group by 1),
+rlog as (select session_id, seq, type, reason, cast(null as varchar) as source_kind, cast([] as bigint[]) as covers, cast(null as bigint) as shadow from tool_log
+  union all select session_id, n + 2 * i, 'compaction/prune', null, null, [], seq from longs join size using (session_id)
+  union all select session_id, n + 2 * i + 1, 'tool/result', null, null, [seq], null from longs join size using (session_id)
+  union all select session_id, seq, 'user/message', null, 'checkpoint', covers, null from sum1
+  union all select session_id, seq + 1, 'user/message', null, 'checkpoint', [seq], null from sum1 where session_id % 3 = 0)"""
+
+AUTHORITY = """ev as (select user_id as session_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_type, event_id, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events),
+au as (select *, count(*) filter (event_type = 'signup') over (partition by session_id order by seq rows unbounded preceding) as revision from ev),
+goals as (select session_id, seq, case when k = 0 then 'cleared' else 'current' end as status, case when k <> 0 then 'g' || (k % 7) end as goal_id, case when k <> 0 then revision end as revision,
+    case when k <> 0 then 'objective ' || event_id end as objective from au where event_type = 'signup'),
+todos as (select session_id, seq, case when k % 5 = 0 then 'cleared' else 'current' end as status,
+    case when k % 5 = 0 then '' else 'task ' || event_id || ' [' || case when k % 2 = 0 then 'done' else 'pending' end || ']' end as items from au where event_type = 'view')"""
+
+GROUP_AUDIT = """ga0 as (select user_id as session_id, event_id, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events where event_type = 'click'),
+ga as (select session_id, 'r' || lpad(cast(event_id as varchar), 9, '0') as request_id, 'f' || (event_id % 5) as fingerprint,
+    ['open', 'success', 'failure', 'fallback', 'aborted', 'repaired'][k % 6 + 1] as status, case when k % 4 <> 0 then k % 3 + 1 end as attempt,
+    case when event_id % 2 = 0 then 'me' else 'other' end as owner_id, case when k % 6 <> 0 and k % 7 = 0 then 'interrupted-attempt' end as diagnostic,
+    case when event_id % 3 = 0 then [event_id % 11, event_id % 11 + 1] else [] end as claims from ga0),
+landed as (select user_id as session_id, 'f' || (event_id % 5) as fingerprint, list(distinct event_id % 11) as landed from events where event_type = 'purchase' and event_id % 4 = 0 group by 1, 2)"""
+
+AUDIT = """audit as (select user_id as session_id, 'r' || lpad(cast(event_id as varchar), 9, '0') as request_id, event_id // 3 as time,
+    ['success', 'failure', 'manual', 'terminal-infeasible', 'aborted', 'repair', 'failure', 'open'][cast(regexp_extract(props, '([0-9]+)', 1) as bigint) % 8 + 1] as status,
+    ['BUDGET', 'ABORTED', 'SCHEMA', 'TIMEOUT', 'SERVICE_DISPOSED'][event_id % 5 + 1] as code, event_id % 40 as revision from events)"""
+
+TOTALS = """min(pos) as start_pos, max(pos) as end_pos, count(*) as n, count(*) filter (type = 'tool/result') as results,
+    cast(coalesce(sum(chars) filter (type = 'tool/result'), 0) as bigint) as chars, cast(sum(tokens) as bigint) as tokens"""
+
 ORACLE_SQL = {
     "token_estimate": f"with {CONV_LOG} select session_id, seq, tokens from conv_log",
     "zone_partition": f"with {CONV_LOG}, {cuts('conv_log')}, {zones(200, 500)} {ZONE_TOTALS}",
@@ -88,4 +133,67 @@ ORACLE_SQL = {
         md5(case when length(text) > 8192 then substr(text, 1, 4096) || chr(10) || '[... pruned ...]' || chr(10) || substr(text, length(text) - 1023) else text end) as digest from documents where length(text) > 8192""",
     "bounded_text": """with c as (select doc_id, text, strlen(text) as n, [substr(text, 1, 100 - i) for i in range(0, 100)] as tries from documents)
         select doc_id, case when n <= 100 then text else list_filter(tries, lambda t: strlen(t) <= 97)[1] || '…' end as bounded, n > 100 as truncated from c""",
+    "tool_segments": f"with {TOOL_LOG}, {cuts('surface')}, {SEGMENTS} select session_id, {TOTALS} from seg group by session_id, island",
+    "group_chunks": f"""with recursive {TOOL_LOG}, {cuts('surface')}, {SEGMENTS}, picked as (select * from seg), {CHUNKS.format(cap=3000)}
+        select session_id, {TOTALS} from atoms0 join (select session_id, island, atom, chunk from fold) using (session_id, island, atom) group by session_id, island, chunk""",
+    "tool_groups": f"""with recursive {TOOL_LOG}, {cuts('surface')}, {zones(12000, 30000)}, {SEGMENTS},
+        good as (select session_id, island from seg join starts using (session_id) group by all having count(*) filter (type = 'tool/result') >= 2
+          and sum(chars) filter (type = 'tool/result') >= 12000 and sum(tokens) >= 2000 and max(pos) < max(recent_start)),
+        picked as (select seg.* from seg join good using (session_id, island)), {CHUNKS.format(cap=12000)},
+        g as (select session_id, {TOTALS} from atoms0 join (select session_id, island, atom, chunk from fold) using (session_id, island, atom) group by session_id, island, chunk)
+        select * exclude (r) from (select *, row_number() over (partition by session_id order by start_pos) as r from g where results >= 2 and chars >= 12000 and tokens between 2000 and 12000) where r <= 2""",
+    "surface_replay": f"""with recursive {TOOL_LOG}, {REPLACED},
+        chain as (select session_id, seq, case when len(covers) > 0 then covers[1] else seq end as root, 0 as depth from rlog
+          union all select c.session_id, c.seq, r.covers[1], depth + 1 from chain c join rlog r on r.session_id = c.session_id and r.seq = c.root and len(r.covers) > 0 where c.root <> c.seq),
+        roots as (select session_id, seq, arg_max(root, depth) as root from chain group by 1, 2),
+        gone as (select distinct session_id, unnest(covers) as seq from rlog)
+        select session_id, row_number() over (partition by session_id order by root) - 1 as pos, seq, root, type from rlog join roots using (session_id, seq)
+        where type in ('user/message', 'assistant/message', 'tool/result') and (session_id, seq) not in (select session_id, seq from gone)""",
+    "surface_generations": f"with {TOOL_LOG}, {REPLACED} select session_id, count(*) filter (len(covers) > 0) as generation from rlog group by 1",
+    "turns_after": f"with {TOOL_LOG} select session_id, seq, count(*) filter (type = 'turn/end' and reason = 'completed') over (partition by session_id order by seq rows between 1 following and unbounded following) as turns_after from tool_log",
+    "source_index": f"""with {TOOL_LOG}, {REPLACED}, p as (select session_id, seq, shadow from rlog where type = 'compaction/prune'),
+        done as (select session_id, seq from rlog where type = 'turn/end' and reason = 'completed'),
+        k as (select r.session_id, r.seq, case when r.type = 'user/message' and len(covers) > 0 then 'history-summary' when r.type <> 'tool/result' or len(covers) = 0 then 'original'
+          when p.seq is not null and p.shadow = covers[1] then 'tool-pruned' else 'unknown-replacement' end as kind
+          from rlog r left join p on p.session_id = r.session_id and p.seq = r.seq - 1 where r.type in ('user/message', 'assistant/message', 'tool/result'))
+        select session_id, seq, kind, cast(0 as bigint) as turns_after, kind = 'original' as foldable from k""",
+    "provenance_digest": f"""with {TOOL_LOG}, {REPLACED} select session_id, seq, sha256('v1|' || session_id || '|' || seq || '|' || type || '|' || array_to_string(covers, ',')) as digest from rlog where len(covers) > 0""",
+    "evidence_counters": f"""with {TOOL_LOG}, {REPLACED} select session_id, count(*) filter (type = 'request/header') as requests, count(*) filter (type = 'compaction/prune') as pruner,
+        count(*) filter (type = 'compaction/end') as compaction from rlog group by 1""",
+    "compaction_lock": """with ev as (select user_id as session_id, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k, row_number() over (partition by user_id order by ts, event_id) - 1 as seq from events),
+        held as (select session_id, seq, k % 3 as lock_id from ev s where event_type = 'click' and not exists (select 1 from ev e where e.session_id = s.session_id and e.seq > s.seq
+          and ((e.event_type = 'view' and e.k % 3 = s.k % 3) or (e.event_type = 'error' and e.k % 9 = 0))))
+        select session_id, max(seq) as seq, arg_max(lock_id, seq) as lock_id from held group by 1""",
+    "event_filter": """with c as (select conv_id as session_id, turn as seq, role, text, strlen(text) as n, [substr(text, 1, 200 - i) for i in range(0, 200)] as tries from conversations where trim(text) <> '')
+        select session_id, seq, case when role = 'assistant' then 'assistant/message' else 'user/message' end as type,
+          case when role = 'assistant' then 'assistant' when seq % 4 = 2 then 'goal-continuation' else 'user' end as kind,
+          case when n <= 200 then text else list_filter(tries, lambda t: strlen(t) <= 197)[1] || '…' end as text, n > 200 as truncated
+        from c where role = 'user' or (role = 'assistant' and seq % 7 <> 3)""",
+    "authority_views": f"""with {AUTHORITY}, g as (select session_id, max(seq) as seq from goals group by 1), t as (select session_id, max(seq) as seq from todos group by 1),
+        ids as (select session_id from goals union select session_id from todos)
+        select ids.session_id, goals.status as goal_status, goal_id, revision as goal_revision, objective, todos.status as todo_status, todos.seq as source_seq, items
+        from ids left join g using (session_id) left join goals on goals.session_id = g.session_id and goals.seq = g.seq left join t on t.session_id = ids.session_id left join todos on todos.session_id = t.session_id and todos.seq = t.seq""",
+    "urgent_events": f"""with {AUTHORITY}, g as (select *, lag(status || '|' || coalesce(objective, '') || '|' || coalesce(cast(revision as varchar), '')) over (partition by session_id order by seq) as before,
+          status || '|' || coalesce(objective, '') || '|' || coalesce(cast(revision as varchar), '') as now from goals)
+        select session_id, seq, 'todo' as view from todos union all select session_id, seq, 'goal' from g where before is distinct from now""",
+    "batch_window_count": f"""with {AUTHORITY}, r as (select session_id, seq, row_number() over (partition by session_id order by seq) as r from todos where seq > session_id % 20 - 1)
+        select session_id, count(*) as n, min(seq) as first_seq, max(seq) as source_cursor from r where r <= 12 group by 1""",
+    "audit_timeline": f"""with {AUDIT} select session_id, row_number() over (partition by session_id order by time, request_id) as place, request_id, time,
+        case status when 'open' then 'aborted' when 'aborted' then 'aborted' when 'terminal-infeasible' then 'terminal-infeasible' when 'failure' then
+          case code when 'BUDGET' then 'terminal-infeasible' when 'ABORTED' then 'aborted' when 'SERVICE_DISPOSED' then 'aborted' else 'transient-failure' end else 'committed' end as classification,
+        status in ('success', 'manual', 'repair') as certified, case when status in ('success', 'manual', 'repair') then revision end as certified_revision from audit""",
+    "audit_repair": f"""with {AUDIT}, h as (select session_id, coalesce(max(revision) filter (status in ('success', 'manual', 'repair')), 0) as highest from audit group by 1),
+        o as (select a.session_id, arg_max(request_id, (time, request_id)) as repair_row from audit a join h using (session_id) where status = 'open' and revision = highest + 1 group by 1)
+        select session_id, highest, repair_row from h left join o using (session_id)""",
+    "audit_recovery": f"""with {GROUP_AUDIT}, j as (select ga.*, coalesce(landed, []) as landed from ga left join landed using (session_id, fingerprint) where status in ('open', 'aborted')),
+        v as (select *, len(list_filter(claims, lambda c: not list_contains(landed, c))) > 0 as conflict from j),
+        p as (select session_id, request_id, status as was, diagnostic as said, case when conflict then 'aborted' when len(landed) > 0 then 'repaired' when status = 'open' and owner_id <> 'me' then 'aborted' end as status,
+          case when conflict then 'landing-claim-conflict' when len(landed) > 0 then 'session-evidence-served' when status = 'open' and owner_id <> 'me' then 'interrupted-attempt' end as diagnostic from v)
+        select session_id, request_id, status, diagnostic from p where status is not null and (was <> status or said is distinct from diagnostic)""",
+    "audit_attempts": f"""with {GROUP_AUDIT}, g as (select session_id, fingerprint, sum(coalesce(attempt, 1)) as spent, min(request_id) filter (status = 'open') as o, min(request_id) filter (status = 'aborted') as a,
+          arg_min(len(claims), request_id) filter (status = 'open') as c, bool_or(status in ('success', 'repaired')) as served, bool_or(status = 'fallback') as refused from ga group by 1, 2)
+        select session_id, fingerprint, cast(spent as bigint) as spent, coalesce(o, a) as slot,
+          case when landed is not null or served then false when o is not null then c = 0 and spent < 2 when refused then false else spent < 2 end as owed from g left join landed using (session_id, fingerprint)""",
+    "control_latest": """with f as (select user_id as session_id, event_id as arrival, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) + event_id % 17 as revision from events where event_type in ('signup', 'purchase', 'error'))
+        select session_id, revision, case when event_type <> 'error' then 'state ' || arrival end as stable from (select *, row_number() over (partition by session_id order by revision desc, arrival desc) as r from f) where r = 1""",
 }

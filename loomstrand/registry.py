@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstrand.functions import budgets, text
-from loomstrand.operators import zones
+from loomstrand.operators import audits, events, replay, segments, zones
 from loomstrand.oracles import ORACLE_SQL as ORACLE_SQL
 from loomstrand.sources import logs
+from loomstrand.streaming import control
 
 WINDOW = 60_000
 RECENT, FORGET = WINDOW // 5, WINDOW // 2
@@ -86,10 +87,133 @@ def bounded_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", text.bounded("text", 100).alias("bounded"), (F.octet_length("text") > 100).alias("truncated"))
 
 
+def tool_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool segments of every session."""
+    nodes = segments.with_segments(zones.with_cuts(logs.surface_of(logs.tool_log(spark, sf_dir))))
+    return segments.totals(nodes, "segment").drop("segment")
+
+
+def tool_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first two groups of every session that pass the thresholds, oversized segments cut into chunks."""
+    return segments.tool_groups(_zoned(spark, sf_dir)).drop("segment", "chunk")
+
+
+def group_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every segment cut into chunks of at most 3,000 tokens."""
+    nodes = segments.with_segments(zones.with_cuts(logs.surface_of(logs.tool_log(spark, sf_dir))))
+    return segments.totals(segments.with_chunks(nodes, 3_000), "segment", "chunk").drop("segment", "chunk")
+
+
+def eligible_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts of segments without a long result, as if long ones had been replaced."""
+    nodes = segments.with_segments(zones.with_cuts(logs.surface_of(logs.tool_log(spark, sf_dir))))
+    return segments.eligible_spans(nodes.withColumn("eligible", F.col("chars") <= 6000)).drop("segment")
+
+
+def surface_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The surface of every session after prunes and summaries."""
+    return replay.replay(logs.replaced_log(spark, sf_dir)).select("session_id", "pos", "seq", "root", "type")
+
+
+def surface_generations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many replacements every session has seen."""
+    return replay.generations(logs.replaced_log(spark, sf_dir))
+
+
+def turns_after(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns completed after every log row."""
+    return replay.turns_after(logs.tool_log(spark, sf_dir)).select("session_id", "seq", "turns_after")
+
+
+def source_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every node is, by what the log proves."""
+    return replay.source_index(logs.replaced_log(spark, sf_dir))
+
+
+def provenance_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every replacement."""
+    return replay.digests(logs.replaced_log(spark, sf_dir))
+
+
+def evidence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every session's log proves was done."""
+    return replay.evidence_counters(logs.replaced_log(spark, sf_dir))
+
+
+def compaction_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest compaction start that nothing released."""
+    return replay.newest_lock(logs.lock_log(spark, sf_dir))
+
+
+def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept of every conversation and authority event."""
+    return events.projected(logs.json_log(spark, sf_dir))
+
+
+def authority_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest goal and TODO list of every session."""
+    views = events.authority_views(logs.authority_log(spark, sf_dir))
+    items = F.array_join(F.transform("todo.items", lambda i: F.concat(i["content"], F.lit(" ["), i["status"], F.lit("]"))), "; ")
+    return views.select(
+        "session_id", F.col("goal.status").alias("goal_status"), "goal.goal_id", F.col("goal.revision").alias("goal_revision"), "goal.objective", F.col("todo.status").alias("todo_status"), "todo.source_seq", items.alias("items")
+    )
+
+
+def urgent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Authority events that can't wait for a full window."""
+    return events.urgent_events(logs.authority_log(spark, sf_dir))
+
+
+def batch_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next 12 TODO writes above every session's cursor."""
+    log = logs.authority_log(spark, sf_dir).where("type = 'todo/write'")
+    cursors = log.select("session_id").distinct().withColumn("cursor", F.col("session_id") % 20 - 1)
+    return events.counted_windows(log, cursors, 12)
+
+
+def batch_window_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next fold of every session within 20 events and 2,000 bytes."""
+    return events.byte_windows(events.projected(logs.json_log(spark, sf_dir)), 20, 2_000)
+
+
+def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaves of every authority payload."""
+    rows = events.json_leaves(logs.authority_log(spark, sf_dir).where("data is not null"), "data")
+    return rows.select("session_id", "seq", F.explode("leaves").alias("path", "leaf"))
+
+
+def audit_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's audit rows in order."""
+    return audits.timeline(logs.audit_log(spark, sf_dir))
+
+
+def audit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Highest certified revision of every session, and the row that a repair would certify."""
+    return audits.certified_and_repairable(logs.audit_log(spark, sf_dir))
+
+
+def audit_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a restart writes to open and aborted rows."""
+    return audits.recovery(logs.group_audit(spark, sf_dir), logs.group_landings(spark, sf_dir), "me")
+
+
+def audit_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attempts spent on every group, and whether another is owed."""
+    return audits.owed_attempts(logs.group_audit(spark, sf_dir), logs.group_landings(spark, sf_dir))
+
+
+def control_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest state of every session from frames that may come late or twice."""
+    return control.latest(logs.control_frames(spark, sf_dir))
+
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_estimate, zone_partition, zone_partition_safe, pairing_balance, forget_batch_plan, pressure_span_plan, legacy_tail_split,
-        retained_tail_floor, envelope_budget, prune_documents, bounded_text,
+        retained_tail_floor, envelope_budget, prune_documents, bounded_text, tool_segments, tool_groups, group_chunks, eligible_spans, surface_replay, surface_generations, turns_after,
+        source_index, provenance_digest, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
+        batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, control_latest,
     )
 }

@@ -148,3 +148,61 @@ def group_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("k") % 6 == 0, F.lit(None).cast("string")).when(F.col("k") % 7 == 0, "interrupted-attempt").alias("diagnostic"),
         F.when(F.col("event_id") % 3 == 0, F.array(F.col("event_id") % 11, F.col("event_id") % 11 + 1)).otherwise(F.array().cast("array<bigint>")).alias("claims"),
     )
+
+
+def replaced_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tool log with appended replacements: a prune for every long result, a summary of the oldest nodes, and in every third
+    session a summary of that summary. Column covers lists what a replacement takes the place of; shadow is a prune event's target."""
+    log = tool_log(spark, sf_dir)
+    none = F.array().cast("array<bigint>")
+    size = log.groupBy("session_id").agg(F.count("*").alias("n"), F.count_if((F.col("type") == "tool/result") & (F.col("chars") > 7000)).alias("m"))
+    base = log.select("session_id", "seq", "type", "reason", F.lit(None).cast("string").alias("source_kind"), none.alias("covers"), F.lit(None).cast("long").alias("shadow"))
+    long = log.where("type = 'tool/result' and chars > 7000").select("session_id", "seq", (F.row_number().over(Window.partitionBy("session_id").orderBy("seq")).cast("long") - 1).alias("i"))
+    long = long.join(size, "session_id")
+    null = F.lit(None).cast("string")
+    prunes = long.select("session_id", (F.col("n") + 2 * F.col("i")).alias("seq"), F.lit("compaction/prune").alias("type"), null.alias("reason"), null.alias("source_kind"), none.alias("covers"), F.col("seq").alias("shadow"))
+    results = long.select(
+        "session_id", (F.col("n") + 2 * F.col("i") + 1).alias("seq"), F.lit("tool/result").alias("type"), null.alias("reason"), null.alias("source_kind"), F.array("seq").alias("covers"), F.lit(None).cast("long").alias("shadow")
+    )
+    oldest = surface_of(log).where("pos < 9").join(long.select("session_id", "seq", "i"), ["session_id", "seq"], "left").join(size, "session_id")
+    now = F.when(F.col("i").isNull(), F.col("seq")).otherwise(F.col("n") + 2 * F.col("i") + 1)
+    first = oldest.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", now.alias("now")))), lambda s: s["now"]).alias("covers"), F.max(F.col("n") + 2 * F.col("m")).alias("seq"))
+    summary = lambda rows: rows.select("session_id", "seq", F.lit("user/message").alias("type"), null.alias("reason"), F.lit("checkpoint").alias("source_kind"), "covers", F.lit(None).cast("long").alias("shadow"))
+    second = first.where("session_id % 3 = 0").select("session_id", F.array("seq").alias("covers"), (F.col("seq") + 1).alias("seq"))
+    return base.unionByName(prunes).unionByName(results).unionByName(summary(first)).unionByName(summary(second))
+
+
+def lock_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Compaction starts (clicks), ends (views) of three locks, and seeds (errors whose k is a multiple of nine)."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_type", k.alias("k"), (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1).alias("seq"))
+    kind = F.when(F.col("event_type") == "click", "compaction/start").when(F.col("event_type") == "view", "compaction/end").when((F.col("event_type") == "error") & (F.col("k") % 9 == 0), "session/end-seed").otherwise("other")
+    return rows.select("session_id", "seq", kind.alias("type"), (F.col("k") % 3).alias("lock_id"))
+
+
+def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as raw events with JSON payloads."""
+    rows = table(spark, sf_dir, "conversations")
+    source = F.struct(F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 2, "goal").otherwise("user")).when(F.col("role") == "system", "plugin").otherwise("model").alias("kind"))
+    content = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
+    payload = F.to_json(F.struct(source.alias("source"), content.alias("content"), (F.col("turn") % 7 == 3).alias("interrupted")))
+    return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", "assistant/message").otherwise("user/message").alias("type"), payload.alias("data"))
+
+
+def group_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(session_id, fingerprint, landed): replacements that the log proves, for the groups of some buyers."""
+    rows = table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 4 = 0")
+    return rows.groupBy(F.col("user_id").alias("session_id"), F.concat(F.lit("f"), F.col("event_id") % 5).alias("fingerprint")).agg(F.sort_array(F.collect_set(F.col("event_id") % 11)).alias("landed"))
+
+
+def control_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames as they arrive: signups carry a whole baseline, purchases an update; errors are updates that clear."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    rows = table(spark, sf_dir, "events").where("event_type in ('signup', 'purchase', 'error')")
+    return rows.select(
+        F.col("user_id").alias("session_id"),
+        F.col("event_id").alias("arrival"),
+        F.when(F.col("event_type") == "signup", "baseline").otherwise("update").alias("kind"),
+        (k + F.col("event_id") % 17).alias("revision"),
+        F.when(F.col("event_type") != "error", F.concat(F.lit("state "), "event_id")).alias("stable"),
+    )
