@@ -400,12 +400,9 @@ def main_texts(sources: list[str], trees: BoostedTrees | None) -> list[str]:
 
 def extract_main_text(pages: DataFrame, train_pages: int = TRAIN_PAGES) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of `pages` (page_id, url, html)."""
-    sample = (
-        pages.where((F.length("html") <= TRAIN_CHARS) & (F.length("html") > 0))
-        .orderBy(F.xxhash64("page_id"), "page_id")
-        .limit(train_pages)
-        .select("html")
-    )
+    short = pages.where((F.length("html") <= TRAIN_CHARS) & (F.length("html") > 0) & F.col("page_id").isNotNull())
+    chosen = [r["page_id"] for r in short.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(train_pages).collect()]
+    sample = short.where(F.col("page_id").isin(chosen)).select("html").limit(train_pages) if chosen else short.select("html").limit(0)
     learned = pages.sparkSession.sparkContext.broadcast(train(sorted(r["html"] for r in sample.collect())))
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
