@@ -134,11 +134,11 @@ class Packer:
         room = self.capacity - size
         if room > 0:
             here = self.count[size : self.capacity]
-            grown = np.where(here > 0, self.count[:room] - here + 1, np.iinfo(np.int64).max)
+            grown = np.where(here > 0, 2 * (self.count[:room] - here) + 2, np.iinfo(np.int64).max)
             if here[0]:
-                grown[0] = -here[0]
+                grown[0] = 1 - 2 * here[0]
             k = int(grown.argmin())
-            if here[k] > 0 and grown[k] <= self.count[room]:
+            if here[k] > 0 and grown[k] <= 2 * self.count[room] + 1:
                 b = self.by_gap[size + k].pop()
                 self.count[size + k] -= 1
                 self.held[b].append(item)
