@@ -9,8 +9,8 @@ overflow go on clockwise to the arc's next shard, and so on. Since the bounds ad
 Only counts are negotiated: one row for each cell, of which there are arcs x `CELLS` at most whatever the input. Cells cut
 arcs by a finer hash of key and text, so that no window holds a whole arc, and repeated keys spread.
 
-Null keys and null texts hash and count like empty ones (size 1). Repeated rows are placed as often as they come. An empty
-table gives no rows. Other columns are kept.
+Null keys and null texts hash like empty ones. Repeated rows are placed as often as they come. An empty table gives no rows.
+Other columns are kept, but for shard and slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -61,21 +61,18 @@ def _negotiated(cells: DataFrame, shards: int) -> DataFrame:
 
 def bounded_ring(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
     """The rows of `df` with shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
-    place = F.pmod(F.xxhash64(F.lit("key"), F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(RING))
+    named = F.coalesce(F.col(key).cast("string"), F.lit(""))
+    place = F.pmod(F.xxhash64(F.lit("key"), named), F.lit(RING))
+    fine = F.xxhash64(F.lit("cell"), named, F.coalesce(F.col(text).cast("string"), F.lit("")))
     arcs = ring(df, shards, virtual_nodes)
     tops = arcs.agg(F.sort_array(F.collect_list("top")).alias("tops"))
-    arc = F.pmod(F.size(F.filter("tops", lambda t: t < F.col("_place"))), F.lit(shards * virtual_nodes))
-    fine = F.xxhash64(F.lit("cell"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    dealt = df.withColumns({"_place": place, "_fine": fine}).join(F.broadcast(tops)).withColumn("_arc", arc).drop("tops")
-    dealt = dealt.withColumn("_cell", F.pmod("_fine", F.lit(CELLS)))
-    counts = dealt.groupBy(F.col("_arc").alias("arc"), F.col("_cell").alias("cell")).agg(F.count("*").alias("n")).join(F.broadcast(arcs.select("arc", "route")), "arc")
-    deals = _negotiated(counts, shards).withColumnsRenamed({"arc": "_arc", "cell": "_cell"})
-    ranked = dealt.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc", "_cell").orderBy("_place", "_fine")) - 1)
-    runs = deals.groupBy("_arc", "_cell").agg(F.sort_array(F.collect_list(F.struct("first", "many", "begin", "shard"))).alias("_runs"))
-    run = F.element_at(F.filter("_runs", lambda r: r["first"] <= F.col("_rank")), -1)
-    return (
-        ranked.join(runs, ["_arc", "_cell"])
-        .withColumn("_run", run)
-        .withColumns({"shard": F.col("_run.shard"), "slot": F.col("_run.begin") + F.col("_rank") - F.col("_run.first")})
-        .drop("_arc", "_cell", "_rank", "_runs", "_run", "_place", "_fine")
-    )
+    arc = F.pmod(F.size(F.filter("tops", lambda t: t < F.col("place"))), F.lit(shards * virtual_nodes))
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
+    dealt = df.select(F.struct(*kept).alias("row"), place.alias("place"), fine.alias("fine")).join(F.broadcast(tops))
+    dealt = dealt.select("row", "place", "fine", arc.alias("arc"), F.pmod("fine", F.lit(CELLS)).alias("cell"))
+    counts = dealt.groupBy("arc", "cell").agg(F.count("*").alias("n")).join(F.broadcast(arcs.select("arc", "route")), "arc")
+    runs = _negotiated(counts, shards).groupBy("arc", "cell").agg(F.sort_array(F.collect_list(F.struct("first", "many", "begin", "shard"))).alias("runs"))
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "cell").orderBy("place", "fine")) - 1)
+    run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
+    found = ranked.join(runs, ["arc", "cell"]).select("row", "rank", run.alias("run"))
+    return found.select("row.*", F.col("run.shard").alias("shard"), (F.col("run.begin") + F.col("rank") - F.col("run.first")).alias("slot"))
