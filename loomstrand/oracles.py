@@ -94,6 +94,13 @@ AUDIT = """audit as (select user_id as session_id, 'r' || lpad(cast(event_id as
 TOTALS = """min(pos) as start_pos, max(pos) as end_pos, count(*) as n, count(*) filter (type = 'tool/result') as results,
     cast(coalesce(sum(chars) filter (type = 'tool/result'), 0) as bigint) as chars, cast(sum(tokens) as bigint) as tokens"""
 
+ENTRIES = """en as (select user_id as session_id, event_id, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k, event_type, ['fact', 'decision', 'constraint', 'risk'][event_id % 4 + 1] as own, 'entry ' || (event_id % 13) as words from events),
+base as (select session_id, 'e' || event_id as id, own as kind, words as content, event_id from en where event_type = 'view'),
+cand as (select session_id, case when k % 19 = 0 then 'risk' else own end as kind, event_id as ordinal, case when event_type = 'view' and k % 7 <> 0 then 'e' || event_id when event_type = 'click' and k % 17 = 0 then 'e' || event_id end as id,
+    case when k % 23 = 0 then words || ' changed' else words end as content from en where event_type in ('view', 'click'))"""
+
+MINTED = "kind || '-' || left(sha256(session_id || '|' || kind || '|' || ordinal || '|' || content), 16)"
+
 ORACLE_SQL = {
     "token_estimate": f"with {CONV_LOG} select session_id, seq, tokens from conv_log",
     "zone_partition": f"with {CONV_LOG}, {cuts('conv_log')}, {zones(200, 500)} {ZONE_TOTALS}",
@@ -196,4 +203,46 @@ ORACLE_SQL = {
           case when landed is not null or served then false when o is not null then c = 0 and spent < 2 when refused then false else spent < 2 end as owed from g left join landed using (session_id, fingerprint)""",
     "control_latest": """with f as (select user_id as session_id, event_id as arrival, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) + event_id % 17 as revision from events where event_type in ('signup', 'purchase', 'error'))
         select session_id, revision, case when event_type <> 'error' then 'state ' || arrival end as stable from (select *, row_number() over (partition by session_id order by revision desc, arrival desc) as r from f) where r = 1""",
+    "slot_render": f"""with {AUTHORITY}, g as (select session_id, max(seq) as seq from goals group by 1), t as (select session_id, max(seq) as seq from todos group by 1),
+        lastev as (select session_id, max(seq) as last from ev group by 1), ids as (select session_id from goals union select session_id from todos),
+        bought as (select user_id as session_id, event_id from events where event_type = 'purchase' qualify row_number() over (partition by user_id order by ts desc, event_id desc) <= 6),
+        facts as (select session_id, list('- fact about purchase ' || event_id order by event_id) as facts from bought group by 1),
+        st as (select ids.session_id, last, goals.status as gs, goal_id, revision, objective, todos.status as ts, todos.seq as tseq, items, facts from ids join lastev using (session_id)
+          left join g using (session_id) left join goals on goals.session_id = g.session_id and goals.seq = g.seq left join t on t.session_id = ids.session_id left join todos on todos.session_id = t.session_id and todos.seq = t.seq
+          left join facts on facts.session_id = ids.session_id),
+        a as (select session_id, list_filter(['Durable task state (revision ' || (session_id % 9 + 1) || ', source event ' || (last - session_id % 2) || ', digest ' || md5(cast(session_id as varchar)) || ').',
+          case when session_id % 2 = 1 then '[Task-state snapshot is stale; durable cursor lags eligible session events.]' end,
+          case gs when 'cleared' then 'Current goal: cleared (no authoritative goal is set).' when 'current' then 'Current goal: ' || objective end,
+          case when gs = 'current' then 'Goal identity: goal ' || goal_id || ', revision ' || revision end,
+          case ts when 'cleared' then 'TODO list: cleared (the authoritative list is empty).' when 'current' then 'TODO list (session event ' || tseq || '):' end,
+          case when ts = 'current' then '- [' || regexp_extract(items, '[[](.*)[]]', 1) || '] ' || regexp_extract(items, '(.*) [[]', 1) end], lambda x: x is not null) as au,
+          case when facts is null then [] else list_concat(['', 'Facts:'], facts) end as more from st),
+        f as (select *, list_concat(au, more) as lines, array_to_string(list_concat(au, more), chr(10)) as whole from a),
+        n as (select session_id, unnest(range(len(au), len(lines) + 1)) as k from f),
+        c as (select session_id, k, array_to_string(lines[1:k], chr(10)) || chr(10) || '[Task-state snapshot truncated; the committed durable state remains authoritative.]' as cut from n join f using (session_id)),
+        best as (select session_id, arg_max(cut, k) as cut from c where strlen(cut) <= 420 and 8 + ceil(length(cut) / 4) <= 120 group by 1),
+        r as (select session_id, whole, case when strlen(whole) <= 420 and 8 + ceil(length(whole) / 4) <= 120 then whole when len(more) > 0 then coalesce(cut, '') else '' end as text from f left join best using (session_id))
+        select session_id, text, text <> '' and text <> whole as truncated, text = '' as blocked, cast(case when text = '' then 0 else 8 + ceil(length(text) / 4) end as bigint) as tokens from r""",
+    "slot_decisions": """with ev as (select user_id as session_id, event_id, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k, row_number() over (partition by user_id order by ts, event_id) - 1 as pos from events),
+        u as (select session_id, max(event_id) as e from ev group by 1), v as (select * from ev where event_type = 'purchase' and k % 23 = 0),
+        h as (select session_id, count(*) as n, max(pos) - min(pos) + 1 = count(*) as near, string_agg(cast(event_id as varchar), ',' order by pos) as seqs, bool_and(event_id % 5 <> 0) as own from v group by 1),
+        d as (select u.session_id, e, seqs, case when u.session_id % 11 = 0 then 'blocked' when n > 1 and not near then 'refuse' when n > 1 then 'collapse' when n is null then 'create'
+          when own and u.session_id % 2 = e % 2 then 'keep' else 'replace' end as decision from u left join h using (session_id))
+        select session_id, decision, case when decision in ('collapse', 'create', 'replace') then e % 6 + 1 end as generation, case when decision in ('collapse', 'replace') then seqs end as covered from d""",
+    "summary_violations": """with r as (select event_id, event_id // 10 as g, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k, event_type || ' ' || props as content from events),
+        i as (select g, case when k % 41 = 0 then event_id + 1000000000 else event_id end as s, k, event_id, event_type, content from r where k % 29 <> 0),
+        bad as (select g, s, case when s >= 1000000000 then 'unknown-source' when k % 47 = 0 then 'duplicate-source' when k % 3 = 0 and k % 43 = 0 then 'call-mismatch'
+          when k % 31 = 0 or k % 37 = 0 then 'claim-not-in-source' end as reason from i)
+        select g as group_id, s as source_seq, reason from bad where reason is not null
+        union all select r.g, r.event_id, 'missing-source' from r where r.g in (select g from i) and r.event_id not in (select s from i)""",
+    "entry_verdicts": f"""with {ENTRIES}, c as (select cand.*, count(*) over (partition by session_id, kind) as size, case when id is not null then count(*) over (partition by session_id, id) end as times from cand)
+        select c.session_id, c.kind, ordinal, c.content, coalesce(c.id, {MINTED.replace('kind', 'c.kind').replace('session_id', 'c.session_id').replace('content', 'c.content')}) as id,
+          case when size > 50 then 'too-many-entries' when c.id is null then null when b.id is null then 'unknown-id' when times > 1 then 'repeated-id' when b.kind <> c.kind then 'moved-id' when b.content <> c.content then 'changed-content' end as reason
+        from c left join base b on b.session_id = c.session_id and b.id = c.id""",
+    "merged_edit": f"""with {ENTRIES}, t as (select *, row_number() over (partition by session_id, kind, content order by ordinal) as n from cand), b as (select *, row_number() over (partition by session_id, kind, content order by id) as n from base)
+        select session_id, kind, ordinal, content, coalesce(b.id, {MINTED}) as id, b.id is not null as kept from (select * exclude (id) from t) t left join (select session_id, kind, content, n, id from b) b using (session_id, kind, content, n)""",
+    "content_digest": f"""with {ENTRIES} select session_id, sha256(string_agg(kind || '|' || id || '|' || content, chr(10) order by kind, event_id)) as digest from base group by 1""",
+    "evidence_split": """select user_id as session_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_type = 'view' as kept from events""",
+    "maintenance_tiers": f"""with {TOOL_LOG}, sums as (select session_id, cast(sum(tokens) as bigint) as total from surface group by 1)
+        select session_id, total, case when total >= 48000 then 'pressure' when total >= 42000 then 'forget' when total >= 24000 then 'tools' else 'none' end as tier from sums""",
 }

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstrand.functions import budgets, text
-from loomstrand.operators import audits, events, replay, segments, zones
+from loomstrand.operators import audits, checkpoints, events, replay, segments, slots, zones
 from loomstrand.oracles import ORACLE_SQL as ORACLE_SQL
+from loomstrand.plans import config, pressure
 from loomstrand.sources import logs
 from loomstrand.streaming import control
 
@@ -208,12 +209,72 @@ def control_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def slot_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every session's state as text within 420 bytes and 120 tokens."""
+    rows = slots.rendered(logs.slot_states(spark, sf_dir), 420, 120)
+    return rows.select("session_id", "text", "truncated", "blocked", "tokens")
+
+
+def slot_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What maintenance does with the slots of every session."""
+    users = logs.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("event_id").alias("e"))
+    wanted = users.select("session_id", F.when(F.col("session_id") % 11 == 0, "").otherwise(F.concat(F.lit("state "), F.col("e") % 2)).alias("text"))
+    return slots.slot_decisions(logs.slot_nodes(spark, sf_dir), wanted, users.select("session_id", (F.col("e") % 6).alias("generation")))
+
+
+def summary_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is wrong with the summaries of groups of ten events."""
+    return checkpoints.summary_violations(*logs.summary_items(spark, sf_dir))
+
+
+def entry_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidate entries with the ids that they keep or get, or why they can't stay."""
+    return checkpoints.entry_verdicts(*logs.entry_lists(spark, sf_dir))
+
+
+def merged_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edited texts with the ids of entries of the same words."""
+    candidates, base = logs.entry_lists(spark, sf_dir)
+    return checkpoints.merged_edit(candidates.drop("id"), base)
+
+
+def content_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every session's entries."""
+    _, base = logs.entry_lists(spark, sf_dir)
+    return checkpoints.content_digest(base.withColumn("ordinal", F.substring("id", 2, 20).cast("long")))
+
+
+def evidence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """References of every session to events that its fold held, and to others."""
+    log = logs.authority_log(spark, sf_dir)
+    return checkpoints.evidence_split(log.select("session_id", "seq"), log.where("type = 'todo/write'"))
+
+
+def maintenance_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every session's total calls for in a window of 60,000 tokens."""
+    return pressure.maintenance(logs.surface_of(logs.tool_log(spark, sf_dir)), config.resolve(config.Policy(), WINDOW))
+
+
+def pressure_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches of one pressure pass over every session."""
+    surface = logs.surface_of(logs.tool_log(spark, sf_dir))
+    return pressure.pressure_ledger(surface, config.resolve(config.Policy(), WINDOW), cap=20_000)[0]
+
+
+def pressure_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How one pressure pass ended for every session above the threshold."""
+    surface = logs.surface_of(logs.tool_log(spark, sf_dir))
+    return pressure.pressure_ledger(surface, config.resolve(config.Policy(), WINDOW), cap=20_000)[1]
+
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         token_estimate, zone_partition, zone_partition_safe, pairing_balance, forget_batch_plan, pressure_span_plan, legacy_tail_split,
         retained_tail_floor, envelope_budget, prune_documents, bounded_text, tool_segments, tool_groups, group_chunks, eligible_spans, surface_replay, surface_generations, turns_after,
         source_index, provenance_digest, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
-        batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, control_latest,
+        batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, control_latest, slot_render, slot_decisions, summary_violations,
+        entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
     )
 }

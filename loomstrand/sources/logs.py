@@ -206,3 +206,64 @@ def control_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
         (k + F.col("event_id") % 17).alias("revision"),
         F.when(F.col("event_type") != "error", F.concat(F.lit("state "), "event_id")).alias("stable"),
     )
+
+
+def slot_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States to show: the newest goal and TODO list of each session, its last six purchases as facts, and its newest event."""
+    from loomstrand.operators.events import authority_views
+
+    log = authority_log(spark, sf_dir)
+    bought = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    ranked = bought.select(F.col("user_id").alias("session_id"), "event_id", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))).alias("r")).where("r <= 6")
+    facts = ranked.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list("event_id")), lambda i: F.concat(F.lit("fact about purchase "), i)).alias("facts"))
+    none = F.array().cast("array<string>")
+    counts = log.groupBy("session_id").agg(F.max("seq").alias("last"))
+    return (
+        authority_views(log)
+        .join(facts, "session_id", "left")
+        .join(counts, "session_id")
+        .select(
+            "session_id", "goal", "todo", F.coalesce("facts", none).alias("facts"), none.alias("decisions"), none.alias("constraints"), none.alias("risks"),
+            (F.col("session_id") % 9 + 1).alias("revision"), (F.col("last") - F.col("session_id") % 2).alias("source_cursor"), F.col("last").alias("high_water"), F.md5(F.col("session_id").cast("string").cast("binary")).alias("digest"),
+        )
+    )
+
+
+def slot_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Visible slots: purchases whose k is a multiple of 23, at their place among the session's events; a fifth are another lifecycle's."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), place.alias("pos"), F.col("event_id").alias("seq"), (F.col("event_id") % 5 != 0).alias("own"), "event_type", k.alias("k"))
+    return rows.where("event_type = 'purchase' and k % 23 = 0").select("session_id", "pos", "seq", "own", F.concat(F.lit("state "), F.col("session_id") % 2).alias("text"))
+
+
+def summary_items(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(items, inputs) of groups of ten events: inputs are all events, items leave some out, repeat some, and claim what isn't there."""
+    rows = table(spark, sf_dir, "events").select("event_id", F.floor(F.col("event_id") / 10).alias("group_id"), "event_type", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"), "props")
+    inputs = rows.select("group_id", F.col("event_id").alias("source_seq"), F.concat(F.lit("c"), F.col("event_id") % 100).alias("call_id"), F.concat_ws(" ", "event_type", "props").alias("content"))
+    claim = F.when(F.col("k") % 31 == 0, F.lit("invented")).when(F.col("k") % 37 == 0, F.lit("  ")).otherwise(F.col("event_type"))
+    items = rows.where("k % 29 <> 0").select(
+        "group_id",
+        F.when(F.col("k") % 41 == 0, F.col("event_id") + 1_000_000_000).otherwise(F.col("event_id")).alias("source_seq"),
+        F.when(F.col("k") % 3 == 0, F.when(F.col("k") % 43 == 0, "other").otherwise(F.concat(F.lit("c"), F.col("event_id") % 100))).alias("call_id"),
+        F.array(claim).alias("claims"),
+        F.when(F.col("k") % 47 == 0, 2).otherwise(1).alias("times"),
+    )
+    return items.withColumn("times", F.explode(F.sequence(F.lit(1), "times"))).drop("times"), inputs
+
+
+def entry_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(candidates, base): entries of four kinds for each user; candidates echo, move, change, repeat and add some."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_id", F.regexp_extract("props", "([0-9]+)", 1).cast("long").alias("k"), "event_type")
+    kinds = F.array(*[F.lit(x) for x in ("fact", "decision", "constraint", "risk")])
+    kind = F.element_at(kinds, (F.col("event_id") % 4 + 1).cast("int"))
+    words = F.concat(F.lit("entry "), F.col("event_id") % 13)
+    base = rows.where("event_type = 'view'").select("session_id", F.concat(F.lit("e"), "event_id").alias("id"), kind.alias("kind"), words.alias("content"))
+    candidates = rows.where("event_type in ('view', 'click')").select(
+        "session_id",
+        F.when(F.col("k") % 19 == 0, "risk").otherwise(kind).alias("kind"),
+        F.col("event_id").alias("ordinal"),
+        F.when(F.col("event_type") == "view", F.when(F.col("k") % 7 != 0, F.concat(F.lit("e"), "event_id"))).when(F.col("k") % 17 == 0, F.concat(F.lit("e"), "event_id")).alias("id"),
+        F.when(F.col("k") % 23 == 0, F.concat(words, F.lit(" changed"))).otherwise(words).alias("content"),
+    )
+    return candidates, base
