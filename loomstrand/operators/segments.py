@@ -102,12 +102,9 @@ def eligible_spans(nodes: DataFrame) -> DataFrame:
     a cut the sides stay together, and a part that mixes both is left out.
     """
 
-    def spans(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("pos")
-        safe = group["safe_end"].to_numpy()
-        is_result, eligible, pos = (group["type"] == "tool/result").to_numpy(), group["eligible"].to_numpy(), group["pos"].to_numpy()
+    def spans(safe: list[bool], is_result: list[bool], eligible: list[bool]) -> list[tuple[int, int]]:
         cuts, current, last = [0], None, -1
-        for i in range(len(group)):
+        for i in range(len(safe)):
             if not is_result[i]:
                 continue
             if current is None:
@@ -118,9 +115,17 @@ def eligible_spans(nodes: DataFrame) -> DataFrame:
                     cuts.append(latest)
                     current = eligible[i]
             last = i
-        rows = [(a, b) for a, b in zip(cuts, [*cuts[1:], len(group)], strict=True) if all(eligible[i] for i in range(a, b) if is_result[i])]
-        key = group[["session_id", "segment"]].iloc[0]
-        return pd.DataFrame([(key["session_id"], key["segment"], pos[a], pos[b - 1]) for a, b in rows], columns=["session_id", "segment", "start_pos", "end_pos"])
+        return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], len(safe)], strict=True) if all(eligible[i] for i in range(a, b) if is_result[i])]
+
+    def session(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["segment", "pos"])
+        segment, pos = rows["segment"].tolist(), rows["pos"].tolist()
+        columns = rows["safe_end"].tolist(), (rows["type"] == "tool/result").tolist(), rows["eligible"].tolist()
+        starts = [i for i in range(len(pos)) if not i or segment[i] != segment[i - 1]]
+        out = [(segment[i], pos[i + a], pos[i + b]) for i, j in zip(starts, [*starts[1:], len(pos)], strict=True) for a, b in spans(*(c[i:j] for c in columns))]
+        found = pd.DataFrame(out, columns=["segment", "start_pos", "end_pos"])
+        found.insert(0, "session_id", rows["session_id"].iloc[0])
+        return found
 
     columns = ["session_id", "segment", "pos", "type", "safe_end", "eligible"]
-    return nodes.select(*columns).groupBy("session_id", "segment").applyInPandas(spans, "session_id long, segment long, start_pos long, end_pos long")
+    return nodes.select(*columns).groupBy("session_id").applyInPandas(session, "session_id long, segment long, start_pos long, end_pos long")
