@@ -245,4 +245,35 @@ ORACLE_SQL = {
     "evidence_split": """select user_id as session_id, row_number() over (partition by user_id order by ts, event_id) - 1 as seq, event_type = 'view' as kept from events""",
     "maintenance_tiers": f"""with {TOOL_LOG}, sums as (select session_id, cast(sum(tokens) as bigint) as total from surface group by 1)
         select session_id, total, case when total >= 48000 then 'pressure' when total >= 42000 then 'forget' when total >= 24000 then 'tools' else 'none' end as tier from sums""",
+    "prune_pass": f"""with {TOOL_LOG}, {cuts('surface')}, {zones(12000, 30000)}, ends as (select session_id, max(seq) + 1 as top from tool_log group by 1),
+        p as (select z.session_id, z.seq, z.tokens, top, row_number() over (partition by z.session_id order by pos) - 1 as i from zoned z join ends using (session_id) where type = 'tool/result' and chars > case when zone = 'recent' then 9000 else 6000 end)
+        select session_id, top + 2 * i as seq, 'compaction/prune' as type, null as covered, cast(tokens as bigint) as tokens from p
+        union all select session_id, top + 2 * i + 1, 'tool/result', seq, (4096 + 18 + 1024 + 3) // 4 + 8 from p""",
+    "group_replacements": f"""with {TOOL_LOG}, {cuts('surface')}, {SEGMENTS}, ends as (select session_id, max(seq) + 1 as top from tool_log group by 1),
+        p as (select *, pos * 37 % 1500 + 60 as price from seg where type = 'tool/result'), q as (select p.*, top, row_number() over (partition by p.session_id order by pos) - 1 as i from p join ends using (session_id) where price < tokens)
+        select session_id, top + 2 * i as seq, 'compaction/prune' as type, null as covered, cast(tokens as bigint) as tokens from q union all select session_id, top + 2 * i + 1, 'tool/result', seq, price from q""",
+    "region_replacements": f"""with {TOOL_LOG}, {cuts('surface')}, {zones(12000, 30000)}, ends as (select session_id, max(seq) + 1 as top from tool_log group by 1),
+        b as (select session_id, pos, upto from zoned where zone = 'forget' and open_after = 0 and step_end and upto <= 6000),
+        pick as (select session_id, coalesce(min(pos) filter (upto >= 4000), max(pos)) as pos from b group by 1),
+        s as (select pick.session_id, pick.pos + 1 as n, upto, session_id % 7 * 900 + 100 as price, top from pick join b using (session_id, pos) join ends using (session_id))
+        select session_id, top as seq, 'compaction/start' as type, cast(0 as bigint) as n_covered, cast(null as varchar) as error from s
+        union all select session_id, top + 1, 'compaction/summary', 0, null from s where price < upto union all select session_id, top + 2, 'user/message', n, null from s where price < upto
+        union all select session_id, top + 3, 'compaction/end', 0, null from s where price < upto union all select session_id, top + 1, 'compaction/end', 0, 'summary-not-smaller' from s where price >= upto""",
+    "reentry_verdicts": f"""with {TOOL_LOG}, {REPLACED}, gone as (select session_id, unnest(covers) as seq from rlog),
+        shown as (select * from rlog where type in ('user/message', 'assistant/message', 'tool/result') and (session_id, seq) not in (select session_id, seq from gone))
+        select session_id, seq, case when len(covers) = 0 or type = 'tool/result' then 'new-original-content' when max(seq) over (partition by session_id) > seq then 'new-coverage' else 'no-new-coverage' end as verdict from shown""",
+    "tool_debt": f"""with recursive {TOOL_LOG}, {cuts('surface')}, {zones(12000, 30000)}, {SEGMENTS},
+        good as (select session_id, island from seg join starts using (session_id) group by all having count(*) filter (type = 'tool/result') >= 2
+          and sum(chars) filter (type = 'tool/result') >= 12000 and sum(tokens) >= 2000 and max(pos) < max(recent_start)),
+        picked as (select seg.* from seg join good using (session_id, island)), {CHUNKS.format(cap=12000)},
+        g as (select session_id, {TOTALS} from atoms0 join (select session_id, island, atom, chunk from fold) using (session_id, island, atom) group by session_id, island, chunk),
+        gg as (select session_id, min(start_pos) as p, count(*) as n from g where results >= 2 and chars >= 12000 and tokens between 2000 and 12000 group by 1),
+        longs as (select session_id, min(pos) as p from zoned where zone <> 'recent' and type = 'tool/result' and chars > 9150 group by 1),
+        ids as (select distinct session_id from zoned where zone <> 'recent')
+        select session_id, case when coalesce(longs.p, case when session_id % 4 <> 0 then gg.p end) is not null then 'actionable' when gg.n > 0 then 'inert' else 'none' end as debt,
+          coalesce(longs.p, case when session_id % 4 <> 0 then gg.p end) as first_pos from ids left join longs using (session_id) left join gg using (session_id)""",
+    "effective_cursors": """with r as (select user_id as s, count(*) filter (event_type = 'click') as c, count(*) filter (event_type = 'view') as v, count(*) filter (event_type = 'error') as e from events group by 1),
+        m as (select *, case when s % 3 <> 0 then e end as b, case when s % 5 < 3 then case when s % 3 <> 0 then e end when s % 5 = 3 then e + 1 end as marker from r)
+        select s as session_id, case when marker is not null and marker is distinct from b then coalesce(b - 1, -1)
+          else greatest(case when c % 4 <> 0 then c else -1 end, case when v % 3 = 0 then v else -1 end, coalesce(b - 1, -1)) end as cursor from m""",
 }

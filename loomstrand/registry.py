@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstrand.functions import budgets, text
-from loomstrand.operators import audits, checkpoints, events, replay, segments, slots, zones
+from loomstrand.operators import audits, checkpoints, events, reductions, replay, segments, slots, zones
 from loomstrand.oracles import ORACLE_SQL as ORACLE_SQL
 from loomstrand.plans import config, pressure
 from loomstrand.sources import logs
@@ -268,6 +268,52 @@ def pressure_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def prune_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that one prune pass appends: results over 6,000 characters before the recent zone, over 9,000 within it."""
+    ends = reductions.log_ends(logs.tool_log(spark, sf_dir))
+    rows = reductions.prune_rows(_zoned(spark, sf_dir), ends, threshold=6_000, hard_limit=9_000)
+    return rows.select("session_id", "seq", "type", F.get("covers", F.lit(0)).alias("covered"), "tokens")
+
+
+def group_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that summaries of tool results append, priced by the results' places."""
+    log = logs.tool_log(spark, sf_dir)
+    nodes = segments.with_segments(zones.with_cuts(logs.surface_of(log)))
+    prices = nodes.select("session_id", "seq", (F.col("pos") * 37 % 1500 + 60).alias("price"))
+    rows = reductions.group_rows(nodes, prices, reductions.log_ends(log))
+    return rows.select("session_id", "seq", "type", F.get("covers", F.lit(0)).alias("covered"), "tokens")
+
+
+def region_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a summary of every session's oldest batch appends, or its failure."""
+    zoned = _zoned(spark, sf_dir)
+    plans = zones.forget_batch(zoned, 4_000, 6_000).where("reason is null")
+    spans = zoned.join(plans.select("session_id", "end_pos"), "session_id").where("pos <= end_pos")
+    spans = spans.groupBy("session_id").agg(F.sort_array(F.collect_list("seq")).alias("covers"), F.sum("tokens").alias("tokens")).withColumn("price", F.col("session_id") % 7 * 900 + 100)
+    rows = reductions.region_rows(spans, reductions.log_ends(logs.tool_log(spark, sf_dir)))
+    return rows.select("session_id", "seq", "type", F.size("covers").cast("long").alias("n_covered"), "error")
+
+
+def reentry_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the nodes on every session's surface may be folded again."""
+    log = logs.replaced_log(spark, sf_dir)
+    shown = replay.replay(log).select("session_id", "seq")
+    return reductions.reentry_verdicts(replay.source_index(log).join(shown, ["session_id", "seq"]))
+
+
+def tool_debt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool work that every session still owes before its recent zone."""
+    zoned = _zoned(spark, sf_dir)
+    groups = segments.tool_groups(zoned).withColumn("may_attempt", F.col("session_id") % 4 != 0)
+    return reductions.tool_debt(zoned.where("zone <> 'recent'"), groups, 9_150)
+
+
+def effective_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every session's fold goes on."""
+    return reductions.effective_cursors(logs.cursor_records(spark, sf_dir))
+
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -276,5 +322,6 @@ QUERIES = {
         source_index, provenance_digest, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
         batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, control_latest, slot_render, slot_decisions, summary_violations,
         entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
+        prune_pass, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,
     )
 }

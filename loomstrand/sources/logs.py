@@ -267,3 +267,14 @@ def entry_lists(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
         F.when(F.col("k") % 23 == 0, F.concat(words, F.lit(" changed"))).otherwise(words).alias("content"),
     )
     return candidates, base
+
+
+def cursor_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each user's record claims: cursors and boundaries from counts of event kinds."""
+    kinds = lambda kind: F.count_if(F.col("event_type") == kind)
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(kinds("click").alias("c"), kinds("view").alias("v"), kinds("error").alias("e"))
+    boundary = F.when(F.col("session_id") % 3 != 0, F.col("e"))
+    return rows.select(
+        "session_id", F.when(F.col("c") % 4 != 0, F.col("c")).alias("stable_cursor"), F.when(F.col("v") % 3 == 0, F.col("v")).alias("terminal_cursor"),
+        F.when(F.col("session_id") % 5 < 3, boundary).when(F.col("session_id") % 5 == 3, F.col("e") + 1).alias("marker"), boundary.alias("boundary"),
+    )
