@@ -276,4 +276,23 @@ ORACLE_SQL = {
         m as (select *, case when s % 3 <> 0 then e end as b, case when s % 5 < 3 then case when s % 3 <> 0 then e end when s % 5 = 3 then e + 1 end as marker from r)
         select s as session_id, case when marker is not null and marker is distinct from b then coalesce(b - 1, -1)
           else greatest(case when c % 4 <> 0 then c else -1 end, case when v % 3 = 0 then v else -1 end, coalesce(b - 1, -1)) end as cursor from m""",
+    "surface_alignment": f"""with {TOOL_LOG}, p as (select session_id, seq, case when seq % 89 = 0 then 2 else 1 end as n from tool_log where seq % 97 <> 0 and (type <> 'turn/end' or seq % 10 = 0))
+        select session_id, seq, case when n is null then 'unpriced' when pos is null then 'not-on-surface' else 'priced-twice' end as reason
+        from (select session_id, seq, pos from surface) s full join p using (session_id, seq) where n is null or pos is null or n > 1""",
+    "surface_ranges": f"""with {TOOL_LOG}, a as (select distinct session_id, r as range_id, lo, hi from surface cross join (values (0, 0, 9), (1, 5, 30), (2, 40, 100000)) as v(r, lo, hi)),
+        sizes as (select session_id, count(*) as n from surface group by 1)
+        select a.session_id, range_id, arg_min(seq, pos) as start_seq, arg_max(seq, pos) as end_seq, cast(sum(tokens) as bigint) as tokens
+        from a join sizes using (session_id) left join surface s on s.session_id = a.session_id and pos between lo and hi and hi < n group by 1, 2""",
+    "span_checks": f"""with {TOOL_LOG}, {cuts('surface')}, a as (select session_id, seq as s, seq + case when seq % 70 = 3 then -2 else 6 end as e from tool_log where seq % 10 = 3)
+        select a.session_id, s as range_id, case when x.pos is null then 'start-not-on-surface' when y.pos is null then 'end-not-on-surface' when x.pos > y.pos then 'reversed'
+          when x.open_before <> 0 then 'open-before-start' when y.open_after <> 0 then 'open-after-end' end as reason
+        from a left join cuts x on x.session_id = a.session_id and x.seq = s left join cuts y on y.session_id = a.session_id and y.seq = e""",
+    "fold_backlog": """with ev as (select user_id as session_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as seq from events),
+        r as (select session_id as s, count(*) filter (event_type = 'click') as c, count(*) filter (event_type = 'view') as v, count(*) filter (event_type = 'error') as e from ev group by 1),
+        m as (select *, case when s % 3 <> 0 then e end as b, case when s % 5 < 3 then case when s % 3 <> 0 then e end when s % 5 = 3 then e + 1 end as marker from r),
+        k as (select s as session_id, case when marker is not null and marker is distinct from b then coalesce(b - 1, -1)
+          else greatest(case when c % 4 <> 0 then c else -1 end, case when v % 3 = 0 then v else -1 end, coalesce(b - 1, -1)) end as cursor from m)
+        select k.session_id, count(*) filter (seq > cursor) as waiting, coalesce(max(seq), 0) as high_water from k left join ev on ev.session_id = k.session_id and event_type in ('signup', 'view') group by 1""",
+    "audit_counts": f"""with {AUDIT}, c as (select session_id, case when status in ('success', 'manual', 'repair') then 'committed' when status in ('open', 'aborted') or (status = 'failure' and code in ('ABORTED', 'SERVICE_DISPOSED')) then 'aborted'
+        when status = 'terminal-infeasible' or code = 'BUDGET' then 'terminal-infeasible' else 'transient-failure' end as classification from audit) select session_id, classification, count(*) as n from c group by 1, 2""",
 }

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstrand.functions import budgets, text
-from loomstrand.operators import audits, checkpoints, events, reductions, replay, segments, slots, zones
+from loomstrand.operators import audits, checkpoints, events, reductions, replay, segments, slots, surfaces, zones
 from loomstrand.oracles import ORACLE_SQL as ORACLE_SQL
 from loomstrand.plans import config, pressure
 from loomstrand.sources import logs
@@ -314,6 +314,45 @@ def effective_cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def surface_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes and prices that don't match, where every 97th price is lost, every 89th given twice and some belong to ended turns."""
+    log = logs.tool_log(spark, sf_dir)
+    prices = log.where("seq % 97 <> 0 and (type <> 'turn/end' or seq % 10 = 0)").select("session_id", "seq")
+    return surfaces.misaligned(logs.surface_of(log), prices.unionByName(prices.where("seq % 89 = 0")))
+
+
+def surface_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three position ranges of every session, of which one leaves the surface."""
+    surface = logs.surface_of(logs.tool_log(spark, sf_dir))
+    span = F.explode(F.array(*[F.struct(F.lit(i).alias("range_id"), F.lit(a).cast("long").alias("first"), F.lit(z).cast("long").alias("last")) for i, (a, z) in enumerate([(0, 9), (5, 30), (40, 100_000)])]))
+    return surfaces.ranges(surface, surface.select("session_id").distinct().select("session_id", span.alias("s")).select("session_id", "s.*"))
+
+
+def span_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether spans between every tenth row and the sixth after it may be replaced."""
+    log = logs.tool_log(spark, sf_dir)
+    asked = log.where("seq % 10 = 3").select("session_id", F.col("seq").alias("range_id"), F.col("seq").alias("start_seq"), (F.col("seq") + F.when(F.col("seq") % 70 == 3, -2).otherwise(6)).alias("end_seq"))
+    return surfaces.span_reasons(zones.with_cuts(logs.surface_of(log)), asked)
+
+
+def fold_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eligible events that wait above every session's cursor."""
+    cursors = reductions.effective_cursors(logs.cursor_records(spark, sf_dir))
+    return surfaces.backlog(logs.authority_log(spark, sf_dir), cursors)
+
+
+def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many audit rows of every session are of each class."""
+    rows = logs.audit_log(spark, sf_dir).select("session_id", audits.classification().alias("classification"))
+    return rows.groupBy("session_id", "classification").agg(F.count("*").alias("n"))
+
+
+def pressure_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a pressure pass released in every session."""
+    return surfaces.ledger_totals(pressure_ledger(spark, sf_dir))
+
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -323,5 +362,6 @@ QUERIES = {
         batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, control_latest, slot_render, slot_decisions, summary_violations,
         entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
         prune_pass, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,
+        surface_alignment, surface_ranges, span_checks, fold_backlog, audit_counts, pressure_totals,
     )
 }

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from loomstrand.functions import budgets, text
-from loomstrand.operators import audits, checkpoints, events, replay, segments, slots, zones
+from loomstrand.operators import audits, checkpoints, events, reductions, replay, segments, slots, surfaces, zones
 from loomstrand.plans import config, pressure
 
 SURFACE = "session_id long, pos long, seq long, type string, turn long, step long, tool_calls long, chars long, tokens long"
@@ -330,3 +330,34 @@ def test_pressure_loop_against_brute_force(spark, cap):
             assert got.get(s, []) == batches and ends[s] == end
         else:
             assert s not in ends
+
+
+def test_fences_and_terminal_verdicts(spark):
+    attempts = spark.createDataFrame([(1, "a", 2, [4, 5]), (1, "b", 1, [4, 5]), (1, "c", 2, [4]), (9, "d", 2, [4])], "session_id long, request_id string, generation long, seqs array<long>")
+    now = spark.createDataFrame([(1, 2, [4, 5])], "session_id long, generation long, seqs array<long>")
+    assert {r.request_id: r.reason for r in surfaces.commit_fences(attempts, now).collect()} == {"a": None, "b": "generation-changed", "c": "source-changed", "d": "session-changed"}
+    rows = [(1, "quarantined", 5, "g"), (2, "quarantined", 4, "g"), (3, "block", 4, "g"), (4, "block", 5, "g"), (5, "block", 4, "old"), (6, "block", 4, "held"), (7, "else", 4, "g")]
+    verdicts = spark.createDataFrame(rows, "session_id long, kind string, cursor long, generation string")
+    records = spark.createDataFrame([(i, 4, "held", "held" if i == 6 else "g") for i in range(1, 8)], "session_id long, now long, held string, generation_now string")
+    found = {r.session_id: r.reason for r in surfaces.terminal_verdicts(verdicts, records).collect()}
+    assert found == {1: None, 2: "cursor-not-advanced", 3: None, 4: "block-moves-cursor", 5: "stale-generation", 6: "restated", 7: "unknown-kind"}
+
+
+def test_range_modes_lifecycles_and_summaries(spark):
+    rows = spark.createDataFrame([("all", 9), ("none", 1), ("range", 2), ("range", 9), (None, 2)], "mode string, pos long")
+    assert [r.ok for r in rows.select(surfaces.in_older_range(F.col("mode"), F.col("pos"), F.lit(1), F.lit(3)).alias("ok")).collect()] == [True, False, True, False, False]
+    audit = spark.createDataFrame([(1, 5, None), (1, 5, "x"), (1, None, None), (2, 7, "y")], "session_id long, created_at long, cwd string")
+    identities = spark.createDataFrame([(1, 5, None), (2, 7, "y"), (3, None, None)], "session_id long, created_at long, cwd string")
+    assert sorted(tuple(r)[:2] for r in reductions.of_lifecycle(audit, identities).collect()) == [(1, 5), (2, 7)]
+    item = spark.createDataFrame([("ok", ["a", "b"], [], [], ["u"], 7)], "s string, f array<string>, p array<string>, e array<string>, u array<string>, q long")
+    made = one(item.select(reductions.summary_text(F.col("s"), F.col("f"), F.col("p"), F.col("e"), F.col("u"), F.col("q")).alias("t"))).t
+    assert made == "[tool group summary]\nResult: ok\nFacts: a; b\nFiles: (none)\nErrors: (none)\nUnresolved: u\nSource event: seq=7\n[/tool group summary]"
+    kinds = spark.createDataFrame([(1, 0, "history-summary"), (1, 1, "history-summary"), (1, 2, "original"), (2, 0, "original")], "session_id long, pos long, kind string").withColumns({"first_pos": F.lit(0), "last_pos": F.lit(1)})
+    assert {r.session_id: r.isolated for r in reductions.isolated_summary(kinds).collect()} == {1: True, 2: False}
+
+
+def test_requests_and_missing_events(spark):
+    log = spark.createDataFrame([(1, 0, "request/header"), (1, 3, "request/header"), (1, 4, "user/message")], "session_id long, seq long, type string")
+    spans = spark.createDataFrame([(1, 1, 9), (1, 0, 4)], "session_id long, pos long, seq long")
+    assert tuple(one(surfaces.newest_header_and_span(log, spans))) == (1, 3, [4, 9])
+    assert [tuple(r) for r in surfaces.missing_events(spans, log).collect()] == [(1, 9)]
