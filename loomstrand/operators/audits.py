@@ -24,7 +24,7 @@ def classification(outcome: str = "outcome", code: str = "code") -> Column:
 def timeline(audit: DataFrame) -> DataFrame:
     """The rows in order of time, then request id (by code units), with what they certify."""
     certified = F.coalesce(F.col("outcome").isin(*CERTIFYING), F.lit(False))
-    place = F.row_number().over(Window.partitionBy("session_id").orderBy("time", "request_id"))
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("time", "request_id")).cast("long")
     return audit.select(
         "session_id", place.alias("place"), "request_id", "time", classification().alias("classification"), certified.alias("certified"), F.when(certified, F.col("revision")).alias("certified_revision")
     )

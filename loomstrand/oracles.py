@@ -116,7 +116,7 @@ ORACLE_SQL = {
     "pressure_span_plan": f"""with {TOOL_LOG}, {cuts('surface')}, {zones(12000, 30000)},
         ends as (select session_id, pos, upto from zoned where pos < recent_start and open_after = 0 and step_end and upto <= 20000),
         pick as (select session_id, min(pos) filter (upto >= 9001) as a, max(pos) as b from ends group by 1)
-        select s.session_id, case when e.upto > 1000 then 0 end as start_pos, case when e.upto > 1000 then e.pos end as end_pos, cast(case when e.upto > 1000 then e.upto end as bigint) as tokens,
+        select s.session_id, cast(case when e.upto > 1000 then 0 end as bigint) as start_pos, case when e.upto > 1000 then e.pos end as end_pos, cast(case when e.upto > 1000 then e.upto end as bigint) as tokens,
           case when e.pos is null then 'no-safe-prefix' when e.upto <= 1000 then 'span-below-minimum' end as reason
         from starts s left join pick p using (session_id) left join ends e on e.session_id = s.session_id and e.pos = coalesce(p.a, p.b)""",
     "legacy_tail_split": f"""with {TOOL_LOG}, {cuts('surface')}, r as (select session_id, coalesce(max(pos) filter (suffix >= 12000), 0) as raw from cuts group by 1)
