@@ -12,6 +12,7 @@ with a null id are packed like others. An empty table gives no rows. Other colum
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
@@ -29,8 +30,8 @@ CLOSING_ID = 0
 GROUP_PIECES = 16_384
 #: Rounds of dissolving, and the share of sequences that a round may dissolve at most.
 ROUNDS, SHARE = 6, 4
-#: Entries that a worker keeps of words it has tokenised.
-CACHE = 400_000
+#: Entries that a worker keeps at most in each of two generations of words, and of parts of words, that it has tokenised.
+CACHE = 350_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -53,6 +54,8 @@ class WordTokenizer:
         self.plain = regex.compile(r"[\x21-\x7e\xa1-\xac\xae-\xff]*").fullmatch
         self.words: dict[str, bytes] = {"": b""}
         self.cores: dict[str, bytes] = {}
+        self.older_words: dict[str, bytes] = {}
+        self.older_cores: dict[str, bytes] = {}
         self.visible = self._visible()
 
     @staticmethod
@@ -63,24 +66,32 @@ class WordTokenizer:
         return {c: "".join(stand[b] for b in chr(c).encode()) for c in range(256)}
 
     def _core(self, part: str) -> bytes:
-        ids = np.array([x.id for x in self.model.tokenize(part.translate(self.visible))], dtype="<u4").tobytes()
+        ids = self.older_cores.get(part)
+        if ids is None:
+            ids = array("I", [x.id for x in self.model.tokenize(part.translate(self.visible))]).tobytes()
         self.cores[part] = ids
         return ids
 
     def _word(self, word: str) -> bytes:
-        if "<|" in word or not self.plain(word):
-            return np.array(self.whole.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        ids = self.older_words.get(word)
+        if ids is not None:
+            return ids
         cores = self.cores
+        if word.isalpha() and max(word) <= "\xff":
+            part = word.lower()
+            return cores[part] if part in cores else self._core(part)
+        if "<|" in word or not self.plain(word):
+            return array("I", self.whole.encode(word, add_special_tokens=False).ids).tobytes()
         return b"".join([cores[p] if p in cores else self._core(p) for p in self.parts(word.lower())])
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids."""
         found = text.replace("\n", " ").split(" ")
-        words = self.words
-        if len(words) > CACHE:
-            words.clear()
+        if len(self.words) > CACHE:
+            self.older_words, self.words = self.words, {"": b""}
         if len(self.cores) > CACHE:
-            self.cores.clear()
+            self.older_cores, self.cores = self.cores, {}
+        words = self.words
         for w in set(found).difference(words):
             words[w] = self._word(w)
         return b"".join([words[w] for w in found])
