@@ -10,10 +10,10 @@ links it found, never all pairs.
 
 * `simhash_groups` links 64-bit fingerprints that differ in at most `DISTANCE` bits. Its masks are choices of
   `bands - DISTANCE` of `bands` bands, on one of which such a pair agrees wholly (exact, by the pigeonhole principle).
-* `similar_groups` links texts whose sets of word shingles have a Jaccard similarity of `SIMILARITY` or more. The share of
-  differing bits in `WORDS` words of fingerprint is the angle between two sets, so the index finds pairs that this puts at
-  `SIMILARITY` - `SLACK` or more (its standard error is 0.04); its masks are the fifths of each word, on one of the 40 of
-  which a pair at the threshold agrees with probability 0.99. Each link is then held against the sets themselves.
+* `similar_groups` links texts whose sets of word shingles have a Jaccard similarity of `SIMILARITY` or more, and needs no
+  fingerprint. Two such sets share one of their rarest shingles (exact, whatever order "rarest" is: the prefix filter), so only
+  sets that do can be candidates. First neighbours by size among them are held against the sets themselves, which joins most of
+  a group; then every other candidate pair that this left in two components. No link is made that wasn't verified.
 
 Null and empty texts have fingerprint zero and link like others. Texts of fewer words than a shingle are one shingle.
 Repeated rows and ids stay rows of the result; a component without any id has a null component. An empty table gives
@@ -23,13 +23,13 @@ no rows. Other columns are not carried.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstrand.llm import common
@@ -38,7 +38,15 @@ from loomstrand.llm.components import components
 DISTANCE = 4
 SHINGLE = 4
 SEED = 42
-SIMILARITY, SIMILAR_SHINGLE, WORDS, SLACK = 0.8, 5, 8, 0.06
+SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
+#: Which shingles count as common is read off one text in `SAMPLED` (of all while there are few): those in one of `COMMON` texts or more.
+SAMPLED, COMMON, SAMPLE_ROWS = 16, 2000, 2500
+#: Bits of a set's parity sketch, and pairs that a task holds before it gives them back.
+SKETCH, HELD_PAIRS = 512, 1 << 20
+#: Ids of texts that are fetched again are broadcast up to so many, and joined beyond.
+FETCHED = 1_000_000
+#: Buckets in which shingles are counted before single ones are.
+BUCKETS = 1 << 14
 #: Children of an index node, fingerprints that search at once, and rows that one search task should hold.
 FAN, SEARCHERS, TASK_ROWS = 8, 4096, 250_000
 #: Fingerprints that agree on one choice of bands should be so many at most; more bands are taken beyond.
@@ -71,15 +79,14 @@ def majority(hashes: np.ndarray, words: int = 1) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words: int = 1, sets: bool = False) -> DataFrame:
-    """(doc_id long, code binary) for every row: the words of its fingerprint; `sets`: repeats of a shingle count once."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED, words: int = 1) -> DataFrame:
+    """(doc_id long, code binary) for every row: the words of its fingerprint."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             codes = []
             for text in batch.column("text").to_pylist():
-                hashes = shingle_hashes(text or "", shingle, seed)
-                codes.append(majority(np.unique(hashes) if sets else hashes, words).tobytes())
+                codes.append(majority(shingle_hashes(text or "", shingle, seed), words).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(codes, pa.binary())], ["doc_id", "code"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -97,16 +104,6 @@ def band_masks(count: int, distance: int = DISTANCE) -> list[tuple[int, int]]:
     return [(0, m - (1 << 64) if m >> 63 else m) for m in chosen]
 
 
-def fifth_masks(words: int) -> list[tuple[int, int]]:
-    """(word, mask as a signed number) of the fifths of each word."""
-    return [(k, mask) for k in range(words) for _, mask in band_masks(0)]
-
-
-def differing(similarity: float, words: int) -> int:
-    """How many bits differ at this Jaccard similarity of two sets of one size."""
-    return int(64 * words * math.acos(2 * similarity / (1 + similarity)) / math.pi)
-
-
 def gray_rank(codes: np.ndarray) -> np.ndarray:
     """Places of 64-bit codes in the reflected Gray order."""
     rank = codes.copy()
@@ -210,17 +207,33 @@ def _linked(batches: Iterator[pa.RecordBatch], masks: list[tuple[int, int]], dis
     yield pa.RecordBatch.from_arrays([pa.array(node[a]), pa.array(node[b])], ["a", "b"])
 
 
+def meeting(dealt: DataFrame, keys: list[str], rows: int, buckets: int = 0) -> DataFrame:
+    """`dealt`, about so many rows, with a column block and partitioned so that every two rows of equal `keys` meet in a task under one block.
+
+    `buckets`: where most keys are rare, only those are counted whose bucket of keys holds rows enough."""
+    tasks = max(int(dealt.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
+    block = min(TASK_ROWS, max(1024, rows // (2 * tasks)))
+    counted = dealt
+    if buckets:
+        bucket = F.pmod(F.xxhash64(*keys), F.lit(buckets)).alias("bucket")
+        full = dealt.groupBy(bucket).agg(F.count("*").alias("n")).where(F.col("n") > block).select("bucket")
+        counted = dealt.withColumn("bucket", bucket).join(F.broadcast(full), "bucket", "left_semi")
+    #: At most rows / block of them.
+    crowded = counted.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")).where("blocks > 1")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
+    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
+    pair = F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
+        F.filter(met, lambda p: F.floor(p / F.col("blocks")) != p % F.col("blocks"))
+    )
+    return dealt.join(F.broadcast(crowded), keys, "left").select(*dealt.columns, F.explode(pair).alias("block")).repartition(tasks, *keys, "block")
+
+
 def fingerprint_links(distinct: DataFrame, count: int, masks: list[tuple[int, int]], distance: int) -> DataFrame:
     """(a, b): links between nodes of `distinct` (node long, code binary), `count` rows, whose codes differ in `distance` bits at
     most and agree on one of the masks. They hold all such together that meet; no pair that they imply is named.
 
     What agrees on one mask beyond `block` rows is split into blocks, every two of which meet in a task.
     """
-    session = distinct.sparkSession
-    rows = count * len(masks)
-    tasks = max(int(session.conf.get("spark.sql.shuffle.partitions")), -(-rows // TASK_ROWS))
-    block = min(TASK_ROWS, max(1024, rows // (2 * tasks)))
-
     def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word, mask = np.array([k for k, _ in masks]), np.array([m for _, m in masks], dtype=np.int64).view(np.uint64)
         for batch in batches:
@@ -233,57 +246,178 @@ def fingerprint_links(distinct: DataFrame, count: int, masks: list[tuple[int, in
 
     keyed = "node long, code binary, choice int, shared long"
     dealt = distinct.select("node", "code").mapInArrow(dealt_out, keyed)
-    #: At most rows / block of them.
-    crowded = dealt.groupBy("choice", "shared").agg(F.ceil(F.count("*") / block).cast("long").alias("blocks")).where("blocks > 1")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    met = F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda j: F.least(own, j) * F.col("blocks") + F.greatest(own, j))
-    pair = F.when(F.col("blocks").isNull(), F.array(F.lit(-1).cast("long"))).otherwise(
-        F.filter(met, lambda p: F.floor(p / F.col("blocks")) != p % F.col("blocks"))
-    )
-    return (
-        dealt.join(F.broadcast(crowded), ["choice", "shared"], "left")
-        .select("node", "code", "choice", "shared", F.explode(pair).alias("block"))
-        .repartition(tasks, "choice", "shared", "block")
-        .mapInArrow(lambda batches: _linked(batches, masks, distance), "a long, b long")
-    )
+    return meeting(dealt, ["choice", "shared"], count * len(masks)).mapInArrow(lambda batches: _linked(batches, masks, distance), "a long, b long")
+
+
+def shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
+    """The node (a signed hash) of a text's set of shingles, and the sorted set."""
+    from xxhash import xxh64_digest
+
+    items = np.unique(shingle_hashes(text or "", shingle))
+    return int.from_bytes(xxh64_digest(items.tobytes(), SEED), "big", signed=True), items
+
+
+def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted shingles that many texts hold, and how many of the sampled ones do. They only decide which shingles are rarest."""
+    total = docs.count()
+    every = max(1, min(SAMPLED, total // SAMPLE_ROWS))
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            sets = [shingle_set(t, shingle)[1] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["item"])
+
+    sampled = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
+    counts = sampled.mapInArrow(listed, "item long").groupBy("item").agg(F.count("*").alias("n"))
+    found = counts.where(F.col("n") >= max(8, total // every // COMMON)).toPandas()
+    items = found["item"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(items)
+    return items[order], found["n"].to_numpy(dtype=np.int64)[order]
+
+
+def rarest(items: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The first shingles in order of rarity, so many that two sets of this similarity or more share one of theirs."""
+    most = len(items) - math.ceil(similarity * len(items) - 1e-9) + 1 if len(items) else 0
+    if not len(known[0]):
+        return items[:most]
+    place = np.minimum(np.searchsorted(known[0], items), len(known[0]) - 1)
+    return items[np.argsort(np.where(known[0][place] == items, known[1][place], 0), kind="stable")[:most]]
+
+
+def sketch(items: np.ndarray) -> bytes:
+    """Parities of how many items fall on each bit: two sets differ in at least as many items as their sketches in bits."""
+    fallen = np.bincount((items >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
+    return np.packbits((fallen & 1).astype(np.uint8)).tobytes()
+
+
+def shared_rarest(classes: DataFrame) -> DataFrame:
+    """(node, size, place, token, block): the rarest shingles of every class that another one has too; equal (token, block) share a partition."""
+
+    def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                heads = [np.frombuffer(h, dtype=np.int64) for h in batch.column("head").to_pylist()]
+                many = np.array([len(h) for h in heads])
+                again = pa.array(np.repeat(np.arange(len(heads)), many))
+                place = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([batch.column("node").take(again), batch.column("size").take(again), pa.array(place.astype(np.int32)), pa.array(np.concatenate(heads))], ["node", "size", "place", "token"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            token, block = rows.column("token").to_numpy(), rows.column("block").to_numpy()
+            order = np.lexsort((block, token))
+            same = (token[order][1:] == token[order][:-1]) & (block[order][1:] == block[order][:-1])
+            yield from rows.take(pa.array(order[np.r_[False, same] | np.r_[same, False]])).combine_chunks().to_batches(100_000)
+
+    count = classes.agg(F.sum(F.octet_length("head") / 8)).first()[0] or 0
+    dealt = classes.select("node", "size", "head").mapInArrow(dealt_out, "node long, size int, place int, token long")
+    return common.materialise(meeting(dealt, ["token"], int(count), BUCKETS).mapInArrow(shared, "node long, size int, place int, token long, block long"))
+
+
+def candidates(rows: DataFrame, similarity: float, near: bool) -> DataFrame:
+    """(a, b): pairs of rows of one partition, token and block that may be this similar. `near`: only of neighbours by size;
+    else all that differ in root, by sketches as well."""
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        node, size, place, token, block = (table.column(c).to_numpy() for c in ("node", "size", "place", "token", "block"))
+        order = np.lexsort((node, size, block, token))
+        node, size, place, token, block = node[order], size[order].astype(np.int64), place[order], token[order], block[order]
+        firsts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
+        end = np.repeat(np.r_[firsts[1:], len(node)], np.diff(np.r_[firsts, len(node)]))
+        at = np.arange(len(node))
+        if not near:
+            root = table.column("root").to_numpy()[order]
+            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(node), -1)[order]
+            least, most = np.minimum.reduceat(root, firsts), np.maximum.reduceat(root, firsts)
+            at = at[np.repeat(least != most, np.diff(np.r_[firsts, len(node)]))]
+        found: list[np.ndarray] = []
+        pairs = step = 0
+
+        def given() -> pa.RecordBatch:
+            both = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+
+        while len(at) and not (near and step):
+            step += 1
+            at = at[at + step < end[at]]
+            at = at[size[at] >= similarity * size[at + step] - 1e-9]
+            x, y = at, at + step
+            kept = node[x] != node[y]
+            both = size[x] + size[y]
+            kept &= np.minimum(size[x] - place[x], size[y] - place[y]) >= similarity / (1 + similarity) * both - 1e-9
+            if not near:
+                kept &= root[x] != root[y]
+                x, y, both = x[kept], y[kept], both[kept]
+                kept = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * both + 1e-9
+            x, y = node[x[kept]], node[y[kept]]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            pairs += len(x)
+            if pairs > HELD_PAIRS:
+                yield given()
+                found, pairs = [], 0
+        if pairs:
+            yield given()
+
+    return rows.mapInArrow(paired, "a long, b long").distinct()
+
+
+def sketched(links: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) that the sketches don't rule out."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if n := batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(n, -1) for c in ("x", "y"))
+                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+                yield batch.filter(pa.array(apart <= (1 - similarity) / (1 + similarity) * batch.column("both").to_numpy() + 1e-9)).select(["a", "b"])
+
+    first, second = (classes.select(F.col("node").alias(n), F.col("sketch").alias(s), F.col("size").alias(f"size_{n}")) for n, s in (("a", "x"), ("b", "y")))
+    both = links.join(first, "a").join(second, "b").select("a", "b", "x", "y", (F.col("size_a") + F.col("size_b")).cast("long").alias("both"))
+    return both.mapInArrow(compared, "a long, b long")
 
 
 def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The links (a, b) whose texts' sets of shingles are this similar; classes without an id can't be looked up and pass."""
-    named = classes.where("least_id is not null").select("node", F.col("least_id").alias("doc_id"))
-    linked = links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named.join(linked, "node"), "doc_id")
+    """The links (a, b) whose texts' sets of shingles are this similar."""
+    linked = common.materialise(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+    few = F.broadcast if linked.count() <= FETCHED else lambda df: df
+    needed = common.materialise(classes.join(few(linked), "node").select(F.col("least_id").alias("doc_id")).distinct())
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    texts = rows.join(few(needed), "doc_id").select("text")
+    #: Classes without an id are looked for in all rows without one.
+    if needed.where("doc_id is null").head(1):
+        texts = texts.unionByName(rows.where("doc_id is null").select("text"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            found = [np.unique(shingle_hashes(t or "", shingle)).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "items"])
+            #: Rows that repeat an id may differ in text, so the node is made from the text again.
+            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([i.tobytes() for _, i in found], pa.binary())], ["node", "items"])
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 good = []
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
-                    both = None if x is None or y is None else len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
-                    good.append(both is None or both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
+                    both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
+                    good.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
                 yield batch.filter(pa.array(good)).select(["a", "b"])
 
-    items = texts.select("node", "text").mapInArrow(sets, "node long, items binary").dropDuplicates(["node"])
+    items = texts.mapInArrow(sets, "node long, items binary").join(few(linked), "node", "left_semi").dropDuplicates(["node"])
     first, second = items.select(F.col("node").alias("a"), F.col("items").alias("x")), items.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return links.join(first, "a", "left").join(second, "b", "left").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long")
+    return common.materialise(links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"))
 
 
-def _grouped(prints: DataFrame, node: Column, masks: list[tuple[int, int]] | None, distance: int, check: Callable[[DataFrame, DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(doc_id, code, component_id) for rows of (doc_id, code); `check` may drop links of the classes."""
-    prints = common.materialise(prints.withColumn("node", node))
-    classes = common.materialise(prints.groupBy("node", "code").agg(F.min("doc_id").alias("least_id")))
-    count = classes.count()
-    links = common.materialise(fingerprint_links(classes, count, band_masks(count, distance) if masks is None else masks, distance).distinct())
-    roots = components(links if check is None else common.materialise(check(links, classes))).withColumnRenamed("node", "linked")
-    rooted = classes.join(roots, classes.node == roots.linked, "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+def _named(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
+    """`prints` with the component_id of each node."""
+    rooted = classes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = rooted.join(ids, "root").select("node", "component_id")
-    return prints.join(named, "node").select("doc_id", "code", "component_id")
+    return prints.join(rooted.join(ids, "root").select("node", "component_id"), "node")
 
 
 def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -291,15 +425,36 @@ def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHI
     written = F.lower(F.array_join(F.transform(F.sequence(F.lit(15), F.lit(1), F.lit(-2)), lambda i: F.substring(F.hex("code"), i, F.lit(2))), ""))
     #: The 64 bits themselves, so that no two fingerprints share a node.
     node = F.conv(written, 16, -10).cast("long")
-    grouped = _grouped(fingerprints(docs, shingle, seed), node, None, distance)
-    return grouped.select("doc_id", written.alias("fingerprint"), "component_id")
+    prints = common.materialise(fingerprints(docs, shingle, seed).withColumn("node", node))
+    classes = common.materialise(prints.groupBy("node", "code").agg(F.min("doc_id").alias("least_id")))
+    count = classes.count()
+    links = common.materialise(fingerprint_links(classes, count, band_masks(count, distance), distance).distinct())
+    return _named(prints, classes, components(links)).select("doc_id", written.alias("fingerprint"), "component_id")
+
+
+def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """(doc_id, component_id) for every row of `docs` (doc_id, text): links at this similarity or more, all of them."""
+    known = docs.sparkSession.sparkContext.broadcast(common_shingles(docs, shingle))
 
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.slices(batches, "text"):
+            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
+            columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([len(i) for _, i in found], pa.int32())]
+            columns += [pa.array([of(i) for _, i in found], pa.binary()) for of in (lambda i: rarest(i, known.value, similarity).tobytes(), sketch)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "size", "head", "sketch"])
 
-def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, words: int = WORDS) -> DataFrame:
-    """(doc_id, component_id) for every row of `docs` (doc_id, text): links at this similarity or more."""
-    prints = fingerprints(docs, shingle, SEED, words, sets=True)
-    check = lambda links, classes: verified(links, classes, docs, similarity, shingle)
-    return _grouped(prints, F.xxhash64("code"), fifth_masks(words), differing(similarity - SLACK, words), check).select("doc_id", "component_id")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    prints = common.materialise(texts.mapInArrow(made, "doc_id long, node long, size int, head binary, sketch binary"))
+    classes = common.materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "head", "sketch")]))
+    shared = shared_rarest(classes)
+    links = verified(common.materialise(sketched(candidates(shared, similarity, near=True), classes, similarity)), classes, docs, similarity, shingle)
+    roots = components(links)
+    rooted = classes.select("node", "sketch").join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
+    apart = shared.join(rooted, "node").repartition(shared.rdd.getNumPartitions(), "token", "block")
+    further = common.materialise(candidates(apart, similarity, near=False))
+    if further.head(1):
+        roots = components(links.unionByName(verified(further, classes, docs, similarity, shingle)))
+    return _named(prints.select("doc_id", "node"), classes, roots).select("doc_id", "component_id")
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

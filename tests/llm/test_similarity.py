@@ -158,3 +158,44 @@ def test_neighbours_of_nothing(spark):
 
 def test_quantile():
     assert abs(neighbours.chi_square_quantile(0.95, 8) - 15.507) < 1e-3
+
+
+def edited_families():
+    """Chains and dense groups of edited copies at similarities around 0.8, one common passage, and rows that repeat or lack an id."""
+    draw = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(5000)]
+    passage = draw.choice(words, 30).tolist()
+    rows = []
+
+    def put(parts):
+        rows.append((len(rows), " ".join(parts)))
+
+    for family in range(40):
+        base = draw.choice(words, int(draw.integers(40, 160))).tolist()
+        held = [base]
+        for _ in range(12):
+            parts = list(held[-1] if family % 2 else base)
+            for _ in range(max(1, round(len(parts) * float(draw.uniform(0.01, 0.035))))):
+                parts[int(draw.integers(len(parts)))] = f"n{int(draw.integers(10**9))}"
+            held.append(parts)
+        for parts in held:
+            put(parts)
+    for _ in range(60):
+        put(passage + draw.choice(words, int(draw.integers(10, 40))).tolist())
+    rows.append((0, rows[100][1]))
+    rows += [(None, rows[i][1] + " and so on") for i in range(0, 200, 9)]
+    return [rows[int(i)] for i in draw.permutation(len(rows))]
+
+
+def test_similar_groups_are_those_of_brute_force(spark):
+    rows = edited_families()
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    pairs = [(i, j) for i in range(len(rows)) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    label = list(range(len(rows)))
+    for i, j in pairs:
+        a, b = label[i], label[j]
+        label = [min(a, b) if x in (a, b) else x for x in label] if a != b else label
+    least = {g: min((r[0] for r, x in zip(rows, label, strict=True) if x == g and r[0] is not None), default=None) for g in set(label)}
+    expected = sorted((str(r[0]), str(least[g])) for r, g in zip(rows, label, strict=True))
+    found = simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((str(r.doc_id), str(r.component_id)) for r in found) == expected
