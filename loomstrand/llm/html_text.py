@@ -11,7 +11,7 @@ article stands in an article or main element: as they are, and rebuilt around th
 notices, adverts, forms, comments and footers of many spellings, so that no one tag or name decides.
 
 Null and empty pages give empty text. Pages without any markup are text. Scripts, styles, comments and form controls never
-are. Without a page to train on, plain tags and attribute names decide. Repeated rows are treated alike.
+are: the first end at their end tag, whatever is in them, and controls, drawings and the like with the element around them at last. Without a page to train on, plain tags and attribute names decide. Repeated rows are treated alike.
 """
 
 from __future__ import annotations
@@ -33,7 +33,9 @@ TREES, DEPTH, RATE, BINS = 60, 4, 0.2, 32
 
 # Element names of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select button object canvas xmp noembed math audio video".split())
+RAW = frozenset("script style textarea title iframe xmp noembed".split())
+UNSHOWN = frozenset("noscript template svg select button object canvas math audio video".split())
+LEFT_BY_BLOCKS = frozenset("svg math select".split())
 INLINE = frozenset("a abbr b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul".split()
@@ -64,8 +66,11 @@ GROUP = {t: 1 << i for i, names in enumerate(TOKENS) for t in names.split()}
 AWAY = {"nav": 1, "header": 2, "footer": 4, "aside": 8, "form": 16, "article": 32, "main": 32}
 DROPPED_BITS = sum(1 << i for i in range(9))
 INNER = len(KINDS)
+#: In place of an element: what hangs below is never shown.
+UNSEEN = -2
 
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _MARK = re.compile(r"\by=([01])")
 _POINTS = re.compile(r"[.,;:!?]")
@@ -101,6 +106,8 @@ class Page:
         return len(self.parent) - 1
 
     def _text(self, node: int, text: str, linked: bool) -> None:
+        if node == UNSEEN:
+            return
         if "&" in text:
             text = html.unescape(text)
         self.pieces.append((node, text))
@@ -114,15 +121,8 @@ class Page:
         stack: list[tuple[str, int]] = [("", 0)]
         linked = 0
         at = 0
-        skip = ""
         add = self.pieces.append
-        for m in _TAG.finditer(source):
-            if m.start() < at:
-                continue
-            if skip:
-                if m[2] and m[1] and m[2].lower() == skip:
-                    skip, at = "", m.end()
-                continue
+        while m := _TAG.search(source, at):
             if m.start() > at:
                 self._text(stack[-1][1], source[at : m.start()], linked > 0)
             at = m.end()
@@ -131,7 +131,7 @@ class Page:
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
-                if tag == "a":
+                if tag == "a" and stack[-1][1] != UNSEEN:
                     linked = max(0, linked - 1)
                 if tag in VOID:
                     continue
@@ -146,14 +146,23 @@ class Page:
                 continue
             attributes = m[3] or m[6] or ""
             if tag in RAW:
+                #: Nothing in it is markup: its end is looked for in the source itself.
+                if not attributes.endswith("/"):
+                    end = _RAW_END[tag].search(source, at)
+                    at = end.end() if end else len(source)
+                add((-1, " "))
+                continue
+            if stack[-1][1] == UNSEEN and tag in CLOSES_P and tag not in VOID:
+                self._break_out(stack)
+            if (tag in UNSHOWN or stack[-1][1] == UNSEEN) and tag not in VOID:
                 if not attributes.endswith("/"):
-                    skip = tag
+                    stack.append((tag, UNSEEN))
                 add((-1, " "))
                 continue
             if tag in VOID:
                 if tag != "wbr":
                     add((-1, " "))
-                if tag == "hr":
+                if tag == "hr" and stack[-1][1] != UNSEEN:
                     self._close(stack, "p")
                 continue
             if tag in INLINE:
@@ -172,9 +181,19 @@ class Page:
             for closed in CLOSES.get(tag, "").split():
                 self._close(stack, closed)
             stack.append((tag, self._add(stack[-1][1], tag, attributes)))
-        if not skip and at < len(source):
+        if at < len(source):
             self._text(stack[-1][1], source[at:], linked > 0)
 
+    @staticmethod
+    def _break_out(stack: list[tuple[str, int]]) -> None:
+        """Blocks end a drawing, formula or list of choices that was never closed."""
+        for i in range(len(stack) - 1, 0, -1):
+            if stack[i][1] != UNSEEN or stack[i][0] == "foreignobject":
+                return
+            if stack[i][0] in LEFT_BY_BLOCKS:
+                del stack[i:]
+                return
+
     @staticmethod
     def _close(stack: list[tuple[str, int]], tag: str) -> None:
         for i in range(len(stack) - 1, 0, -1):

@@ -142,3 +142,21 @@ def test_decoding_is_the_best_consistent_choice():
 def test_parsing(source, text):
     page = html_text.Page(source)
     assert page.text([True] * len(page.parent)) == text
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<script>for(i=0;i<n;i++){f(i);}</script><article>whole</article>", "whole"),
+        ("<script>x='<!--';</SCRIPT ><p>a</p><style>a<b{}</style><p>b</p>", "a b"),
+        ("<textarea>if a <b and 'c</textarea><title>it's <x</title><p>d</p>", "d"),
+        ("<div><button>press</div><article>a<div><select><option>one</div>b</article>", "a b"),
+        ("<div><noscript><p>n</p></div><p>a</p><object><p>o</p></object><video>v</video>b", "a b"),
+        ("<div><svg><text>s</text><path d=x></div><p>a</p>", "a"),
+        ("<body><svg><g><text>s</text><div>a</div><select><option>o<p>b", "a b"),
+        ("<a href=x>l<button><a>m</a></button>n</a><p>o</p>", "l n o"),
+    ],
+)
+def test_unclosed_and_raw_elements_lose_no_more_than_themselves(source, text):
+    page = html_text.Page(source)
+    assert page.text([True] * len(page.parent)) == text
