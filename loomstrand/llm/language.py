@@ -1,8 +1,9 @@
 """Language identification by multinomial naive Bayes over hashed character n-grams.
 
-Counts of every (language, hash) are summed by Spark over a sample of at most `TRAIN_ROWS` labelled rows in all (chosen
+Counts of every (language, hash) are summed by Spark over a sample of about `TRAIN_ROWS` labelled rows in all (chosen
 by a hash of the id; all of them if there are fewer), turned into a matrix of log-probabilities, and broadcast: its size
-is languages x `BUCKETS`. Whole texts are then scored in numpy, where they are read.
+is languages x `BUCKETS`. Languages share the sample equally: all rows of a rare one are in it, and what those leave over is
+shared among the others. Whole texts are then scored in numpy, where they are read.
 
 Null texts and texts without a letter are `und` with score 0. Without any labelled row everything is `und`. Rows whose
 language is null are scored but never learned from. Repeated rows are scored alike; other columns are not carried.
@@ -24,6 +25,8 @@ BUCKETS = 1 << 14
 SIZES = (1, 2, 3)
 SMOOTHING = 0.5
 TRAIN_ROWS, TRAIN_TASKS = 20_000, 32
+#: Rows drawn of a language, if it has them, however many languages there are.
+LEAST_ROWS = 50
 UNDETERMINED = "und"
 
 
@@ -60,6 +63,15 @@ def grams(text: str, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) ->
     return np.concatenate(found).astype(np.int64)
 
 
+def shares(counts: dict[str, int], limit: int) -> dict[str, float]:
+    """The share of each language's rows that is drawn, for about `limit` rows in all and `LEAST_ROWS` or all of each language."""
+    out, left = {}, limit
+    for i, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        taken = min(counts[lang], max(LEAST_ROWS, left // (len(counts) - i)))
+        out[lang], left = taken / counts[lang], left - taken
+    return out
+
+
 def learn(labelled: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.ndarray]:
     """Languages in order of name, and log-probabilities (BUCKETS, languages) with the prior in a last row.
 
@@ -71,7 +83,8 @@ def learn(labelled: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.n
     if not langs:
         return [], np.zeros((BUCKETS + 1, 0))
     if total > limit:
-        labelled = labelled.where(F.pmod(F.xxhash64("key"), F.lit(1 << 20)) < int(limit / total * (1 << 20)))
+        drawn = labelled.sparkSession.createDataFrame([(x, int(share * (1 << 30))) for x, share in shares(priors, limit).items()], "lang string, below long")
+        labelled = labelled.join(F.broadcast(drawn), "lang").where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.col("below"))
     place = {lang: i for i, lang in enumerate(langs)}
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -160,3 +160,20 @@ def test_parsing(source, text):
 def test_unclosed_and_raw_elements_lose_no_more_than_themselves(source, text):
     page = html_text.Page(source)
     assert page.text([True] * len(page.parent)) == text
+
+
+def test_a_rare_language_is_learned_beyond_the_limit(spark):
+    draw = np.random.default_rng(3)
+    say = lambda letters: " ".join("".join(draw.choice(list(letters), 5)) for _ in range(12))
+    rows = [(i, say("abcdef" if i % 2 else "ghijkl"), "aa" if i % 2 else "gg") for i in range(4000)] + [(9000 + i, say("uvwxyz"), "uu") for i in range(4)]
+    rows += [(9100 + i, say("mnopqr"), None) for i in range(5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = language.learn(docs.select(F.col("doc_id").alias("key"), "text", "lang"), 400)
+    assert langs == ["aa", "gg", "uu"] and (np.ptp(matrix[:-1], axis=0) > 1).all()
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs, limit=400).collect()}
+    assert all(found[i] == lang for i, _, lang in rows if lang)
+
+
+def test_languages_share_the_sample_equally():
+    share = language.shares({"a": 4, "b": 10_000, "c": 90_000}, 1004)
+    assert share == {"a": 1.0, "b": 500 / 10_000, "c": 500 / 90_000}
