@@ -7,6 +7,23 @@ from pyspark.sql import functions as F
 
 from loomstrand.llm.common import materialise
 
+#: A key with more than one row in so many is joined by broadcast; so there are fewer such keys than that.
+CROWDED = 1000
+
+
+def spread_join(rows: DataFrame, values: DataFrame, key: str, crowded: DataFrame | None = None) -> DataFrame:
+    """`rows` joined with `values`, of one row for each key; keys that hold many of the rows don't meet in one task.
+
+    `crowded`: those keys, where they are known."""
+    if crowded is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
+        crowded = counts.where(F.col("_n") > 1 + rows.count() // CROWDED).select(key)
+    crowded = materialise(crowded)
+    if not crowded.head(1):
+        return rows.join(values, key)
+    few = F.broadcast(values.join(F.broadcast(crowded), key, "left_semi"))
+    return rows.join(F.broadcast(crowded), key, "left_anti").join(values, key).unionByName(rows.join(few, key))
+
 
 def _stars(links: DataFrame, both: bool) -> DataFrame:
     """One star step: nodes hand their (larger, or smaller) neighbours to the least node they know."""

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomstrand.llm import common
-from loomstrand.llm.components import components
+from loomstrand.llm.components import components, spread_join
 
 DISTANCE = 4
 SHINGLE = 4
@@ -43,6 +43,8 @@ SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 SAMPLED, COMMON, SAMPLE_ROWS = 16, 2000, 2500
 #: Bits of a set's parity sketch, and pairs that a task holds before it gives them back.
 SKETCH, HELD_PAIRS = 512, 1 << 20
+#: Rounds in which every component tries one link.
+PICKS = 3
 #: Ids of texts that are fetched again are broadcast up to so many, and joined beyond.
 FETCHED = 1_000_000
 #: Buckets in which shingles are counted before single ones are.
@@ -284,10 +286,20 @@ def rarest(items: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity:
     return items[np.argsort(np.where(known[0][place] == items, known[1][place], 0), kind="stable")[:most]]
 
 
-def sketch(items: np.ndarray) -> bytes:
+def sketch(items: np.ndarray, width: int = SKETCH) -> bytes:
     """Parities of how many items fall on each bit: two sets differ in at least as many items as their sketches in bits."""
-    fallen = np.bincount((items >> np.uint64(20)).astype(np.int64) % SKETCH, minlength=SKETCH)
-    return np.packbits((fallen & 1).astype(np.uint8)).tobytes()
+    fallen = np.bincount((items >> np.uint64(20)).astype(np.int64) % width, minlength=width)
+    return np.packbits((fallen & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def wide_sketch(items: np.ndarray) -> bytes:
+    """A sketch of four to eight bits an item, which rules out nearly all sets that differ in too many."""
+    return sketch(items, max(SKETCH, 1 << (4 * len(items) - 1).bit_length() if len(items) else 0))
+
+
+def folded(bits: np.ndarray, size: int) -> np.ndarray:
+    """A wide sketch as one of `size` bytes."""
+    return np.bitwise_xor.reduce(bits.reshape(-1, size), axis=0)
 
 
 def shared_rarest(classes: DataFrame) -> DataFrame:
@@ -367,23 +379,8 @@ def candidates(rows: DataFrame, similarity: float, near: bool) -> DataFrame:
     return rows.mapInArrow(paired, "a long, b long").distinct()
 
 
-def sketched(links: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) that the sketches don't rule out."""
-
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if n := batch.num_rows:
-                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint64).reshape(n, -1) for c in ("x", "y"))
-                apart = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
-                yield batch.filter(pa.array(apart <= (1 - similarity) / (1 + similarity) * batch.column("both").to_numpy() + 1e-9)).select(["a", "b"])
-
-    first, second = (classes.select(F.col("node").alias(n), F.col("sketch").alias(s), F.col("size").alias(f"size_{n}")) for n, s in (("a", "x"), ("b", "y")))
-    both = links.join(first, "a").join(second, "b").select("a", "b", "x", "y", (F.col("size_a") + F.col("size_b")).cast("long").alias("both"))
-    return both.mapInArrow(compared, "a long, b long")
-
-
-def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, similarity: float, shingle: int) -> DataFrame:
-    """The links (a, b) whose texts' sets of shingles are this similar."""
+def listed(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, wide: bool) -> DataFrame:
+    """(node, items) of the nodes of `links` (a, b): their sets, or the wide sketches of these, made from the texts again."""
     linked = common.materialise(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
     few = F.broadcast if linked.count() <= FETCHED else lambda df: df
     needed = common.materialise(classes.join(few(linked), "node").select(F.col("least_id").alias("doc_id")).distinct())
@@ -396,8 +393,42 @@ def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             #: Rows that repeat an id may differ in text, so the node is made from the text again.
-            found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in found], pa.int64()), pa.array([i.tobytes() for _, i in found], pa.binary())], ["node", "items"])
+            found = dict(shingle_set(t, shingle) for t in batch.column("text").to_pylist())
+            items = [wide_sketch(i) if wide else i.tobytes() for i in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+
+    return common.materialise(texts.mapInArrow(sets, "node long, items binary").join(few(linked), "node", "left_semi").dropDuplicates(["node"]))
+
+
+def _beside(links: DataFrame, items: DataFrame) -> DataFrame:
+    """`links` with what `items` holds of a, as x, and of b, as y."""
+    first, second = (items.select(F.col("node").alias(n), F.col("items").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+    return links.join(first, "a").join(second, "b")
+
+
+def sketched(links: DataFrame, items: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) that the wide sketches don't rule out, with how many of their bits differ."""
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                apart = []
+                for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
+                    size = min(len(x), len(y))
+                    x, y = (folded(np.frombuffer(v, np.uint8), size).view(np.uint64) for v in (x, y))
+                    apart.append(int(np.bitwise_count(x ^ y).sum()))
+                both = batch.column("both").to_numpy()
+                good = pa.array(np.array(apart) <= (1 - similarity) / (1 + similarity) * both + 1e-9)
+                made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64())], ["a", "b", "apart"])
+                yield made.filter(good)
+
+    first, second = (classes.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}")) for n in ("a", "b"))
+    both = links.join(first, "a").join(second, "b").select("a", "b", (F.col("size_a") + F.col("size_b")).cast("long").alias("both"))
+    return common.materialise(_beside(both, items).mapInArrow(compared, "a long, b long, apart long"))
+
+
+def verified(links: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
+    """The links (a, b) whose sets are this similar."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -406,18 +437,53 @@ def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, similarity:
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                     both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                     good.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
-                yield batch.filter(pa.array(good)).select(["a", "b"])
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    items = texts.mapInArrow(sets, "node long, items binary").join(few(linked), "node", "left_semi").dropDuplicates(["node"])
-    first, second = items.select(F.col("node").alias("a"), F.col("items").alias("x")), items.select(F.col("node").alias("b"), F.col("items").alias("y"))
-    return common.materialise(links.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInArrow(compared, "a long, b long"))
+    return common.materialise(_beside(links.select("a", "b"), items).mapInArrow(compared, "a long, b long"))
+
+
+def _rooted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """`links` with the roots of both ends, without those that a component holds already."""
+    if roots is None:
+        return links.withColumns({"root_a": F.col("a"), "root_b": F.col("b")})
+    first, second = (roots.select(F.col("node").alias(n), F.col("root").alias(f"_{n}")) for n in ("a", "b"))
+    rows = links.join(first, "a", "left").join(second, "b", "left")
+    return rows.select(*links.columns, F.coalesce("_a", "a").alias("root_a"), F.coalesce("_b", "b").alias("root_b")).where("root_a <> root_b")
+
+
+def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: DataFrame | None) -> DataFrame:
+    """(node, root) after the components of `roots` are joined by those of `links` (a, b, apart) that are verified.
+
+    In each of `PICKS` rounds every component tries its link of fewest differing bits only; what then still leads from one
+    component to another is tried at once. So few sets move, and yet no link is lost.
+    """
+    for turn in range(PICKS + 1):
+        links = common.materialise(_rooted(links, roots).select("a", "b", "apart", "root_a", "root_b"))
+        if not links.head(1):
+            break
+        tried = links
+        if turn < PICKS:
+            ends = links.select("a", "b", F.struct("apart", "a", "b").alias("rank"), F.explode(F.array("root_a", "root_b")).alias("root"))
+            tried = ends.groupBy("root").agg(F.min("rank").alias("best")).select("best.*").distinct()
+            tried = common.materialise(tried.join(links.select("a", "b", "root_a", "root_b"), ["a", "b"]))
+        good = verified(tried, items, similarity)
+        links = links.drop("root_a", "root_b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        if good.head(1):
+            found = components(tried.join(good, ["a", "b"]), "root_a", "root_b")
+            if roots is None:
+                roots = found
+            else:
+                moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_now")), "root", "left")
+                fresh = found.join(roots.select("node"), "node", "left_anti")
+                roots = common.materialise(moved.select("node", F.coalesce("_now", "root").alias("root")).unionByName(fresh))
+    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
 
 
 def _named(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
-    """`prints` with the component_id of each node."""
-    rooted = classes.join(roots.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
+    """`prints` with the component_id of each node. Crowded components and classes don't meet in one task."""
+    rooted = common.materialise(classes.select("node", "least_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return prints.join(rooted.join(ids, "root").select("node", "component_id"), "node")
+    return spread_join(prints, spread_join(rooted, ids, "root").select("node", "component_id"), "node")
 
 
 def simhash_groups(docs: DataFrame, distance: int = DISTANCE, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -447,13 +513,16 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     prints = common.materialise(texts.mapInArrow(made, "doc_id long, node long, size int, head binary, sketch binary"))
     classes = common.materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "head", "sketch")]))
     shared = shared_rarest(classes)
-    links = verified(common.materialise(sketched(candidates(shared, similarity, near=True), classes, similarity)), classes, docs, similarity, shingle)
-    roots = components(links)
+
+    def merged(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+        links = common.materialise(links)
+        links = sketched(links, listed(links, classes, docs, shingle, wide=True), classes, similarity)
+        return joined_roots(links, listed(links, classes, docs, shingle, wide=False), similarity, roots)
+
+    roots = merged(candidates(shared, similarity, near=True), None)
     rooted = classes.select("node", "sketch").join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
     apart = shared.join(rooted, "node").repartition(shared.rdd.getNumPartitions(), "token", "block")
-    further = common.materialise(candidates(apart, similarity, near=False))
-    if further.head(1):
-        roots = components(links.unionByName(verified(further, classes, docs, similarity, shingle)))
+    roots = merged(candidates(apart, similarity, near=False), roots)
     return _named(prints.select("doc_id", "node"), classes, roots).select("doc_id", "component_id")
 
 
