@@ -44,7 +44,7 @@ SAMPLED, COMMON, SAMPLE_ROWS = 16, 2000, 2500
 #: Bits of a set's parity sketch, and pairs that a task holds before it gives them back.
 SKETCH, HELD_PAIRS = 512, 1 << 20
 #: Rounds in which every component tries one link.
-PICKS = 3
+PICKS = 1
 #: Ids of texts that are fetched again are broadcast up to so many, and joined beyond.
 FETCHED = 1_000_000
 #: Buckets in which shingles are counted before single ones are.
