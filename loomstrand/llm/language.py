@@ -3,10 +3,11 @@
 Counts of every (language, hash) are summed by Spark over a sample of about `TRAIN_ROWS` labelled rows in all (chosen
 by a hash of the id; all of them if there are fewer), turned into a matrix of log-probabilities, and broadcast: its size
 is languages x `BUCKETS`. Languages share the sample equally: all rows of a rare one are in it, and what those leave over is
-shared among the others. Whole texts are then scored in numpy, where they are read.
+shared among the others. Whole texts are then scored in numpy, where they are read: as sparse rows of counts, a bounded number of
+entries times the matrix at once, so that a very long text takes no more memory than others.
 
 Null texts and texts without a letter are `und` with score 0. Without any labelled row everything is `und`. Rows whose
-language is null are scored but never learned from. Repeated rows are scored alike; other columns are not carried.
+language is null are scored but never learned from. More than `MOST_LANGS` languages are refused. Repeated rows are scored alike; other columns are not carried.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ SMOOTHING = 0.5
 TRAIN_ROWS, TRAIN_TASKS = 20_000, 32
 #: Rows drawn of a language, if it has them, however many languages there are.
 LEAST_ROWS = 50
+#: Characters that are held as numbers at once, and numbers in one product of counts and matrix.
+PART, ENTRIES = 1 << 18, 1 << 21
+#: More values of lang than this are no languages; the matrix would grow with them.
+MOST_LANGS = 2000
 UNDETERMINED = "und"
 
 
@@ -40,27 +45,74 @@ def _lowered() -> np.ndarray:
     return out
 
 
-def grams(text: str, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) -> np.ndarray:
-    """Hashes of all character n-grams of the text's words; empty if it has no letter."""
+def letters(text: str) -> np.ndarray:
+    """Codes of a text's letters in lower case; a space for all that is none."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     wide = codes > 0xFFFF
-    if wide.any():
-        strange = np.array([c if chr(c).isalpha() else 32 for c in codes[wide].tolist()], dtype=np.uint32)
-        codes = _lowered()[np.where(wide, 32, codes)]
-        codes[wide] = strange
-    else:
-        codes = _lowered()[codes]
-    if not (codes != 32).any():
-        return np.empty(0, dtype=np.int64)
-    codes = np.concatenate(([32], codes, [32])).astype(np.uint32)
-    codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]]
+    if not wide.any():
+        return _lowered()[codes]
+    strange = np.array([c if chr(c).isalpha() else 32 for c in codes[wide].tolist()], dtype=np.uint32)
+    codes = _lowered()[np.where(wide, 32, codes)]
+    codes[wide] = strange
+    return codes
+
+
+def gram_counts(text: str, sizes: tuple[int, ...] = SIZES, buckets: int = BUCKETS) -> np.ndarray:
+    """How many character n-grams of the text's words fall into each bucket; all zero if it has no letter.
+
+    A long text is taken `PART` characters at a time, so that no more than those are held as numbers.
+    """
+    counts = np.zeros(buckets, dtype=np.int64)
     shift = np.uint32(32 - (buckets.bit_length() - 1))
-    found, rolled = [], np.zeros(len(codes), dtype=np.uint32)
-    for n in range(1, max(sizes) + 1):
-        rolled = (rolled[: len(codes) - n + 1] * np.uint32(0x01000193)) ^ codes[n - 1 :]
-        if n in sizes:
-            found.append((rolled + np.uint32(n)) * np.uint32(0x9E3779B1) >> shift)
-    return np.concatenate(found).astype(np.int64)
+    space = np.array([32], dtype=np.uint32)
+    held, any_letter = np.empty(0, dtype=np.uint32), False
+    for at in range(0, len(text) + PART, PART):
+        part = letters(text[at : at + PART])
+        any_letter = any_letter or bool((part != 32).any())
+        codes = np.concatenate([held, *([space] if not at else []), part, *([space] if at + PART >= len(text) else [])])
+        codes = codes[np.r_[True, (codes[1:] != 32) | (codes[:-1] != 32)]] if len(codes) else codes
+        rolled = np.zeros(len(codes), dtype=np.uint32)
+        for n in range(1, max(sizes) + 1):
+            if len(codes) < n:
+                break
+            rolled = (rolled[: len(codes) - n + 1] * np.uint32(0x01000193)) ^ codes[n - 1 :]
+            if n in sizes:
+                found = (rolled[max(0, len(held) - n + 1) :] + np.uint32(n)) * np.uint32(0x9E3779B1) >> shift
+                counts += np.bincount(found, minlength=buckets)
+        held = codes[len(codes) - min(len(codes), max(sizes) - 1) :]
+        if at + PART >= len(text):
+            break
+    return counts if any_letter else np.zeros(buckets, dtype=np.int64)
+
+
+def log_sums(texts: list[str], matrix: np.ndarray, entries: int = ENTRIES) -> np.ndarray:
+    """Log-probability of each text with each language, up to a constant: (texts, languages); nan for texts without a letter.
+
+    Texts become sparse rows of counts, which are multiplied with the matrix a bounded number of entries at once.
+    """
+    langs = matrix.shape[1]
+    out = np.full((len(texts), langs), np.nan)
+    held: list[tuple[int, np.ndarray, np.ndarray]] = []
+
+    def settle() -> None:
+        if held:
+            column, weight = (np.concatenate([h[k] for h in held]) for k in (1, 2))
+            sizes = np.array([len(h[1]) for h in held])
+            out[[h[0] for h in held]] = matrix[BUCKETS] + np.add.reduceat(matrix[column] * weight[:, None], np.cumsum(sizes) - sizes, axis=0)
+            held.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        counts = gram_counts(text)
+        column = np.flatnonzero(counts)
+        if len(column):
+            if held and (size + len(column)) * langs > entries:
+                settle()
+                size = 0
+            held.append((i, column, counts[column].astype(np.float64)))
+            size += len(column)
+    settle()
+    return out
 
 
 def shares(counts: dict[str, int], limit: int) -> dict[str, float]:
@@ -78,8 +130,10 @@ def learn(labelled: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.n
     `labelled`: rows of (key long, text, lang).
     """
     labelled = labelled.where(F.col("lang").isNotNull())
-    priors = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    priors = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).limit(MOST_LANGS + 1).collect()}
     langs, total = sorted(priors), sum(priors.values())
+    if len(langs) > MOST_LANGS:
+        raise ValueError(f"lang has more than {MOST_LANGS} values")
     if not langs:
         return [], np.zeros((BUCKETS + 1, 0))
     if total > limit:
@@ -91,7 +145,7 @@ def learn(labelled: DataFrame, limit: int = TRAIN_ROWS) -> tuple[list[str], np.n
         sums = np.zeros((len(langs), BUCKETS), dtype=np.int64)
         for batch in common.slices(batches, "text"):
             for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                sums[place[lang]] += np.bincount(grams(text or ""), minlength=BUCKETS)
+                sums[place[lang]] += gram_counts(text or "")
         lang, bucket = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays(
             [pa.array(lang.astype(np.int32)), pa.array(bucket.astype(np.int32)), pa.array(sums[lang, bucket])], ["lang", "bucket", "n"]
@@ -114,16 +168,13 @@ def identify(docs: DataFrame, learned_from: Column | None = None, limit: int = T
     shared = docs.sparkSession.sparkContext.broadcast(matrix.astype(np.float64))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = shared.value
         for batch in common.slices(batches, "text"):
             names, scores = [], []
-            for text in batch.column("text").to_pylist():
-                found = grams(text or "") if langs else ()
-                if len(found) == 0:
+            for sums in log_sums([t or "" for t in batch.column("text").to_pylist()], shared.value) if langs else np.full((batch.num_rows, 1), np.nan):
+                if np.isnan(sums[0]):
                     names.append(UNDETERMINED)
                     scores.append(0.0)
                     continue
-                sums = logs[BUCKETS] + logs[found].sum(axis=0)
                 likely = np.exp(sums - sums.max())
                 best = int(likely.argmax())
                 names.append(langs[best])

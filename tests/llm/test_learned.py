@@ -76,8 +76,23 @@ def test_languages_without_labels(spark):
 
 
 def test_grams_of_astral_letters_and_spaces():
-    assert len(language.grams("12 !?")) == 0 and len(language.grams("𐐀𐐁")) > 0
-    assert language.grams("AB  c").tolist() == language.grams("ab, C").tolist()
+    assert language.gram_counts("12 !?").sum() == 0 and language.gram_counts("𐐀𐐁").sum() > 0
+    assert language.gram_counts("AB  c").tolist() == language.gram_counts("ab, C").tolist()
+
+
+def test_gram_counts_do_not_depend_on_how_a_text_is_parted(monkeypatch):
+    texts = ["", "a", "ab cd", "  x,,y  z ", "one two three four 12 five", "ß" * 50]
+    whole = [language.gram_counts(t).tolist() for t in texts]
+    for part in (1, 2, 3, 7):
+        monkeypatch.setattr(language, "PART", part)
+        assert [language.gram_counts(t).tolist() for t in texts] == whole
+
+
+def test_log_sums_do_not_depend_on_the_batch():
+    matrix = np.random.default_rng(0).normal(size=(language.BUCKETS + 1, 3))
+    texts = ["alpha beta", "", "gamma", "12", "delta epsilon zeta"]
+    one = np.vstack([language.log_sums([t], matrix) for t in texts])
+    assert np.allclose(language.log_sums(texts, matrix, 1), one, equal_nan=True) and np.allclose(language.log_sums(texts, matrix), one, equal_nan=True)
 
 
 def test_main_text_of_held_out_pages(spark):
