@@ -1,8 +1,9 @@
 """Keyed surrogates for personal data: consistent by type, script, gender and format, distinct and coreferent.
 
-Emails, phone numbers, IP addresses, card numbers, social security numbers, account numbers (IBAN) and names after a title are
-found where texts are read. Every entity has a canonical form (digits alone, lower-case address, one name of a person), and
-its surrogate is a function of a secret key, its kind and that form, drawn anew in the spelling that stands in the text:
+Emails, phone numbers, IP addresses, card numbers, social security numbers, account numbers (IBAN) and names after a title, after
+words that introduce one, or that begin with a common given name are found where texts are read. Every entity has a canonical form
+(digits alone, lower-case address, one part of a person's name), and its surrogate is a function of a secret key, its kind and that
+form, drawn anew in the spelling that stands in the text:
 
 * numbers keep their length, signs, leading part and the truth of their check digit; they go through a keyed permutation of
   digits, so different numbers of a kind never meet;
@@ -21,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,8 +35,11 @@ from pyspark.sql import functions as F
 from loomstrand.llm import common
 
 BROADCAST_ROWS = 200_000
+#: Share of a space of numbers beyond which surrogates may be numbers of the corpus; rounds of redrawing, of which each settles most.
+DENSE, ROUNDS = 4, 80
 
-_EMAIL = re.compile(r"[\w.+-]*\w@\w[\w-]*(?:\.\w[\w-]*)+")
+#: Read from an at sign to the right, and (turned round) to the left, so that no text is walked through again and again.
+_DOMAIN, _LOCAL = re.compile(r"@\w[\w-]*(?:\.\w[\w-]*)+"), re.compile(r"\w[\w.+-]*")
 _IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b")
 _SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 _IP = re.compile(r"(?<![\w.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\w]|\.\d)")
@@ -48,6 +54,11 @@ TITLES = {
     "f": "Mrs Ms Miss Madam Frau Madame Mme Mademoiselle Mlle Señora Sra Señorita Doña Госпожа Г-жа Κυρία",
     "n": "Dr Prof Professor",
 }
+INTRODUCING = "name is|names are|called|Name:|name:|Contact:|contact:|Dear|Signed,|Regards,|regards,|Sincerely,|heiße|heißt|Liebe|Lieber|s'appelle|m'appelle|Cher|Chère|llamo|llama|Querido|Querida"
+COMMON_GIVEN = {
+    "m": "James John Robert Michael William David Richard Joseph Thomas Charles Christopher Daniel Matthew Anthony Mark Steven Paul Andrew Joshua Kenneth Kevin Brian George Edward Peter Hans Klaus Jürgen Wolfgang Stefan Jean Pierre Michel Philippe Jacques José Juan Luis Carlos Miguel Pedro".split(),
+    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Lisa Nancy Betty Margaret Sandra Ashley Emily Jane Alice Helen Ursula Monika Petra Sabine Renate Marie Nathalie Isabelle Sylvie Catherine Carmen Josefa Isabel Pilar Dolores Lucía".split(),
+}
 GIVEN = {
     ("m", "LATIN"): "Adam Bruno Conrad David Emil Felix Gabriel Hugo Ivan Jonas Karl Leo Martin Noah Oscar Paul Quentin Robert Simon Thomas Victor Walter".split(),
     ("f", "LATIN"): "Anna Bella Clara Diana Emma Flora Greta Helena Ines Julia Karla Laura Maria Nora Olga Paula Rosa Sara Teresa Vera Wanda Zoe".split(),
@@ -71,7 +82,13 @@ SYLLABLES = {
 MARKED = "àáâäåçèéêëíîïñóôöùúûüý"
 
 _GENDER = {t: g for g, names in TITLES.items() for t in names.split()}
-_PERSON = re.compile(rf"(?<!\w)({'|'.join(sorted(map(re.escape, _GENDER), key=len, reverse=True))})\.?[  ]+((?:[^\W\d_a-z]\w+(?:-[^\W\d_a-z]\w+)?)(?:[  ][^\W\d_a-z]\w+){{0,2}})")
+_COMMON = {n: g for g, names in COMMON_GIVEN.items() for n in names}
+_ONE_OF = lambda words: "|".join(sorted(map(re.escape, words), key=len, reverse=True))
+_PART = r"[^\W\d_a-z]\w+(?:-[^\W\d_a-z]\w+){0,3}"
+_TITLED = re.compile(rf"(?<!\w)({_ONE_OF(_GENDER)})\.?[ \xa0]+({_PART}(?:[ \xa0]{_PART}){{0,2}})")
+_INTRODUCED = re.compile(rf"(?<!\w)(?:{INTRODUCING})[ \xa0]({_PART}[ \xa0]{_PART})(?!\w)")
+_GIVEN_FIRST = re.compile(rf"(?<![\w-])((?:{_ONE_OF(_COMMON)})(?:-{_PART})?[ \xa0](?:[A-Z]\.[ \xa0])?{_PART})(?!\w)")
+_WORD = re.compile(r"\w+")
 
 ENTITY = "kind string, form string"
 
@@ -96,19 +113,47 @@ def iban_check(country: str, body: str) -> str:
     return str(98 - int("".join(str(int(c, 36)) for c in body + country + "00")) % 97).zfill(2)
 
 
+def people(text: str) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, name) of every part of a person's name that something tells to be one, in order."""
+    parts: list[tuple[int, int, str, str, str]] = []
+    for pattern in (_TITLED, _INTRODUCED, _GIVEN_FIRST):
+        for m in pattern.finditer(text):
+            names = [n for n in re.finditer(r"[^ \xa0-]+", m[m.lastindex]) if not n[0].endswith(".")]
+            gender = _GENDER[m[1]] if pattern is _TITLED else _COMMON.get(names[0][0], "n")
+            last = m[m.lastindex].replace("\xa0", " ").rfind(" ") + 1
+            for n in names:
+                role = "family" if n.start() >= last else "given"
+                parts.append((m.start(m.lastindex) + n.start(), m.start(m.lastindex) + n.end(), role, gender, n[0]))
+    parts.sort()
+    gender_of: dict[str, str] = {}
+    for _, _, role, gender, name in parts:
+        if role == "given" and gender != "n":
+            gender_of.setdefault(name.casefold(), gender)
+    out = []
+    for start, end, role, gender, name in parts:
+        if gender == "n":
+            gender = gender_of.get(name.casefold(), "n")
+        out.append((start, end, f"family:{script_of(name)}" if role == "family" else f"given:{gender}:{script_of(name)}", name))
+    return out
+
+
 def entities(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical form) in order, without overlaps; names are an entity each."""
+    """(start, end, kind, canonical form) in order, without overlaps; parts of names are an entity each."""
     found: list[tuple[int, int, str, str]] = []
-    taken: list[tuple[int, int]] = []
+    taken = bytearray(len(text))
 
     def add(start: int, end: int, kind: str, form: str) -> None:
-        if all(end <= a or start >= b for a, b in taken):
+        if taken.find(1, start, end) < 0:
             found.append((start, end, kind, form))
-            taken.append((start, end))
-
-    if "@" in text:
-        for m in _EMAIL.finditer(text):
-            add(m.start(), m.end(), "email", m[0].lower())
+            taken[start:end] = b"\x01" * (end - start)
+
+    at = text.find("@")
+    before = 0
+    while at >= 0:
+        local, domain = _LOCAL.match(text[before:at][::-1]), _DOMAIN.match(text, at)
+        if local and domain:
+            add(at - local.end(), domain.end(), "email", text[at - local.end() : domain.end()].lower())
+        before, at = at + 1, text.find("@", at + 1)
     if _DIGITS.search(text):
         for kind, pattern in (("iban", _IBAN), ("ssn", _SSN), ("ip", _IP), ("card", _CARD), ("phone", _PHONE)):
             for m in pattern.finditer(text):
@@ -119,21 +164,31 @@ def entities(text: str) -> list[tuple[int, int, str, str]]:
                     country = _COUNTRY.match(m[0])
                     form = f"{country[1]}-{form[len(country[1]) :]}" if country else f"-{form}"
                 add(m.start(), m.end(), kind, form)
-    people: dict[str, str] = {}
-    for m in _PERSON.finditer(text):
-        gender, at, names = _GENDER[m[1]], m.start(2), re.split(r"[  ]", m[2])
-        for i, name in enumerate(names):
-            kind = f"family:{script_of(name)}" if i == len(names) - 1 else f"given:{gender}:{script_of(name)}"
-            add(at, at + len(name), kind, name.casefold())
-            people.setdefault(name, kind)
-            at += len(name) + 1
-    if people:
-        again = re.compile(rf"(?<!\w)(?:{'|'.join(sorted(map(re.escape, people), key=len, reverse=True))})(?!\w)")
-        for m in again.finditer(text):
-            add(m.start(), m.end(), people[m[0]], m[0].casefold())
+    known: dict[str, str] = {}
+    for start, end, kind, name in people(text):
+        add(start, end, kind, name.casefold())
+        known.setdefault(name, kind)
+    if known:
+        for m in _WORD.finditer(text):
+            if m[0] in known:
+                add(m.start(), m.end(), known[m[0]], m[0].casefold())
     return sorted(found)
 
 
+def space_of(kind: str, form: str) -> tuple[str, float]:
+    """The finite space in which a number's surrogates lie, with its size; other kinds have room without end."""
+    if kind == "ip":
+        return f"ip {form.partition('.')[0]}", 2.0**24
+    if kind == "ssn":
+        return f"ssn {len(form)}", 10.0 ** len(form)
+    if kind == "card":
+        return f"card {form[0]} {len(form)} {luhn(form)}", 10.0 ** (len(form) - 2)
+    if kind == "phone":
+        country, _, rest = form.partition("-")
+        return f"phone {country} {len(rest)}", 10.0 ** len(rest)
+    return "", math.inf
+
+
 class Keyed:
     """Surrogates under a key. `tries` counts how often an entity had to draw again."""
 
@@ -230,6 +285,14 @@ class Keyed:
 
 def _redraws(found: DataFrame, keyed: Keyed) -> DataFrame:
     """(kind, form, tries) of the distinct entities that must draw again to be distinct from all others and from the corpus."""
+    spaced = "space string, size double"
+
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                spaces = [space_of(*row) for row in zip(batch.column("kind").to_pylist(), batch.column("form").to_pylist(), strict=True)]
+                columns = [pa.array([s[0] for s in spaces], pa.string()), pa.array([s[1] for s in spaces], pa.float64())]
+                yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("form"), *columns], ["kind", "form", "space", "size"])
 
     def drawn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,9 +301,12 @@ def _redraws(found: DataFrame, keyed: Keyed) -> DataFrame:
                 names = pa.array([keyed.form(*row) for row in zip(*columns, strict=True)], pa.string())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("kind", "form", "tries")), names], ["kind", "form", "tries", "name"])
 
-    state = found.withColumn("tries", F.lit(0))
-    real = found.select("kind", F.col("form").alias("name"), F.lit(True).alias("real"))
-    while True:
+    #: Spaces are told apart by kind, length and leading part, so there are few.
+    placed = common.materialise(found.mapInArrow(sized, f"{ENTITY}, {spaced}"))
+    dense = placed.where("space <> ''").groupBy("space").agg(F.count("*").alias("n"), F.first("size").alias("size")).where(F.col("n") * DENSE > F.col("size"))
+    state = common.materialise(placed.join(F.broadcast(dense.select("space")), "space", "left_anti").select("kind", "form").withColumn("tries", F.lit(0)))
+    real = state.select("kind", F.col("form").alias("name"), F.lit(True).alias("real"))
+    for _ in range(ROUNDS):
         drawn_ = common.materialise(state.mapInArrow(drawn, f"{ENTITY}, tries int, name string"))
         shared = drawn_.groupBy("kind", "name").agg(F.count("*").alias("n"), F.min(F.struct(-F.col("tries"), "form")).alias("first"))
         bad = shared.join(real, ["kind", "name"], "left").where("n > 1 or real").select("kind", "name", F.when(F.col("real").isNull(), F.col("first.form")).alias("winner"))
@@ -249,6 +315,19 @@ def _redraws(found: DataFrame, keyed: Keyed) -> DataFrame:
             return drawn_.where("tries > 0").select("kind", "form", "tries")
         again = (F.col("bad.name").isNotNull() & ~F.coalesce(F.col("form") == F.col("winner"), F.lit(False))).cast("int")
         state = drawn_.alias("d").join(bad.alias("bad"), ["kind", "name"], "left").select("kind", "form", (F.col("tries") + again).cast("int").alias("tries"))
+    raise RuntimeError(f"surrogates still collide after {ROUNDS} rounds")
+
+
+def _lookups(found: DataFrame, keyed: Keyed) -> DataFrame:
+    """(kind, form, now, tries) of the entities (kind, form, n) whose surrogate is of another kind `now` than told, or was drawn again."""
+    part = lambda i: F.split("kind", ":").getItem(i)
+    given = found.where(F.col("kind").startswith("given:")).select("form", part(1).alias("gender"), part(2).alias("script"), "n")
+    told = given.where("gender <> 'n'").groupBy("form", "script").agg(F.max_by("gender", F.struct("n", "gender")).alias("gender"))
+    named = told.select(F.concat(F.lit("given:n:"), "script").alias("kind"), "form", F.concat_ws(":", F.lit("given"), "gender", "script").alias("_told"))
+    rows = common.materialise(found.select("kind", "form").join(named, ["kind", "form"], "left").select("kind", "form", F.coalesce("_told", "kind").alias("now")))
+    redraws = _redraws(rows.select(F.col("now").alias("kind"), "form").distinct(), keyed).select(F.col("kind").alias("now"), "form", "tries")
+    joined = rows.join(redraws, ["now", "form"], "left").where("now <> kind or tries is not null")
+    return joined.select("kind", "form", "now", F.coalesce("tries", F.lit(0)).alias("tries"))
 
 
 def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
@@ -258,13 +337,14 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
 
     def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
-            pairs = sorted({e[2:] for t in batch.column("text").to_pylist() if t for e in entities(t)})
-            yield pa.RecordBatch.from_arrays([pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)], ["kind", "form"])
-
-    found = common.materialise(rows.select("text").mapInArrow(gathered, ENTITY).distinct())
-    redraws = common.materialise(_redraws(found, keyed))
-    few = redraws.count() <= BROADCAST_ROWS
-    known = {(r["kind"], r["form"]): r["tries"] for r in redraws.toLocalIterator()} if few else {}
+            pairs = Counter(p for t in batch.column("text").to_pylist() if t for p in {e[2:] for e in entities(t)})
+            columns = [pa.array([p[i] for p in pairs], pa.string()) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(list(pairs.values()), pa.int64())], ["kind", "form", "n"])
+
+    counted = rows.select("text").mapInArrow(gathered, f"{ENTITY}, n long").groupBy("kind", "form").agg(F.sum("n").alias("n"))
+    lookups = common.materialise(_lookups(common.materialise(counted), keyed))
+    few = lookups.count() <= BROADCAST_ROWS
+    known = {(r["kind"], r["form"]): (r["now"], r["tries"]) for r in lookups.toLocalIterator()} if few else {}
     shared = docs.sparkSession.sparkContext.broadcast(known)
 
     def replaced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,11 +352,11 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
             counts, spans, texts = [], [], []
             own = batch.column("own").to_pylist() if "own" in batch.schema.names else [None] * batch.num_rows
             for text, more in zip(batch.column("text").to_pylist(), own, strict=True):
-                tries = {(m["kind"], m["form"]): m["tries"] for m in more} if more else shared.value
+                known = {(m["kind"], m["form"]): (m["now"], m["tries"]) for m in more} if more else shared.value
                 parts, at, listed = [], 0, []
                 for start, end, kind, form in entities(text) if text else ():
-                    name = keyed.form(kind, form, tries.get((kind, form), 0))
-                    parts += [text[at:start], keyed.spelled(kind, text[start:end], name)]
+                    now, tries = known.get((kind, form), (kind, 0))
+                    parts += [text[at:start], keyed.spelled(now, text[start:end], keyed.form(now, form, tries))]
                     listed.append(f"{kind.partition(':')[0]}:{start}:{end}")
                     at = end
                 counts.append(len(listed))
@@ -286,12 +366,12 @@ def surrogates(docs: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_entities", "spans", "text"])
 
     if not few:
-        rows = _with_redraws(rows, redraws)
+        rows = _with_lookups(rows, lookups)
     return rows.mapInArrow(replaced, "doc_id long, n_entities long, spans string, text string")
 
 
-def _with_redraws(rows: DataFrame, redraws: DataFrame) -> DataFrame:
-    """The rows with the redraws that concern their own entities, in column own."""
+def _with_lookups(rows: DataFrame, lookups: DataFrame) -> DataFrame:
+    """The rows with the lookups that concern their own entities, in column own."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
@@ -300,6 +380,6 @@ def _with_redraws(rows: DataFrame, redraws: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], t) for i, t in enumerate(kinds)], ["print", "kind", "form"])
 
     rows = rows.withColumn("print", F.xxhash64("text"))
-    concerned = rows.select("print", "text").mapInArrow(listed, f"print long, {ENTITY}").distinct().join(redraws, ["kind", "form"])
-    own = concerned.groupBy("print").agg(F.collect_list(F.struct("kind", "form", "tries")).alias("own"))
+    concerned = rows.select("print", "text").mapInArrow(listed, f"print long, {ENTITY}").distinct().join(lookups, ["kind", "form"])
+    own = concerned.groupBy("print").agg(F.collect_list(F.struct("kind", "form", "now", "tries")).alias("own"))
     return rows.join(own, "print", "left").select("doc_id", "text", "own")

@@ -135,6 +135,20 @@ def test_surrogates_keep_type_format_gender_and_script():
     assert replaced(NUMBERS) == out and all(w not in out for w in ("4111", "Jane", "078-05"))
 
 
+def test_one_person_has_one_surrogate_and_hyphens_stay():
+    one, two = re.fullmatch(r"Mr (\w+ \w+) and Dr (\w+ \w+)", replaced("Mr John Smith and Dr John Smith")).groups()
+    assert one == two and re.fullmatch(r"[A-Z]\w+-[A-Z]\w+ [A-Z]\w+", replaced("Jean-Pierre Dupont")) and "Jane" not in replaced("Jane Doe")
+
+
+def test_long_runs_take_linear_time():
+    import time
+
+    for text in ("a" * 50_000 + "@", "a" * 50_000 + "@b", "a@b.c " * 8_000, "Jane-" * 10_000, "1 " * 25_000):
+        began = time.time()
+        surrogates.entities(text)
+        assert time.time() - began < 5
+
+
 def test_permutations_have_no_collisions():
     for kind, forms in (("ssn", [f"{i:04d}" for i in range(10_000)]), ("card", [f"4{i:03d}{surrogates.luhn(f'4{i:03d}0')}" for i in range(1000)]), ("ip", [f"9.0.{i // 256}.{i % 256}" for i in range(5000)])):
         assert len({KEYED.form(kind, f) for f in forms}) == len(forms)
