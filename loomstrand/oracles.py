@@ -283,7 +283,7 @@ ORACLE_SQL = {
         sizes as (select session_id, count(*) as n from surface group by 1)
         select a.session_id, range_id, arg_min(seq, pos) as start_seq, arg_max(seq, pos) as end_seq, cast(sum(tokens) as bigint) as tokens
         from a join sizes using (session_id) left join surface s on s.session_id = a.session_id and pos between lo and hi and hi < n group by 1, 2""",
-    "span_checks": f"""with {TOOL_LOG}, {cuts('surface')}, a as (select session_id, seq as s, seq + case when seq % 70 = 3 then -2 else 6 end as e from tool_log where seq % 10 = 3)
+    "span_checks": f"""with {TOOL_LOG}, {cuts('surface')}, a as (select session_id, seq as s, seq + case when seq % 70 = 3 then -2 else 6 end as e from tool_log)
         select a.session_id, s as range_id, case when x.pos is null then 'start-not-on-surface' when y.pos is null then 'end-not-on-surface' when x.pos > y.pos then 'reversed'
           when x.open_before <> 0 then 'open-before-start' when y.open_after <> 0 then 'open-after-end' end as reason
         from a left join cuts x on x.session_id = a.session_id and x.seq = s left join cuts y on y.session_id = a.session_id and y.seq = e""",

@@ -329,9 +329,9 @@ def surface_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether spans between every tenth row and the sixth after it may be replaced."""
+    """Whether spans between every row and the sixth after it (or the second before it) may be replaced."""
     log = logs.tool_log(spark, sf_dir)
-    asked = log.where("seq % 10 = 3").select("session_id", F.col("seq").alias("range_id"), F.col("seq").alias("start_seq"), (F.col("seq") + F.when(F.col("seq") % 70 == 3, -2).otherwise(6)).alias("end_seq"))
+    asked = log.select("session_id", F.col("seq").alias("range_id"), F.col("seq").alias("start_seq"), (F.col("seq") + F.when(F.col("seq") % 70 == 3, -2).otherwise(6)).alias("end_seq"))
     return surfaces.span_reasons(zones.with_cuts(logs.surface_of(log)), asked)
 
 
