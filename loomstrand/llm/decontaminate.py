@@ -10,6 +10,7 @@ and unless the rest alone reach what is then missing the item can't get there.
 What comes back is verified on the words around the passage: at least `OVERLAP` of the item's five-word shingles must be
 there, and `PART` of the words of its question (all sentences but the last) and of its answer (the last).
 
+Document frequencies and the mean length are those of all items, counted once in Spark, so results don't depend on batches.
 Items are broadcast in batches of at most `BATCH_CHARS` characters, one pass over the documents for each. Words are runs of
 letters, digits and underscores in lower case. Items without a word match nothing; items of fewer than five words are one
 shingle. Null and empty texts hold nothing. Repeated items are found each; repeated documents give repeated rows, and null
@@ -21,7 +22,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -65,23 +67,32 @@ class Postings:
         self.block_most = [max(impacts[i : i + BLOCK]) for i in range(0, len(items), BLOCK)]
 
 
+class Corpus(NamedTuple):
+    """How many items there are, their mean length in words, and in how many items each word is."""
+
+    total: int
+    mean: float
+    seen: Mapping[str, int]
+
+
 class BlockMaxIndex:
     """BM25 over test items, searched by passages."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], corpus: Corpus | None = None) -> None:
+        """`corpus`: the counts of all items, of which these may be a part; none means that these are all."""
         self.ids = [i for i, _ in items]
         self.words = [words_of(t.lower()) for _, t in items]
         self.parts = [parts_of(t) for _, t in items]
         self.shingles = [shingles(w) for w in self.words]
         self.longest = max(map(len, self.words), default=0)
         counts = [Counter(w) for w in self.words]
-        seen = Counter(w for c in counts for w in c)
-        mean = sum(map(len, self.words)) / max(1, sum(1 for w in self.words if w))
+        known = corpus or Corpus(len(items), sum(map(len, self.words)) / max(1, sum(1 for w in self.words if w)), Counter(w for c in counts for w in c))
+        total, mean, seen = known
         held: dict[str, tuple[list[int], list[float]]] = {}
         rows: list[list[tuple[float, str]]] = []
         for i, count in enumerate(counts):
             impacts = {
-                w: math.log(1 + (len(items) - seen[w] + 0.5) / (seen[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(self.words[i]) / mean))
+                w: math.log(1 + (total - seen[w] + 0.5) / (seen[w] + 0.5)) * n * (K1 + 1) / (n + K1 * (1 - B + B * len(self.words[i]) / mean))
                 for w, n in count.items()
             }
             own = sum(impacts.values())
@@ -201,22 +212,40 @@ class BlockMaxIndex:
         return best
 
 
-def _batches(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    held, size = [], 0
-    for row in items.toLocalIterator():
+def counted(items: DataFrame) -> tuple[DataFrame, int, float]:
+    """Items with a word as (item_id, text, seen), how many there are, and their mean length; seen: in how many items each of its words is."""
+
+    def words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.slices(rows, "text"):
+            found = [words_of(t.lower()) for t in part.column("text").to_pylist()]
+            columns = [part.column("item_id"), part.column("text"), pa.array([sorted(set(f)) for f in found], pa.list_(pa.string())), pa.array(map(len, found), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["item_id", "text", "words", "n"])
+
+    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text <> ''")
+    spelled = known.mapInArrow(words, "item_id long, text string, words array<string>, n long").where("n > 0")
+    rows = common.materialise(spelled.withColumn("key", F.md5(F.col("text").cast("binary"))))
+    held = rows.select("key", F.explode("words").alias("word"))
+    often = held.groupBy("word").agg(F.count("*").alias("seen"))
+    seen = held.distinct().join(often, "word").groupBy("key").agg(F.map_from_entries(F.collect_list(F.struct("word", "seen"))).alias("seen"))
+    total, mean = rows.agg(F.count("*"), F.coalesce(F.avg("n"), F.lit(0.0))).head()
+    return rows.join(seen, "key").select("item_id", "text", "seen"), total, mean
+
+
+def _indexes(items: DataFrame) -> Iterator[Broadcast]:
+    rows, total, mean = counted(items)
+    context = items.sparkSession.sparkContext
+    held: list[tuple[int, str]] = []
+    seen: dict[str, int] = {}
+    size = 0
+    for row in rows.orderBy("item_id", "text").toLocalIterator():
         if held and size + len(row["text"]) > BATCH_CHARS:
-            yield held
-            held, size = [], 0
+            yield context.broadcast(BlockMaxIndex(held, Corpus(total, mean, seen)))
+            held, seen, size = [], {}, 0
         held.append((row["item_id"], row["text"]))
+        seen.update(row["seen"])
         size += len(row["text"])
     if held:
-        yield held
-
-
-def _indexes(items: DataFrame) -> Iterator[Broadcast]:
-    known = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where(F.col("text").rlike(r"\w"))
-    for batch in _batches(known.orderBy("item_id", "text")):
-        yield items.sparkSession.sparkContext.broadcast(BlockMaxIndex(batch))
+        yield context.broadcast(BlockMaxIndex(held, Corpus(total, mean, seen)))
 
 
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
