@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -16,7 +18,27 @@ ELIGIBLE = (
     "user/message", "assistant/message", "tool/call", "tool/result", "turn/end", "goal/change", "request/header", "agent-preset/selected",
     "compaction/start", "compaction/end", "todo/write", "plan/mode", "command/run",
 )
-LIMIT_BYTES = 200
+COMMANDS = ("goal", "plan", "compact")
+SELECTIONS = ("initial", "resume", "change")
+CUT = "array<struct<path: string, limit_bytes: bigint, kept_bytes: bigint>>"
+
+
+class Limits(NamedTuple):
+    """Bytes that each kind of field keeps at most."""
+
+    # The default limits.
+    user_message: int = 4_000
+    assistant_message: int = 2_000
+    tool_name: int = 200
+    tool_arguments: int = 2_000
+    tool_result_text: int = 4_000
+    tool_result_meta: int = 2_000
+    json_leaf: int = 400
+    error: int = 400
+    command: int = 400
+    state: int = 2_000
+
+
 ITEM = "array<struct<content: string, status: string>>"
 
 
@@ -24,29 +46,114 @@ def _at(path: str) -> Column:
     return F.get_json_object("data", f"$.{path}")
 
 
-def message_text() -> Column:
-    """Non-blank text blocks of a message payload, by lines."""
-    blocks = F.from_json(F.coalesce(_at("content"), _at("message.content")), "array<struct<type: string, text: string>>")
-    good = F.filter(blocks, lambda b: (b["type"] == "text") & ~text.is_blank(b["text"]))
+def _texts(blocks: Column) -> Column:
+    """Non-blank text blocks of a JSON list of blocks, by lines."""
+    good = F.filter(F.from_json(blocks, "array<struct<type: string, text: string>>"), lambda b: (b["type"] == "text") & ~text.is_blank(b["text"]))
     return F.array_join(F.transform(good, lambda b: b["text"]), "\n")
 
 
-def projected(log: DataFrame, limit: int = LIMIT_BYTES) -> DataFrame:
-    """(session_id, seq, type, kind, text, truncated) of the events that mean something; type gates come before any parsing."""
-    rows = log.where(F.col("type").isin(*ELIGIBLE)).withColumn("_text", message_text())
-    source, spoken = _at("source.kind"), ~text.is_blank("_text")
-    ended = F.coalesce(_at("reason.kind"), F.lit("unknown"))
-    kind = (
-        F.when((F.col("type") == "user/message") & source.isin("user", "goal") & spoken, F.when(source == "goal", "goal-continuation").otherwise("user"))
-        .when((F.col("type") == "assistant/message") & spoken & (F.coalesce(_at("interrupted"), F.lit("false")) != "true"), "assistant")
-        .when((F.col("type") == "tool/result") & spoken, "tool/result")
-        .when(F.col("type") == "turn/end", F.concat(F.lit("turn-"), ended))
-        .when((F.col("type") == "goal/change") & _at("operation").isNotNull(), "goal/change")
-        .when((F.col("type") == "todo/write") & _at("todos").startswith("["), "todo/write")
-        .when((F.col("type") == "command/run") & _at("name").isin("goal", "plan", "compact"), "command/run")
-    )
-    kept = rows.withColumn("kind", kind).where(F.col("kind").isNotNull())
-    return kept.select("session_id", "seq", "type", "kind", text.bounded("_text", limit).alias("text"), (F.octet_length("_text") > limit).alias("truncated"))
+def _filled(c: Column) -> Column:
+    return F.when(~text.is_blank(c), c)
+
+
+def projected(log: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
+    """(session_id, seq, type, kind, text, fields, truncation) of the events that mean something.
+
+    `fields` is a JSON object of what is kept, without what is absent; `text` is its text, if any; `truncation` lists the fields
+    that were cut, in order, with their limits and the bytes kept. Types are tested before any payload is parsed. Payloads that
+    are null or no JSON object give no row; numbers where strings belong count as their text.
+    """
+    of = lambda *kinds: F.col("type").isin(*kinds)
+    rows = log.where(of(*ELIGIBLE)).where(F.get_json_object("data", "$").startswith("{"))
+    tools = F.when(of("tool/call", "tool/result"), F.struct("type", "data"))
+    rows = rows.withColumn("_leaves", F.when(tools.isNotNull(), rendered_leaves(limits.json_leaf)(F.when(tools.isNotNull(), F.col("type")), F.when(tools.isNotNull(), F.col("data")))))
+    block, goal = "message.content[0]", "goal"
+    is_result = _at(f"{block}.type") == "tool-result"
+    message = F.when(of("user/message"), _texts(_at("content"))).when(of("assistant/message"), _texts(_at("message.content")))
+    rows = rows.withColumn("_message", message).withColumn("_result", F.when(of("tool/result") & is_result, _texts(_at(f"{block}.content"))))
+    todos = F.from_json(_at("todos"), ITEM)
+    whole = lambda path: _at(path).cast("long")
+
+    # Every bounded field: type, path, value, limit; in the order in which cuts are listed.
+    fields = {
+        "user": ("user/message", "user/message.text", F.col("_message"), limits.user_message),
+        "assistant": ("assistant/message", "assistant/message.text", F.col("_message"), limits.assistant_message),
+        "name": ("tool/call", "tool/call.name", F.coalesce(_at("name"), F.lit("")), limits.tool_name),
+        "arguments": ("tool/call", "tool/call.arguments", F.col("_leaves.rendered"), limits.tool_arguments),
+        "result": ("tool/result", "tool/result.text", _filled(F.col("_result")), limits.tool_result_text),
+        "error_name": ("tool/result", "tool/result.error.name", _filled(_at("error.name")), limits.error),
+        "error_code": ("tool/result", "tool/result.error.code", _filled(_at("error.code")), limits.error),
+        "meta": ("tool/result", "tool/result.meta", F.col("_leaves.rendered"), limits.tool_result_meta),
+        "objective": ("goal/change", "goal/change.objective", F.when(~_at("operation").eqNullSafe("clear"), F.coalesce(_at(f"{goal}.objective"), F.lit(""))), limits.state),
+        "provider": ("request/header", "request/header.provider", _at("header.config.provider"), limits.tool_name),
+        "model": ("request/header", "request/header.model", _at("header.config.model"), limits.tool_name),
+        "effort": ("request/header", "request/header.reasoningEffort", F.nullif(_at("header.config.reasoningEffort"), F.lit("")), limits.tool_name),
+        "preset": ("agent-preset/selected", "agent-preset/selected.preset", F.nullif(_at("agentPreset"), F.lit("")), limits.tool_name),
+        "started": ("compaction/start", "compaction/start.compactionId", F.coalesce(_at("compactionId"), F.lit("")), limits.error),
+        "failure": ("compaction/end", "compaction/end.error", _filled(_at("error")), limits.error),
+        "ended": ("compaction/end", "compaction/end.compactionId", F.coalesce(_at("compactionId"), F.lit("")), limits.error),
+        "args": ("command/run", "command/run.args", _filled(_at("args")), limits.command),
+    }
+    kept = {name: text.bounded(value, limit) for name, (_, _, value, limit) in fields.items()}
+
+    def cut_of(path: str, value: Column, limit: int) -> Column:
+        record = F.struct(F.lit(path).alias("path"), F.lit(limit).cast("long").alias("limit_bytes"), F.octet_length(text.bounded(value, limit)).cast("long").alias("kept_bytes"))
+        return F.when(F.octet_length(value) > limit, record)
+
+    def json_of(kind: str, **values: Column) -> Column:
+        return F.to_json(F.struct(F.lit(kind).alias("kind"), *[v.alias(k) for k, v in values.items()]))
+
+    source, operation = _at("source.kind"), _at("operation")
+    ended = _at("reason.kind")
+    inner = F.when(ended == "aborted", F.struct(F.coalesce(_at("reason.reason.kind"), F.lit("unknown")).alias("kind")))
+    reason = F.when(_at("reason").startswith("{"), F.struct(ended.alias("kind"), inner.alias("reason"), F.when(ended == "error", _at("reason.error.code")).alias("code")))
+    error = F.when(kept["error_name"].isNotNull() | kept["error_code"].isNotNull(), F.struct(kept["error_name"].alias("name"), kept["error_code"].alias("code")))
+    snapshot = F.struct(
+        _at(f"{goal}.id").alias("id"), whole(f"{goal}.revision").alias("revision"), _at(f"{goal}.phase").alias("phase"), kept["objective"].alias("objective"),
+        whole(f"{goal}.maxGoalRounds").alias("maxGoalRounds"), whole("roundsStarted").alias("roundsStarted"), _at(f"{goal}.blockedReason.code").alias("blockedReason"),
+    )
+    items = F.transform(todos, lambda i: F.struct(text.bounded(F.coalesce(i["content"], F.lit("")), limits.state).alias("content"), F.coalesce(i["status"], F.lit("")).alias("status")))
+    made = (
+        F.when(of("user/message") & source.isin("user", "goal") & ~text.is_blank("_message"), F.when(source == "goal", json_of("goal-continuation", text=kept["user"])).otherwise(json_of("user", text=kept["user"])))
+        .when(of("assistant/message") & _at("message").startswith("{") & ~text.is_blank("_message") & ~_at("interrupted").eqNullSafe("true"), json_of("assistant", text=kept["assistant"]))
+        .when(of("tool/call"), json_of("tool/call", name=kept["name"], callId=F.coalesce(_at("callId"), F.lit("")), arguments=_filled(kept["arguments"])))
+        .when(
+            of("tool/result") & (kept["result"].isNotNull() | error.isNotNull() | _filled(kept["meta"]).isNotNull()),
+            json_of(
+                "tool/result", callId=F.coalesce(F.when(is_result, _at(f"{block}.toolCallId")), F.lit("")), isError=F.coalesce(is_result & (_at(f"{block}.isError") == "true"), F.lit(False)),
+                text=kept["result"], error=error, meta=_filled(kept["meta"]),
+            ),
+        )
+        .when(of("turn/end"), json_of("turn/end", turn=whole("turn"), reason=reason))
+        .when(of("goal/change") & (operation == "clear"), json_of("goal/change", operation=operation, clearedId=F.nullif(_at("cleared.id"), F.lit("")), clearedRevision=whole("cleared.revision")))
+        .when(of("goal/change") & _at(goal).startswith("{"), json_of("goal/change", operation=operation, goal=snapshot))
+        .when(of("todo/write") & _at("todos").startswith("["), json_of("todo/write", status=F.when(F.size(todos) == 0, "cleared").otherwise("current"), todos=items))
+        .when(of("plan/mode"), json_of("plan/mode", active=F.coalesce(_at("active") == "true", F.lit(False))))
+        .when(
+            of("request/header") & _at("reason").isin(*SELECTIONS) & (kept["provider"] != "") & (kept["model"] != ""),
+            json_of("request/header", reason=_at("reason"), provider=kept["provider"], model=kept["model"], reasoningEffort=kept["effort"]),
+        )
+        .when(of("agent-preset/selected") & kept["preset"].isNotNull(), json_of("agent-preset/selected", preset=kept["preset"]))
+        .when(of("compaction/start"), json_of("compaction/start", compactionId=kept["started"], turn=whole("turn")))
+        .when(of("compaction/end"), json_of("compaction/end", compactionId=kept["ended"], error=kept["failure"]))
+        .when(of("command/run") & _at("name").isin(*COMMANDS), json_of("command/run", commandId=F.coalesce(_at("commandId"), F.lit("")), name=_at("name"), args=kept["args"], source=source))
+    )
+    cuts = F.lit(None).cast(CUT)
+    for kind in dict.fromkeys(f[0] for f in fields.values()):
+        own = [cut_of(path, value, limit) for t, path, value, limit in fields.values() if t == kind]
+        # Leaves are cut before the whole that they make up.
+        leaves = F.coalesce(F.col("_leaves.cut"), F.array().cast(CUT))
+        parts = [F.array(*own[:-1]), leaves, F.array(own[-1])] if kind == "tool/result" else [F.array(own[0]), leaves, F.array(own[1])] if kind == "tool/call" else [F.array(*own)]
+        cuts = F.when(of(kind), F.filter(F.concat(*[x.cast(CUT) for x in parts]), lambda c: c.isNotNull())).otherwise(cuts)
+    listed = F.filter(F.transform(todos, lambda i: cut_of("todo/write.content", i["content"], limits.state)), lambda c: c.isNotNull())
+    cuts = F.when(of("todo/write"), listed).otherwise(cuts)
+    shown = F.when(of("user/message"), kept["user"]).when(of("assistant/message"), kept["assistant"]).when(of("tool/result"), kept["result"])
+    rows = rows.withColumn("fields", made).where(F.col("fields").isNotNull())
+    return rows.select("session_id", "seq", "type", _kind_of("fields").alias("kind"), F.coalesce(shown, F.lit("")).alias("text"), "fields", F.coalesce(cuts, F.array().cast(CUT)).alias("truncation"))
+
+
+def _kind_of(fields: str) -> Column:
+    return F.get_json_object(fields, "$.kind")
 
 
 def goal_view() -> Column:
@@ -98,7 +205,8 @@ def frame(events: list[dict], base: str) -> str:
 def byte_windows(events: DataFrame, most_events: int, most_bytes: int, base: str = "") -> DataFrame:
     """(session_id, outcome, n, source_cursor, bytes) of each session's next fold: a window, or infeasible if the first event alone is too large.
 
-    A frame's size isn't the sum of its events' (views are resolved anew for each prefix), so a fold runs over each session.
+    A frame's size isn't the sum of its events' (views are resolved anew for each prefix), so a fold runs over the first
+    `most_events` events of each session, and no others leave the JVM.
     """
 
     def fold(group: pd.DataFrame) -> pd.DataFrame:
@@ -117,34 +225,84 @@ def byte_windows(events: DataFrame, most_events: int, most_bytes: int, base: str
                 held, size = more, n
         return pd.DataFrame([(int(group["session_id"].iloc[0]), outcome, len(held), held[-1]["seq"] if held else None, size)], columns=["session_id", "outcome", "n", "source_cursor", "bytes"]).astype({"source_cursor": "Int64"})
 
-    columns = events.select("session_id", "seq", "type", "kind", "text")
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("seq"))
+    columns = events.select("session_id", "seq", "type", "kind", "text").withColumn("_place", place).where(F.col("_place") <= most_events).drop("_place")
     return columns.groupBy("session_id").applyInPandas(fold, "session_id long, outcome string, n long, source_cursor long, bytes long")
 
 
-def json_leaves(rows: DataFrame, column: str, most_items: int = 8, most_depth: int = 6) -> DataFrame:
-    """`rows` with column leaves: a map from dotted paths to texts. Long arrays and deep values end in an ellipsis; blanks and base64 go."""
-    import re
-
-    binary = re.compile(r"(?:[A-Za-z0-9+/]{16,}={0,2}|data:[^;,]{1,40};base64,)")
-
-    def walk(value: object, path: str, depth: int) -> Iterator[tuple[str, str]]:
-        if depth > most_depth:
-            yield f"{path}…", "…"
-        elif isinstance(value, str):
-            if value.strip() and not binary.match(value):
-                yield path, value
-        elif isinstance(value, bool):
-            yield path, str(value).lower()
-        elif isinstance(value, (int, float)):
-            yield path, json.dumps(value)
-        elif isinstance(value, list):
-            for i, child in enumerate(value[:most_items]):
-                yield from walk(child, f"{path}[{i}]", depth + 1)
-            if len(value) > most_items:
-                yield f"{path}[{most_items}…]", "…"
-        elif isinstance(value, dict):
-            for key, child in value.items():
-                yield from walk(child, f"{path}.{key}" if path else key, depth + 1)
+# How far a walk over a payload goes, and what binary leaves look like.
+MOST_ITEMS, MOST_DEPTH = 8, 6
+BINARY = re.compile(r"(?:[A-Za-z0-9+/]{16,}={0,2}|data:[^;,]{1,40};base64,)")
+
+
+def _leaves(value: object, path: str, depth: int, most_items: int = MOST_ITEMS, most_depth: int = MOST_DEPTH) -> Iterator[tuple[str, str]]:
+    """(path, text) of the leaves of a parsed value. Long arrays and deep values end in an ellipsis; blanks and base64 go."""
+    if depth > most_depth:
+        yield f"{path}…", "…"
+    elif isinstance(value, str):
+        if value.strip() and not BINARY.match(value.strip()):
+            yield path, value
+    elif isinstance(value, bool):
+        yield path, str(value).lower()
+    elif isinstance(value, (int, float)):
+        yield path, str(int(value)) if float(value).is_integer() and abs(value) < 1e21 else json.dumps(value)
+    elif isinstance(value, list):
+        for i, child in enumerate(value[:most_items]):
+            yield from _leaves(child, f"{path}[{i}]", depth + 1, most_items, most_depth)
+        if len(value) > most_items:
+            yield f"{path}[{most_items}…]", "…"
+    elif isinstance(value, dict):
+        for key, child in value.items():
+            yield from _leaves(child, f"{path}.{key}" if path else key, depth + 1, most_items, most_depth)
+
+
+def _no_json(name: str) -> object:
+    raise ValueError(name)
+
+
+def rendered_leaves(limit: int):
+    """A column function of (type, data): the leaves of a call's arguments or a result's meta as a JSON object, and those that were cut.
+
+    The first of leaves with the same path counts. Arguments that are no JSON stay as they are.
+    """
+    made = f"struct<rendered: string, cut: {CUT}>"
+
+    def bounded(value: str) -> tuple[str, bool]:
+        raw = value.encode("utf-8", "surrogatepass")
+        return (value, False) if len(raw) <= limit else (raw[: limit - text.ELLIPSIS_BYTES].decode("utf-8", "ignore") + text.ELLIPSIS, True)
+
+    @F.pandas_udf(made)
+    def leaves(types: pd.Series, payloads: pd.Series) -> pd.DataFrame:
+        def one(kind: str | None, payload: str | None) -> tuple[str | None, list[dict]]:
+            if kind is None or payload is None:
+                return None, []
+            data = json.loads(payload)
+            if kind == "tool/call":
+                raw = data.get("arguments")
+                raw = raw.strip() if isinstance(raw, str) else ""
+                try:
+                    found = _leaves(json.loads(raw, parse_constant=_no_json), "", 0)
+                except ValueError:
+                    return raw, []
+            else:
+                found = _leaves(data.get("meta"), "meta", 0)
+            record: dict[str, str] = {}
+            cut = []
+            for path, value in found:
+                kept, shorter = bounded(value)
+                if shorter:
+                    cut.append({"path": path, "limit_bytes": limit, "kept_bytes": len(kept.encode("utf-8", "surrogatepass"))})
+                record.setdefault(path, kept)
+            return (json.dumps(record, ensure_ascii=False, separators=(",", ":")) if record else ""), cut
+
+        rows = [one(k, d) for k, d in zip(types, payloads, strict=True)]
+        return pd.DataFrame({"rendered": [r[0] for r in rows], "cut": [r[1] for r in rows]})
+
+    return leaves
+
+
+def json_leaves(rows: DataFrame, column: str, most_items: int = MOST_ITEMS, most_depth: int = MOST_DEPTH) -> DataFrame:
+    """`rows` with column leaves: a map from dotted paths to texts; texts that are no JSON have none."""
 
     @F.pandas_udf("map<string, string>")
     def leaves(texts: pd.Series) -> pd.Series:
@@ -154,7 +312,7 @@ def json_leaves(rows: DataFrame, column: str, most_items: int = 8, most_depth: i
                 value = json.loads(raw) if raw else None
             except ValueError:
                 value = None
-            for path, leaf in walk(value, "", 0):
+            for path, leaf in _leaves(value, "", 0, most_items, most_depth):
                 found.setdefault(path, leaf)
             return found
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstrand.operators.events import ELIGIBLE
+from loomstrand.operators.events import ELIGIBLE, projected
 
 
 def misaligned(surface: DataFrame, prices: DataFrame) -> DataFrame:
@@ -50,11 +50,18 @@ def in_older_range(mode: Column, pos: Column, first: Column, last: Column) -> Co
     return F.coalesce((mode == "all") | ((mode == "range") & pos.between(first, last)), F.lit(False))
 
 
-def backlog(log: DataFrame, cursors: DataFrame) -> DataFrame:
-    """(session_id, waiting, high_water): eligible events above each cursor, and the newest eligible seq, 0 without any."""
-    eligible = log.where(F.col("type").isin(*ELIGIBLE)).groupBy("session_id", "seq").agg(F.lit(1).alias("one"))
-    rows = cursors.join(eligible, "session_id", "left")
-    return rows.groupBy("session_id").agg(F.count_if(F.col("seq") > F.col("cursor")).alias("waiting"), F.coalesce(F.max("seq"), F.lit(0).cast("long")).alias("high_water"))
+def backlog(log: DataFrame, cursors: DataFrame, slot_kind: str = "slot") -> DataFrame:
+    """(session_id, waiting, high_water) for logs of (session_id, seq, type, data).
+
+    What waits are events above the cursor of which the projection keeps something. The high water is the newest seq of an
+    eligible type, whatever it says, but for messages of a slot itself; 0 without any.
+    """
+    waiting = projected(log).join(cursors, "session_id").where(F.col("seq") > F.col("cursor")).groupBy("session_id").agg(F.count("*").alias("waiting"))
+    slot = (F.col("type") == "user/message") & (F.coalesce(F.get_json_object("data", "$.source.kind"), F.lit("")) == slot_kind)
+    newest = log.where(F.col("type").isin(*ELIGIBLE) & ~slot).groupBy("session_id").agg(F.max("seq").alias("high_water"))
+    rows = cursors.select("session_id").join(waiting, "session_id", "left").join(newest, "session_id", "left")
+    zero = F.lit(0).cast("long")
+    return rows.select("session_id", F.coalesce("waiting", zero).alias("waiting"), F.coalesce("high_water", zero).alias("high_water"))
 
 
 def commit_fences(attempts: DataFrame, now: DataFrame) -> DataFrame:

@@ -158,11 +158,11 @@ ORACLE_SQL = {
         where type in ('user/message', 'assistant/message', 'tool/result') and (session_id, seq) not in (select session_id, seq from gone)""",
     "surface_generations": f"with {TOOL_LOG}, {REPLACED} select session_id, count(*) filter (len(covers) > 0) as generation from rlog group by 1",
     "turns_after": f"with {TOOL_LOG} select session_id, seq, count(*) filter (type = 'turn/end' and reason = 'completed') over (partition by session_id order by seq rows between 1 following and unbounded following) as turns_after from tool_log",
-    "source_index": f"""with {TOOL_LOG}, {REPLACED}, p as (select session_id, seq, shadow from rlog where type = 'compaction/prune'),
-        done as (select session_id, seq from rlog where type = 'turn/end' and reason = 'completed'),
-        k as (select r.session_id, r.seq, case when r.type = 'user/message' and len(covers) > 0 then 'history-summary' when r.type <> 'tool/result' or len(covers) = 0 then 'original'
-          when p.seq is not null and p.shadow = covers[1] then 'tool-pruned' else 'unknown-replacement' end as kind
-          from rlog r left join p on p.session_id = r.session_id and p.seq = r.seq - 1 where r.type in ('user/message', 'assistant/message', 'tool/result'))
+    "source_index": f"""with {TOOL_LOG}, {REPLACED}, w as (select session_id, seq, type, covers, lag(seq) over s as before, lag(type) over s as before_type, lag(shadow) over s as before_shadow
+          from rlog window s as (partition by session_id order by seq)),
+        k as (select session_id, seq, case when type = 'user/message' and len(covers) > 0 then 'history-summary' when type <> 'tool/result' or len(covers) = 0 then 'original'
+          when before = seq - 1 and before_type = 'compaction/prune' and before_shadow = covers[1] then 'tool-pruned' else 'unknown-replacement' end as kind
+          from w where type in ('user/message', 'assistant/message', 'tool/result'))
         select session_id, seq, kind, cast(0 as bigint) as turns_after, kind = 'original' as foldable from k""",
     "provenance_digest": f"""with {TOOL_LOG}, {REPLACED} select session_id, seq, sha256('v1|' || session_id || '|' || seq || '|' || type || '|' || array_to_string(covers, ',')) as digest from rlog where len(covers) > 0""",
     "evidence_counters": f"""with {TOOL_LOG}, {REPLACED} select session_id, count(*) filter (type = 'request/header') as requests, count(*) filter (type = 'compaction/prune') as pruner,
@@ -171,11 +171,33 @@ ORACLE_SQL = {
         held as (select session_id, seq, k % 3 as lock_id from ev s where event_type = 'click' and not exists (select 1 from ev e where e.session_id = s.session_id and e.seq > s.seq
           and ((e.event_type = 'view' and e.k % 3 = s.k % 3) or (e.event_type = 'error' and e.k % 9 = 0))))
         select session_id, max(seq) as seq, arg_max(lock_id, seq) as lock_id from held group by 1""",
-    "event_filter": """with c as (select conv_id as session_id, turn as seq, role, text, strlen(text) as n, [substr(text, 1, 200 - i) for i in range(0, 200)] as tries from conversations where trim(text) <> '')
-        select session_id, seq, case when role = 'assistant' then 'assistant/message' else 'user/message' end as type,
-          case when role = 'assistant' then 'assistant' when seq % 4 = 2 then 'goal-continuation' else 'user' end as kind,
-          case when n <= 200 then text else list_filter(tries, lambda t: strlen(t) <= 197)[1] || '…' end as text, n > 200 as truncated
-        from c where role = 'user' or (role = 'assistant' and seq % 7 <> 3)""",
+    "event_filter": """with c as (select conv_id as session_id, turn as seq, role, text from conversations where trim(text) <> '' and (role = 'user' or (role = 'assistant' and turn % 7 <> 3))),
+        ev as (select user_id as session_id, event_type, event_id as i, props, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k, row_number() over (partition by user_id order by ts, event_id) - 1 as seq,
+          sum(case when event_type = 'signup' then 1 else 0 end) over (partition by user_id order by ts, event_id rows unbounded preceding) as rev from events),
+        m as (select *, ['request/header', 'agent-preset/selected', 'compaction/start', 'compaction/end', 'plan/mode', 'command/run'][i % 6 + 1] as marker from ev where event_type = 'signup'),
+        rows as (
+        select session_id, seq, case role when 'user' then 'user/message' else 'assistant/message' end as type, case when role = 'assistant' then 'assistant' when seq % 4 = 2 then 'goal-continuation' else 'user' end as kind,
+          ',"text":' || to_json(text) as rest, '' as truncation from c
+        union all select session_id, seq, 'goal/change', 'goal/change', case when k = 0 then ',"operation":"clear"' else ',"operation":"set","goal":{"id":"g' || k % 7 || '","revision":' || rev || ',"objective":"objective ' || i || '"}' end, '' from ev where event_type = 'signup'
+        union all select session_id, seq, 'todo/write', 'todo/write', case when k % 5 = 0 then ',"status":"cleared","todos":[]' else ',"status":"current","todos":[{"content":"task ' || i || '","status":"' || case when k % 2 = 0 then 'done' else '' end || '"}]' end, '' from ev where event_type = 'view'
+        union all select session_id, seq, 'tool/call', 'tool/call', ',"name":"tool_' || k % 5 || '","callId":"c' || i || '","arguments":"' ||
+            case when k % 9 = 0 then 'raw ' || repeat('xé', 664) || 'x…' when k % 4 = 0 then 'not json ' || i else '{\\"k\\":\\"' || k || '\\"}' end || '"', case when k % 9 = 0 then 'tool/call.arguments:2000:2000' else '' end from ev where event_type = 'click'
+        union all select session_id, seq, 'tool/result', 'tool/result', ',"callId":"c' || i || '","isError":' || case when k % 2 = 0 then 'true' else 'false' end || case when k % 7 = 0 then '' else ',"text":"result ' || i || '"' end ||
+            case when k % 5 <> 0 then '' when k % 2 = 0 then ',"error":{"name":"ToolError","code":"E' || k % 3 || '"}' else ',"error":{"name":"ToolError"}' end ||
+            case when k % 3 <> 0 then '' else ',"meta":"{\\"meta.k\\":\\"' || k || '\\",\\"meta.note\\":\\"' || case when k % 2 = 0 then left(repeat('no ', 250), 397) || '…' else 'no no ' end || '\\"}"' end,
+            case when k % 6 = 0 then 'meta.note:400:400' else '' end from ev where event_type = 'view' and (k % 7 <> 0 or k % 5 = 0 or k % 3 = 0)
+        union all select session_id, seq, 'turn/end', 'turn/end', ',"turn":' || k || ',"reason":{"kind":' || case k % 3 when 0 then '"completed"' when 1 then '"aborted","reason":{"kind":"' || case when k % 2 = 0 then 'user' else 'unknown' end || '"}'
+            else '"error"' || case when k % 2 = 0 then ',"code":"E1"' else '' end end || '}', '' from ev where event_type = 'error'
+        union all select session_id, seq, marker, marker, case marker
+            when 'request/header' then ',"reason":"' || case when k % 4 = 1 then 'change' else 'initial' end || '","provider":"p","model":"m' || k % 3 || '"' || case when k % 2 = 0 then ',"reasoningEffort":"high"' else '' end
+            when 'agent-preset/selected' then ',"preset":"preset ' || k || '"'
+            when 'compaction/start' then ',"compactionId":"z' || i || '"' || case when k % 2 = 0 then ',"turn":' || k else '' end
+            when 'compaction/end' then ',"compactionId":"z' || i || '"' || case when k % 2 = 0 then ',"error":"' || left(repeat('boom ', 100), 397) || '…"' else '' end
+            when 'plan/mode' then ',"active":' || case when k % 2 = 0 then 'true' else 'false' end
+            else ',"commandId":"r' || i || '","name":"' || case when k % 2 = 0 then 'plan' else 'goal' end || '"' || case when k % 3 = 0 then ',"args":"go on"' else '' end || ',"source":"user"' end,
+            case when marker = 'compaction/end' and k % 2 = 0 then 'compaction/end.error:400:400' else '' end
+          from m where not (marker = 'request/header' and (k % 4 = 0 or k % 5 = 0)) and not (marker in ('agent-preset/selected', 'command/run') and k % 5 = 0))
+        select session_id, seq, type, kind, '{"kind":"' || kind || '"' || rest || '}' as fields, truncation from rows""",
     "authority_views": f"""with {AUTHORITY}, g as (select session_id, max(seq) as seq from goals group by 1), t as (select session_id, max(seq) as seq from todos group by 1),
         ids as (select session_id from goals union select session_id from todos)
         select ids.session_id, goals.status as goal_status, goal_id, revision as goal_revision, objective, todos.status as todo_status, todos.seq as source_seq, items
@@ -287,12 +309,14 @@ ORACLE_SQL = {
         select a.session_id, s as range_id, case when x.pos is null then 'start-not-on-surface' when y.pos is null then 'end-not-on-surface' when x.pos > y.pos then 'reversed'
           when x.open_before <> 0 then 'open-before-start' when y.open_after <> 0 then 'open-after-end' end as reason
         from a left join cuts x on x.session_id = a.session_id and x.seq = s left join cuts y on y.session_id = a.session_id and y.seq = e""",
-    "fold_backlog": """with ev as (select user_id as session_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as seq from events),
+    "fold_backlog": """with ev as (select user_id as session_id, event_type, event_id as i, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k, row_number() over (partition by user_id order by ts, event_id) - 1 as seq from events),
         r as (select session_id as s, count(*) filter (event_type = 'click') as c, count(*) filter (event_type = 'view') as v, count(*) filter (event_type = 'error') as e from ev group by 1),
         m as (select *, case when s % 3 <> 0 then e end as b, case when s % 5 < 3 then case when s % 3 <> 0 then e end when s % 5 = 3 then e + 1 end as marker from r),
         k as (select s as session_id, case when marker is not null and marker is distinct from b then coalesce(b - 1, -1)
-          else greatest(case when c % 4 <> 0 then c else -1 end, case when v % 3 = 0 then v else -1 end, coalesce(b - 1, -1)) end as cursor from m)
-        select k.session_id, count(*) filter (seq > cursor) as waiting, coalesce(max(seq), 0) as high_water from k left join ev on ev.session_id = k.session_id and event_type in ('signup', 'view') group by 1""",
+          else greatest(case when c % 4 <> 0 then c else -1 end, case when v % 3 = 0 then v else -1 end, coalesce(b - 1, -1)) end as cursor from m),
+        said as (select *, case event_type when 'click' then true when 'error' then true when 'view' then k % 7 <> 0 or k % 5 = 0 or k % 3 = 0
+          else case i % 6 when 0 then k % 4 <> 0 and k % 5 <> 0 when 1 then k % 5 <> 0 when 5 then k % 5 <> 0 else true end end as means from ev where event_type <> 'purchase')
+        select k.session_id, count(*) filter (seq > cursor and means) as waiting, coalesce(max(seq), 0) as high_water from k left join said on said.session_id = k.session_id group by 1""",
     "audit_counts": f"""with {AUDIT}, c as (select session_id, case when status in ('success', 'manual', 'repair') then 'committed' when status in ('open', 'aborted') or (status = 'failure' and code in ('ABORTED', 'SERVICE_DISPOSED')) then 'aborted'
         when status = 'terminal-infeasible' or code = 'BUDGET' then 'terminal-infeasible' else 'transient-failure' end as classification from audit) select session_id, classification, count(*) as n from c group by 1, 2""",
 }

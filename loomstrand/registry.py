@@ -148,7 +148,9 @@ def compaction_lock(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def event_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is kept of every conversation and authority event."""
-    return events.projected(logs.json_log(spark, sf_dir))
+    log = logs.json_log(spark, sf_dir).unionByName(logs.authority_log(spark, sf_dir)).unionByName(logs.marker_log(spark, sf_dir))
+    cuts = F.transform("truncation", lambda c: F.concat_ws(":", c["path"], c["limit_bytes"], c["kept_bytes"]))
+    return events.projected(log).select("session_id", "seq", "type", "kind", "fields", F.array_join(cuts, ",").alias("truncation"))
 
 
 def authority_views(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,7 +176,7 @@ def batch_window_count(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def batch_window_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The next fold of every session within 20 events and 2,000 bytes."""
-    return events.byte_windows(events.projected(logs.json_log(spark, sf_dir)), 20, 2_000)
+    return events.byte_windows(events.projected(logs.json_log(spark, sf_dir), events.Limits(user_message=200, assistant_message=200)), 20, 2_000)
 
 
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,7 +340,7 @@ def span_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fold_backlog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eligible events that wait above every session's cursor."""
     cursors = reductions.effective_cursors(logs.cursor_records(spark, sf_dir))
-    return surfaces.backlog(logs.authority_log(spark, sf_dir), cursors)
+    return surfaces.backlog(logs.marker_log(spark, sf_dir), cursors)
 
 
 def audit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

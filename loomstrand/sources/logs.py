@@ -185,10 +185,52 @@ def json_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
     source = F.struct(F.when(F.col("role") == "user", F.when(F.col("turn") % 4 == 2, "goal").otherwise("user")).when(F.col("role") == "system", "plugin").otherwise("model").alias("kind"))
     content = F.array(F.struct(F.lit("text").alias("type"), F.col("text")))
-    payload = F.to_json(F.struct(source.alias("source"), content.alias("content"), (F.col("turn") % 7 == 3).alias("interrupted")))
+    spoken = F.col("role") == "assistant"
+    message = F.when(spoken, F.struct(content.alias("content")))
+    payload = F.to_json(F.struct(source.alias("source"), F.when(~spoken, content).alias("content"), message.alias("message"), (F.col("turn") % 7 == 3).alias("interrupted")))
     return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.when(F.col("role") == "assistant", "assistant/message").otherwise("user/message").alias("type"), payload.alias("data"))
 
 
+def marker_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool calls (clicks), tool results (views), ends of turns (errors) and markers of six types (signups) with JSON payloads.
+
+    Some arguments are no JSON or longer than their limit, some results are empty, some markers state nothing.
+    """
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    seq = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), seq.alias("seq"), "event_type", "event_id", "props", k.alias("k"))
+    k, number = F.col("k"), F.col("event_id").cast("string")
+    every = lambda n, c: F.when(k % n == 0, c)
+    pack = lambda **c: F.to_json(F.struct(*[v.alias(n) for n, v in c.items()]))
+    named = lambda **c: F.struct(*[v.alias(n) for n, v in c.items()])
+    arguments = F.when(k % 9 == 0, F.concat(F.lit("raw "), F.repeat(F.lit("xé"), 1500))).when(k % 4 == 0, F.concat(F.lit(" not json "), number)).otherwise(F.col("props"))
+    block = named(type=F.lit("tool-result"), toolCallId=F.concat(F.lit("c"), number), isError=k % 2 == 0, content=F.array(named(type=F.lit("text"), text=F.when(k % 7 == 0, " ").otherwise(F.concat(F.lit("result "), number)))))
+    error = every(5, named(name=F.lit("ToolError"), code=F.when(k % 2 == 0, F.concat(F.lit("E"), k % 3))))
+    meta = every(3, named(k=k, note=F.repeat(F.lit("no "), F.when(k % 2 == 0, 250).otherwise(2).cast("int"))))
+    reason = named(
+        kind=F.element_at(F.array(F.lit("completed"), F.lit("aborted"), F.lit("error")), (k % 3 + 1).cast("int")), reason=F.when((k % 3 == 1) & (k % 2 == 0), named(kind=F.lit("user"))), error=F.when((k % 3 == 2) & (k % 2 == 0), named(code=F.lit("E1")))
+    )
+    config = named(provider=F.lit("p"), model=F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("m"), k % 3)), reasoningEffort=every(2, F.lit("high")))
+    header = pack(reason=F.when(k % 4 == 0, "series").when(k % 4 == 1, "change").otherwise("initial"), header=named(config=config))
+    markers = {
+        "request/header": header,
+        "agent-preset/selected": pack(agentPreset=F.when(k % 5 == 0, "").otherwise(F.concat(F.lit("preset "), k))),
+        "compaction/start": pack(compactionId=F.concat(F.lit("z"), number), turn=every(2, k)),
+        "compaction/end": pack(compactionId=F.concat(F.lit("z"), number), error=every(2, F.repeat(F.lit("boom "), 100))),
+        "plan/mode": pack(active=k % 2 == 0),
+        "command/run": pack(commandId=F.concat(F.lit("r"), number), name=F.when(k % 5 == 0, "other").when(k % 2 == 0, "plan").otherwise("goal"), args=every(3, F.lit("go on")), source=named(kind=F.lit("user"))),
+    }
+    names = list(markers)
+    marked = F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % 6 + 1).cast("int"))
+    kind = F.when(F.col("event_type") == "click", "tool/call").when(F.col("event_type") == "view", "tool/result").when(F.col("event_type") == "error", "turn/end").when(F.col("event_type") == "signup", marked).otherwise("other")
+    rows = rows.withColumn("type", kind)
+    data = F.when(F.col("type") == "tool/call", pack(name=F.concat(F.lit("tool_"), k % 5), callId=F.concat(F.lit("c"), number), arguments=arguments))
+    data = data.when(F.col("type") == "tool/result", pack(message=named(content=F.array(block)), error=error, meta=meta)).when(F.col("type") == "turn/end", pack(turn=k, reason=reason))
+    for name, payload in markers.items():
+        data = data.when(F.col("type") == name, payload)
+    return rows.select("session_id", "seq", "type", data.alias("data"))
+
+
 def group_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(session_id, fingerprint, landed): replacements that the log proves, for the groups of some buyers."""
     rows = table(spark, sf_dir, "events").where("event_type = 'purchase' and event_id % 4 = 0")

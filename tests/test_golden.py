@@ -1,5 +1,7 @@
 """Values that the operators must give on small hand-made sessions."""
 
+import json
+
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -221,7 +223,47 @@ def test_event_projection(spark):
     ]
     log = spark.createDataFrame([(1, *r) for r in rows], "session_id long, seq long, type string, data string")
     found = {r.seq: (r.kind, r.text) for r in events.projected(log).collect()}
-    assert found.keys() == {0, 3, 6} and found[0] == ("user", "hi\nyou") and found[3] == ("assistant", "done") and found[6][0] == "turn-completed"
+    assert found.keys() == {0, 3, 6} and found[0] == ("user", "hi\nyou") and found[3] == ("assistant", "done") and found[6][0] == "turn/end"
+
+
+def test_projected_fields_and_cuts(spark):
+    rows = [
+        (0, "tool/call", '{"name":"' + "n" * 300 + '","callId":"c","arguments":"{\\"a\\":{\\"b\\":[1.0,true,null]},\\"t\\":\\"' + "é" * 300 + '\\"}"}'),
+        (1, "tool/call", '{"arguments":"{broken"}'),
+        (2, "tool/result", '{"message":{"content":[{"type":"tool-result","toolCallId":"c","isError":true,"content":[{"type":"text","text":"out"}]}]},"error":{"name":"E"},"meta":{"x":1}}'),
+        (3, "tool/result", '{"message":{"content":[{"type":"text","text":"no block of a result"}]}}'),
+        (4, "goal/change", '{"operation":"clear","cleared":{"id":"g","revision":3}}'),
+        (5, "goal/change", '{"operation":"set","goal":{"id":"g","revision":2,"phase":"active","objective":"o","maxGoalRounds":4,"blockedReason":{"code":"B"}},"roundsStarted":1}'),
+        (6, "request/header", '{"reason":"series","header":{"config":{"provider":"p","model":"m"}}}'),
+        (7, "request/header", '{"reason":"resume","header":{"config":{"provider":"p","model":"m"}}}'),
+        (8, "plan/mode", "{}"),
+        (9, "todo/write", '{"todos":[]}'),
+        (10, "compaction/end", '{"compactionId":"z","error":" "}'),
+        (11, "turn/end", '{"turn":2,"reason":{"kind":"aborted"}}'),
+        (12, "command/run", '{"commandId":"r","name":"compact"}'),
+        (13, "tool/call", "[1]"),
+    ]
+    log = spark.createDataFrame([(1, *r) for r in rows], "session_id long, seq long, type string, data string")
+    found = {r.seq: r for r in events.projected(log).collect()}
+    fields = {seq: json.loads(r.fields) for seq, r in found.items()}
+    assert found.keys() == {0, 1, 2, 4, 5, 7, 8, 9, 10, 11, 12}
+    assert json.loads(fields[0]["arguments"]) == {"a.b[0]": "1", "a.b[1]": "true", "t": "é" * 198 + "…"}
+    assert [tuple(c) for c in found[0].truncation] == [("tool/call.name", 200, 200), ("t", 400, 399)]
+    assert fields[1] == {"kind": "tool/call", "name": "", "callId": "", "arguments": "{broken"}
+    assert fields[2] == {"kind": "tool/result", "callId": "c", "isError": True, "text": "out", "error": {"name": "E"}, "meta": '{"meta.x":"1"}'}
+    assert fields[4] == {"kind": "goal/change", "operation": "clear", "clearedId": "g", "clearedRevision": 3}
+    assert fields[5]["goal"] == {"id": "g", "revision": 2, "phase": "active", "objective": "o", "maxGoalRounds": 4, "roundsStarted": 1, "blockedReason": "B"}
+    assert fields[8] == {"kind": "plan/mode", "active": False} and fields[9] == {"kind": "todo/write", "status": "cleared", "todos": []}
+    assert fields[10] == {"kind": "compaction/end", "compactionId": "z"} and fields[11]["reason"] == {"kind": "aborted", "reason": {"kind": "unknown"}}
+    assert fields[12] == {"kind": "command/run", "commandId": "r", "name": "compact"}
+
+
+def test_backlog_counts_what_is_kept_and_leaves_slots_out(spark):
+    said = '"content":[{"type":"text","text":"x"}]'
+    rows = [(1, 0, "user/message", f'{{"source":{{"kind":"user"}},{said}}}'), (1, 1, "user/message", f'{{"source":{{"kind":"plugin"}},{said}}}'), (1, 2, "user/message", f'{{"source":{{"kind":"slot"}},{said}}}'), (1, 3, "other", "{}"), (2, 0, "plan/mode", "{}")]
+    log = spark.createDataFrame(rows, "session_id long, seq long, type string, data string")
+    cursors = spark.createDataFrame([(1, -1), (2, 0), (3, -1)], "session_id long, cursor long")
+    assert {tuple(r) for r in surfaces.backlog(log, cursors).collect()} == {(1, 1, 1), (2, 0, 0), (3, 0, 0)}
 
 
 def test_byte_windows(spark):
