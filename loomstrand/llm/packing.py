@@ -31,7 +31,7 @@ GROUP_PIECES = 16_384
 #: Rounds of dissolving, and the share of sequences that a round may dissolve at most.
 ROUNDS, SHARE = 6, 4
 #: Entries that a worker keeps at most in each of two generations of words, and of parts of words, that it has tokenised.
-CACHE = 350_000
+CACHE = 120_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
