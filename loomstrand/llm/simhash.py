@@ -10,10 +10,11 @@ links it found, never all pairs.
 
 * `simhash_groups` links 64-bit fingerprints that differ in at most `DISTANCE` bits. Its masks are choices of
   `bands - DISTANCE` of `bands` bands, on one of which such a pair agrees wholly (exact, by the pigeonhole principle).
-* `similar_groups` links texts whose sets of word shingles have a Jaccard similarity of `SIMILARITY` or more, and needs no
-  fingerprint. Two such sets share one of their rarest shingles (exact, whatever order "rarest" is: the prefix filter), so only
-  sets that do can be candidates. First neighbours by size among them are held against the sets themselves, which joins most of
-  a group; then every other candidate pair that this left in two components. No link is made that wasn't verified.
+* `similar_groups` links texts whose sets of word shingles have a Jaccard similarity of `SIMILARITY` or more. The index finds
+  those whose fingerprints are near, and each such link is held against the sets themselves. An exact check follows for what
+  fingerprints don't see: two such sets share one of their rarest shingles, whatever order "rarest" is (the prefix filter), so
+  only sets that do can be candidates. Rounds try a spanning forest of the candidates between components, as long as half of
+  it holds; then every candidate pair that this left in two components is tried. No link is made that wasn't verified.
 
 Null and empty texts have fingerprint zero and link like others. Texts of fewer words than a shingle are one shingle.
 Repeated rows and ids stay rows of the result; a component without any id has a null component. An empty table gives
@@ -328,9 +329,13 @@ def shared_rarest(classes: DataFrame) -> DataFrame:
     return common.materialise(meeting(dealt, ["token"], int(count), BUCKETS).mapInArrow(shared, "node long, size int, place int, token long, block long"))
 
 
-def candidates(rows: DataFrame, similarity: float, near: bool) -> DataFrame:
-    """(a, b): pairs of rows of one partition, token and block that may be this similar. `near`: only of neighbours by size;
-    else all that differ in root, by sketches as well."""
+def candidates(rows: DataFrame, similarity: float, forest: bool) -> DataFrame:
+    """(a, b, apart): pairs of rows of one partition, token and block that differ in root and may be this similar, with how many
+    bits of their sketches differ. `forest`: in each task only pairs that those before them don't imply, if all of these hold.
+
+    Pairs are met by distance in the order of sizes. What belongs to the most frequent root of its group looks for nothing, as
+    the others look both ways: a group costs its rows times those outside that root.
+    """
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -340,35 +345,50 @@ def candidates(rows: DataFrame, similarity: float, near: bool) -> DataFrame:
         node, size, place, token, block = (table.column(c).to_numpy() for c in ("node", "size", "place", "token", "block"))
         order = np.lexsort((node, size, block, token))
         node, size, place, token, block = node[order], size[order].astype(np.int64), place[order], token[order], block[order]
+        bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(node), -1)[order]
+        names, own = np.unique(table.column("root").to_numpy()[order], return_inverse=True)
+        label = np.arange(len(names))
         firsts = np.flatnonzero(np.r_[True, (token[1:] != token[:-1]) | (block[1:] != block[:-1])])
-        end = np.repeat(np.r_[firsts[1:], len(node)], np.diff(np.r_[firsts, len(node)]))
-        at = np.arange(len(node))
-        if not near:
-            root = table.column("root").to_numpy()[order]
-            bits = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(len(node), -1)[order]
-            least, most = np.minimum.reduceat(root, firsts), np.maximum.reduceat(root, firsts)
-            at = at[np.repeat(least != most, np.diff(np.r_[firsts, len(node)]))]
+        many = np.diff(np.r_[firsts, len(node)])
+        group, begin, end = (np.repeat(v, many) for v in (np.arange(len(firsts)), firsts, firsts + many))
         found: list[np.ndarray] = []
         pairs = step = 0
 
+        def outside() -> np.ndarray:
+            """Whether a row's root isn't the most frequent one of its group."""
+            values, counts = np.unique(group * len(names) + label[own], return_counts=True)
+            first = np.lexsort((-counts, values // len(names)))
+            first = first[np.r_[True, np.diff(values[first] // len(names)) > 0]]
+            return (values[first] % len(names))[group] != label[own]
+
         def given() -> pa.RecordBatch:
-            both = np.unique(np.concatenate(found), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], ["a", "b"])
+            every = np.unique(np.concatenate(found), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(every[:, k]) for k in range(3)], ["a", "b", "apart"])
 
-        while len(at) and not (near and step):
+        while True:
             step += 1
-            at = at[at + step < end[at]]
-            at = at[size[at] >= similarity * size[at + step] - 1e-9]
-            x, y = at, at + step
-            kept = node[x] != node[y]
+            if step & (step - 1) == 0:
+                out = outside()
+                up = down = np.flatnonzero(out)
+            up = up[up + step < end[up]]
+            up = up[size[up] >= similarity * size[up + step] - 1e-9]
+            down = down[down - step >= begin[down]]
+            down = down[size[down - step] >= similarity * size[down] - 1e-9]
+            if not len(up) and not len(down):
+                break
+            x = np.r_[up, down[~out[down - step]] - step]
+            y = x + step
             both = size[x] + size[y]
+            kept = (node[x] != node[y]) & (label[own[x]] != label[own[y]])
             kept &= np.minimum(size[x] - place[x], size[y] - place[y]) >= similarity / (1 + similarity) * both - 1e-9
-            if not near:
-                kept &= root[x] != root[y]
-                x, y, both = x[kept], y[kept], both[kept]
-                kept = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64) <= (1 - similarity) / (1 + similarity) * both + 1e-9
-            x, y = node[x[kept]], node[y[kept]]
-            found.append(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1))
+            x, y, both = x[kept], y[kept], both[kept]
+            apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
+            kept = np.flatnonzero(apart <= (1 - similarity) / (1 + similarity) * both + 1e-9)
+            if forest:
+                kept = kept[np.argsort(apart[kept], kind="stable")]
+                kept = kept[joining(label, own[x[kept]], own[y[kept]])]
+            x, y, apart = node[x[kept]], node[y[kept]], apart[kept]
+            found.append(np.stack([np.minimum(x, y), np.maximum(x, y), apart], axis=1))
             pairs += len(x)
             if pairs > HELD_PAIRS:
                 yield given()
@@ -376,7 +396,20 @@ def candidates(rows: DataFrame, similarity: float, near: bool) -> DataFrame:
         if pairs:
             yield given()
 
-    return rows.mapInArrow(paired, "a long, b long").distinct()
+    return rows.mapInArrow(paired, "a long, b long, apart long").distinct()
+
+
+def joining(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of the links that join two trees of `label` when taken one after another; `label` then holds every node's root."""
+    taken = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = GrayIndex._top(label, x), GrayIndex._top(label, y)
+        if x != y:
+            label[max(x, y)] = min(x, y)
+            taken.append(k)
+    while taken and (label[label] != label).any():
+        label[:] = label[label]
+    return np.array(taken, dtype=np.int64)
 
 
 def listed(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, wide: bool) -> DataFrame:
@@ -451,12 +484,14 @@ def _rooted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.select(*links.columns, F.coalesce("_a", "a").alias("root_a"), F.coalesce("_b", "b").alias("root_b")).where("root_a <> root_b")
 
 
-def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: DataFrame | None) -> DataFrame:
-    """(node, root) after the components of `roots` are joined by those of `links` (a, b, apart) that are verified.
+def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: DataFrame | None) -> tuple[DataFrame, bool]:
+    """(node, root) after the components of `roots` are joined by those of `links` (a, b, apart) that are verified, and whether
+    half of the links that were tried were.
 
     In each of `PICKS` rounds every component tries its link of fewest differing bits only; what then still leads from one
     component to another is tried at once. So few sets move, and yet no link is lost.
     """
+    tries = right = 0
     for turn in range(PICKS + 1):
         links = common.materialise(_rooted(links, roots).select("a", "b", "apart", "root_a", "root_b"))
         if not links.head(1):
@@ -467,8 +502,10 @@ def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: D
             tried = ends.groupBy("root").agg(F.min("rank").alias("best")).select("best.*").distinct()
             tried = common.materialise(tried.join(links.select("a", "b", "root_a", "root_b"), ["a", "b"]))
         good = verified(tried, items, similarity)
+        now = good.count()
+        tries, right = tries + tried.count(), right + now
         links = links.drop("root_a", "root_b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        if good.head(1):
+        if now:
             found = components(tried.join(good, ["a", "b"]), "root_a", "root_b")
             if roots is None:
                 roots = found
@@ -476,7 +513,9 @@ def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: D
                 moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_now")), "root", "left")
                 fresh = found.join(roots.select("node"), "node", "left_anti")
                 roots = common.materialise(moved.select("node", F.coalesce("_now", "root").alias("root")).unionByName(fresh))
-    return roots if roots is not None else links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    if roots is None:
+        roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
+    return roots, 0 < tries <= 2 * right
 
 
 def _named(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -506,24 +545,33 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
         for batch in common.slices(batches, "text"):
             found = [shingle_set(t, shingle) for t in batch.column("text").to_pylist()]
             columns = [pa.array([n for n, _ in found], pa.int64()), pa.array([len(i) for _, i in found], pa.int32())]
-            columns += [pa.array([of(i) for _, i in found], pa.binary()) for of in (lambda i: rarest(i, known.value, similarity).tobytes(), sketch)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "size", "head", "sketch"])
+            makers = (lambda i: majority(i).tobytes(), lambda i: rarest(i, known.value, similarity).tobytes(), sketch)
+            columns += [pa.array([of(i) for _, i in found], pa.binary()) for of in makers]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", "node", "size", "code", "head", "sketch"])
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = common.materialise(texts.mapInArrow(made, "doc_id long, node long, size int, head binary, sketch binary"))
-    classes = common.materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "head", "sketch")]))
-    shared = shared_rarest(classes)
+    prints = common.materialise(texts.mapInArrow(made, "doc_id long, node long, size int, code binary, head binary, sketch binary"))
+    rows = prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "code", "head", "sketch")])
+    classes = common.materialise(rows)
 
-    def merged(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    def merged(links: DataFrame, roots: DataFrame | None, wide: bool = False) -> tuple[DataFrame, bool]:
         links = common.materialise(links)
-        links = sketched(links, listed(links, classes, docs, shingle, wide=True), classes, similarity)
+        if wide:
+            links = sketched(links, listed(links, classes, docs, shingle, wide=True), classes, similarity)
         return joined_roots(links, listed(links, classes, docs, shingle, wide=False), similarity, roots)
 
-    roots = merged(candidates(shared, similarity, near=True), None)
-    rooted = classes.select("node", "sketch").join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
-    apart = shared.join(rooted, "node").repartition(shared.rdd.getNumPartitions(), "token", "block")
-    roots = merged(candidates(apart, similarity, near=False), roots)
-    return _named(prints.select("doc_id", "node"), classes, roots).select("doc_id", "component_id")
+    count = classes.count()
+    near = fingerprint_links(classes, count, band_masks(count), DISTANCE).distinct().withColumn("apart", F.lit(0).cast("long"))
+    roots, _ = merged(near, None)
+    shared = shared_rarest(classes)
+    forest = True
+    while True:
+        rooted = classes.select("node", "sketch").join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
+        apart = shared.join(rooted, "node").repartition(shared.rdd.getNumPartitions(), "token", "block")
+        roots, more = merged(candidates(apart, similarity, forest), roots, wide=not forest)
+        if not forest:
+            return _named(prints.select("doc_id", "node"), classes, roots).select("doc_id", "component_id")
+        forest = more
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
