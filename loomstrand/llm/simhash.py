@@ -484,14 +484,13 @@ def _rooted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.select(*links.columns, F.coalesce("_a", "a").alias("root_a"), F.coalesce("_b", "b").alias("root_b")).where("root_a <> root_b")
 
 
-def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: DataFrame | None) -> tuple[DataFrame, bool]:
-    """(node, root) after the components of `roots` are joined by those of `links` (a, b, apart) that are verified, and whether
-    half of the links that were tried were.
+def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: DataFrame | None) -> tuple[DataFrame, int]:
+    """(node, root) after the components of `roots` are joined by those of `links` (a, b, apart) that are verified, and how many were.
 
     In each of `PICKS` rounds every component tries its link of fewest differing bits only; what then still leads from one
     component to another is tried at once. So few sets move, and yet no link is lost.
     """
-    tries = right = 0
+    right = 0
     for turn in range(PICKS + 1):
         links = common.materialise(_rooted(links, roots).select("a", "b", "apart", "root_a", "root_b"))
         if not links.head(1):
@@ -503,7 +502,7 @@ def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: D
             tried = common.materialise(tried.join(links.select("a", "b", "root_a", "root_b"), ["a", "b"]))
         good = verified(tried, items, similarity)
         now = good.count()
-        tries, right = tries + tried.count(), right + now
+        right += now
         links = links.drop("root_a", "root_b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
         if now:
             found = components(tried.join(good, ["a", "b"]), "root_a", "root_b")
@@ -515,7 +514,7 @@ def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: D
                 roots = common.materialise(moved.select("node", F.coalesce("_now", "root").alias("root")).unionByName(fresh))
     if roots is None:
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
-    return roots, 0 < tries <= 2 * right
+    return roots, right
 
 
 def _named(prints: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
@@ -554,21 +553,22 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     rows = prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "code", "head", "sketch")])
     classes = common.materialise(rows)
 
-    def merged(links: DataFrame, roots: DataFrame | None, wide: bool = False) -> tuple[DataFrame, bool]:
+    def merged(links: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, bool]:
         links = common.materialise(links)
-        if wide:
-            links = sketched(links, listed(links, classes, docs, shingle, wide=True), classes, similarity)
-        return joined_roots(links, listed(links, classes, docs, shingle, wide=False), similarity, roots)
+        tries = links.count()
+        links = sketched(links, listed(links, classes, docs, shingle, wide=True), classes, similarity)
+        roots, right = joined_roots(links, listed(links, classes, docs, shingle, wide=False), similarity, roots)
+        return roots, 0 < tries <= 2 * right
 
     count = classes.count()
-    near = fingerprint_links(classes, count, band_masks(count), DISTANCE).distinct().withColumn("apart", F.lit(0).cast("long"))
+    near = fingerprint_links(classes, count, band_masks(count), DISTANCE).distinct()
     roots, _ = merged(near, None)
     shared = shared_rarest(classes)
     forest = True
     while True:
         rooted = classes.select("node", "sketch").join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
         apart = shared.join(rooted, "node").repartition(shared.rdd.getNumPartitions(), "token", "block")
-        roots, more = merged(candidates(apart, similarity, forest), roots, wide=not forest)
+        roots, more = merged(candidates(apart, similarity, forest), roots)
         if not forest:
             return _named(prints.select("doc_id", "node"), classes, roots).select("doc_id", "component_id")
         forest = more
