@@ -44,8 +44,6 @@ SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
 SAMPLED, COMMON, SAMPLE_ROWS = 16, 2000, 2500
 #: Bits of a set's parity sketch, and pairs that a task holds before it gives them back.
 SKETCH, HELD_PAIRS = 512, 1 << 20
-#: Rounds in which every component tries one link.
-PICKS = 1
 #: Ids of texts that are fetched again are broadcast up to so many, and joined beyond.
 FETCHED = 1_000_000
 #: Buckets in which shingles are counted before single ones are.
@@ -484,19 +482,19 @@ def _rooted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
     return rows.select(*links.columns, F.coalesce("_a", "a").alias("root_a"), F.coalesce("_b", "b").alias("root_b")).where("root_a <> root_b")
 
 
-def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: DataFrame | None) -> tuple[DataFrame, int]:
+def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: DataFrame | None, picks: int) -> tuple[DataFrame, int]:
     """(node, root) after the components of `roots` are joined by those of `links` (a, b, apart) that are verified, and how many were.
 
-    In each of `PICKS` rounds every component tries its link of fewest differing bits only; what then still leads from one
+    In each of `picks` rounds every component tries its link of fewest differing bits only; what then still leads from one
     component to another is tried at once. So few sets move, and yet no link is lost.
     """
     right = 0
-    for turn in range(PICKS + 1):
+    for turn in range(picks + 1):
         links = common.materialise(_rooted(links, roots).select("a", "b", "apart", "root_a", "root_b"))
         if not links.head(1):
             break
         tried = links
-        if turn < PICKS:
+        if turn < picks:
             ends = links.select("a", "b", F.struct("apart", "a", "b").alias("rank"), F.explode(F.array("root_a", "root_b")).alias("root"))
             tried = ends.groupBy("root").agg(F.min("rank").alias("best")).select("best.*").distinct()
             tried = common.materialise(tried.join(links.select("a", "b", "root_a", "root_b"), ["a", "b"]))
@@ -553,22 +551,23 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     rows = prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "code", "head", "sketch")])
     classes = common.materialise(rows)
 
-    def merged(links: DataFrame, roots: DataFrame | None) -> tuple[DataFrame, bool]:
+    def merged(links: DataFrame, roots: DataFrame | None, picks: int) -> tuple[DataFrame, bool]:
         links = common.materialise(links)
         tries = links.count()
         links = sketched(links, listed(links, classes, docs, shingle, wide=True), classes, similarity)
-        roots, right = joined_roots(links, listed(links, classes, docs, shingle, wide=False), similarity, roots)
+        roots, right = joined_roots(links, listed(links, classes, docs, shingle, wide=False), similarity, roots, picks)
         return roots, 0 < tries <= 2 * right
 
     count = classes.count()
     near = fingerprint_links(classes, count, band_masks(count), DISTANCE).distinct()
-    roots, _ = merged(near, None)
+    roots, _ = merged(near, None, 0)
     shared = shared_rarest(classes)
     forest = True
     while True:
         rooted = classes.select("node", "sketch").join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
         apart = shared.join(rooted, "node").repartition(shared.rdd.getNumPartitions(), "token", "block")
-        roots, more = merged(candidates(apart, similarity, forest), roots)
+        #: What isn't a forest may name a pair of components many times, so each first tries its closest link.
+        roots, more = merged(candidates(apart, similarity, forest), roots, 0 if forest else 1)
         if not forest:
             return _named(prints.select("doc_id", "node"), classes, roots).select("doc_id", "component_id")
         forest = more
