@@ -106,6 +106,23 @@ def op2_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    import public_tokenizers
+
+    from loomstrand.llm.pieces import encoded
+
+    rows = encoded(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
+    return rows.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+        "agrees",
+    )
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_surrogates": op2_surrogates,
@@ -117,4 +134,5 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_neighbours": op9_neighbours,
     "op10_main_text": op10_main_text,
+    "op12_pieces": op12_pieces,
 }
