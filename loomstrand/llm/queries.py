@@ -7,7 +7,31 @@ from pyspark.sql import functions as F
 
 from loomstrand.llm.common import fold_of, table
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op13_divergence": r"""
+with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms,
+    row_number() over () as r from documents),
+w as (select r, lang, source, term, count(*) as n from (select r, lang, source, unnest(terms) as term from d) group by all),
+v as (select lang, term from w group by lang, term having count(distinct r) >= 10),
+g as (select distinct lang, source from d),
+vs as (select g.lang, count(distinct v.term) as v from (select distinct lang from g) g left join v using (lang) group by g.lang),
+c as (select g.lang, g.source, v.term, coalesce(k.n, 0) as n from g join v using (lang) left join
+    (select lang, source, term, sum(n) as n from w group by all) k using (lang, source, term)),
+t as (select lang, source, sum(n) as total from c group by all),
+p as (select c.lang, c.source, c.term, c.n, 1 + (1000000000::hugeint * (c.n + 2)) // (t.total + 2 * vs.v) as p from c join t using (lang, source) join vs using (lang)),
+l as (select lang, term, 1 + (1000000000::hugeint * (sum(n) + 2)) // (any_value(total) + 2 * any_value(v)) as q
+    from c join vs using (lang) join (select lang, sum(total) as total from t group by lang) using (lang) group by lang, term),
+pairs as (select a.lang, a.source, b.source as item from g a join g b on a.lang = b.lang and a.source <> b.source),
+f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // (a.p + b.p)) as value
+    from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+o as (select pairs.lang, pairs.source, 'pair' as part, pairs.item, coalesce(f.value, 0) as value from pairs left join f using (lang, source, item)
+    union all
+    select lang, source, 'term', term, ((p - q) * (p - q)) // (p + q) from p join l using (lang, term) where n > 0 and p > q)
+select lang, source, part, item, cast(value as bigint) as value,
+    cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank
+from o qualify part = 'pair' or rank <= 10""",
+}
 
 
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,6 +147,14 @@ def op12_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Divergence of every two sources of a language, and the terms that set each source apart."""
+    from loomstrand.llm.divergence import divergence
+
+    return divergence(table(spark, sf_dir, "documents"))
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_surrogates": op2_surrogates,
@@ -135,4 +167,5 @@ QUERIES = {
     "op9_neighbours": op9_neighbours,
     "op10_main_text": op10_main_text,
     "op12_pieces": op12_pieces,
+    "op13_divergence": op13_divergence,
 }
