@@ -8,6 +8,33 @@ from pyspark.sql import functions as F
 from loomstrand.llm.common import fold_of, table
 
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle": r"""
+with recursive f as (select *, coalesce(cast(doc_id as varchar), '') as key from documents),
+c as (select *, list_reduce(list_prepend(4294967295::bigint, list_transform(range(1, length(key) + 1), lambda k: ascii(key[k])::bigint)), lambda a, b:
+    list_reduce(list_prepend(xor(a, b), range(0, 8)), lambda x, k: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end)) % 2 = 1 as tampered from f),
+d as (select doc_id, coalesce('s' || source, '') as tree, text, coalesce(strlen(cast(doc_id as varchar)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+    || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(cast(n_chars as varchar)) || ':' || n_chars, '-') as head,
+    case when tampered then replace(text, chr(10), '') else text end as now from c),
+leaf as (select doc_id, tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) as h, sha256(head || coalesce(strlen(now) || ':' || now, '-')) as g from d),
+placed as (select *, row_number() over (partition by tree order by doc_id nulls first, h) - 1 as i, count(*) over (partition by tree) as n from leaf),
+nodes(tree, level, i, h, n) as (select tree, 0, i, h, n from placed
+    union all select tree, level + 1, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from nodes where n > 1 group by tree, level, i // 3),
+sib as (select tree, level, i, h, n, coalesce(string_agg(h, '') over (partition by tree, level, i // 3 order by i rows between unbounded preceding and 1 preceding), '') as before,
+    coalesce(string_agg(h, '') over (partition by tree, level, i // 3 order by i rows between 1 following and unbounded following), '') as after from nodes),
+tops as (select tree, h, row_number() over (order by tree) - 1 as i, count(*) over () as n from nodes where n = 1),
+over_(level, i, h, n) as (select 0, i, h, n from tops
+    union all select level + 1, i // 3, sha256(string_agg(h, '' order by i)), (any_value(n) + 2) // 3 from over_ where n > 1 group by level, i // 3),
+sib2 as (select level, i, h, n, coalesce(string_agg(h, '') over (partition by level, i // 3 order by i rows between unbounded preceding and 1 preceding), '') as before,
+    coalesce(string_agg(h, '') over (partition by level, i // 3 order by i rows between 1 following and unbounded following), '') as after from over_),
+fold(tree, r, level, i, cur, proof) as (select tree, i, 0, i, g, '' from placed
+    union all select fold.tree, fold.r, fold.level + 1, fold.i // 3, sha256(before || cur || after), proof || before || after
+    from fold join sib on sib.tree = fold.tree and sib.level = fold.level and sib.i = fold.i where sib.n > 1),
+below as (select fold.tree, fold.r, fold.cur, fold.proof, tops.h as subroot, tops.i from fold join sib on sib.tree = fold.tree and sib.level = fold.level and sib.n = 1 join tops on tops.tree = fold.tree),
+fold2(tree, r, level, i, cur, proof, subroot) as (select tree, r, 0, i, cur, proof, subroot from below
+    union all select tree, r, fold2.level + 1, fold2.i // 3, sha256(before || cur || after), proof || before || after, subroot
+    from fold2 join sib2 on sib2.level = fold2.level and sib2.i = fold2.i where sib2.n > 1)
+select doc_id, placed.h as leaf, subroot, sib2.h as root, sha256(proof) as proof_sha256, cur as folded_root, cur = sib2.h as verified
+from fold2 join sib2 on sib2.level = fold2.level and sib2.n = 1 join placed on placed.tree = fold2.tree and placed.i = fold2.r""",
     "op13_divergence": r"""
 with d as (select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
     regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') as terms,
@@ -155,6 +182,16 @@ def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, subroot, root and proof of every document, and what it folds to where line ends were lost."""
+    from loomstrand.llm.merkle import audited
+
+    tampered = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 2 == 0
+    found = audited(table(spark, sf_dir, "documents"), lambda text: F.when(tampered, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2("proof", 256).alias("proof_sha256"), "folded_root", "verified")
+
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_surrogates": op2_surrogates,
@@ -166,6 +203,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_neighbours": op9_neighbours,
     "op10_main_text": op10_main_text,
+    "op11_merkle": op11_merkle,
     "op12_pieces": op12_pieces,
     "op13_divergence": op13_divergence,
 }
