@@ -39,6 +39,82 @@ def certified_and_repairable(audit: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").agg(F.max("highest").alias("highest"), F.max(F.when(open_, F.struct("time", "request_id")))["request_id"].alias("repair_row"))
 
 
+#: Columns of an audit operation, and of the row that operations leave behind.
+OPERATION = ["session_id", "request_id", "op_no", "op", "created_at", "cwd", "revision", "outcome", "end_revision", "end_cursor", "stable_revision", "stable_cursor"]
+ROW = ["session_id", "request_id", "created_at", "cwd", "revision", "outcome", "end_revision", "end_cursor"]
+
+
+def operation_verdicts(operations: DataFrame) -> DataFrame:
+    """OPERATION rows with `verdict` and `opened`, what each came to.
+
+    `open` starts a row, once for each key. `finish` settles it, and a settled row stays as it is, but that a later success
+    replaces a repair. `settle` (a repair from the committed state) takes an open row only, of the same lifecycle and revision, and a
+    success or repair among them must name the committed revision and cursor. All of it is order within a key, so no
+    row waits for another key's.
+    """
+    key = Window.partitionBy("session_id", "request_id")
+    so_far = key.orderBy("op_no").rowsBetween(Window.unboundedPreceding, 0)
+    start = F.when(F.col("op") == "open", F.struct("op_no", "created_at", "cwd", "revision"))
+    rows = operations.withColumn("opened", F.first(start, ignorenulls=True).over(so_far))
+    opened, guarded = F.col("opened"), F.col("op") == "settle"
+    certifies = F.coalesce(F.col("outcome").isin("success", "repair"), F.lit(False))
+    refused = (
+        F.when(opened.isNull(), "missing-key")
+        .when(F.col("outcome").isNull(), "no-outcome")
+        .when(guarded & ~(F.col("created_at").eqNullSafe(opened["created_at"]) & F.col("cwd").eqNullSafe(opened["cwd"])), "other-lifecycle")
+        .when(guarded & ~opened["revision"].eqNullSafe(F.col("stable_revision")), "other-revision")
+        .when(guarded & certifies & ~(F.col("end_revision").eqNullSafe(F.col("stable_revision")) & F.col("end_cursor").eqNullSafe(F.col("stable_cursor"))), "uncertified")
+    )
+    rows = rows.withColumn("refused", F.when(F.col("op") != "open", refused))
+    good = (F.col("op") != "open") & F.col("refused").isNull()
+    rows = rows.withColumn("first_end", F.min(F.when(good, F.struct("op_no", "outcome"))).over(key))
+    late = good & (F.col("op") == "finish") & (F.col("outcome") == "success") & (F.col("first_end.outcome") == "repair") & (F.col("op_no") > F.col("first_end.op_no"))
+    rows = rows.withColumn("better", F.min(F.when(late, F.col("op_no"))).over(key))
+    verdict = (
+        F.when(F.col("op") == "open", F.when(F.col("op_no") == opened["op_no"], "opened").otherwise("already-open"))
+        .when(F.col("refused").isNotNull(), F.col("refused"))
+        .when(F.col("op_no") == F.col("first_end.op_no"), "settled")
+        .when(F.col("op_no") == F.col("better"), "repair-replaced")
+        .otherwise("already-settled")
+    )
+    return rows.withColumn("verdict", verdict).select(*OPERATION, "verdict", "opened")
+
+
+def merged_audit(rows: DataFrame | None, operations: DataFrame) -> DataFrame:
+    """ROW rows after OPERATION rows: those of `rows` (or none) and what the operations make of them, in order of op_no.
+
+    Rows that are there count as operations before all others, so that merging in any split gives the same table.
+    """
+    before = operations
+    if rows is not None:
+        null = lambda *names: [F.lit(None).cast("long").alias(n) for n in names]
+        started = rows.select("session_id", "request_id", F.lit(-2).cast("long").alias("op_no"), F.lit("open").alias("op"), "created_at", "cwd", "revision", F.lit(None).cast("string").alias("outcome"), *null("end_revision", "end_cursor", "stable_revision", "stable_cursor"))
+        ended = rows.where("outcome is not null").select("session_id", "request_id", F.lit(-1).cast("long").alias("op_no"), F.lit("finish").alias("op"), "created_at", "cwd", "revision", "outcome", "end_revision", "end_cursor", *null("stable_revision", "stable_cursor"))
+        before = operations.select(*OPERATION).unionByName(started).unionByName(ended)
+    done = operation_verdicts(before).where(F.col("verdict").isin("opened", "settled", "repair-replaced"))
+    last = F.max(F.when(F.col("op") != "open", F.struct("op_no", "outcome", "end_revision", "end_cursor"))).alias("end")
+    return done.groupBy("session_id", "request_id").agg(F.first("opened").alias("o"), last).select("session_id", "request_id", "o.created_at", "o.cwd", "o.revision", "end.outcome", "end.end_revision", "end.end_cursor")
+
+
+def group_store(rows: DataFrame | None, changes: DataFrame) -> DataFrame:
+    """Tool-group rows after changes (session_id, request_id, op_no, op, status, diagnostic, ...), newest last: `put` replaces a whole
+    row, `update` changes status and diagnostic of a row that is there and is lost where none is."""
+    known = changes.where("false").drop("op", "op_no") if rows is None else rows
+    at = lambda df, n, op: df.withColumns({"op_no": F.lit(n).cast("long"), "op": F.lit(op)})
+    everything = at(known, -1, "put").unionByName(changes)
+    fields = [c for c in known.columns if c not in ("session_id", "request_id", "status", "diagnostic")]
+    key = ["session_id", "request_id"]
+    whole = F.when(F.col("op") == "put", F.struct("op_no", *fields))
+    newest = everything.withColumn("_put", F.max(F.when(F.col("op") == "put", F.col("op_no"))).over(Window.partitionBy(*key))).where("op_no >= _put")
+    made = newest.groupBy(*key).agg(F.max(whole).alias("w"), F.max(F.struct("op_no", "status", "diagnostic")).alias("s"))
+    return made.select(*key, *[f"w.{c}" for c in fields], "s.status", "s.diagnostic").select(*known.columns)
+
+
+def records_for(rows: DataFrame, sessions: DataFrame) -> DataFrame:
+    """Rows of the sessions (session_id, created_at) whose creation time is known and the same; others' lifecycles don't show."""
+    return rows.join(sessions.where("created_at is not null").select("session_id", "created_at"), ["session_id", "created_at"], "left_semi")
+
+
 def recovery(audit: DataFrame, landed: DataFrame, owner: str) -> DataFrame:
     """(session_id, request_id, status, diagnostic): transitions that open and aborted rows owe to what the log proves.
 

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 
 from loomstrand.functions import budgets, text
 from loomstrand.operators import audits, checkpoints, events, reductions, replay, segments, slots, surfaces, zones
-from loomstrand.oracles import ORACLE_SQL as ORACLE_SQL
+from loomstrand.oracles import ORACLE_SQL as SURFACE_SQL
+from loomstrand.oracles_folds import ORACLE_SQL as FOLD_SQL
 from loomstrand.plans import config, pressure
 from loomstrand.sources import logs
 from loomstrand.streaming import control
 
+ORACLE_SQL = SURFACE_SQL | FOLD_SQL
 WINDOW = 60_000
 RECENT, FORGET = WINDOW // 5, WINDOW // 2
 
@@ -210,6 +212,20 @@ def control_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return control.latest(logs.control_frames(spark, sf_dir))
 
 
+def control_mirror(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every host shows after its baselines and updates."""
+    return control.mirror(logs.mirror_frames(spark, sf_dir))
+
+
+def audit_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit rows after all operations on them."""
+    return audits.merged_audit(None, logs.audit_operations(spark, sf_dir))
+
+
+def audit_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every operation on an audit row came to."""
+    return audits.operation_verdicts(logs.audit_operations(spark, sf_dir)).select("session_id", "request_id", "op_no", "op", "verdict")
+
 
 def slot_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every session's state as text within 420 bytes and 120 tokens."""
@@ -361,7 +377,7 @@ QUERIES = {
         token_estimate, zone_partition, zone_partition_safe, pairing_balance, forget_batch_plan, pressure_span_plan, legacy_tail_split,
         retained_tail_floor, envelope_budget, prune_documents, bounded_text, tool_segments, tool_groups, group_chunks, eligible_spans, surface_replay, surface_generations, turns_after,
         source_index, provenance_digest, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
-        batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, control_latest, slot_render, slot_decisions, summary_violations,
+        batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_decisions, summary_violations,
         entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
         prune_pass, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,
         surface_alignment, surface_ranges, span_checks, fold_backlog, audit_counts, pressure_totals,

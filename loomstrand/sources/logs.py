@@ -133,6 +133,27 @@ def audit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def audit_operations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What writers do to audit rows, five operations a request: rows are opened (or not), finished, and settled by repairs whose
+    lifecycle, revision or certificate don't always agree."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long") - 1
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), "event_type", place.alias("op_no"), k.alias("k"))
+    request, k = F.floor(F.col("op_no") / 5), F.col("k")
+    opens = F.when(F.col("op_no") % 5 == 0, k % 11 != 0).otherwise(F.col("event_type") == "signup")
+    outcomes = F.array(*[F.lit(x) for x in ("success", "repair", "failure", "aborted")])
+    one_if = lambda condition: condition.cast("long")
+    stable = request + one_if(k % 7 == 0)
+    return rows.select(
+        "session_id", F.concat(F.lit("q"), request.cast("string")).alias("request_id"), "op_no",
+        F.when(opens, "open").when(F.col("event_type").isin("purchase", "error"), "settle").otherwise("finish").alias("op"),
+        (F.col("session_id") * 10 + one_if(k % 13 == 0)).alias("created_at"),
+        F.when(F.col("session_id") % 4 != 0, F.concat(F.lit("dir"), one_if(k % 17 == 0))).alias("cwd"),
+        request.alias("revision"), F.when(~opens & (k % 29 != 0), F.element_at(outcomes, (k % 4 + 1).cast("int"))).alias("outcome"),
+        (stable + one_if(k % 19 == 0)).alias("end_revision"), (k + one_if(k % 23 == 0)).alias("end_cursor"), stable.alias("stable_revision"), k.alias("stable_cursor"),
+    )
+
+
 def group_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tool-group audit rows: five fingerprints a session, six states, claims of landed replacements."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
@@ -250,6 +271,23 @@ def control_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def mirror_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of eight hosts as they arrive: a host opens its stream anew every 400 events, the first 60 of which make the opening
+    baseline (in every seventh generation an empty one); errors carry no state."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 8).alias("host"), F.col("user_id").alias("session_id"), "event_id", "event_type", k.alias("k"))
+    place = F.row_number().over(Window.partitionBy("host").orderBy("event_id")).cast("long") - 1
+    rows = rows.withColumn("arrival", place).withColumn("generation", F.floor(F.col("arrival") / 400))
+    opening, empty = F.col("arrival") % 400 < 60, F.col("generation") % 7 == 6
+    held = rows.where(~(opening & empty & (F.col("arrival") % 400 > 0)))
+    opens_empty = opening & empty
+    return held.select(
+        "host", "generation", "arrival", F.when(opening, "baseline").otherwise("update").alias("kind"), F.when(~opens_empty, F.col("session_id")).alias("session_id"),
+        F.when(~opens_empty & (F.col("event_type") != "error"), F.col("k") + F.col("event_id") % 17).alias("revision"),
+        F.when(~opens_empty & (F.col("event_type") != "error"), F.concat(F.lit("state "), "event_id")).alias("stable"),
+    )
+
+
 def slot_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     """States to show: the newest goal and TODO list of each session, its last six purchases as facts, and its newest event."""
     from loomstrand.operators.events import authority_views

@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from loomstrand.operators import replay
-from loomstrand.sources import logs
+from loomstrand.sources import keyed, logs
 from loomstrand.streaming import control, folds
 
 
@@ -38,8 +38,10 @@ def test_control_upserts(spark, tmp_path):
     for i, rows in enumerate(frames):
         spark.createDataFrame(rows, "session_id long, arrival long, kind string, revision long, stable string").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
     stream = spark.readStream.schema("session_id long, arrival long, kind string, revision long, stable string").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
-    control.upsert_stream(stream, f"{tmp_path}/state", f"{tmp_path}/checkpoint").awaitTermination()
-    newest = spark.read.parquet(f"{tmp_path}/state/version=2").select("session_id", "revision", "stable")
+    store = keyed.KeyedTable(spark, f"{tmp_path}/state", ("session_id",), kept=1)
+    control.upsert_stream(stream, store, f"{tmp_path}/checkpoint").awaitTermination()
+    newest = store.read().select("session_id", "revision", "stable")
+    assert store.versions() == [3]
     assert sorted(map(tuple, newest.collect())) == [(1, 3, None), (2, 5, "b")]
     whole = spark.createDataFrame([r for rows in frames for r in rows], "session_id long, arrival long, kind string, revision long, stable string")
     assert sorted(map(tuple, control.latest(whole).collect())) == [(1, 3, None), (2, 5, "b")]
