@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstrand.functions.blocks import BLOCK, clipped, replaced, token_sum
 from loomstrand.functions.text import PRUNE_HEAD, PRUNE_MARKER, PRUNE_TAIL, PRUNE_THRESHOLD
 
 APPENDED = ["session_id", "seq", "type", "covers", "tokens"]
@@ -37,6 +38,55 @@ def prune_rows(zoned: DataFrame, ends: DataFrame, threshold: int = PRUNE_THRESHO
     return _pairs(chosen, ends, F.lit((head + len(PRUNE_MARKER) + tail + 3) // 4 + 8).cast("long"))
 
 
+LANDED = [*APPENDED, "blocks"]
+
+
+def _block_pairs(chosen: DataFrame, ends: DataFrame) -> DataFrame:
+    """LANDED rows of chosen nodes (session_id, pos, seq, tokens, made): a prune event with the old price, then the node with its new blocks."""
+    place = F.row_number().over(Window.partitionBy("session_id").orderBy("pos")).cast("long") - 1
+    rows = chosen.withColumn("_at", place).join(ends, "session_id").withColumn("_seq", F.col("next_seq") + 2 * F.col("_at"))
+    none = F.array().cast("array<bigint>")
+    prune = F.struct(F.col("_seq").alias("seq"), F.lit("compaction/prune").alias("type"), none.alias("covers"), F.col("tokens").alias("tokens"), F.lit(None).cast(f"array<{BLOCK}>").alias("blocks"))
+    new = F.struct((F.col("_seq") + 1).alias("seq"), F.lit("tool/result").alias("type"), F.array("seq").alias("covers"), token_sum(F.col("made")).alias("tokens"), F.col("made").cast(f"array<{BLOCK}>").alias("blocks"))
+    return rows.select("session_id", F.explode(F.array(prune, new)).alias("r")).select("session_id", "r.*")
+
+
+def block_prunes(results: DataFrame, ends: DataFrame, threshold: int = PRUNE_THRESHOLD, hard_limit: int = 2 * PRUNE_THRESHOLD, head: int = PRUNE_HEAD, tail: int = PRUNE_TAIL) -> DataFrame:
+    """LANDED rows of one prune pass over results (session_id, pos, seq, recent, blocks).
+
+    A result's text counts as a whole, whatever blocks it stands in; recent ones are held against the hard limit. Null contents and
+    those within their limit have no row.
+    """
+    blocks = F.col("blocks")
+    limits = {False: threshold, True: hard_limit}
+    made = {recent: clipped(blocks, limit, threshold, head, tail) for recent, limit in limits.items()}
+    rows = results.withColumn("made", F.when(F.col("recent"), made[True]).otherwise(made[False])).where("made is not null")
+    return _block_pairs(rows.withColumn("tokens", token_sum(blocks)), ends)
+
+
+def block_summaries(results: DataFrame, summaries: DataFrame, ends: DataFrame) -> DataFrame:
+    """LANDED rows of group summaries (session_id, seq, text) over results (session_id, pos, seq, blocks).
+
+    Each text takes the place of what the result's blocks say, where that makes the message cheaper; results without text, without a
+    tool-result block or without a summary stay as they are.
+    """
+    blocks = F.col("blocks")
+    rows = results.join(summaries.select("session_id", "seq", F.col("text").alias("_summary")), ["session_id", "seq"]).where("_summary is not null")
+    rows = rows.withColumns({"made": replaced(blocks, F.col("_summary")), "tokens": token_sum(blocks)}).where("made is not null")
+    return _block_pairs(rows.where(token_sum(F.col("made")) < F.col("tokens")), ends)
+
+
+def span_stability(spans: DataFrame, surface: DataFrame, whole: bool = False) -> DataFrame:
+    """(session_id, stable): whether a surface (session_id, pos, seq) still shows what a span (session_id, covers, ...) was chosen from.
+
+    The span's nodes must still stand side by side in their order; with `whole`, `covers` must be the whole surface.
+    """
+    nodes = surface.groupBy("session_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "seq"))), lambda n: n["seq"]).alias("_now"))
+    at = F.array_position("_now", F.get("covers", F.lit(0)))
+    same = F.col("_now") == F.col("covers") if whole else (at > 0) & (F.slice("_now", F.greatest(at, F.lit(1)).cast("int"), F.size("covers")) == F.col("covers"))
+    return spans.join(nodes, "session_id", "left").select("session_id", F.coalesce(same & (F.size("covers") > 0), F.lit(False)).alias("stable"))
+
+
 def group_rows(nodes: DataFrame, prices: DataFrame, ends: DataFrame) -> DataFrame:
     """APPENDED rows of group summaries: each result by its own summary, where that is cheaper than what it shadows.
 
@@ -49,15 +99,17 @@ def group_rows(nodes: DataFrame, prices: DataFrame, ends: DataFrame) -> DataFram
 def region_rows(spans: DataFrame, ends: DataFrame) -> DataFrame:
     """(session_id, seq, type, covers, error) of history summaries over `spans` (session_id, covers array, tokens, price).
 
-    A summary must be cheaper than its span: then start, summary, the replacing message and end are appended, else start and an end
-    that holds the error.
+    A summary must be cheaper than its span, and the span must be `stable` where that column is given (see `span_stability`): then
+    start, summary, the replacing message and end are appended, else start and an end that holds the error.
     """
-    rows = spans.join(ends, "session_id").withColumn("_good", F.col("price") < F.col("tokens"))
+    fault = F.when(~F.col("stable"), "span-changed") if "stable" in spans.columns else F.lit(None).cast("string")
+    rows = spans.join(ends, "session_id").withColumn("_fault", F.coalesce(fault, F.when(F.col("price") >= F.col("tokens"), "summary-not-smaller")))
     none = F.array().cast("array<bigint>")
-    row = lambda at, kind, covers=none, error=None: F.struct((F.col("next_seq") + at).alias("seq"), F.lit(kind).alias("type"), covers.alias("covers"), F.lit(error).cast("string").alias("error"))
+    no_error = F.lit(None).cast("string")
+    row = lambda at, kind, covers=none, error=no_error: F.struct((F.col("next_seq") + at).alias("seq"), F.lit(kind).alias("type"), covers.alias("covers"), error.alias("error"))
     good = F.array(row(0, "compaction/start"), row(1, "compaction/summary"), row(2, "user/message", F.col("covers")), row(3, "compaction/end"))
-    bad = F.array(row(0, "compaction/start"), row(1, "compaction/end", none, "summary-not-smaller"))
-    return rows.select("session_id", F.explode(F.when(F.col("_good"), good).otherwise(bad)).alias("r")).select("session_id", "r.*")
+    bad = F.array(row(0, "compaction/start"), row(1, "compaction/end", none, F.col("_fault")))
+    return rows.select("session_id", F.explode(F.when(F.col("_fault").isNull(), good).otherwise(bad)).alias("r")).select("session_id", "r.*")
 
 
 def summary_text(summary: Column, facts: Column, files: Column, errors: Column, unresolved: Column, seq: Column) -> Column:

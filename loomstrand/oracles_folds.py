@@ -26,7 +26,51 @@ fold(session_id, request_id, n, is_open, created_at, cwd, revision, outcome, end
         when o.op = 'finish' and f.outcome = 'repair' and o.outcome = 'success' then 'repair-replaced' else 'already-settled' end as v
     from fold f join ops o on o.session_id = f.session_id and o.request_id = f.request_id and o.n = f.n + 1))"""
 
+#: Blocks in order, written out by hand for each form of the derived messages.
+BLOCKS = """bt as (select doc_id as k, coalesce(text, '') as t, length(coalesce(text, '')) as n from documents),
+bp as (select k, k % 50 as session_id, k % 3 = 0 as recent, row_number() over (partition by k % 50 order by k) - 1 as pos, lambda_parts.* from bt,
+    lateral (select substr(t, 1, n * 15 // 100) as a, substr(t, n * 15 // 100 + 1, n * 40 // 100 - n * 15 // 100) as b, substr(t, n * 40 // 100 + 1, n * 55 // 100 - n * 40 // 100) as c,
+      substr(t, n * 55 // 100 + 1, n * 60 // 100 - n * 55 // 100) as d, substr(t, n * 60 // 100 + 1, n * 90 // 100 - n * 60 // 100) as e, substr(t, n * 90 // 100 + 1, n - n * 90 // 100) as f,
+      substr(t, 1, n * 50 // 100) as g, substr(t, n * 50 // 100 + 1, n - n * 50 // 100) as h, t as whole) as lambda_parts),
+br as (select *, '{"type":"image","data":"i' || k || '"}' as image from bp),
+bl as (select k, session_id, recent, pos, unnest(case
+    when k % 7 = 3 then [{'path': '0', 'kind': 'text', 'text': g}, {'path': '1', 'kind': 'image', 'text': null}, {'path': '2', 'kind': 'text', 'text': h}]
+    when k % 7 = 5 then [{'path': '0', 'kind': 'tool-result', 'text': null}, {'path': '0.0', 'kind': 'image', 'text': null}]
+    when k % 11 = 4 then [{'path': '0', 'kind': 'text', 'text': ''}, {'path': '1', 'kind': 'tool-result', 'text': null}, {'path': '1.0', 'kind': 'text', 'text': ''}, {'path': '1.1', 'kind': 'text', 'text': whole}]
+    else [{'path': '0', 'kind': 'text', 'text': a}, {'path': '1', 'kind': 'tool-result', 'text': null}, {'path': '1.0', 'kind': 'text', 'text': b}, {'path': '1.1', 'kind': 'image', 'text': null},
+      {'path': '1.2', 'kind': 'tool-result', 'text': null}, {'path': '1.2.0', 'kind': 'text', 'text': c}, {'path': '1.3', 'kind': 'text', 'text': d}, {'path': '2', 'kind': 'image', 'text': null},
+      {'path': '3', 'kind': 'text', 'text': e}, {'path': '4', 'kind': 'tool-result', 'text': null}, {'path': '4.0', 'kind': 'text', 'text': f}, {'path': '4.1', 'kind': 'image', 'text': null}] end) as b from br),
+bb as (select k, session_id, recent, pos, b.path as path, b.kind as kind, b.text as text, coalesce(length(b.text), 0) as size, row_number() over (partition by k order by b.path) as i from bl),
+units as (select *, 4 + coalesce(cast(ceil((length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4) as bigint), 0) as tokens from bb),
+ends as (select session_id, max(k) + 1 as next_seq from bp group by 1)"""
+
+
+#: Both rows of every node picked from `made` (k, written, tokens) beside `before` (k, session_id, pos, tokens).
+LANDED = """picked as (select b.k, b.session_id, b.tokens as old, m.tokens as new, m.written, next_seq + 2 * (row_number() over (partition by b.session_id order by b.pos) - 1) as begin_at
+      from made m join before b using (k) join ends on ends.session_id = b.session_id where {chosen})
+    select session_id, begin_at as seq, 'compaction/prune' as type, cast(null as bigint) as covered, cast(old as bigint) as tokens, cast(null as varchar) as digest from picked
+    union all select session_id, begin_at + 1, 'tool/result', k, cast(new as bigint), md5(written) from picked"""
+BEFORE = "before as (select k, session_id, pos, 4 + sum(tokens) as tokens, cast(sum(size) as bigint) as total from units group by all)"
+UNITS = r"""4 + coalesce(cast(ceil((length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) / 4) as bigint), 0)"""
+WRITTEN = """string_agg(path || ':' || kind || ':' || coalesce(text, case when kind = 'image' then '{"type":"image","data":"i' || k || '"}'
+    else '{"toolCallId":"' || case when k % 7 = 5 then 'c' when k % 11 = 4 then 'd' when path = '1' then 'a' when path = '4' then 'b' else 'in' end || '"}' end), chr(10) order by path)"""
+
 ORACLE_SQL = {
+    "block_measures": f"""with {BLOCKS} select session_id, k as seq, cast(sum(case when contains(path, '.') then 0 else size end) as bigint) as own_chars, cast(sum(size) as bigint) as chars,
+        cast(4 + sum(tokens) as bigint) as tokens from units group by session_id, k""",
+    "block_prunes": f"""with {BLOCKS}, {BEFORE}, placed as (select u.k, path, kind, text, size, i, recent, total, cast(sum(size) over (partition by u.k order by i) as bigint) - size as begin_at from units u join before using (k)),
+        cutting as (select *, kind = 'text' and begin_at < total - 300 and begin_at + size > 700 as touched from placed where total > case when recent then 3000 else 1500 end),
+        marked as (select *, min(i) filter (touched) over (partition by k) as first from cutting),
+        cut as (select k, path, kind, case when kind = 'text' then substr(text, 1, least(size, greatest(0, 700 - begin_at))) || case when i = first then chr(10) || '[... pruned ...]' || chr(10) else '' end
+          || substr(text, least(size, greatest(0, total - 300 - begin_at)) + 1) end as text from marked),
+        made as (select k, {WRITTEN} as written, 4 + sum({UNITS}) as tokens from cut where text is distinct from '' group by k),
+        {LANDED.format(chosen='true')}""",
+    "block_summaries": f"""with {BLOCKS}, {BEFORE}, tops as (select k, min(path) as first from units where kind = 'tool-result' and not contains(path, '.') group by 1),
+        stays as (select k, path, kind, text from units join tops using (k) where not (kind = 'text' and length(path) - length(replace(path, '.', '')) = 1)
+          union all select k, first || '.', 'text', repeat('summary ', k % 90) from tops),
+        renamed as (select k, path, kind, text, case when ends_with(path, '.') then path || 'summary' else path end as shown from stays where k % 9 <> 1),
+        made as (select k, {WRITTEN.replace("path || ':'", "shown || ':'")} as written, 4 + sum({UNITS}) as tokens from renamed group by k),
+        {LANDED.format(chosen='m.tokens < b.tokens and b.total > 0')}""",
     "audit_rows": f"""with recursive {OPERATIONS} select session_id, request_id, created_at, cwd, revision, outcome, end_revision, end_cursor
         from fold where is_open qualify row_number() over (partition by session_id, request_id order by n desc) = 1""",
     "audit_operations": f"with recursive {OPERATIONS} select session_id, request_id, op_no, op, verdict from fold where n > 0",

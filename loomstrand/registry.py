@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomstrand.functions import budgets, text
+from loomstrand.functions import blocks, budgets, text
 from loomstrand.operators import audits, checkpoints, events, reductions, replay, segments, slots, surfaces, zones
 from loomstrand.oracles import ORACLE_SQL as SURFACE_SQL
 from loomstrand.oracles_folds import ORACLE_SQL as FOLD_SQL
@@ -293,6 +293,31 @@ def prune_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", "seq", "type", F.get("covers", F.lit(0)).alias("covered"), "tokens")
 
 
+def _block_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return logs.block_results(spark, sf_dir).withColumn("blocks", blocks.blocks_of(F.col("content")))
+
+
+def block_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text of every message by both measures, and its tokens."""
+    content = F.col("blocks")
+    return _block_results(spark, sf_dir).select("session_id", "seq", blocks.measured(content, nested=False).alias("own_chars"), blocks.measured(content).alias("chars"), blocks.token_sum(content).alias("tokens"))
+
+
+def block_prunes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that a prune pass over contents of many blocks appends."""
+    results = _block_results(spark, sf_dir)
+    rows = reductions.block_prunes(results, reductions.log_ends(results), threshold=1_500, hard_limit=3_000, head=700, tail=300)
+    return rows.select("session_id", "seq", "type", F.get("covers", F.lit(0)).alias("covered"), "tokens", F.md5(blocks.written(F.col("blocks")).cast("binary")).alias("digest"))
+
+
+def block_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that summaries of results of many blocks append, where they are cheaper."""
+    results = _block_results(spark, sf_dir)
+    texts = results.select("session_id", "seq", F.repeat(F.lit("summary "), (F.col("seq") % 90).cast("int")).alias("text")).where("seq % 9 <> 1")
+    rows = reductions.block_summaries(results, texts, reductions.log_ends(results))
+    return rows.select("session_id", "seq", "type", F.get("covers", F.lit(0)).alias("covered"), "tokens", F.md5(blocks.written(F.col("blocks")).cast("binary")).alias("digest"))
+
+
 def group_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that summaries of tool results append, priced by the results' places."""
     log = logs.tool_log(spark, sf_dir)
@@ -379,7 +404,7 @@ QUERIES = {
         source_index, provenance_digest, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
         batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_decisions, summary_violations,
         entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
-        prune_pass, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,
+        prune_pass, block_measures, block_prunes, block_summaries, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,
         surface_alignment, surface_ranges, span_checks, fold_backlog, audit_counts, pressure_totals,
     )
 }

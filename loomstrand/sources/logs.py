@@ -171,6 +171,21 @@ def group_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def block_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tool results made of documents, as JSON contents: a text, a result with texts, an image and an inner result, another text; some
+    lack the result, have nothing but an image in it, or hold no text at all."""
+    rows = table(spark, sf_dir, "documents")
+    text, n, k = F.coalesce(F.col("text"), F.lit("")), F.length(F.coalesce(F.col("text"), F.lit(""))), F.col("doc_id")
+    part = lambda a, b: F.substring(text, (F.floor(n * a / 100) + 1).cast("int"), (F.floor(n * b / 100) - F.floor(n * a / 100)).cast("int"))
+    said = lambda a, b: F.to_json(F.struct(F.lit("text").alias("type"), part(a, b).alias("text")))
+    joined = lambda *items: F.concat(F.lit("["), F.concat_ws(",", *items), F.lit("]"))
+    image = F.concat(F.lit('{"type":"image","data":"i'), k.cast("string"), F.lit('"}'))
+    result = lambda name, *items: F.concat(F.lit(f'{{"type":"tool-result","toolCallId":"{name}","content":'), joined(*items), F.lit("}"))
+    full = joined(said(0, 15), result("a", said(15, 40), image, result("in", said(40, 55)), said(55, 60)), image, said(60, 90), result("b", said(90, 100), image))
+    content = F.when(k % 7 == 3, joined(said(0, 50), image, said(50, 100))).when(k % 7 == 5, joined(result("c", image))).when(k % 11 == 4, joined(said(0, 0), result("d", said(0, 0), said(0, 100)))).otherwise(full)
+    return rows.select((k % 50).alias("session_id"), (F.row_number().over(Window.partitionBy(k % 50).orderBy(k)).cast("long") - 1).alias("pos"), k.alias("seq"), (k % 3 == 0).alias("recent"), content.alias("content"))
+
+
 def replaced_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tool log with appended replacements: a prune for every long result, a summary of the oldest nodes, and in every third
     session a summary of that summary. Column covers lists what a replacement takes the place of; shadow is a prune event's target."""
