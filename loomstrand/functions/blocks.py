@@ -2,7 +2,7 @@
 
 A content is an array of `BLOCK` in surface order: a block, then the blocks inside it. `path` numbers a block among its
 siblings behind its parent's path ("1.0" is the first block inside the second), so blocks nest as deep as they like. Text
-blocks have `text`; rich blocks have their JSON in `rich`, and tool results their call and whether it failed. Nothing here reads it.
+blocks have `text`; rich blocks have their JSON in `rich` (keys sorted), and tool results their call and whether it failed. Nothing here reads it.
 """
 
 from __future__ import annotations
@@ -23,19 +23,21 @@ def blocks_of(content: Column, depth: int = 3) -> Column:
     def level(items: Column, prefix: Column, left: int) -> Column:
         def one(item: Column, i: Column) -> Column:
             at = F.concat(prefix, i.cast("string"))
-            kind, body = F.get_json_object(item, "$.type"), F.get_json_object(item, "$.text")
-            text = F.when(kind == "text", F.coalesce(body, F.lit("")))
-            result = F.to_json(F.struct(*[F.get_json_object(item, f"$.{c}").alias(c) for c in ("toolCallId", "isError")]))
-            rich = F.when(kind == "tool-result", result).when(~kind.eqNullSafe("text"), item)
+            at_path = lambda name, kind: F.try_variant_get(item, f"$.{name}", kind)
+            kind = at_path("type", "string")
+            result = F.to_json(F.struct(at_path("toolCallId", "string").alias("toolCallId"), at_path("isError", "boolean").alias("isError")))
+            rich = F.when(kind == "tool-result", result).when(~kind.eqNullSafe("text"), F.to_json(item))
+            text = F.when(kind == "text", F.coalesce(at_path("text", "string"), F.lit("")))
             own = F.array(F.struct(at.alias("path"), kind.alias("kind"), text.alias("text"), rich.alias("rich")))
-            inner = F.from_json(F.get_json_object(item, "$.content"), "array<string>")
-            below = F.when((kind == "tool-result") & inner.isNotNull(), level(inner, F.concat(at, F.lit(".")), left - 1)) if left > 1 else F.lit(None)
-            return F.concat(own, F.coalesce(below, F.array().cast(f"array<{BLOCK}>"))) if left > 1 else own
+            if left == 1:
+                return own
+            below = F.when(kind == "tool-result", level(at_path("content", "array<variant>"), F.concat(at, F.lit(".")), left - 1))
+            return F.concat(own, F.coalesce(below, F.array().cast(f"array<{BLOCK}>")))
 
-        good = F.filter(F.transform(items, lambda item, i: F.struct(item.alias("item"), i.alias("i"))), lambda x: x["item"].startswith("{"))
+        good = F.filter(F.transform(items, lambda item, i: F.struct(item.alias("item"), i.alias("i"))), lambda x: F.try_variant_get(x["item"], "$", "map<string, variant>").isNotNull())
         return F.flatten(F.transform(good, lambda x: one(x["item"], x["i"])))
 
-    return level(F.from_json(content, "array<string>"), F.lit(""), depth)
+    return level(F.try_variant_get(F.try_parse_json(content), "$", "array<variant>"), F.lit(""), depth)
 
 
 def _depth(block: Column) -> Column:

@@ -47,15 +47,17 @@ def is_blank(text: Column | str) -> Column:
     return F.coalesce(trimmed(text), F.lit("")) == ""
 
 
-def bounded(text: Column | str, limit: int) -> Column:
+def bounded(text: Column | str, limit: int | Column) -> Column:
     """The text if its UTF-8 form has `limit` bytes at most, else its longest prefix that leaves room for an ellipsis.
 
     The bytes are cut first; a code point that the cut broke is then taken off the end.
     """
-    if limit < ELLIPSIS_BYTES:
-        raise ValueError(f"a limit of {limit} bytes has no room for the marker")
+    if isinstance(limit, int):
+        if limit < ELLIPSIS_BYTES:
+            raise ValueError(f"a limit of {limit} bytes has no room for the marker")
+        limit = F.lit(limit)
     text = _column(text)
-    cut = F.hex(F.substring(text.cast("binary"), 1, limit - ELLIPSIS_BYTES))
+    cut = F.hex(F.substring(text.cast("binary"), F.lit(1), limit - ELLIPSIS_BYTES))
     whole = F.regexp_replace(cut, "(?:F[0-7](?:[89AB].){0,2}|E.(?:[89AB].)?|[CD].)$", "")
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.concat(F.decode(F.unhex(whole), "UTF-8"), F.lit(ELLIPSIS)))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -12,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstrand.functions import text
+from loomstrand.functions.rows import once
 
 # Event types that may enter a fold.
 ELIGIBLE = (
@@ -46,114 +48,172 @@ def _at(path: str) -> Column:
     return F.get_json_object("data", f"$.{path}")
 
 
-def _texts(blocks: Column) -> Column:
-    """Non-blank text blocks of a JSON list of blocks, by lines."""
-    good = F.filter(F.from_json(blocks, "array<struct<type: string, text: string>>"), lambda b: (b["type"] == "text") & ~text.is_blank(b["text"]))
-    return F.array_join(F.transform(good, lambda b: b["text"]), "\n")
-
-
 def _filled(c: Column) -> Column:
     return F.when(~text.is_blank(c), c)
 
 
+def _part(value: Column, path: str) -> Column:
+    return F.try_variant_get(value, f"$.{path}", "variant")
+
+
+def _said(value: Column, path: str) -> Column:
+    """What a JSON value says at a path, if that is a string."""
+    return F.when(F.schema_of_variant(_part(value, path)) == "STRING", F.try_variant_get(value, f"$.{path}", "string"))
+
+
+def _is_record(value: Column, path: str) -> Column:
+    return F.coalesce(F.schema_of_variant(_part(value, path)).startswith("OBJECT"), F.lit(False))
+
+
+def _is_true(value: Column, path: str) -> Column:
+    return F.coalesce(F.try_variant_get(value, f"$.{path}", "boolean") & (F.schema_of_variant(_part(value, path)) == "BOOLEAN"), F.lit(False))
+
+
+def _whole(value: Column, path: str) -> Column:
+    """A number at a path, if it is whole and within 53 bits."""
+    number = F.try_variant_get(value, f"$.{path}", "double")
+    good = F.regexp_like(F.schema_of_variant(_part(value, path)), F.lit("BIGINT|DECIMAL|DOUBLE|FLOAT")) & (number == F.floor(number)) & (F.abs(number) < 2**53)
+    return F.when(good, number.cast("long"))
+
+
+def _texts(value: Column, path: str) -> Column:
+    """Non-blank text blocks of a list of blocks, by lines; whatever else the list holds is passed over."""
+    blocks = F.try_variant_get(value, f"$.{path}", "array<variant>")
+    said = F.transform(blocks, lambda b: F.when(F.try_variant_get(b, "$.type", "string") == "text", _filled(_said(b, "text"))))
+    return F.array_join(said, "\n")
+
+
+def _of(*kinds: str) -> Column:
+    return F.col("type").isin(*kinds)
+
+
+def _by_type(cases: dict[str, Column]) -> Column:
+    made = F.lit(None)
+    for kind, value in reversed(cases.items()):
+        made = F.when(_of(kind), value).otherwise(made)
+    return made
+
+
+BLOCK, CONFIG, GOAL = "message.content[0]", "header.config", "goal"
+
+
+def _slots(log: DataFrame, leaf_bytes: int) -> DataFrame:
+    """Rows of eligible types whose payload is a JSON object, parsed once: `_v`, up to four texts `_a` to `_d` that may be bounded, the
+    leaves of tool payloads, and `_kept`, whether the event means something."""
+    rows = log.where(_of(*ELIGIBLE) & F.ltrim("data").startswith("{"))
+    rows = once(rows, _v=F.try_parse_json("data")).where("_v is not null")
+    v, tool = F.col("_v"), F.when(_of("tool/call", "tool/result"), F.col("type"))
+    rows = rows.withColumn("_leaves", rendered_leaves(leaf_bytes)(tool, F.when(tool.isNotNull(), F.col("data"))))
+    result = F.when(F.try_variant_get(v, f"$.{BLOCK}.type", "string") == "tool-result", _texts(v, f"{BLOCK}.content"))
+    string = lambda path: F.coalesce(_said(v, path), F.lit(""))
+    rows = once(
+        rows,
+        _a=_by_type({
+            "user/message": _texts(v, "content"), "assistant/message": _texts(v, "message.content"), "tool/call": string("name"), "tool/result": _filled(result), "goal/change": string(f"{GOAL}.objective"),
+            "request/header": string(f"{CONFIG}.provider"), "agent-preset/selected": string("agentPreset"), "compaction/start": string("compactionId"), "compaction/end": _filled(_said(v, "error")), "command/run": _filled(_said(v, "args")),
+        }),
+        _b=_by_type({"tool/call": F.col("_leaves.rendered"), "tool/result": _filled(_said(v, "error.name")), "request/header": string(f"{CONFIG}.model"), "compaction/end": string("compactionId")}),
+        _c=_by_type({"tool/result": _filled(_said(v, "error.code")), "request/header": F.nullif(string(f"{CONFIG}.reasoningEffort"), F.lit(""))}),
+        _d=F.when(_of("tool/result"), _filled(F.col("_leaves.rendered"))),
+        _source=F.when(_of("user/message", "command/run"), F.try_variant_get(v, "$.source.kind", "string")),
+        _todos=F.when(_of("todo/write"), F.try_variant_get(v, "$.todos", "array<variant>")),
+        _word=_by_type({"goal/change": _said(v, "operation"), "request/header": _said(v, "reason"), "command/run": _said(v, "name")}),
+    )
+    kept = _by_type({
+        "user/message": F.col("_source").isin("user", "goal") & (F.col("_a") != ""),
+        "assistant/message": ~_is_true(v, "interrupted") & (F.col("_a") != ""),
+        "tool/result": F.coalesce("_a", "_b", "_c", "_d").isNotNull(),
+        "goal/change": (F.col("_word") == "clear") | _is_record(v, GOAL),
+        "todo/write": F.col("_todos").isNotNull(),
+        "request/header": F.col("_word").isin(*SELECTIONS) & (F.col("_a") != "") & (F.col("_b") != ""),
+        "agent-preset/selected": F.col("_a") != "",
+        "command/run": F.col("_word").isin(*COMMANDS),
+        **{kind: F.lit(True) for kind in ("tool/call", "turn/end", "plan/mode", "compaction/start", "compaction/end")},
+    })
+    return once(rows, _kept=F.coalesce(kept, F.lit(False)))
+
+
+def kept_events(log: DataFrame) -> DataFrame:
+    """(session_id, seq, type) of the events of which a projection keeps something; none of it is cut or written out."""
+    return _slots(log, text.ELLIPSIS_BYTES).where("_kept").select("session_id", "seq", "type")
+
+
 def projected(log: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa: B008
     """(session_id, seq, type, kind, text, fields, truncation) of the events that mean something.
 
     `fields` is a JSON object of what is kept, without what is absent; `text` is its text, if any; `truncation` lists the fields
-    that were cut, in order, with their limits and the bytes kept. Types are tested before any payload is parsed. Payloads that
-    are null or no JSON object give no row; numbers where strings belong count as their text.
+    that were cut, in order, with their limits and the bytes kept. Payloads are parsed once, by one strict parser: what is null, no
+    JSON object, nested beyond a thousand levels or repeats a key gives no row. What is no string where a string belongs counts
+    as absent, and what is no block or item in a list is passed over (blocks) or stands for an empty one (items).
     """
-    of = lambda *kinds: F.col("type").isin(*kinds)
-    rows = log.where(of(*ELIGIBLE)).where(F.get_json_object("data", "$").startswith("{"))
-    tools = F.when(of("tool/call", "tool/result"), F.struct("type", "data"))
-    rows = rows.withColumn("_leaves", F.when(tools.isNotNull(), rendered_leaves(limits.json_leaf)(F.when(tools.isNotNull(), F.col("type")), F.when(tools.isNotNull(), F.col("data")))))
-    block, goal = "message.content[0]", "goal"
-    is_result = _at(f"{block}.type") == "tool-result"
-    message = F.when(of("user/message"), _texts(_at("content"))).when(of("assistant/message"), _texts(_at("message.content")))
-    rows = rows.withColumn("_message", message).withColumn("_result", F.when(of("tool/result") & is_result, _texts(_at(f"{block}.content"))))
-    todos = F.from_json(_at("todos"), ITEM)
-    whole = lambda path: _at(path).cast("long")
-
-    # Every bounded field: type, path, value, limit; in the order in which cuts are listed.
-    fields = {
-        "user": ("user/message", "user/message.text", F.col("_message"), limits.user_message),
-        "assistant": ("assistant/message", "assistant/message.text", F.col("_message"), limits.assistant_message),
-        "name": ("tool/call", "tool/call.name", F.coalesce(_at("name"), F.lit("")), limits.tool_name),
-        "arguments": ("tool/call", "tool/call.arguments", F.col("_leaves.rendered"), limits.tool_arguments),
-        "result": ("tool/result", "tool/result.text", _filled(F.col("_result")), limits.tool_result_text),
-        "error_name": ("tool/result", "tool/result.error.name", _filled(_at("error.name")), limits.error),
-        "error_code": ("tool/result", "tool/result.error.code", _filled(_at("error.code")), limits.error),
-        "meta": ("tool/result", "tool/result.meta", F.col("_leaves.rendered"), limits.tool_result_meta),
-        "objective": ("goal/change", "goal/change.objective", F.when(~_at("operation").eqNullSafe("clear"), F.coalesce(_at(f"{goal}.objective"), F.lit(""))), limits.state),
-        "provider": ("request/header", "request/header.provider", _at("header.config.provider"), limits.tool_name),
-        "model": ("request/header", "request/header.model", _at("header.config.model"), limits.tool_name),
-        "effort": ("request/header", "request/header.reasoningEffort", F.nullif(_at("header.config.reasoningEffort"), F.lit("")), limits.tool_name),
-        "preset": ("agent-preset/selected", "agent-preset/selected.preset", F.nullif(_at("agentPreset"), F.lit("")), limits.tool_name),
-        "started": ("compaction/start", "compaction/start.compactionId", F.coalesce(_at("compactionId"), F.lit("")), limits.error),
-        "failure": ("compaction/end", "compaction/end.error", _filled(_at("error")), limits.error),
-        "ended": ("compaction/end", "compaction/end.compactionId", F.coalesce(_at("compactionId"), F.lit("")), limits.error),
-        "args": ("command/run", "command/run.args", _filled(_at("args")), limits.command),
+    # What cut fields are called, by slot and type, and how many bytes they keep.
+    names = {
+        "_a": {
+            "user/message": ("user/message.text", limits.user_message), "assistant/message": ("assistant/message.text", limits.assistant_message), "tool/call": ("tool/call.name", limits.tool_name),
+            "tool/result": ("tool/result.text", limits.tool_result_text), "goal/change": ("goal/change.objective", limits.state), "request/header": ("request/header.provider", limits.tool_name),
+            "agent-preset/selected": ("agent-preset/selected.preset", limits.tool_name), "compaction/start": ("compaction/start.compactionId", limits.error), "compaction/end": ("compaction/end.error", limits.error),
+            "command/run": ("command/run.args", limits.command),
+        },
+        "_b": {
+            "tool/call": ("tool/call.arguments", limits.tool_arguments), "tool/result": ("tool/result.error.name", limits.error), "request/header": ("request/header.model", limits.tool_name),
+            "compaction/end": ("compaction/end.compactionId", limits.error),
+        },
+        "_c": {"tool/result": ("tool/result.error.code", limits.error), "request/header": ("request/header.reasoningEffort", limits.tool_name)},
+        "_d": {"tool/result": ("tool/result.meta", limits.tool_result_meta)},
     }
-    kept = {name: text.bounded(value, limit) for name, (_, _, value, limit) in fields.items()}
+    rows = _slots(log, limits.json_leaf).where("_kept")
+    rows = once(rows, **{f"{slot}_limit": _by_type({k: F.lit(n) for k, (_, n) in own.items()}) for slot, own in names.items()})
+    rows = once(rows, **{slot[1:]: text.bounded(slot, F.col(f"{slot}_limit")) for slot in names})
+    v, a, b, c, d = F.col("_v"), *[F.col(slot[1:]) for slot in names]
+    items = F.transform("_todos", lambda i: F.struct(F.coalesce(_said(i, "content"), F.lit("")).alias("content"), F.coalesce(_said(i, "status"), F.lit("")).alias("status")))
+    cut_items = F.transform(items, lambda i: F.struct(text.bounded(i["content"], limits.state).alias("content"), i["status"].alias("status"), (F.octet_length(i["content"]) > limits.state).alias("cut")))
+    rows = once(rows, _items=cut_items)
 
-    def cut_of(path: str, value: Column, limit: int) -> Column:
-        record = F.struct(F.lit(path).alias("path"), F.lit(limit).cast("long").alias("limit_bytes"), F.octet_length(text.bounded(value, limit)).cast("long").alias("kept_bytes"))
-        return F.when(F.octet_length(value) > limit, record)
+    def record(path: Column, limit: Column, kept: Column) -> Column:
+        return F.struct(path.alias("path"), limit.cast("long").alias("limit_bytes"), F.octet_length(kept).cast("long").alias("kept_bytes"))
+
+    def cut(slot: str) -> Column:
+        path = _by_type({k: F.lit(p) for k, (p, _) in names[slot].items()})
+        return F.when(F.octet_length(slot) > F.col(f"{slot}_limit"), record(path, F.col(f"{slot}_limit"), F.col(slot[1:])))
 
     def json_of(kind: str, **values: Column) -> Column:
-        return F.to_json(F.struct(F.lit(kind).alias("kind"), *[v.alias(k) for k, v in values.items()]))
+        return F.to_json(F.struct(F.lit(kind).alias("kind"), *[x.alias(k) for k, x in values.items()]))
 
-    source, operation = _at("source.kind"), _at("operation")
-    ended = _at("reason.kind")
-    inner = F.when(ended == "aborted", F.struct(F.coalesce(_at("reason.reason.kind"), F.lit("unknown")).alias("kind")))
-    reason = F.when(_at("reason").startswith("{"), F.struct(ended.alias("kind"), inner.alias("reason"), F.when(ended == "error", _at("reason.error.code")).alias("code")))
-    error = F.when(kept["error_name"].isNotNull() | kept["error_code"].isNotNull(), F.struct(kept["error_name"].alias("name"), kept["error_code"].alias("code")))
+    string = lambda path: F.coalesce(_said(v, path), F.lit(""))
+    ended, inner = F.try_variant_get(v, "$.reason.kind", "string"), F.try_variant_get(v, "$.reason.reason.kind", "string")
+    reason = F.struct(ended.alias("kind"), F.when(ended == "aborted", F.struct(F.coalesce(inner, F.lit("unknown")).alias("kind"))).alias("reason"), F.when(ended == "error", F.try_variant_get(v, "$.reason.error.code", "string")).alias("code"))
+    no_reason = F.concat(F.regexp_replace(json_of("turn/end", turn=_whole(v, "turn")), r"\}$", ""), F.lit(',"reason":null}'))
     snapshot = F.struct(
-        _at(f"{goal}.id").alias("id"), whole(f"{goal}.revision").alias("revision"), _at(f"{goal}.phase").alias("phase"), kept["objective"].alias("objective"),
-        whole(f"{goal}.maxGoalRounds").alias("maxGoalRounds"), whole("roundsStarted").alias("roundsStarted"), _at(f"{goal}.blockedReason.code").alias("blockedReason"),
-    )
-    items = F.transform(todos, lambda i: F.struct(text.bounded(F.coalesce(i["content"], F.lit("")), limits.state).alias("content"), F.coalesce(i["status"], F.lit("")).alias("status")))
-    made = (
-        F.when(of("user/message") & source.isin("user", "goal") & ~text.is_blank("_message"), F.when(source == "goal", json_of("goal-continuation", text=kept["user"])).otherwise(json_of("user", text=kept["user"])))
-        .when(of("assistant/message") & _at("message").startswith("{") & ~text.is_blank("_message") & ~_at("interrupted").eqNullSafe("true"), json_of("assistant", text=kept["assistant"]))
-        .when(of("tool/call"), json_of("tool/call", name=kept["name"], callId=F.coalesce(_at("callId"), F.lit("")), arguments=_filled(kept["arguments"])))
-        .when(
-            of("tool/result") & (kept["result"].isNotNull() | error.isNotNull() | _filled(kept["meta"]).isNotNull()),
-            json_of(
-                "tool/result", callId=F.coalesce(F.when(is_result, _at(f"{block}.toolCallId")), F.lit("")), isError=F.coalesce(is_result & (_at(f"{block}.isError") == "true"), F.lit(False)),
-                text=kept["result"], error=error, meta=_filled(kept["meta"]),
-            ),
-        )
-        .when(of("turn/end"), json_of("turn/end", turn=whole("turn"), reason=reason))
-        .when(of("goal/change") & (operation == "clear"), json_of("goal/change", operation=operation, clearedId=F.nullif(_at("cleared.id"), F.lit("")), clearedRevision=whole("cleared.revision")))
-        .when(of("goal/change") & _at(goal).startswith("{"), json_of("goal/change", operation=operation, goal=snapshot))
-        .when(of("todo/write") & _at("todos").startswith("["), json_of("todo/write", status=F.when(F.size(todos) == 0, "cleared").otherwise("current"), todos=items))
-        .when(of("plan/mode"), json_of("plan/mode", active=F.coalesce(_at("active") == "true", F.lit(False))))
-        .when(
-            of("request/header") & _at("reason").isin(*SELECTIONS) & (kept["provider"] != "") & (kept["model"] != ""),
-            json_of("request/header", reason=_at("reason"), provider=kept["provider"], model=kept["model"], reasoningEffort=kept["effort"]),
-        )
-        .when(of("agent-preset/selected") & kept["preset"].isNotNull(), json_of("agent-preset/selected", preset=kept["preset"]))
-        .when(of("compaction/start"), json_of("compaction/start", compactionId=kept["started"], turn=whole("turn")))
-        .when(of("compaction/end"), json_of("compaction/end", compactionId=kept["ended"], error=kept["failure"]))
-        .when(of("command/run") & _at("name").isin(*COMMANDS), json_of("command/run", commandId=F.coalesce(_at("commandId"), F.lit("")), name=_at("name"), args=kept["args"], source=source))
+        _said(v, f"{GOAL}.id").alias("id"), _whole(v, f"{GOAL}.revision").alias("revision"), _said(v, f"{GOAL}.phase").alias("phase"), a.alias("objective"), _whole(v, f"{GOAL}.maxGoalRounds").alias("maxGoalRounds"),
+        _whole(v, "roundsStarted").alias("roundsStarted"), _said(v, f"{GOAL}.blockedReason.code").alias("blockedReason"),
     )
-    cuts = F.lit(None).cast(CUT)
-    for kind in dict.fromkeys(f[0] for f in fields.values()):
-        own = [cut_of(path, value, limit) for t, path, value, limit in fields.values() if t == kind]
-        # Leaves are cut before the whole that they make up.
-        leaves = F.coalesce(F.col("_leaves.cut"), F.array().cast(CUT))
-        parts = [F.array(*own[:-1]), leaves, F.array(own[-1])] if kind == "tool/result" else [F.array(own[0]), leaves, F.array(own[1])] if kind == "tool/call" else [F.array(*own)]
-        cuts = F.when(of(kind), F.filter(F.concat(*[x.cast(CUT) for x in parts]), lambda c: c.isNotNull())).otherwise(cuts)
-    listed = F.filter(F.transform(todos, lambda i: cut_of("todo/write.content", i["content"], limits.state)), lambda c: c.isNotNull())
-    cuts = F.when(of("todo/write"), listed).otherwise(cuts)
-    shown = F.when(of("user/message"), kept["user"]).when(of("assistant/message"), kept["assistant"]).when(of("tool/result"), kept["result"])
-    rows = rows.withColumn("fields", made).where(F.col("fields").isNotNull())
-    return rows.select("session_id", "seq", "type", _kind_of("fields").alias("kind"), F.coalesce(shown, F.lit("")).alias("text"), "fields", F.coalesce(cuts, F.array().cast(CUT)).alias("truncation"))
-
-
-def _kind_of(fields: str) -> Column:
-    return F.get_json_object(fields, "$.kind")
+    is_result = F.try_variant_get(v, f"$.{BLOCK}.type", "string") == "tool-result"
+    made = _by_type({
+        "user/message": F.when(F.col("_source") == "goal", json_of("goal-continuation", text=a)).otherwise(json_of("user", text=a)),
+        "assistant/message": json_of("assistant", text=a),
+        "tool/call": json_of("tool/call", name=a, callId=string("callId"), arguments=_filled(b)),
+        "tool/result": json_of("tool/result", callId=F.coalesce(F.when(is_result, _said(v, f"{BLOCK}.toolCallId")), F.lit("")), isError=_is_true(v, f"{BLOCK}.isError"), text=a, error=F.when(F.coalesce(b, c).isNotNull(), F.struct(b.alias("name"), c.alias("code"))), meta=d),
+        "turn/end": F.when(_is_record(v, "reason"), json_of("turn/end", turn=_whole(v, "turn"), reason=reason)).otherwise(no_reason),
+        "goal/change": F.when(F.col("_word") == "clear", json_of("goal/change", operation=F.col("_word"), clearedId=F.nullif(_said(v, "cleared.id"), F.lit("")), clearedRevision=_whole(v, "cleared.revision")))
+        .otherwise(json_of("goal/change", operation=F.col("_word"), goal=snapshot)),
+        "todo/write": json_of("todo/write", status=F.when(F.size("_items") == 0, "cleared").otherwise("current"), todos=F.transform("_items", lambda i: F.struct(i["content"].alias("content"), i["status"].alias("status")))),
+        "plan/mode": json_of("plan/mode", active=_is_true(v, "active")),
+        "request/header": json_of("request/header", reason=F.col("_word"), provider=a, model=b, reasoningEffort=c),
+        "agent-preset/selected": json_of("agent-preset/selected", preset=a),
+        "compaction/start": json_of("compaction/start", compactionId=a, turn=_whole(v, "turn")),
+        "compaction/end": json_of("compaction/end", compactionId=b, error=a),
+        "command/run": json_of("command/run", commandId=string("commandId"), name=F.col("_word"), args=a, source=F.col("_source")),
+    })
+    none = F.array().cast(CUT)
+    leaves = F.coalesce(F.col("_leaves.cut"), none)
+    # Leaves are cut before the whole that they make up.
+    cuts = F.when(_of("tool/call"), F.concat(F.array(cut("_a")), leaves, F.array(cut("_b")))).otherwise(F.concat(F.array(cut("_a"), cut("_b"), cut("_c")), leaves, F.array(cut("_d"))))
+    listed = F.transform(F.filter("_items", lambda i: i["cut"]), lambda i: record(F.lit("todo/write.content"), F.lit(limits.state), i["content"]))
+    truncation = F.coalesce(F.when(_of("todo/write"), listed).otherwise(F.filter(cuts, lambda x: x.isNotNull())), none)
+    rows = once(rows, fields=made, truncation=truncation)
+    shown = F.when(_of("user/message", "assistant/message", "tool/result"), a)
+    kind = F.when(_of("user/message"), F.when(F.col("_source") == "goal", "goal-continuation").otherwise("user")).when(_of("assistant/message"), "assistant").otherwise(F.col("type"))
+    return rows.select("session_id", "seq", "type", kind.alias("kind"), F.coalesce(shown, F.lit("")).alias("text"), "fields", "truncation")
 
 
 def goal_view() -> Column:
@@ -235,6 +295,17 @@ MOST_ITEMS, MOST_DEPTH = 8, 6
 BINARY = re.compile(r"(?:[A-Za-z0-9+/]{16,}={0,2}|data:[^;,]{1,40};base64,)")
 
 
+def _number(value: float) -> str:
+    """A number as a script would write it: a double, its exponent without leading zeros."""
+    try:
+        value = float(value)
+    except OverflowError:
+        return "Infinity" if value > 0 else "-Infinity"
+    if math.isinf(value):
+        return "Infinity" if value > 0 else "-Infinity"
+    return str(int(value)) if value.is_integer() and abs(value) < 1e21 else re.sub(r"e([+-])0+", r"e\1", repr(value))
+
+
 def _leaves(value: object, path: str, depth: int, most_items: int = MOST_ITEMS, most_depth: int = MOST_DEPTH) -> Iterator[tuple[str, str]]:
     """(path, text) of the leaves of a parsed value. Long arrays and deep values end in an ellipsis; blanks and base64 go."""
     if depth > most_depth:
@@ -245,7 +316,7 @@ def _leaves(value: object, path: str, depth: int, most_items: int = MOST_ITEMS,
     elif isinstance(value, bool):
         yield path, str(value).lower()
     elif isinstance(value, (int, float)):
-        yield path, str(int(value)) if float(value).is_integer() and abs(value) < 1e21 else json.dumps(value)
+        yield path, _number(value)
     elif isinstance(value, list):
         for i, child in enumerate(value[:most_items]):
             yield from _leaves(child, f"{path}[{i}]", depth + 1, most_items, most_depth)
@@ -276,13 +347,16 @@ def rendered_leaves(limit: int):
         def one(kind: str | None, payload: str | None) -> tuple[str | None, list[dict]]:
             if kind is None or payload is None:
                 return None, []
-            data = json.loads(payload)
+            try:
+                data = json.loads(payload)
+            except (ValueError, RecursionError):
+                return None, []
             if kind == "tool/call":
                 raw = data.get("arguments")
                 raw = raw.strip() if isinstance(raw, str) else ""
                 try:
                     found = _leaves(json.loads(raw, parse_constant=_no_json), "", 0)
-                except ValueError:
+                except (ValueError, RecursionError):
                     return raw, []
             else:
                 found = _leaves(data.get("meta"), "meta", 0)
@@ -310,7 +384,7 @@ def json_leaves(rows: DataFrame, column: str, most_items: int = MOST_ITEMS, most
             found: dict[str, str] = {}
             try:
                 value = json.loads(raw) if raw else None
-            except ValueError:
+            except (ValueError, RecursionError):
                 value = None
             for path, leaf in _leaves(value, "", 0, most_items, most_depth):
                 found.setdefault(path, leaf)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstrand.functions.blocks import BLOCK, clipped, replaced, token_sum
+from loomstrand.functions.rows import once
 from loomstrand.functions.text import PRUNE_HEAD, PRUNE_MARKER, PRUNE_TAIL, PRUNE_THRESHOLD
 
 APPENDED = ["session_id", "seq", "type", "covers", "tokens"]
@@ -60,8 +61,8 @@ def block_prunes(results: DataFrame, ends: DataFrame, threshold: int = PRUNE_THR
     blocks = F.col("blocks")
     limits = {False: threshold, True: hard_limit}
     made = {recent: clipped(blocks, limit, threshold, head, tail) for recent, limit in limits.items()}
-    rows = results.withColumn("made", F.when(F.col("recent"), made[True]).otherwise(made[False])).where("made is not null")
-    return _block_pairs(rows.withColumn("tokens", token_sum(blocks)), ends)
+    rows = once(results, made=F.when(F.col("recent"), made[True]).otherwise(made[False])).where("made is not null")
+    return _block_pairs(once(rows, tokens=token_sum(blocks)), ends)
 
 
 def block_summaries(results: DataFrame, summaries: DataFrame, ends: DataFrame) -> DataFrame:
@@ -72,7 +73,7 @@ def block_summaries(results: DataFrame, summaries: DataFrame, ends: DataFrame) -
     """
     blocks = F.col("blocks")
     rows = results.join(summaries.select("session_id", "seq", F.col("text").alias("_summary")), ["session_id", "seq"]).where("_summary is not null")
-    rows = rows.withColumns({"made": replaced(blocks, F.col("_summary")), "tokens": token_sum(blocks)}).where("made is not null")
+    rows = once(rows, made=replaced(blocks, F.col("_summary")), tokens=token_sum(blocks)).where("made is not null")
     return _block_pairs(rows.where(token_sum(F.col("made")) < F.col("tokens")), ends)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loomstrand.operators.events import ELIGIBLE, projected
+from loomstrand.operators.events import ELIGIBLE, kept_events
 
 
 def misaligned(surface: DataFrame, prices: DataFrame) -> DataFrame:
@@ -56,7 +56,7 @@ def backlog(log: DataFrame, cursors: DataFrame, slot_kind: str = "slot") -> Data
     What waits are events above the cursor of which the projection keeps something. The high water is the newest seq of an
     eligible type, whatever it says, but for messages of a slot itself; 0 without any.
     """
-    waiting = projected(log).join(cursors, "session_id").where(F.col("seq") > F.col("cursor")).groupBy("session_id").agg(F.count("*").alias("waiting"))
+    waiting = kept_events(log).join(cursors, "session_id").where(F.col("seq") > F.col("cursor")).groupBy("session_id").agg(F.count("*").alias("waiting"))
     slot = (F.col("type") == "user/message") & (F.coalesce(F.get_json_object("data", "$.source.kind"), F.lit("")) == slot_kind)
     newest = log.where(F.col("type").isin(*ELIGIBLE) & ~slot).groupBy("session_id").agg(F.max("seq").alias("high_water"))
     rows = cursors.select("session_id").join(waiting, "session_id", "left").join(newest, "session_id", "left")

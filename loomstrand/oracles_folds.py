@@ -32,14 +32,13 @@ bp as (select k, k % 50 as session_id, k % 3 = 0 as recent, row_number() over (p
     lateral (select substr(t, 1, n * 15 // 100) as a, substr(t, n * 15 // 100 + 1, n * 40 // 100 - n * 15 // 100) as b, substr(t, n * 40 // 100 + 1, n * 55 // 100 - n * 40 // 100) as c,
       substr(t, n * 55 // 100 + 1, n * 60 // 100 - n * 55 // 100) as d, substr(t, n * 60 // 100 + 1, n * 90 // 100 - n * 60 // 100) as e, substr(t, n * 90 // 100 + 1, n - n * 90 // 100) as f,
       substr(t, 1, n * 50 // 100) as g, substr(t, n * 50 // 100 + 1, n - n * 50 // 100) as h, t as whole) as lambda_parts),
-br as (select *, '{"type":"image","data":"i' || k || '"}' as image from bp),
 bl as (select k, session_id, recent, pos, unnest(case
     when k % 7 = 3 then [{'path': '0', 'kind': 'text', 'text': g}, {'path': '1', 'kind': 'image', 'text': null}, {'path': '2', 'kind': 'text', 'text': h}]
     when k % 7 = 5 then [{'path': '0', 'kind': 'tool-result', 'text': null}, {'path': '0.0', 'kind': 'image', 'text': null}]
     when k % 11 = 4 then [{'path': '0', 'kind': 'text', 'text': ''}, {'path': '1', 'kind': 'tool-result', 'text': null}, {'path': '1.0', 'kind': 'text', 'text': ''}, {'path': '1.1', 'kind': 'text', 'text': whole}]
     else [{'path': '0', 'kind': 'text', 'text': a}, {'path': '1', 'kind': 'tool-result', 'text': null}, {'path': '1.0', 'kind': 'text', 'text': b}, {'path': '1.1', 'kind': 'image', 'text': null},
       {'path': '1.2', 'kind': 'tool-result', 'text': null}, {'path': '1.2.0', 'kind': 'text', 'text': c}, {'path': '1.3', 'kind': 'text', 'text': d}, {'path': '2', 'kind': 'image', 'text': null},
-      {'path': '3', 'kind': 'text', 'text': e}, {'path': '4', 'kind': 'tool-result', 'text': null}, {'path': '4.0', 'kind': 'text', 'text': f}, {'path': '4.1', 'kind': 'image', 'text': null}] end) as b from br),
+      {'path': '3', 'kind': 'text', 'text': e}, {'path': '4', 'kind': 'tool-result', 'text': null}, {'path': '4.0', 'kind': 'text', 'text': f}, {'path': '4.1', 'kind': 'image', 'text': null}] end) as b from bp),
 bb as (select k, session_id, recent, pos, b.path as path, b.kind as kind, b.text as text, coalesce(length(b.text), 0) as size, row_number() over (partition by k order by b.path) as i from bl),
 units as (select *, 4 + coalesce(cast(ceil((length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4) as bigint), 0) as tokens from bb),
 ends as (select session_id, max(k) + 1 as next_seq from bp group by 1)"""
@@ -52,7 +51,7 @@ LANDED = """picked as (select b.k, b.session_id, b.tokens as old, m.tokens as ne
     union all select session_id, begin_at + 1, 'tool/result', k, cast(new as bigint), md5(written) from picked"""
 BEFORE = "before as (select k, session_id, pos, 4 + sum(tokens) as tokens, cast(sum(size) as bigint) as total from units group by all)"
 UNITS = r"""4 + coalesce(cast(ceil((length(text) + length(regexp_replace(text, '[^\x{10000}-\x{10FFFF}]', '', 'g'))) / 4) as bigint), 0)"""
-WRITTEN = """string_agg(path || ':' || kind || ':' || coalesce(text, case when kind = 'image' then '{"type":"image","data":"i' || k || '"}'
+WRITTEN = """string_agg(path || ':' || kind || ':' || coalesce(text, case when kind = 'image' then '{"data":"i' || k || '","type":"image"}'
     else '{"toolCallId":"' || case when k % 7 = 5 then 'c' when k % 11 = 4 then 'd' when path = '1' then 'a' when path = '4' then 'b' else 'in' end || '"}' end), chr(10) order by path)"""
 
 ORACLE_SQL = {

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomstrand.functions import blocks, budgets, text
+from loomstrand.functions.rows import once
 from loomstrand.operators import audits, checkpoints, events, reductions, replay, segments, slots, surfaces, zones
 from loomstrand.oracles import ORACLE_SQL as SURFACE_SQL
 from loomstrand.oracles_folds import ORACLE_SQL as FOLD_SQL
@@ -294,7 +295,7 @@ def prune_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _block_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return logs.block_results(spark, sf_dir).withColumn("blocks", blocks.blocks_of(F.col("content")))
+    return once(logs.block_results(spark, sf_dir), blocks=blocks.blocks_of(F.col("content"))).drop("content")
 
 
 def block_measures(spark: SparkSession, sf_dir: str) -> DataFrame:

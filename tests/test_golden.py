@@ -403,3 +403,41 @@ def test_requests_and_missing_events(spark):
     spans = spark.createDataFrame([(1, 1, 9), (1, 0, 4)], "session_id long, pos long, seq long")
     assert tuple(one(surfaces.newest_header_and_span(log, spans))) == (1, 3, [4, 9])
     assert [tuple(r) for r in surfaces.missing_events(spans, log).collect()] == [(1, 9)]
+
+
+def test_hostile_and_mixed_payloads(spark):
+    deep, deepest, huge = "[" * 5_000 + "]" * 5_000, "[" * 300_000 + "]" * 300_000, "9" * 400
+    result = '"message":{"content":[{"type":"tool-result","toolCallId":"c","isError":true,"content":["x",{"type":"text","text":"out"},7]}]}'
+    rows = [
+        (0, "tool/call", "{'name':'x'}"),
+        (1, "tool/call", json.dumps({"name": "n", "arguments": deepest})),
+        (16, "tool/call", json.dumps({"name": "n", "arguments": deep})),
+        (2, "tool/call", json.dumps({"name": 5, "callId": "c", "arguments": f'{{"n":{huge},"m":-{huge},"e":1e-7,"s":1e22}}'})),
+        (3, "user/message", '{"source":{"kind":"user"},"content":["loose",{"type":"text","text":"hi"},3,{"type":"text","text":4}]}'),
+        (4, "todo/write", '{"todos":["loose",{"content":"a","status":"done"},{"content":5}]}'),
+        (5, "todo/write", '{"todos":"none"}'),
+        (6, "tool/result", f'{{{result},"meta":{{"n":{huge}}}}}'),
+        (7, "tool/result", '{"meta":' + deep + "}"),
+        (8, "turn/end", '{"turn":3,"reason":null}'),
+        (9, "tool/result", '{"message":{"content":[{"type":"text","isError":true}]},"meta":{"a":1}}'),
+        (10, "goal/change", '{"operation":"set","goal":{"id":7,"revision":1.5,"phase":"p","objective":null}}'),
+        (11, "assistant/message", '{"message":"no record"}'),
+        (12, "user/message", '{"source":{"kind":"user"},"content":"plain"}'),
+        (13, "plan/mode", '{"active":"true"}'),
+        (14, "plan/mode", "   "),
+        (15, "command/run", '{"name":"goal","commandId":1,"args":"' + "é" * 300 + '"}'),
+    ]
+    log = spark.createDataFrame([(1, *r) for r in rows], "session_id long, seq long, type string, data string")
+    found = {r.seq: r for r in events.projected(log).collect()}
+    fields = {seq: json.loads(r.fields) for seq, r in found.items()}
+    assert found.keys() == {1, 2, 3, 4, 6, 8, 9, 10, 13, 15, 16} == {r.seq for r in events.kept_events(log).collect()}
+    assert found[1].truncation[0].path == "tool/call.arguments" and fields[1]["arguments"].startswith("[[[")
+    assert json.loads(fields[16]["arguments"]) == {"[0]" * 7 + "…": "…"}
+    assert fields[2]["name"] == "" and json.loads(fields[2]["arguments"]) == {"n": "Infinity", "m": "-Infinity", "e": "1e-7", "s": "1e+22"}
+    assert fields[3] == {"kind": "user", "text": "hi"}
+    assert fields[4]["todos"] == [{"content": "", "status": ""}, {"content": "a", "status": "done"}, {"content": "", "status": ""}]
+    assert fields[6]["text"] == "out" and fields[6]["isError"] and fields[6]["meta"] == '{"meta.n":"Infinity"}'
+    assert fields[8] == {"kind": "turn/end", "turn": 3, "reason": None} and fields[9]["isError"] and fields[9]["callId"] == ""
+    assert fields[10]["goal"] == {"phase": "p", "objective": ""} and fields[13] == {"kind": "plan/mode", "active": False}
+    assert [tuple(t) for t in found[15].truncation] == [("command/run.args", 400, 399)]
+    assert all(r.leaves == {} or r.leaves for r in events.json_leaves(spark.createDataFrame([(deepest,), (huge,)], "j string"), "j").collect())
