@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from loomstrand.oracles import GROUP_AUDIT, REPLACED, TOOL_LOG
+
 OPERATIONS = """ev as (select user_id as session_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as op_no, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events),
 o0 as (select *, op_no // 5 as r, case when op_no % 5 = 0 then k % 11 <> 0 else event_type = 'signup' end as opens from ev),
 ops as (select session_id, 'q' || r as request_id, op_no, case when opens then 'open' when event_type in ('purchase', 'error') then 'settle' else 'finish' end as op,
@@ -54,7 +56,42 @@ UNITS = r"""4 + coalesce(cast(ceil((length(text) + length(regexp_replace(text, '
 WRITTEN = """string_agg(path || ':' || kind || ':' || coalesce(text, case when kind = 'image' then '{"data":"i' || k || '","type":"image"}'
     else '{"toolCallId":"' || case when k % 7 = 5 then 'c' when k % 11 = 4 then 'd' when path = '1' then 'a' when path = '4' then 'b' else 'in' end || '"}' end), chr(10) order by path)"""
 
+PROVENANCE = """rec as (select session_id, seq, shadow, (session_id * 7 + seq) % 17 as v, shadow % 2 = 0 as summary from rlog where shadow is not null),
+rf as (select session_id, seq, shadow, v, case when v = 2 then 'other' else 'loomstrand' end as producer, case when v = 3 then 2 else 1 end as version,
+    case when v = 4 then 'other' when summary then 'tool-summary' else 'tool-pruned' end as kind, case when v = 5 then [shadow + 1] when v = 12 then [] else [shadow] end as covered,
+    case when v = 6 then [shadow + 1] when v = 7 then [shadow, seq + 5] when v = 11 then [shadow, shadow] when shadow > 0 then [shadow, shadow - 1] else [shadow] end as sources,
+    case when v = 8 then case when summary then '' else 'g' end when summary then 'f' || shadow % 5 end as group_id, case when v = 9 then 99999 else 0 end as generation from rec),
+rd as (select *, case when v = 10 then 'stale' else sha256(to_json(['loomstrand', '1', kind, '[' || array_to_string(covered, ',') || ']', '[' || array_to_string(sources, ',') || ']',
+    coalesce('"' || group_id || '"', 'null'), cast(generation as varchar), '["kept \\"text\\" ' || (seq + 1) || '"]'])) end as digest from rf),
+gen as (select session_id, count(*) filter (len(covers) > 0) as now from rlog group by 1),
+rb as (select r.session_id, r.seq, d.kind, d.group_id, d.digest, d.covered, case when d.seq is null then 'no-price' when d.v = 1 then 'no-record' when d.producer <> 'loomstrand' then 'foreign-producer'
+    when d.version <> 1 then 'unknown-version' when d.kind not in ('tool-summary', 'tool-pruned') then 'unknown-kind' when len(d.covered) = 0 or len(d.sources) = 0 then 'malformed-seqs'
+    when d.covered <> [d.shadow] then 'other-range' when not list_has_all(d.sources, d.covered) then 'uncited-cover'
+    when list_max(d.sources) >= r.seq or len(list_distinct(d.sources)) < len(d.sources) then 'later-or-repeated-source'
+    when (d.kind = 'tool-summary' and coalesce(d.group_id, '') = '') or (d.kind = 'tool-pruned' and d.group_id is not null) then 'wrong-group' when d.generation > gen.now then 'wrong-generation'
+    when d.digest = 'stale' then 'stale-digest' end as fault
+  from rlog r join gen using (session_id) left join rd d on d.session_id = r.session_id and d.seq = r.seq - 1 where r.type = 'tool/result' and len(r.covers) > 0),
+sk as (select l.session_id, l.seq, l.type, l.covers, (select count(*) from rlog e where e.session_id = l.session_id and e.seq > l.seq and e.type = 'turn/end' and e.reason = 'completed') as after,
+    case when l.type = 'user/message' and l.source_kind = 'checkpoint' and len(l.covers) > 0 then 'history-summary' when l.type <> 'tool/result' or len(l.covers) = 0 then 'original'
+      when rb.fault is not null then 'unknown-replacement' else rb.kind end as own, case when rb.fault is null then rb.covered end as stated
+  from rlog l left join rb using (session_id, seq) where l.type in ('user/message', 'assistant/message', 'tool/result'))"""
+
 ORACLE_SQL = {
+    "record_faults": f"""with {TOOL_LOG}, {REPLACED}, {PROVENANCE} select session_id, seq, case when fault is null then kind end as kind, case when fault is null then group_id end as group_id,
+        case when fault is null then digest end as digest, fault from rb""",
+    "replacement_coverage": f"""with recursive {TOOL_LOG}, {REPLACED}, {PROVENANCE},
+        k as (select session_id, seq, case when type = 'tool/result' and len(covers) > 0 and (session_id + seq) % 3 = 0 and own <> 'tool-summary' then 'unknown-replacement' else own end as kind,
+          case when len(covers) > 0 then coalesce(stated, covers) end as covered from sk),
+        cites as (select distinct session_id, seq, unnest(covered) as cited, kind <> 'unknown-replacement' as proven from k where covered is not null),
+        reach as (select session_id, seq, cited, proven from cites where cited < seq
+          union select r.session_id, r.seq, c.cited, r.proven and c.proven from reach r join cites c on c.session_id = r.session_id and c.seq = r.cited where c.cited < c.seq),
+        ends as (select session_id, seq, cited, bool_or(proven) as proven from reach r where not exists (select 1 from k where k.session_id = r.session_id and k.seq = r.cited and k.covered is not null) group by all),
+        counted as (select session_id, seq, count(*) as origins, count(*) filter (proven) as proven from ends group by 1, 2)
+        select k.session_id, k.seq, k.kind, array_to_string(covered, ',') as covered, coalesce(origins, 0) as origins, coalesce(proven, 0) as proven from k left join counted using (session_id, seq) where covered is not null""",
+    "reentry_sources": f"""with {TOOL_LOG}, {REPLACED}, {PROVENANCE} select session_id, seq, own as kind, case when own = 'original' then 0 else after end as turns_after,
+        own = 'original' or (own <> 'unknown-replacement' and after >= 2) as foldable, own = 'original' or (own <> 'unknown-replacement' and (after >= 2 or seq >= 60)) as at_once from sk""",
+    "unrecorded_landings": f"""with {TOOL_LOG}, {REPLACED}, {PROVENANCE}, {GROUP_AUDIT} select distinct session_id, group_id from rb where fault is null and kind = 'tool-summary'
+        and not exists (select 1 from ga where ga.session_id = rb.session_id and ga.fingerprint = rb.group_id and status = 'success' and len(claims) > 0)""",
     "block_measures": f"""with {BLOCKS} select session_id, k as seq, cast(sum(case when contains(path, '.') then 0 else size end) as bigint) as own_chars, cast(sum(size) as bigint) as chars,
         cast(4 + sum(tokens) as bigint) as tokens from units group by session_id, k""",
     "block_prunes": f"""with {BLOCKS}, {BEFORE}, placed as (select u.k, path, kind, text, size, i, recent, total, cast(sum(size) over (partition by u.k order by i) as bigint) - size as begin_at from units u join before using (k)),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstrand.functions import blocks, budgets, text
 from loomstrand.functions.rows import once
-from loomstrand.operators import audits, checkpoints, events, reductions, replay, segments, slots, surfaces, zones
+from loomstrand.operators import audits, checkpoints, events, lineage, reductions, replay, segments, slots, surfaces, zones
 from loomstrand.oracles import ORACLE_SQL as SURFACE_SQL
 from loomstrand.oracles_folds import ORACLE_SQL as FOLD_SQL
 from loomstrand.plans import config, pressure
@@ -139,6 +139,31 @@ def provenance_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay.digests(logs.replaced_log(spark, sf_dir))
 
 
+def record_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every replaced result's record says, or why it proves nothing."""
+    return lineage.read_back(logs.provenance_log(spark, sf_dir)).select("session_id", "seq", F.col("record.kind").alias("kind"), F.col("record.group_id").alias("group_id"), F.col("record.digest").alias("digest"), "fault")
+
+
+def replacement_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What every replacement covers, and how many events are behind it in the end."""
+    log = logs.provenance_log(spark, sf_dir)
+    claims = log.where("type = 'tool/result' and size(covers) > 0 and (session_id + seq) % 3 = 0").select("session_id", "seq")
+    return lineage.replacement_coverage(log, claims)
+
+
+def reentry_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which nodes may be folded again, after two turns or at once."""
+    log = logs.provenance_log(spark, sf_dir)
+    later = lineage.source_kinds(log, reentry_turns=2)
+    now = lineage.source_kinds(log, reentry_turns=2, immediate=True, inherited_before=60)
+    return later.select("session_id", "seq", "kind", "turns_after", "foldable").join(now.select("session_id", "seq", F.col("foldable").alias("at_once")), ["session_id", "seq"])
+
+
+def unrecorded_landings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups whose summaries the log proves and the audit doesn't know."""
+    return lineage.unrecorded_landings(logs.provenance_log(spark, sf_dir), logs.group_audit(spark, sf_dir).where("status = 'success' and size(claims) > 0"))
+
+
 def evidence_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What every session's log proves was done."""
     return replay.evidence_counters(logs.replaced_log(spark, sf_dir))
@@ -402,7 +427,7 @@ QUERIES = {
     for f in (
         token_estimate, zone_partition, zone_partition_safe, pairing_balance, forget_batch_plan, pressure_span_plan, legacy_tail_split,
         retained_tail_floor, envelope_budget, prune_documents, bounded_text, tool_segments, tool_groups, group_chunks, eligible_spans, surface_replay, surface_generations, turns_after,
-        source_index, provenance_digest, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
+        source_index, provenance_digest, record_faults, replacement_coverage, reentry_sources, unrecorded_landings, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
         batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_decisions, summary_violations,
         entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
         prune_pass, block_measures, block_prunes, block_summaries, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,

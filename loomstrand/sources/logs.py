@@ -208,6 +208,25 @@ def replaced_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(prunes).unionByName(results).unionByName(summary(first)).unionByName(summary(second))
 
 
+def provenance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log with replacements, whose pricing events say what was shadowed and carry records; of seventeen kinds of record twelve
+    disagree with the log in one way or another."""
+    from loomstrand.operators.lineage import PRODUCER, RECORD, VERSION, record_digest
+
+    log, v, at = replaced_log(spark, sf_dir), (F.col("session_id") * 7 + F.col("seq")) % 17, F.col("shadow")
+    replaced, summary, none = (F.col("type") == "tool/result") & (F.size("covers") > 0), at % 2 == 0, F.array().cast("array<bigint>")
+    kind = F.when(v == 4, "other").when(summary, "tool-summary").otherwise("tool-pruned")
+    covered = F.when(v == 5, F.array(at + 1)).when(v == 12, none).otherwise(F.array(at))
+    cited = F.when(v == 6, F.array(at + 1)).when(v == 7, F.array(at, F.col("seq") + 5)).when(v == 11, F.array(at, at)).when(at > 0, F.array(at, at - 1)).otherwise(F.array(at))
+    group = F.when(v == 8, F.when(summary, "").otherwise("g")).when(summary, F.concat(F.lit("f"), at % 5))
+    generation = F.when(v == 9, 99_999).otherwise(0).cast("long")
+    text = lambda seq: F.array(F.concat(F.lit('kept "text" '), seq))
+    digest = F.when(v == 10, "stale").otherwise(record_digest(kind, covered, cited, group, generation, text(F.col("seq") + 1)))
+    fields = {"producer": F.when(v == 2, "other").otherwise(PRODUCER), "schema_version": F.when(v == 3, 2).otherwise(VERSION), "kind": kind, "covered": covered, "sources": cited, "group_id": group, "generation": generation, "digest": digest}
+    record = F.when(at.isNotNull() & (v != 1), F.struct(*[c.alias(n) for n, c in fields.items()]).cast(RECORD))
+    return log.select("session_id", "seq", "type", "reason", "source_kind", "covers", F.when(at.isNotNull(), F.array(at)).alias("shadowed"), record.alias("record"), F.when(replaced, text(F.col("seq"))).alias("parts"))
+
+
 def lock_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Compaction starts (clicks), ends (views) of three locks, and seeds (errors whose k is a multiple of nine)."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
