@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -33,6 +34,13 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the files of rounds that are over removed: Spark cleans up what the driver has collected as garbage, and small rounds
+    alone bring no collection about."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The same rows in batches of at most `limit` bytes of `column`, or of one row where a row is longer."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loomstrand.llm.common import materialise
+from loomstrand.llm.common import let_go, materialise
 
 #: A key with more than one row in so many is joined by broadcast; so there are fewer such keys than that.
 CROWDED = 1000
@@ -57,3 +57,4 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                 links.select(F.col("low").alias("node"), F.col("low").alias("root")).distinct()
             )
         seen = tuple(now)
+        let_go(links.sparkSession)

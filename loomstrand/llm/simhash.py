@@ -502,6 +502,7 @@ def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: D
         now = good.count()
         right += now
         links = links.drop("root_a", "root_b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        common.let_go(links.sparkSession)
         if now:
             found = components(tried.join(good, ["a", "b"]), "root_a", "root_b")
             if roots is None:
@@ -571,6 +572,7 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
         if not forest:
             return _named(prints.select("doc_id", "node"), classes, roots).select("doc_id", "component_id")
         forest = more
+        common.let_go(docs.sparkSession)
 
 
 def deduplicated(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
