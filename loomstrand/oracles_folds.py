@@ -77,6 +77,24 @@ sk as (select l.session_id, l.seq, l.type, l.covers, (select count(*) from rlog
   from rlog l left join rb using (session_id, seq) where l.type in ('user/message', 'assistant/message', 'tool/result'))"""
 
 ORACLE_SQL = {
+    "fold_windows": """with recursive c as (select conv_id as session_id, turn as seq, role, text from conversations where trim(text) <> '' and (role = 'user' or (role = 'assistant' and turn % 7 <> 3))),
+        e as (select session_id, '{"seq":' || seq || ',"type":"' || case role when 'user' then 'user/message' else 'assistant/message' end || '","fields":{"kind":"' || case when role = 'assistant' then 'assistant'
+            when seq % 4 = 2 then 'goal-continuation' else 'user' end || '","text":' || to_json(text) || '}}' as written, seq, row_number() over (partition by session_id order by seq) as n from c),
+        b as (select distinct conv_id as session_id, case when conv_id % 3 > 0 then '{"facts":"' || repeat('é', conv_id % 29 * 60) || '"}' else 'null' end as base from conversations),
+        fold(session_id, base, n, list, source_cursor, bytes) as (select session_id, base, 0::bigint, '', null::bigint, cast(strlen('{"base":' || base || ',"events":[],"truncation":[]}') as bigint) from b
+          union all select f.session_id, base, e.n, f.list || case when f.n > 0 then ',' else '' end || written, e.seq,
+            cast(strlen('{"base":' || base || ',"events":[' || f.list || case when f.n > 0 then ',' else '' end || written || '],"truncation":[]}') as bigint)
+          from fold f join e on e.session_id = f.session_id and e.n = f.n + 1 where e.n <= 20 and f.bytes <= 3000),
+        last as (select session_id, max(n) as n from fold where bytes <= 3000 group by 1)
+        select f0.session_id, case when f0.bytes > 3000 then 'infeasible' when f1.bytes is null then 'empty' when coalesce(l.n, 0) = 0 then 'infeasible' else 'window' end as outcome, coalesce(l.n, 0) as n,
+          case when l.n > 0 then k.source_cursor end as source_cursor, case when f0.bytes > 3000 then f0.bytes when l.n > 0 then k.bytes else coalesce(f1.bytes, f0.bytes) end as bytes
+        from fold f0 left join fold f1 on f1.session_id = f0.session_id and f1.n = 1 left join last l on l.session_id = f0.session_id left join fold k on k.session_id = f0.session_id and k.n = l.n where f0.n = 0""",
+    "group_inputs": f"""with {TOOL_LOG}, x2 as (select session_id, pos // 8 as group_id, pos, case when type = 'tool/result' then '{{"sourceSeq":' || seq || ',"role":"tool-result","callId":"c' || seq || '","content":' || to_json(repeat('x"é' || chr(10) || '👍', chars // 10)) || '}}'
+          when type = 'assistant/message' then '{{"sourceSeq":' || seq || ',"role":"tool-call","content":' || to_json(array_to_string(list_transform(range(0, tool_calls), lambda i: 'tool_' || k % 5 || ' {{"k": ' || k || '}}'), chr(10))) || '}}' end as item
+          from surface where type <> 'user/message'),
+        g as (select a.session_id, a.group_id, a.pos, count(*) as n, string_agg(b.item, ',' order by b.pos) as list from x2 a join x2 b on b.session_id = a.session_id and b.group_id = a.group_id and b.pos <= a.pos group by 1, 2, 3),
+        p as (select *, 8 + cast(ceil((length(full_text) + length(regexp_replace(full_text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g'))) / 4) as bigint) + 400 as tokens from (select *, 'Sum up.' || chr(10) || chr(10) || 'INPUT:' || chr(10) || '{{"version":1,"items":[' || list || ']}}' as full_text from g))
+        select session_id, group_id, max(n) as items, coalesce(max(n) filter (tokens <= 3000), 0) as fitting, max(tokens) as tokens, max(tokens) <= 3000 as fits from p group by 1, 2""",
     "record_faults": f"""with {TOOL_LOG}, {REPLACED}, {PROVENANCE} select session_id, seq, case when fault is null then kind end as kind, case when fault is null then group_id end as group_id,
         case when fault is null then digest end as digest, fault from rb""",
     "replacement_coverage": f"""with recursive {TOOL_LOG}, {REPLACED}, {PROVENANCE},

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from loomstrand.functions import blocks, budgets, text
 from loomstrand.functions.rows import once
-from loomstrand.operators import audits, checkpoints, events, lineage, reductions, replay, segments, slots, surfaces, zones
+from loomstrand.operators import audits, checkpoints, events, fitting, lineage, reductions, replay, segments, slots, surfaces, zones
 from loomstrand.oracles import ORACLE_SQL as SURFACE_SQL
 from loomstrand.oracles_folds import ORACLE_SQL as FOLD_SQL
 from loomstrand.plans import config, pressure
@@ -207,6 +207,22 @@ def batch_window_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.byte_windows(events.projected(logs.json_log(spark, sf_dir), events.Limits(user_message=200, assistant_message=200)), 20, 2_000)
 
 
+def fold_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next fold of every conversation within 20 events and 3,000 bytes, from bases of different sizes."""
+    log = logs.json_log(spark, sf_dir)
+    state = F.when(F.col("session_id") % 3 > 0, F.concat(F.lit('{"facts":"'), F.repeat(F.lit("é"), (F.col("session_id") % 29 * 60).cast("int")), F.lit('"}')))
+    return fitting.event_windows(events.projected(log), log.select("session_id").distinct().select("session_id", state.alias("base")), 20, 3_000)
+
+
+def group_inputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of every eight nodes of tool work one request of 3,000 tokens can hold."""
+    nodes = logs.surface_of(logs.tool_log(spark, sf_dir)).where("type <> 'user/message'").withColumn("group_id", F.floor(F.col("pos") / 8))
+    call = F.array(F.struct(F.concat(F.lit("tool_"), F.col("k") % 5).alias("name"), F.concat(F.lit('{"k": '), "k", F.lit("}")).alias("arguments")))
+    calls = F.when(F.col("tool_calls") > 0, F.array_repeat(call[0], F.col("tool_calls").cast("int"))).otherwise(F.slice(call, 1, 0))
+    item = fitting.input_item(F.col("type"), F.col("seq"), F.concat(F.lit("c"), "seq"), F.repeat(F.lit('x"é\n👍'), F.floor(F.col("chars") / 10).cast("int")), calls)
+    return fitting.group_inputs(nodes.select("session_id", "group_id", "pos", item.alias("item")), cap=3_000, reserve=400, instruction="Sum up.")
+
+
 def json_leaves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaves of every authority payload."""
     rows = events.json_leaves(logs.authority_log(spark, sf_dir).where("data is not null"), "data")
@@ -428,7 +444,7 @@ QUERIES = {
         token_estimate, zone_partition, zone_partition_safe, pairing_balance, forget_batch_plan, pressure_span_plan, legacy_tail_split,
         retained_tail_floor, envelope_budget, prune_documents, bounded_text, tool_segments, tool_groups, group_chunks, eligible_spans, surface_replay, surface_generations, turns_after,
         source_index, provenance_digest, record_faults, replacement_coverage, reentry_sources, unrecorded_landings, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
-        batch_window_bytes, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_decisions, summary_violations,
+        batch_window_bytes, fold_windows, group_inputs, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_decisions, summary_violations,
         entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
         prune_pass, block_measures, block_prunes, block_summaries, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,
         surface_alignment, surface_ranges, span_checks, fold_backlog, audit_counts, pressure_totals,
