@@ -159,3 +159,71 @@ def owed_attempts(audit: DataFrame, landed: DataFrame) -> DataFrame:
         .otherwise(budget)
     )
     return rows.select("session_id", "fingerprint", F.col("spent").cast("long").alias("spent"), F.coalesce("open", "aborted").alias("slot"), owed.alias("owed"))
+
+
+def _served() -> Column:
+    """Whether a row claims that something of it landed: it succeeded or was repaired, or is open and names replacements."""
+    claims = F.coalesce(F.size("claims") > 0, F.lit(False))
+    return F.coalesce(F.col("status").isin("success", "repaired") | ((F.col("status") == "open") & claims), F.lit(False))
+
+
+def served_seqs(audit: DataFrame) -> DataFrame:
+    """(session_id, seq): every replacement that an audit row claims to have served, once."""
+    return audit.where(_served()).select("session_id", F.explode("claims").alias("seq")).where("seq is not null").distinct()
+
+
+def first_seen(rows: DataFrame, keys: list[str], order: list[str], values: str, name: str = "merged") -> DataFrame:
+    """(keys, `name`): the lists `values` of each key put one after the other by `order`, each value where it first stands.
+
+    Values find their first place before any list is put together, so what a key gathers are its different values only. Nulls and
+    empty lists add nothing; a key of nothing else has an empty list.
+    """
+    placed = rows.select(*keys, F.struct(*order).alias("_order"), F.posexplode_outer(values).alias("_at", "_value"))
+    found = placed.groupBy(*keys, "_value").agg(F.min(F.struct("_order", "_at")).alias("_place"))
+    listed = F.sort_array(F.collect_list(F.when(F.col("_value").isNotNull(), F.struct("_place", "_value"))))
+    return found.groupBy(*keys).agg(F.transform(listed, lambda x: x["_value"]).alias(name))
+
+
+def landed_merge(audit: DataFrame) -> DataFrame:
+    """(session_id, fingerprint, landed): replacements that the rows of a group claim, oldest row first, each once."""
+    return first_seen(audit, ["session_id", "fingerprint"], ["request_id"], "claims", "landed")
+
+
+def attempt_gates(asks: DataFrame, audit: DataFrame, landings: DataFrame, unwritten: DataFrame, most: int = MOST_ATTEMPTS) -> DataFrame:
+    """(session_id, fingerprint, time, gate): whether another attempt was owed when it was asked for, by what was known then.
+
+    `asks`, `landings` (proven by the log) and `unwritten` (attempts that the audit couldn't record): (session_id, fingerprint, time);
+    `audit`: (session_id, fingerprint, opened, ended, status, attempt, claims), a row being open until it ended (null: still). Evidence
+    comes first, then unwritten attempts, then recorded ones, then what the rows say. All that happened at or before an ask
+    counts for it: one pass in order of time, no ask looks anything up.
+    """
+    zero = {c: F.lit(0).cast("long") for c in ("landed", "lost", "spent", "open_", "claimed", "served", "refused")}
+    keys = ["session_id", "fingerprint"]
+
+    def steps(df: DataFrame, time: str, rank: int, **change: Column) -> DataFrame:
+        return df.select(*keys, F.col(time).alias("time"), F.lit(rank).alias("rank"), *[change.get(c, z).cast("long").alias(c) for c, z in zero.items()])
+
+    named = (F.coalesce(F.size("claims"), F.lit(0)) > 0).cast("long")
+    ended = audit.where("ended is not null")
+    everything = [
+        steps(asks, "time", 1),
+        steps(landings, "time", 0, landed=F.lit(1)),
+        steps(unwritten, "time", 0, lost=F.lit(1)),
+        steps(audit, "opened", 0, spent=F.coalesce("attempt", F.lit(1)), open_=F.lit(1), claimed=named),
+        steps(ended, "ended", 0, open_=F.lit(-1), claimed=-named, served=F.coalesce(F.col("status").isin("success", "repaired"), F.lit(False)).cast("long"), refused=F.coalesce(F.col("status") == "fallback", F.lit(False)).cast("long")),
+    ]
+    rows = everything[0]
+    for more in everything[1:]:
+        rows = rows.unionByName(more)
+    so_far = Window.partitionBy(*keys).orderBy("time", "rank").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    known = rows.withColumns({c: F.sum(c).over(so_far) for c in zero}).where("rank = 1")
+    gate = (
+        F.when(F.col("landed") > 0, "landed")
+        .when(F.col("lost") >= most, "unwritten-exhausted")
+        .when(F.col("spent") >= most, "attempts-exhausted")
+        .when((F.col("served") > 0) | (F.col("claimed") > 0), "served")
+        .when(F.col("open_") > 0, "owed")
+        .when(F.col("refused") > 0, "refused")
+        .otherwise("owed")
+    )
+    return known.select(*keys, "time", gate.alias("gate"))

@@ -216,23 +216,60 @@ def projected(log: DataFrame, limits: Limits = Limits()) -> DataFrame:  # noqa:
     return rows.select("session_id", "seq", "type", kind.alias("kind"), F.coalesce(shown, F.lit("")).alias("text"), "fields", "truncation")
 
 
+VIEW = "struct<status: string, goal_id: string, revision: bigint, phase: string, objective: string>"
+
+
 def goal_view() -> Column:
     """The view that a goal change states: cleared, or what its snapshot says; null if it states none."""
-    goal = F.from_json(_at("goal"), "id string, revision long, phase string, objective string")
-    filled = lambda c: F.when(c != "", c)
-    current = F.struct(F.lit("current").alias("status"), filled(goal["id"]).alias("goal_id"), F.when(goal["revision"] > 0, goal["revision"]).alias("revision"), filled(goal["objective"]).alias("objective"))
-    cleared = F.from_json(F.lit('{"status": "cleared"}'), "status string, goal_id string, revision long, objective string")
-    return F.when(F.col("type") == "goal/change", F.when(_at("operation") == "clear", cleared).when(_at("operation").isNotNull() & goal.isNotNull() & _at("goal").startswith("{"), current))
+    v = F.try_parse_json("data")
+    number = _whole(v, "goal.revision")
+    named = {"goal_id": F.nullif(_said(v, "goal.id"), F.lit("")), "revision": F.when(number > 0, number), "phase": F.nullif(_said(v, "goal.phase"), F.lit("")), "objective": F.nullif(_said(v, "goal.objective"), F.lit(""))}
+    current = F.struct(F.lit("current").alias("status"), *[c.alias(n) for n, c in named.items()]).cast(VIEW)
+    cleared = F.struct(F.lit("cleared").alias("status"), *[F.lit(None).alias(n) for n in named]).cast(VIEW)
+    operation = _said(v, "operation")
+    return F.when(F.col("type") == "goal/change", F.when(operation == "clear", cleared).when(operation.isNotNull() & _is_record(v, "goal"), current))
 
 
 def todo_view() -> Column:
     """The list that a TODO write states: an empty one is cleared; items without content go, and no status means pending."""
-    items = F.from_json(_at("todos"), ITEM)
-    good = F.transform(F.filter(items, lambda i: i["content"] != ""), lambda i: F.struct(i["content"].alias("content"), F.when(F.coalesce(i["status"], F.lit("")) == "", "pending").otherwise(i["status"]).alias("status")))
+    items = F.try_variant_get(F.try_parse_json("data"), "$.todos", "array<variant>")
+    read = F.transform(items, lambda i: F.struct(F.coalesce(_said(i, "content"), F.lit("")).alias("content"), F.coalesce(F.nullif(_said(i, "status"), F.lit("")), F.lit("pending")).alias("status")))
+    good = F.filter(read, lambda i: i["content"] != "")
     view = F.struct(F.when(F.size(items) == 0, "cleared").otherwise("current").alias("status"), F.col("seq").alias("source_seq"), good.alias("items"))
     return F.when((F.col("type") == "todo/write") & items.isNotNull(), view)
 
 
+def carried_views(base: DataFrame, log: DataFrame) -> DataFrame:
+    """(session_id, goal, todo, through): views of a base carried on by what comes after it.
+
+    `base`: the same columns; each session's facts count from its `through` on, and a fact of a seq at or below it is a replay. The
+    newest fact of each view wins, a tombstone (cleared) as well as any other; a view without a newer one stays as it was. So carrying
+    a log in any parts, one after the other, gives what carrying it at once gives.
+    """
+    facts = log.where(F.col("type").isin("goal/change", "todo/write")).select("session_id", "seq", goal_view().alias("goal"), todo_view().alias("todo"))
+    seen = log.select("session_id", "seq", F.lit(None).cast(facts.schema["goal"].dataType).alias("goal"), F.lit(None).cast(facts.schema["todo"].dataType).alias("todo"))
+    held = base.select("session_id", F.col("through").alias("seq"), F.col("goal").cast(facts.schema["goal"].dataType).alias("goal"), F.col("todo").cast(facts.schema["todo"].dataType).alias("todo"), F.lit(True).alias("_base"))
+    fresh = facts.unionByName(seen.groupBy("session_id").agg(F.max("seq").alias("seq"), F.first("goal").alias("goal"), F.first("todo").alias("todo"))).withColumn("_base", F.lit(False))
+    rows = fresh.unionByName(held).withColumn("_from", F.max(F.when(F.col("_base"), F.col("seq"))).over(Window.partitionBy("session_id")))
+    rows = rows.where(F.col("_base") | F.col("_from").isNull() | (F.col("seq") > F.col("_from")))
+    newest = lambda view: F.max_by(view, F.when(F.col(view).isNotNull(), F.col("seq"))).alias(view)
+    return rows.groupBy("session_id").agg(newest("goal"), newest("todo"), F.max("seq").alias("through"))
+
+
+def view_changes(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(session_id, changed, cleared): views that say something else than before, in order, and those that were current and are cleared.
+
+    Where a TODO list was written doesn't matter, what it says does; a view that never was is `none`.
+    """
+    old = before.select("session_id", F.col("goal").alias("_goal"), F.col("todo").alias("_todo"))
+    rows = after.join(old, "session_id", "left")
+    said = lambda c: F.struct(F.coalesce(c["status"], F.lit("none")), F.coalesce(c["items"], F.array().cast(ITEM)))
+    differs = {"goal": ~F.col("goal").eqNullSafe(F.col("_goal")), "todo": ~said(F.col("todo")).eqNullSafe(said(F.col("_todo")))}
+    gone = {name: differs[name] & (F.col(f"{name}.status") == "cleared") & (F.col(f"_{name}.status") == "current") for name in differs}
+    listed = lambda which: F.array_compact(F.array(*[F.when(c, F.lit(name)) for name, c in which.items()]))
+    return rows.select("session_id", listed(differs).alias("changed"), listed(gone).alias("cleared"))
+
+
 def authority_views(log: DataFrame) -> DataFrame:
     """(session_id, goal, todo): the newest fact of each wins; a session without one has null."""
     rows = log.where(F.col("type").isin("goal/change", "todo/write")).select("session_id", "seq", goal_view().alias("goal"), todo_view().alias("todo"))

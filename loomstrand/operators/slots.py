@@ -24,7 +24,7 @@ def authoritative_lines() -> Column:
     """Header, staleness, goal and TODO lines of a row with revision, source_cursor, digest, high_water, goal and todo."""
     goal, todo = F.col("goal"), F.col("todo")
     header = F.concat(F.lit("Durable task state (revision "), "revision", F.lit(", source event "), "source_cursor", F.lit(", digest "), "digest", F.lit(")."))
-    identity = F.concat_ws(", ", F.concat(F.lit("goal "), goal["goal_id"]), F.concat(F.lit("revision "), goal["revision"]))
+    identity = F.concat_ws(", ", F.concat(F.lit("goal "), goal["goal_id"]), F.concat(F.lit("revision "), goal["revision"]), F.concat(F.lit("phase "), goal["phase"]))
     items = F.transform(todo["items"], lambda i: F.concat(F.lit("- ["), i["status"], F.lit("] "), i["content"]))
     return F.concat(
         F.array(header),
@@ -33,7 +33,7 @@ def authoritative_lines() -> Column:
         _only_if(goal["status"] == "current", F.concat(F.lit("Current goal: "), F.coalesce(goal["objective"], F.lit("(no objective recorded)")))),
         _only_if((goal["status"] == "current") & (identity != ""), F.concat(F.lit("Goal identity: "), identity)),
         _only_if(todo["status"] == "cleared", TODO_CLEARED),
-        _only_if(todo["status"] == "current", F.concat(F.lit("TODO list (session event "), todo["source_seq"], F.lit("):"))),
+        _only_if(todo["status"] == "current", F.coalesce(F.concat(F.lit("TODO list (session event "), todo["source_seq"], F.lit("):")), F.lit("TODO list:"))),
         F.when(todo["status"] == "current", items).otherwise(F.array().cast("array<string>")),
     )
 

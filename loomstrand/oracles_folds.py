@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loomstrand.oracles import GROUP_AUDIT, REPLACED, TOOL_LOG
+from loomstrand.oracles import AUTHORITY, GROUP_AUDIT, REPLACED, TOOL_LOG
 
 OPERATIONS = """ev as (select user_id as session_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as op_no, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events),
 o0 as (select *, op_no // 5 as r, case when op_no % 5 = 0 then k % 11 <> 0 else event_type = 'signup' end as opens from ev),
@@ -76,7 +76,42 @@ sk as (select l.session_id, l.seq, l.type, l.covers, (select count(*) from rlog
       when rb.fault is not null then 'unknown-replacement' else rb.kind end as own, case when rb.fault is null then rb.covered end as stated
   from rlog l left join rb using (session_id, seq) where l.type in ('user/message', 'assistant/message', 'tool/result'))"""
 
+ATTEMPTS = """ev as (select user_id as session_id, 'f' || event_id % 9 as fingerprint, event_id, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events),
+rows as (select session_id, fingerprint, event_id as opened, case when k % 5 <> 0 then event_id + k * 40 end as ended, ['success', 'failure', 'fallback', 'aborted', 'failure', 'repaired'][k % 6 + 1] as status,
+    case when k % 4 <> 0 then k % 3 end as attempt, k % 7 = 0 as claims from ev where event_type = 'click' and k % 4 <> 1)"""
+
 ORACLE_SQL = {
+    "attempt_gates": f"""with {ATTEMPTS}, asks as (select session_id, fingerprint, event_id as time from ev where event_type = 'view'),
+        known as (select a.session_id, a.fingerprint, a.time,
+          (select count(*) from ev l where l.session_id = a.session_id and l.fingerprint = a.fingerprint and l.event_type = 'purchase' and l.event_id % 11 = 0 and l.event_id <= a.time) as landed,
+          (select count(*) from ev u where u.session_id = a.session_id and u.fingerprint = a.fingerprint and u.event_type = 'error' and u.k % 2 = 0 and u.event_id <= a.time) as lost,
+          (select coalesce(sum(coalesce(attempt, 1)), 0) from rows r where r.session_id = a.session_id and r.fingerprint = a.fingerprint and opened <= a.time) as spent,
+          (select count(*) from rows r where r.session_id = a.session_id and r.fingerprint = a.fingerprint and ended <= a.time and status in ('success', 'repaired')) as served,
+          (select count(*) from rows r where r.session_id = a.session_id and r.fingerprint = a.fingerprint and opened <= a.time and (ended is null or ended > a.time) and claims) as claimed,
+          (select count(*) from rows r where r.session_id = a.session_id and r.fingerprint = a.fingerprint and opened <= a.time and (ended is null or ended > a.time)) as held,
+          (select count(*) from rows r where r.session_id = a.session_id and r.fingerprint = a.fingerprint and ended <= a.time and status = 'fallback') as refused from asks a)
+        select session_id, fingerprint, time, case when landed > 0 then 'landed' when lost >= 2 then 'unwritten-exhausted' when spent >= 2 then 'attempts-exhausted' when served + claimed > 0 then 'served' when held > 0 then 'owed'
+          when refused > 0 then 'refused' else 'owed' end as gate from known""",
+    "served_seqs": f"with {GROUP_AUDIT} select distinct session_id, unnest(claims) as seq from ga where status in ('success', 'repaired') or (status = 'open' and len(claims) > 0)",
+    "landed_merge": f"""with {GROUP_AUDIT}, u as (select session_id, fingerprint, request_id, unnest(claims) as c, generate_subscripts(claims, 1) as i from ga),
+        f as (select session_id, fingerprint, c, min(request_id || lpad(cast(i as varchar), 5, '0')) as at_first from u group by 1, 2, 3),
+        l as (select session_id, fingerprint, string_agg(cast(c as varchar), ',' order by at_first) as landed from f group by 1, 2)
+        select distinct ga.session_id, ga.fingerprint, coalesce(landed, '') as landed from ga left join l using (session_id, fingerprint)""",
+    "group_fingerprints": f"""with {TOOL_LOG}, s as (select session_id, pos // 8 as group_id, pos, seq, type, step, chars from surface where type <> 'user/message'),
+        u as (select session_id, group_id, 2 * pos as at_pos, 'c' || step as id from s where type = 'tool/result' union all select session_id, group_id, 2 * pos + 1, 'c' || step % 3 from s where type = 'tool/result'),
+        c as (select session_id, group_id, list(id order by at_pos) as ids from (select session_id, group_id, id, min(at_pos) as at_pos from u group by 1, 2, 3) group by 1, 2),
+        g as (select session_id, group_id, list(seq order by pos) as seqs, list(type order by pos) as types, list('said "' || chars || '"' order by pos) as texts from s group by 1, 2)
+        select session_id, group_id, sha256('{{"lifecycle":' || session_id || ',"sourceSeqs":' || to_json(seqs) || ',"callIds":' || to_json(coalesce(ids, [])) || ',"eventTypes":' || to_json(types) || ',"contentDigest":"'
+          || sha256(to_json(texts)) || '","schemaVersion":1}}') as fingerprint from g left join c using (session_id, group_id)""",
+    "view_carry": f"""with {AUTHORITY}, ids as (select session_id, max(seq) as through from ev group by 1),
+        pick as (select session_id, through, (select max(seq) from goals g where g.session_id = ids.session_id) as gs, (select max(seq) from todos t where t.session_id = ids.session_id) as ts,
+          (select max(seq) from goals g where g.session_id = ids.session_id and seq < 15) as bgs, (select max(seq) from todos t where t.session_id = ids.session_id and seq < 15) as bts from ids)
+        select p.session_id, g.status as goal_status, g.objective, t.status as todo_status, t.seq as source_seq, through,
+          array_to_string(list_filter([case when (g.status, g.goal_id, g.revision, g.objective) is distinct from (bg.status, bg.goal_id, bg.revision, bg.objective) then 'goal' end,
+            case when (t.status, t.items) is distinct from (bt.status, bt.items) then 'todo' end], lambda x: x is not null), ',') as changed,
+          array_to_string(list_filter([case when g.status = 'cleared' and bg.status = 'current' then 'goal' end, case when t.status = 'cleared' and bt.status = 'current' then 'todo' end], lambda x: x is not null), ',') as cleared
+        from pick p left join goals g on g.session_id = p.session_id and g.seq = gs left join goals bg on bg.session_id = p.session_id and bg.seq = bgs
+          left join todos t on t.session_id = p.session_id and t.seq = ts left join todos bt on bt.session_id = p.session_id and bt.seq = bts""",
     "fold_windows": """with recursive c as (select conv_id as session_id, turn as seq, role, text from conversations where trim(text) <> '' and (role = 'user' or (role = 'assistant' and turn % 7 <> 3))),
         e as (select session_id, '{"seq":' || seq || ',"type":"' || case role when 'user' then 'user/message' else 'assistant/message' end || '","fields":{"kind":"' || case when role = 'assistant' then 'assistant'
             when seq % 4 = 2 then 'goal-continuation' else 'user' end || '","text":' || to_json(text) || '}}' as written, seq, row_number() over (partition by session_id order by seq) as n from c),

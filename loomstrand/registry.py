@@ -190,6 +190,17 @@ def authority_views(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def view_carry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views of every session's first 15 events carried on by the rest, and what that changed."""
+    log = logs.authority_log(spark, sf_dir)
+    nothing = events.authority_views(log.limit(0)).withColumn("through", F.lit(-1).cast("long"))
+    base = events.carried_views(nothing, log.where("seq < 15"))
+    now = events.carried_views(base, log.where("seq >= 10"))
+    said = lambda c: F.array_join(c, ",")
+    changes = events.view_changes(base, now).select("session_id", said(F.col("changed")).alias("changed"), said(F.col("cleared")).alias("cleared"))
+    return now.select("session_id", F.col("goal.status").alias("goal_status"), "goal.objective", F.col("todo.status").alias("todo_status"), "todo.source_seq", "through").join(changes, "session_id")
+
+
 def urgent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Authority events that can't wait for a full window."""
     return events.urgent_events(logs.authority_log(spark, sf_dir))
@@ -249,6 +260,33 @@ def audit_attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audits.owed_attempts(logs.group_audit(spark, sf_dir), logs.group_landings(spark, sf_dir))
 
 
+def served_seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replacements that audit rows claim to have served."""
+    return audits.served_seqs(logs.group_audit(spark, sf_dir))
+
+
+def landed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the rows of every group claim, in order of first claim."""
+    return audits.landed_merge(logs.group_audit(spark, sf_dir)).select("session_id", "fingerprint", F.array_join(F.col("landed").cast("array<string>"), ",").alias("landed"))
+
+
+def attempt_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether an attempt was owed at every ask, by what was known then."""
+    return audits.attempt_gates(*logs.attempt_events(spark, sf_dir))
+
+
+def group_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint of every session's tool work in runs of eight nodes, with its call ids in order of first sight."""
+    nodes = logs.surface_of(logs.tool_log(spark, sf_dir)).where("type <> 'user/message'").withColumn("group_id", F.floor(F.col("pos") / 8))
+    calls = F.when(F.col("type") == "tool/result", F.array(F.concat(F.lit("c"), "step"), F.concat(F.lit("c"), F.col("step") % 3)))
+    nodes = nodes.select("session_id", "group_id", "pos", "seq", "type", calls.alias("calls"), F.concat(F.lit('said "'), "chars", F.lit('"')).alias("text"))
+    keys = ["session_id", "group_id"]
+    seen = audits.first_seen(nodes, keys, ["pos"], "calls", "call_ids")
+    listed = lambda c: F.transform(F.sort_array(F.collect_list(F.struct("pos", c))), lambda x: x[c])
+    groups = nodes.groupBy(*keys).agg(listed("seq").alias("seqs"), listed("type").alias("types"), listed("text").alias("texts")).join(seen, keys)
+    return groups.select(*keys, lineage.group_fingerprint(F.col("session_id"), F.col("seqs"), F.col("call_ids"), F.col("types"), F.col("texts")).alias("fingerprint"))
+
+
 def control_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The newest state of every session from frames that may come late or twice."""
     return control.latest(logs.control_frames(spark, sf_dir))
@@ -443,8 +481,8 @@ QUERIES = {
     for f in (
         token_estimate, zone_partition, zone_partition_safe, pairing_balance, forget_batch_plan, pressure_span_plan, legacy_tail_split,
         retained_tail_floor, envelope_budget, prune_documents, bounded_text, tool_segments, tool_groups, group_chunks, eligible_spans, surface_replay, surface_generations, turns_after,
-        source_index, provenance_digest, record_faults, replacement_coverage, reentry_sources, unrecorded_landings, evidence_counters, compaction_lock, event_filter, authority_views, urgent_events, batch_window_count,
-        batch_window_bytes, fold_windows, group_inputs, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_decisions, summary_violations,
+        source_index, provenance_digest, record_faults, replacement_coverage, reentry_sources, unrecorded_landings, evidence_counters, compaction_lock, event_filter, authority_views, view_carry, urgent_events, batch_window_count,
+        batch_window_bytes, fold_windows, group_inputs, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, served_seqs, landed_merge, attempt_gates, group_fingerprints, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_decisions, summary_violations,
         entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
         prune_pass, block_measures, block_prunes, block_summaries, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,
         surface_alignment, surface_ranges, span_checks, fold_backlog, audit_counts, pressure_totals,

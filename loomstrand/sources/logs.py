@@ -208,6 +208,21 @@ def replaced_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     return base.unionByName(prunes).unionByName(results).unionByName(summary(first)).unionByName(summary(second))
 
 
+def attempt_events(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(asks, audit, landings, unwritten) of three groups a session: views ask, clicks open rows, some purchases prove landings, some
+    errors are attempts that no row records."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("long")
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("session_id"), F.concat(F.lit("f"), F.col("event_id") % 9).alias("fingerprint"), "event_id", "event_type", k.alias("k"))
+    states = F.array(*[F.lit(x) for x in ("success", "failure", "fallback", "aborted", "failure", "repaired")])
+    number, k = F.col("event_id"), F.col("k")
+    audit = rows.where("event_type = 'click' and k % 4 <> 1").select(
+        "session_id", "fingerprint", number.alias("opened"), F.when(k % 5 != 0, number + k * 40).alias("ended"), F.element_at(states, (k % 6 + 1).cast("int")).alias("status"),
+        F.when(k % 4 != 0, k % 3).alias("attempt"), F.when(k % 7 == 0, F.array(number)).otherwise(F.array().cast("array<bigint>")).alias("claims"),
+    )
+    plain = lambda where: rows.where(where).select("session_id", "fingerprint", number.alias("time"))
+    return plain("event_type = 'view'"), audit, plain("event_type = 'purchase' and event_id % 11 = 0"), plain("event_type = 'error' and k % 2 = 0")
+
+
 def provenance_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log with replacements, whose pricing events say what was shadowed and carry records; of seventeen kinds of record twelve
     disagree with the log in one way or another."""

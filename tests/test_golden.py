@@ -281,12 +281,14 @@ def test_json_leaves(spark):
 
 
 def test_slot_texts(spark):
-    schema = "session_id long, goal struct<status: string, goal_id: string, revision: bigint, objective: string>, todo struct<status: string, source_seq: bigint, items: array<struct<content: string, status: string>>>, facts array<string>, decisions array<string>, constraints array<string>, risks array<string>, revision long, source_cursor long, high_water long, digest string"
-    row = (1, ("current", "g", 2, "ship it"), ("current", 7, [("a", "done"), ("b", "pending")]), ["f1", "f2"], [], [], ["r"], 4, 9, 9, "dg")
+    schema = "session_id long, goal struct<status: string, goal_id: string, revision: bigint, phase: string, objective: string>, todo struct<status: string, source_seq: bigint, items: array<struct<content: string, status: string>>>, facts array<string>, decisions array<string>, constraints array<string>, risks array<string>, revision long, source_cursor long, high_water long, digest string"
+    row = (1, ("current", "g", 2, None, "ship it"), ("current", 7, [("a", "done"), ("b", "pending")]), ["f1", "f2"], [], [], ["r"], 4, 9, 9, "dg")
     df = spark.createDataFrame([row], schema)
     full = "\n".join(["Durable task state (revision 4, source event 9, digest dg).", "Current goal: ship it", "Goal identity: goal g, revision 2", "TODO list (session event 7):", "- [done] a", "- [pending] b", "", "Facts:", "- f1", "- f2", "Risks:", "- r"])
     got = one(slots.rendered(df, 5000, 5000))
     assert got.text == full and not got.truncated and not got.blocked
+    nowhere = spark.createDataFrame([(1, ("current", "g", 2, "build", "ship it"), ("current", None, row[2][2]), *row[3:])], schema)
+    assert one(slots.rendered(nowhere, 5000, 5000)).text == full.replace("revision 2\n", "revision 2, phase build\n").replace(" (session event 7)", "")
     head = "\n".join(full.split("\n")[:6])
     for budget in range(1, len(full) + 120, 9):
         got = one(slots.rendered(df, budget, 5000))
