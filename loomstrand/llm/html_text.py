@@ -69,7 +69,8 @@ INNER = len(KINDS)
 #: In place of an element: what hangs below is never shown.
 UNSEEN = -2
 
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_EVENT = re.compile("[>\"']")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I) for t in RAW}
 _NAMED = re.compile(r"\b(?:class|id|role|aria-label)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 _MARK = re.compile(r"\by=([01])")
@@ -85,6 +86,120 @@ def _bits(attributes: str) -> int:
     return found
 
 
+class Markup:
+    """Finds the marks of a page from left to right. No stretch is searched twice, whatever is left open in it.
+
+    A tag ends at the first `>` outside quotes, or at the first of all where a quote is never closed; without any, its `<` is text.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source = source
+        self.last = source.rfind(">")
+        #: Where a tag ends of which a quote opens here, -1 for nowhere.
+        self.known: dict[int, int] = {}
+
+    def _end(self, at: int) -> int:
+        """Place of the `>` that ends a tag whose attributes start here, or -1."""
+        passed = []
+        while True:
+            event = _EVENT.search(self.source, at)
+            if not event:
+                found = -1
+                break
+            place = event.start()
+            if event[0] == ">":
+                found = place
+                break
+            if (held := self.known.get(place)) is not None:
+                found = held
+                break
+            passed.append(place)
+            at = self.source.find(event[0], place + 1) + 1
+            if not at:
+                found = -1
+                break
+        self.known.update(dict.fromkeys(passed, found))
+        return found
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """(start, end, whether it closes, name, attributes) of the first mark from here on; comments and the like have no name."""
+        source = self.source
+        while (start := source.find("<", at)) >= 0:
+            for opening, closing in (("<!--", "-->"), ("<![CDATA[", "]]>")):
+                if source.startswith(opening, start):
+                    end = source.find(closing, start + len(opening))
+                    return start, len(source) if end < 0 else end + len(closing), False, "", ""
+            if start >= self.last:
+                # Only a comment can still come.
+                start = source.find("<!", start + 1)
+                if start < 0:
+                    return None
+                at = start
+                continue
+            name = _NAME.match(source, start)
+            if name:
+                end = self._end(name.end())
+                if end < 0:
+                    end = source.find(">", name.end())
+                return start, end + 1, bool(name[1]), name[2], source[name.end() : end]
+            if source[start + 1] in "!?/":
+                return start, source.find(">", start) + 1, False, "", ""
+            at = start + 1
+        return None
+
+
+class Stack:
+    """The open elements of a page as (name, node), and where those are that an end tag or a block may look for."""
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, int]] = [("", 0)]
+        self.by_name: dict[str, list[int]] = {}
+        self.blocks, self.barriers, self.left, self.seen = [-1], [-1], [-1], [0]
+
+    @property
+    def node(self) -> int:
+        return self.open[-1][1]
+
+    def _lists(self, name: str, node: int) -> list[list[int]]:
+        lists = [self.by_name.setdefault(name, [-1])]
+        if name in CLOSES_P:
+            lists.append(self.blocks)
+        if name in BARRIER:
+            lists.append(self.barriers)
+        if node != UNSEEN or name == "foreignobject":
+            lists.append(self.seen)
+        elif name in LEFT_BY_BLOCKS:
+            lists.append(self.left)
+        return lists
+
+    def push(self, name: str, node: int) -> None:
+        for places in self._lists(name, node):
+            places.append(len(self.open))
+        self.open.append((name, node))
+
+    def _cut(self, place: int) -> None:
+        while len(self.open) > place:
+            for places in self._lists(*self.open.pop()):
+                places.pop()
+
+    def end(self, name: str) -> None:
+        """An end tag closes the newest element of its name; an inline one doesn't reach across a block."""
+        place = self.by_name.get(name, (-1,))[-1]
+        if place > 0 and (name not in INLINE or self.blocks[-1] <= place):
+            self._cut(place)
+
+    def close(self, name: str) -> None:
+        """The newest element of a name ends, unless a barrier stands in between."""
+        place = self.by_name.get(name, (-1,))[-1]
+        if place > 0 and self.barriers[-1] <= place:
+            self._cut(place)
+
+    def break_out(self) -> None:
+        """Blocks end a drawing, formula or list of choices that was never closed."""
+        if self.left[-1] > self.seen[-1]:
+            self._cut(self.left[-1])
+
+
 class Page:
     """The block elements of one page in document order, and its pieces of text."""
 
@@ -118,33 +233,27 @@ class Page:
         self.points[node] += len(_POINTS.findall(text))
 
     def _read(self, source: str) -> None:
-        stack: list[tuple[str, int]] = [("", 0)]
+        stack, marks = Stack(), Markup(source)
         linked = 0
         at = 0
         add = self.pieces.append
-        while m := _TAG.search(source, at):
-            if m.start() > at:
-                self._text(stack[-1][1], source[at : m.start()], linked > 0)
-            at = m.end()
-            tag = m[2] or m[5]
+        while m := marks.next(at):
+            start, end, closes, tag, attributes = m
+            if start > at:
+                self._text(stack.node, source[at:start], linked > 0)
+            at = end
             if not tag:
                 continue
             tag = tag.lower()
-            if m[1] or m[4]:
-                if tag == "a" and stack[-1][1] != UNSEEN:
+            if closes:
+                if tag == "a" and stack.node != UNSEEN:
                     linked = max(0, linked - 1)
                 if tag in VOID:
                     continue
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i][0] == tag:
-                        del stack[i:]
-                        break
-                    if tag in INLINE and stack[i][0] in CLOSES_P:
-                        break
+                stack.end(tag)
                 if tag not in INLINE:
                     add((-1, " "))
                 continue
-            attributes = m[3] or m[6] or ""
             if tag in RAW:
                 #: Nothing in it is markup: its end is looked for in the source itself.
                 if not attributes.endswith("/"):
@@ -152,56 +261,37 @@ class Page:
                     at = end.end() if end else len(source)
                 add((-1, " "))
                 continue
-            if stack[-1][1] == UNSEEN and tag in CLOSES_P and tag not in VOID:
-                self._break_out(stack)
-            if (tag in UNSHOWN or stack[-1][1] == UNSEEN) and tag not in VOID:
+            if stack.node == UNSEEN and tag in CLOSES_P and tag not in VOID:
+                stack.break_out()
+            if (tag in UNSHOWN or stack.node == UNSEEN) and tag not in VOID:
                 if not attributes.endswith("/"):
-                    stack.append((tag, UNSEEN))
+                    stack.push(tag, UNSEEN)
                 add((-1, " "))
                 continue
             if tag in VOID:
                 if tag != "wbr":
                     add((-1, " "))
-                if tag == "hr" and stack[-1][1] != UNSEEN:
-                    self._close(stack, "p")
+                if tag == "hr" and stack.node != UNSEEN:
+                    stack.close("p")
                 continue
             if tag in INLINE:
                 if tag == "a":
                     linked += 1
                 bits = _bits(attributes) if attributes else 0
-                stack.append((tag, self._add(stack[-1][1], tag, attributes) if bits & DROPPED_BITS else stack[-1][1]))
+                stack.push(tag, self._add(stack.node, tag, attributes) if bits & DROPPED_BITS else stack.node)
                 continue
             add((-1, " "))
             if tag == "head":
-                stack.append((tag, stack[-1][1]))
+                stack.push(tag, stack.node)
                 continue
             if tag in CLOSES_P:
-                self._close(stack, "p")
+                stack.close("p")
                 linked = 0
             for closed in CLOSES.get(tag, "").split():
-                self._close(stack, closed)
-            stack.append((tag, self._add(stack[-1][1], tag, attributes)))
+                stack.close(closed)
+            stack.push(tag, self._add(stack.node, tag, attributes))
         if at < len(source):
-            self._text(stack[-1][1], source[at:], linked > 0)
-
-    @staticmethod
-    def _break_out(stack: list[tuple[str, int]]) -> None:
-        """Blocks end a drawing, formula or list of choices that was never closed."""
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][1] != UNSEEN or stack[i][0] == "foreignobject":
-                return
-            if stack[i][0] in LEFT_BY_BLOCKS:
-                del stack[i:]
-                return
-
-    @staticmethod
-    def _close(stack: list[tuple[str, int]], tag: str) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] == tag:
-                del stack[i:]
-                return
-            if stack[i][0] in BARRIER:
-                return
+            self._text(stack.node, source[at:], linked > 0)
 
     def text(self, kept: list[bool]) -> str:
         """Text of the kept elements, blocks parted and white space turned into one space."""

@@ -192,3 +192,25 @@ def test_a_rare_language_is_learned_beyond_the_limit(spark):
 def test_languages_share_the_sample_equally():
     share = language.shares({"a": 4, "b": 10_000, "c": 90_000}, 1004)
     assert share == {"a": 1.0, "b": 500 / 10_000, "c": 500 / 90_000}
+
+
+def test_a_megabyte_of_open_marks_is_read_in_linear_time():
+    import time
+
+    from loomstrand.llm.html_text import Page
+
+    hostile = ["<a " * 350_000, '<a x="' * 170_000, '<a x="' * 170_001 + ">", "<i>" * 180_000 + "</b>" * 180_000, "<i \"'>" * 170_000, "<b><div>" + "<i>" * 150_000 + "</b>" * 150_000, "<template>" + "<div>" * 200_000, "<svg>" * 120_000 + "<p>" * 120_000]
+    for source in hostile:
+        began = time.process_time()
+        Page(source)
+        assert time.process_time() - began < 10, source[:20]
+
+
+def test_marks_that_are_left_open():
+    from loomstrand.llm.html_text import Page
+
+    said = lambda source: " ".join("".join(t for _, t in Page(source).pieces).split())
+    assert said("<p title='a>b'>one</p><p title='open>two</p>three") == "one two three"
+    assert said("<!-- <p>x</p> --><p>one<!-- never closed <p>two") == "one"
+    assert said("a < b and <3 > 2 </ >end") == "a < b and <3 > 2 end" and said("one <unfinished") == "one <unfinished"
+    assert said("<div><i>one<b>two</div></i></b>three") == "onetwo three"
