@@ -6,11 +6,12 @@ clockwise. A shard's bound is the floor or the ceiling of rows / shards (lower s
 two shards differ by more than one row. All arcs ask their first shard for room, in order round the ring; rows that
 overflow go on clockwise to the arc's next shard, and so on. Since the bounds add up to all rows, each finds a place.
 
-Only counts are negotiated: one row for each cell, of which there are arcs x `CELLS` at most whatever the input. Cells cut
-arcs by a finer hash of key and text, so that no window holds a whole arc, and repeated keys spread.
+Only counts are negotiated: one row for each cell. Cells cut arcs by a finer hash of key and text, into more of them the more rows
+there are, so that a window sorts about `CELL_ROWS` rows at most whatever the input. Rows that repeat key and text more often than
+that are told apart by where they stand in a checkpoint, and spread over the cells of their arc.
 
-Null keys and null texts hash like empty ones. Repeated rows are placed as often as they come. An empty table gives no rows.
-Other columns are kept, but for shard and slot, which are replaced.
+Null keys and null texts hash like empty ones. Rows are ranked by place, key and text, then by all their columns; repeated rows are
+placed as often as they come. An empty table gives no rows. Other columns are kept, but for shard and slot, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-VIRTUAL_NODES, CELLS = 32, 16
+from loomstrand.llm.common import materialise
+
+VIRTUAL_NODES, CELL_ROWS = 128, 250_000
 RING = 1 << 32
 
 
@@ -59,20 +62,30 @@ def _negotiated(cells: DataFrame, shards: int) -> DataFrame:
     return state.select("arc", "cell", F.explode(F.filter(F.array(*rounds), lambda r: r["many"] > 0)).alias("r")).select("arc", "cell", "r.*")
 
 
-def bounded_ring(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", virtual_nodes: int = VIRTUAL_NODES) -> DataFrame:
+def bounded_ring(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", virtual_nodes: int = VIRTUAL_NODES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The rows of `df` with shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
     named = F.coalesce(F.col(key).cast("string"), F.lit(""))
     place = F.pmod(F.xxhash64(F.lit("key"), named), F.lit(RING))
     fine = F.xxhash64(F.lit("cell"), named, F.coalesce(F.col(text).cast("string"), F.lit("")))
     arcs = ring(df, shards, virtual_nodes)
-    tops = arcs.agg(F.sort_array(F.collect_list("top")).alias("tops"))
-    arc = F.pmod(F.size(F.filter("tops", lambda t: t < F.col("place"))), F.lit(shards * virtual_nodes))
+    # As many numbers as the ring has points, by parameters alone.
+    tops = sorted(r["top"] for r in arcs.select("top").collect())
+    arc = F.pmod(F.size(F.filter(F.array(*map(F.lit, tops)), lambda t: t < F.col("place"))), F.lit(len(tops)))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
-    dealt = df.select(F.struct(*kept).alias("row"), place.alias("place"), fine.alias("fine")).join(F.broadcast(tops))
-    dealt = dealt.select("row", "place", "fine", arc.alias("arc"), F.pmod("fine", F.lit(CELLS)).alias("cell"))
+    dealt = df.select(F.struct(*kept).alias("row"), place.alias("place"), fine.alias("fine")).withColumn("arc", arc)
+    same = dealt.groupBy("place", "fine").agg(F.count("*").alias("n"))
+    cells = max(1, -(-2 * dealt.count() // (len(tops) * cell_rows)))
+    # At most rows / cell_rows of them.
+    crowds = same.where(F.col("n") > cell_rows).select("place", "fine", F.ceil(2 * F.col("n") / cell_rows).alias("parts"))
+    if crowds.head(1):
+        dealt = materialise(dealt).withColumn("at", F.monotonically_increasing_id()).join(crowds, ["place", "fine"], "left")
+        part = F.when(F.col("parts").isNotNull(), F.pmod("at", "parts")).otherwise(F.pmod("fine", F.lit(cells)) - cells)
+    else:
+        part = F.pmod("fine", F.lit(cells)) - cells
+    dealt = dealt.select("row", "place", "fine", "arc", part.alias("cell"))
     counts = dealt.groupBy("arc", "cell").agg(F.count("*").alias("n")).join(F.broadcast(arcs.select("arc", "route")), "arc")
     runs = _negotiated(counts, shards).groupBy("arc", "cell").agg(F.sort_array(F.collect_list(F.struct("first", "many", "begin", "shard"))).alias("runs"))
-    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "cell").orderBy("place", "fine")) - 1)
+    ranked = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("arc", "cell").orderBy("place", "fine", F.xxhash64("row"))) - 1)
     run = F.element_at(F.filter("runs", lambda r: r["first"] <= F.col("rank")), -1)
     found = ranked.join(runs, ["arc", "cell"]).select("row", "rank", run.alias("run"))
     return found.select("row.*", F.col("run.shard").alias("shard"), (F.col("run.begin") + F.col("rank") - F.col("run.first")).alias("slot"))

@@ -93,7 +93,7 @@ def test_arcs_and_overflow_follow_the_ring(spark):
     arcs = {r.arc: (r.top, r.route) for r in sharding.ring(df, 5).collect()}
     tops = [arcs[a][0] for a in sorted(arcs)]
     assert tops == sorted(tops) and all(sorted(route) == list(range(5)) for _, route in arcs.values())
-    key = df.select("doc_id", F.pmod(F.xxhash64(F.lit("key"), F.col("doc_id").cast("string")), F.lit(sharding.RING)).alias("place"), F.pmod(F.xxhash64(F.lit("cell"), F.col("doc_id").cast("string"), F.lit("")), F.lit(sharding.CELLS)).alias("cell"))
+    key = df.select("doc_id", F.pmod(F.xxhash64(F.lit("key"), F.col("doc_id").cast("string")), F.lit(sharding.RING)).alias("place"), F.pmod(F.xxhash64(F.lit("cell"), F.col("doc_id").cast("string"), F.lit("")), F.lit(2)).alias("cell"))
     cells = defaultdict(list)
     for r in key.collect():
         arc = sum(t < r.place for t in tops) % len(tops)
@@ -110,7 +110,7 @@ def test_arcs_and_overflow_follow_the_ring(spark):
             want[c[0], c[1], asked[c]] += got
     got = defaultdict(int)
     where = {i: c for c, ids in cells.items() for i in ids}
-    for r in shards(df, 5).collect():
+    for r in shards(df, 5, cell_rows=1).collect():
         got[*where[r.doc_id], r.shard] += 1
     assert {k: v for k, v in want.items() if v} == dict(got)
 
@@ -123,3 +123,23 @@ def test_one_more_shard_moves_few_rows(spark):
 
 def test_sharding_an_empty_table(spark):
     assert shards(spark.createDataFrame([], "doc_id long, text string"), 8).count() == 0
+
+
+def test_crowds_of_repeated_rows_and_ties_are_spread_and_balanced(spark):
+    from pyspark.sql import Window
+
+    rows = [(None, None, i % 2) for i in range(600)] + [(7, "same", 0) for _ in range(500)] + [(i, f"t{i}", i) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, shard int").withColumn("arc", F.lit("clash")).repartition(5)
+    placed = sharding.bounded_ring(docs, 8, cell_rows=50)
+    found = placed.groupBy("shard").agg(F.count("*").alias("n"), F.min("slot").alias("low"), F.max("slot").alias("high"), F.countDistinct("slot").alias("slots")).collect()
+    assert sum(r.n for r in found) == 1_500 and max(r.n for r in found) - min(r.n for r in found) <= 1
+    assert all((r.low, r.high, r.slots) == (0, r.n - 1, r.n) for r in found)
+    assert placed.where("arc = 'clash'").count() == 1_500 and placed.where("doc_id is null").select("shard").distinct().count() > 1
+    assert placed.withColumn("k", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("slot"))).count() == 1_500
+
+
+def test_a_shard_more_moves_little_more_than_its_share(spark):
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("t"), "id").alias("text"))
+    place = lambda n: sharding.bounded_ring(docs, n).select("doc_id", F.col("shard").alias(f"s{n}"))
+    both = place(8).join(place(9), "doc_id")
+    assert both.where("s8 <> s9").count() < 20_000 * (1 / 9 + 0.04)
