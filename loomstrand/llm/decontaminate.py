@@ -8,7 +8,7 @@ many. An exact bound spares most passages the walk: an item's commonest words, u
 and unless the rest alone reach what is then missing the item can't get there.
 
 What comes back is verified on the words around the passage: at least `OVERLAP` of the item's five-word shingles must be
-there, and `PART` of the words of its question (all sentences but the last) and of its answer (the last).
+there (or `ORDERED` of a short item's words in their order), and `PART` of the words of its question (all sentences but the last) and of its answer (the last).
 
 Document frequencies and the mean length are those of all items, counted once in Spark, so results don't depend on batches.
 Items are broadcast in batches of at most `BATCH_CHARS` characters, one pass over the documents for each. Words are runs of
@@ -36,6 +36,8 @@ from loomstrand.llm import common
 K1, B = 1.2, 0.75
 #: Share of an item's own score from which it is retrieved; shares that verification asks for.
 RETRIEVED, OVERLAP, PART, SHINGLE = 0.6, 0.8, 0.6, 5
+#: Items of so many words may instead have this share of their words in order: one changed word costs them over a fifth of their shingles.
+SHORT, ORDERED = (7, 28), 0.85
 BLOCK, BATCH_CHARS = 16, 8_000_000
 
 FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, shingle_overlap double"
@@ -195,6 +197,28 @@ class BlockMaxIndex:
         there = {tuple(words[i : i + size]) for i in range(len(words) - size + 1)}
         return question, answer, len(wanted & there) / len(wanted)
 
+    def in_order(self, item: int, words: list[str]) -> float:
+        """Share of the item's words that stand in its order in some stretch of two words more than it has.
+
+        A stretch begins where the item's first or second word is: a copy with one edit has one of them in its place.
+        """
+        wanted, most = self.words[item], 0
+        n = len(wanted)
+        for begin in (i for i, w in enumerate(words) if w in wanted[:2]):
+            row = [0] * (n + 1)
+            for word in words[begin : begin + n + 2]:
+                left = 0
+                for k, own in enumerate(wanted, 1):
+                    above = row[k]
+                    row[k] = left + 1 if word == own else max(above, row[k - 1])
+                    left = above
+            most = max(most, row[n])
+        return most / n
+
+    def holds(self, item: int, words: list[str], shared: float) -> bool:
+        """Whether enough of the item is there: by shingles, or by order where few words make one edit cost too many shingles."""
+        return shared >= OVERLAP or (SHORT[0] <= len(self.words[item]) <= SHORT[1] and self.in_order(item, words) >= ORDERED)
+
     def matches(self, text: str) -> dict[int, tuple[float, float, float, float]]:
         """For each item found in a text its best score, and what was verified there."""
         words = words_of(text.lower())
@@ -206,8 +230,9 @@ class BlockMaxIndex:
             inside = terms[begin : begin + 2 * self.longest]
             for item, score in self.search(np.unique(inside[inside >= 0]).tolist()):
                 slack = len(self.words[item])
-                question, answer, shared = self.verify(item, words[max(0, begin - slack) : begin + 2 * self.longest + slack])
-                if shared >= OVERLAP and question >= PART and answer >= PART:
+                around = words[max(0, begin - slack) : begin + 2 * self.longest + slack]
+                question, answer, shared = self.verify(item, around)
+                if question >= PART and answer >= PART and self.holds(item, around, shared):
                     best[item] = max(best.get(item, (0.0, 0.0, 0.0, 0.0)), (score, question, answer, shared))
         return best
 
