@@ -105,3 +105,9 @@ def replaced(blocks: Column, text: Column) -> Column:
 def written(blocks: Column) -> Column:
     """The blocks as one text, for digests: path, kind and text or rich part of each."""
     return F.array_join(F.transform(blocks, lambda b: F.concat_ws(":", b["path"], b["kind"], F.coalesce(b["text"], b["rich"]))), "\n")
+
+
+def sole_text(blocks: Column) -> Column:
+    """The text of a content that is one text block and nothing else; null for any other, which no slot has."""
+    first = F.get(blocks, F.lit(0))
+    return F.when((F.size(blocks) == 1) & (first["kind"] == "text"), first["text"])

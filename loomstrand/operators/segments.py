@@ -129,3 +129,12 @@ def eligible_spans(nodes: DataFrame) -> DataFrame:
 
     columns = ["session_id", "segment", "pos", "type", "safe_end", "eligible"]
     return nodes.select(*columns).groupBy("session_id").applyInPandas(session, "session_id long, segment long, start_pos long, end_pos long")
+
+
+def segment_owners(nodes: DataFrame, surface: DataFrame, asked: DataFrame) -> DataFrame:
+    """(session_id, seq, first_seq, reason) of asked (session_id, seq): the first node of the segment that owns a node, null where none
+    does; what isn't on the surface has a reason instead."""
+    own = nodes.select("session_id", "seq", F.first("seq").over(Window.partitionBy("session_id", "segment").orderBy("pos")).alias("first_seq"))
+    shown = surface.select("session_id", "seq", F.lit(True).alias("_shown"))
+    rows = asked.select("session_id", "seq").join(own, ["session_id", "seq"], "left").join(shown, ["session_id", "seq"], "left")
+    return rows.select("session_id", "seq", "first_seq", F.when(F.col("_shown").isNull(), "not-on-surface").alias("reason"))

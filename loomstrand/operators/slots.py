@@ -97,3 +97,23 @@ def slot_decisions(visible: DataFrame, wanted: DataFrame, generations: DataFrame
     writes = F.col("decision").isin("collapse", "create", "replace")
     covered = F.when(F.col("decision").isin("collapse", "replace"), F.array_join(F.transform("nodes", lambda x: x["seq"].cast("string")), ","))
     return rows.select("session_id", "decision", F.when(writes, F.coalesce("generation", F.lit(0)) + 1).cast("long").alias("generation"), covered.alias("covered"))
+
+
+def visible_slot_tokens(visible: DataFrame, prices: DataFrame) -> DataFrame:
+    """(session_id, injection_tokens): what each session's first visible slot costs: its measured price, else what was recorded for it, else 0.
+
+    `visible`: (session_id, pos, seq, recorded); `prices`: (session_id, seq, tokens).
+    """
+    first = visible.groupBy("session_id").agg(F.min(F.struct("pos", "seq", "recorded")).alias("slot")).select("session_id", "slot.seq", "slot.recorded")
+    rows = first.join(prices.select("session_id", "seq", "tokens"), ["session_id", "seq"], "left")
+    return rows.select("session_id", F.coalesce("tokens", "recorded", F.lit(0)).cast("long").alias("injection_tokens"))
+
+
+def slot_diagnostics(visible: DataFrame, states: DataFrame) -> DataFrame:
+    """(session_id, slot_seq, generation, revision, digest, text_bytes, stale, tokens, truncated) of every session with a state.
+
+    `visible`: (session_id, seq, generation) of slots that are shown, of which the newest counts; `states`: what `rendered` gives.
+    """
+    newest = visible.groupBy("session_id").agg(F.max(F.struct("generation", "seq")).alias("slot"))
+    rows = states.join(newest, "session_id", "left")
+    return rows.select("session_id", F.col("slot.seq").alias("slot_seq"), "slot.generation", "revision", "digest", F.octet_length("text").cast("long").alias("text_bytes"), (F.col("high_water") > F.col("source_cursor")).alias("stale"), "tokens", "truncated")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from loomstrand.oracles import AUTHORITY, GROUP_AUDIT, REPLACED, TOOL_LOG
+from loomstrand.oracles import AUTHORITY, GROUP_AUDIT, REPLACED, SEGMENTS, TOOL_LOG, cuts
+from loomstrand.oracles import ORACLE_SQL as SURFACE_SQL
 
 OPERATIONS = """ev as (select user_id as session_id, event_type, row_number() over (partition by user_id order by ts, event_id) - 1 as op_no, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events),
 o0 as (select *, op_no // 5 as r, case when op_no % 5 = 0 then k % 11 <> 0 else event_type = 'signup' end as opens from ev),
@@ -80,7 +81,21 @@ ATTEMPTS = """ev as (select user_id as session_id, 'f' || event_id % 9 as finger
 rows as (select session_id, fingerprint, event_id as opened, case when k % 5 <> 0 then event_id + k * 40 end as ended, ['success', 'failure', 'fallback', 'aborted', 'failure', 'repaired'][k % 6 + 1] as status,
     case when k % 4 <> 0 then k % 3 end as attempt, k % 7 = 0 as claims from ev where event_type = 'click' and k % 4 <> 1)"""
 
+SLOTS = """sv as (select user_id as session_id, event_id as seq, row_number() over (partition by user_id order by ts, event_id) - 1 as pos, event_type, cast(regexp_extract(props, '([0-9]+)', 1) as bigint) as k from events),
+slot as (select session_id, seq, pos from sv where event_type = 'purchase' and k % 23 = 0)"""
+
 ORACLE_SQL = {
+    "segment_owners": f"""with {TOOL_LOG}, {cuts('surface')}, {SEGMENTS}, firsts as (select session_id, island, arg_min(seq, pos) as first_seq from seg group by 1, 2)
+        select t.session_id, t.seq, first_seq, case when s.seq is null then 'not-on-surface' end as reason from tool_log t left join surface s on s.session_id = t.session_id and s.seq = t.seq
+        left join seg on seg.session_id = t.session_id and seg.seq = t.seq left join firsts on firsts.session_id = seg.session_id and firsts.island = seg.island""",
+    "ledger_snapshot": f"""with {TOOL_LOG}, {REPLACED}, {SLOTS}, sums as (select session_id, sum(tokens) as total from surface group by 1),
+        f as (select session_id, arg_min(seq, pos) as seq from slot group by 1), g as (select session_id, count(*) filter (len(covers) > 0) as generation from rlog group by 1)
+        select sums.session_id, generation, cast(total as bigint) as before_tokens, cast(total as bigint) as after_tokens, cast(48000 as bigint) as threshold, cast(42000 as bigint) as exit, total <= 42000 as exit_reached,
+          cast(coalesce(case when f.seq % 2 = 0 then s.tokens end, case when f.seq % 3 > 0 then f.seq % 100 end, 0) as bigint) as injection_tokens
+        from sums join g using (session_id) left join f using (session_id) left join surface s on s.session_id = f.session_id and s.seq = f.seq""",
+    "slot_diagnostics": f"""with {SLOTS}, newest as (select session_id, max(pos) as generation, arg_max(seq, pos) as slot_seq from slot where seq % 5 <> 0 group by 1), lastev as (select session_id, max(pos) as last from sv group by 1)
+        select r.session_id, slot_seq, generation, r.session_id % 9 + 1 as revision, md5(cast(r.session_id as varchar)) as digest, cast(strlen(r.text) as bigint) as text_bytes, r.session_id % 2 = 1 as stale, r.tokens, r.truncated
+        from ({SURFACE_SQL['slot_render']}) r left join newest using (session_id) join lastev using (session_id)""",
     "attempt_gates": f"""with {ATTEMPTS}, asks as (select session_id, fingerprint, event_id as time from ev where event_type = 'view'),
         known as (select a.session_id, a.fingerprint, a.time,
           (select count(*) from ev l where l.session_id = a.session_id and l.fingerprint = a.fingerprint and l.event_type = 'purchase' and l.event_id % 11 = 0 and l.event_id <= a.time) as landed,

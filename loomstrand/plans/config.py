@@ -103,3 +103,46 @@ def resolve_policies(targets: DataFrame, overrides: DataFrame, policy: Policy) -
 def duplicate_overrides(overrides: DataFrame) -> DataFrame:
     """(provider, model) that are overridden more than once, which is an error."""
     return overrides.groupBy("provider", "model").agg(F.count("*").alias("n")).where("n > 1").select("provider", "model")
+
+
+#: The longest time that a timer can wait.
+MOST_MILLISECONDS = 2**31 - 1
+
+
+@dataclass(frozen=True)
+class FoldConfig:
+    """Limits of a fold; provider and model must be named, all else are whole numbers."""
+
+    provider: str
+    model: str
+    min_events: int = 20
+    max_events: int = 200
+    max_input_bytes: int = 60_000
+    max_output_tokens: int = 4_000
+    timeout_ms: int = 120_000
+    max_infra_retries: int = 2
+    max_entries_per_kind: int = 50
+    max_entry_bytes: int = 2_000
+    max_list_items: int = 40
+
+    def __post_init__(self) -> None:
+        if not all(isinstance(x, str) and x for x in (self.provider, self.model)):
+            raise ValueError("provider and model must be named")
+        for f in fields(self)[2:]:
+            value, least = getattr(self, f.name), 0 if f.name == "max_infra_retries" else 1
+            if isinstance(value, bool) or not isinstance(value, int) or not least <= value < 2**53:
+                raise ValueError(f"{f.name} must be a whole number from {least} on")
+        if self.timeout_ms > MOST_MILLISECONDS:
+            raise ValueError("timeout_ms is longer than a timer can wait")
+        if self.max_events < self.min_events:
+            raise ValueError("max_events must not be less than min_events")
+
+
+def injection_budget(max_bytes: float, max_tokens: float | None = None) -> tuple[int, int]:
+    """Bytes and tokens that a slot may take: whole numbers from 1 on, 512 tokens unless set."""
+    return max(1, math.floor(max_bytes)), max(1, math.floor(512 if max_tokens is None else max_tokens))
+
+
+def capped_group_tokens(most: int, cap: int | None) -> int:
+    """The most tokens of a tool group, narrowed by what one auxiliary call can take in."""
+    return most if cap is None else min(most, max(0, cap))

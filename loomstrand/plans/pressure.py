@@ -86,3 +86,15 @@ def maintenance(zoned: DataFrame, spec: Spec) -> DataFrame:
     total = zoned.groupBy("session_id").agg(F.sum("tokens").alias("total"))
     tier = F.when(F.col("total") >= spec.threshold, "pressure").when(F.col("total") >= spec.forget_line, "forget").when(F.col("total") >= spec.tool_line, "tools").otherwise("none")
     return total.select("session_id", "total", tier.alias("tier"))
+
+
+def ledger_snapshot(surface: DataFrame, slots: DataFrame, generations: DataFrame, spec: Spec) -> DataFrame:
+    """(session_id, generation, before_tokens, after_tokens, threshold, exit, exit_reached, injection_tokens): where every session stands,
+    without a pass. `slots`: (session_id, injection_tokens); `generations`: (session_id, generation)."""
+    stop = min(spec.threshold, spec.exit)
+    rows = surface.groupBy("session_id").agg(F.sum("tokens").alias("total")).join(slots, "session_id", "left").join(generations, "session_id", "left")
+    zero = F.lit(0).cast("long")
+    return rows.select(
+        "session_id", F.coalesce("generation", zero).alias("generation"), F.col("total").alias("before_tokens"), F.col("total").alias("after_tokens"), F.lit(spec.threshold).cast("long").alias("threshold"),
+        F.lit(stop).cast("long").alias("exit"), (F.col("total") <= stop).alias("exit_reached"), F.coalesce("injection_tokens", zero).alias("injection_tokens"),
+    )

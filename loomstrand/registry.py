@@ -97,6 +97,13 @@ def tool_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments.totals(nodes, "segment").drop("segment")
 
 
+def segment_owners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The segment that owns every row of every log, if one does."""
+    log = logs.tool_log(spark, sf_dir)
+    surface = logs.surface_of(log)
+    return segments.segment_owners(segments.with_segments(zones.with_cuts(surface)), surface, log)
+
+
 def tool_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first two groups of every session that pass the thresholds, oversized segments cut into chunks."""
     return segments.tool_groups(_zoned(spark, sf_dir)).drop("segment", "chunk")
@@ -313,6 +320,13 @@ def slot_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("session_id", "text", "truncated", "blocked", "tokens")
 
 
+def slot_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is shown of every session's state, and how."""
+    states = slots.rendered(logs.slot_states(spark, sf_dir), *config.injection_budget(420.5, 120))
+    visible = logs.slot_nodes(spark, sf_dir).where("own").select("session_id", "seq", F.col("pos").alias("generation"))
+    return slots.slot_diagnostics(visible, states)
+
+
 def slot_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What maintenance does with the slots of every session."""
     users = logs.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("session_id")).agg(F.max("event_id").alias("e"))
@@ -353,6 +367,16 @@ def maintenance_tiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pressure.maintenance(logs.surface_of(logs.tool_log(spark, sf_dir)), config.resolve(config.Policy(), WINDOW))
 
 
+def ledger_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where every session stands between threshold and exit, and what its slot costs."""
+    log = logs.tool_log(spark, sf_dir)
+    surface = logs.surface_of(log)
+    shown = logs.slot_nodes(spark, sf_dir).withColumn("recorded", F.when(F.col("seq") % 3 > 0, F.col("seq") % 100))
+    prices = surface.where("seq % 2 = 0").select("session_id", "seq", "tokens")
+    priced = slots.visible_slot_tokens(shown, prices)
+    return pressure.ledger_snapshot(surface, priced, replay.generations(logs.replaced_log(spark, sf_dir)), config.resolve(config.Policy(), WINDOW))
+
+
 def pressure_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Batches of one pressure pass over every session."""
     surface = logs.surface_of(logs.tool_log(spark, sf_dir))
@@ -480,10 +504,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         token_estimate, zone_partition, zone_partition_safe, pairing_balance, forget_batch_plan, pressure_span_plan, legacy_tail_split,
-        retained_tail_floor, envelope_budget, prune_documents, bounded_text, tool_segments, tool_groups, group_chunks, eligible_spans, surface_replay, surface_generations, turns_after,
+        retained_tail_floor, envelope_budget, prune_documents, bounded_text, tool_segments, segment_owners, tool_groups, group_chunks, eligible_spans, surface_replay, surface_generations, turns_after,
         source_index, provenance_digest, record_faults, replacement_coverage, reentry_sources, unrecorded_landings, evidence_counters, compaction_lock, event_filter, authority_views, view_carry, urgent_events, batch_window_count,
-        batch_window_bytes, fold_windows, group_inputs, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, served_seqs, landed_merge, attempt_gates, group_fingerprints, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_decisions, summary_violations,
-        entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, pressure_ledger, pressure_outcomes,
+        batch_window_bytes, fold_windows, group_inputs, json_leaves, audit_timeline, audit_repair, audit_recovery, audit_attempts, served_seqs, landed_merge, attempt_gates, group_fingerprints, audit_rows, audit_operations, control_latest, control_mirror, slot_render, slot_diagnostics, slot_decisions, summary_violations,
+        entry_verdicts, merged_edit, content_digest, evidence_split, maintenance_tiers, ledger_snapshot, pressure_ledger, pressure_outcomes,
         prune_pass, block_measures, block_prunes, block_summaries, group_replacements, region_replacements, reentry_verdicts, tool_debt, effective_cursors,
         surface_alignment, surface_ranges, span_checks, fold_backlog, audit_counts, pressure_totals,
     )

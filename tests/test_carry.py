@@ -86,3 +86,29 @@ def test_gates_in_order(spark):
     # Evidence goes before budgets, unwritten attempts before recorded ones.
     assert gates([9], [(1, 2, "failure", 2, [])], landings=[9], lost=[1, 2]) == ["landed"] and gates([9], [(1, 2, "failure", 2, [])], lost=[1, 2]) == ["unwritten-exhausted"]
     assert gates([5, 5], lost=[5, 5]) == ["unwritten-exhausted"] * 2
+
+
+def test_slots_that_are_shown_and_what_they_cost(spark):
+    from loomstrand.functions import blocks
+    from loomstrand.operators import slots
+
+    visible = spark.createDataFrame([(1, 4, 40, 7), (1, 2, 20, 9), (2, 0, 5, None), (3, 0, 6, 8)], "session_id long, pos long, seq long, recorded long")
+    prices = spark.createDataFrame([(1, 40, 100), (3, 6, 55)], "session_id long, seq long, tokens long")
+    assert {tuple(r) for r in slots.visible_slot_tokens(visible, prices).collect()} == {(1, 9), (2, 0), (3, 55)}
+    contents = ['[{"type":"text","text":"x"}]', '[{"type":"text","text":"x"},{"type":"text","text":"y"}]', '[{"type":"image"}]', "[]", None]
+    found = spark.createDataFrame([(c,) for c in contents], "c string").select(blocks.sole_text(blocks.blocks_of(F.col("c"))).alias("t")).collect()
+    assert [r.t for r in found] == ["x", None, None, None, None]
+
+
+def test_fold_limits():
+    from loomstrand.plans import config
+
+    assert config.FoldConfig("p", "m").max_events == 200
+    for change in ({"provider": ""}, {"model": None}, {"min_events": 0}, {"max_events": 19}, {"timeout_ms": 2**31}, {"max_infra_retries": -1}, {"max_entry_bytes": 1.5}, {"max_list_items": True}):
+        with pytest.raises(ValueError):
+            config.FoldConfig(**({"provider": "p", "model": "m"} | change))
+    assert config.FoldConfig("p", "m", max_infra_retries=0).max_infra_retries == 0
+    with pytest.raises(TypeError):
+        config.FoldConfig("p", "m", unknown=1)
+    assert config.injection_budget(0.5) == (1, 512) and config.injection_budget(800.9, 0) == (800, 1)
+    assert [config.capped_group_tokens(100, c) for c in (None, 50, -3, 200)] == [100, 50, 0, 100]
