@@ -17,16 +17,19 @@ SEEN = ("user/message", "assistant/message", "tool/result")
 def with_roots(log: DataFrame) -> DataFrame:
     """Adds the place of each node: its own seq, or the place of the first node that it covers, however deep.
 
-    Pointers are doubled in every round, so the rounds grow with the logarithm of the depth.
+    Only replacements have anything to follow, so only (session, seq, root) of those go round: pointers are doubled in every round, and
+    the rounds grow with the logarithm of the depth.
     """
-    rows = log.withColumn("root", F.when(F.size(F.coalesce("covers", F.array().cast("array<bigint>"))) > 0, F.element_at("covers", 1)).otherwise(F.col("seq")))
+    covers = F.size(F.coalesce("covers", F.array().cast("array<bigint>"))) > 0
+    places = settled(log.where(covers).select("session_id", "seq", F.get("covers", F.lit(0)).alias("root")))
     while True:
-        above = rows.where("root <> seq").select("session_id", F.col("seq").alias("_at"), F.col("root").alias("_next"))
-        moved = rows.join(above, (rows.session_id == above.session_id) & (rows.root == above._at), "left").select(rows["*"], "_next")
-        rows = settled(moved.withColumn("_moved", F.col("_next").isNotNull()).withColumn("root", F.coalesce("_next", "root")).drop("_next"))
-        if not rows.where("_moved").head(1):
-            return rows.drop("_moved")
-        rows = rows.drop("_moved")
+        above = places.select("session_id", F.col("seq").alias("root"), F.col("root").alias("_next"))
+        moved = settled(places.join(above, ["session_id", "root"], "left").select("session_id", "seq", F.coalesce("_next", "root").alias("root"), F.col("_next").isNotNull().alias("_moved")))
+        places = moved.drop("_moved")
+        if not moved.where("_moved").head(1):
+            break
+    found = log.join(places.select("session_id", "seq", F.col("root").alias("_root")), ["session_id", "seq"], "left")
+    return found.select(*[log[c] for c in log.columns if c not in ("session_id", "seq", "root")], "session_id", "seq", F.coalesce("_root", "seq").alias("root"))
 
 
 def replay(log: DataFrame) -> DataFrame:
