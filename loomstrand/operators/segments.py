@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -100,35 +99,24 @@ def eligible_spans(nodes: DataFrame) -> DataFrame:
 
     Where eligibility changes the segment is cut at the latest safe cut after the last result of the other kind; without such
     a cut the sides stay together, and a part that mixes both is left out.
-    """
 
-    def spans(safe: list[bool], is_result: list[bool], eligible: list[bool]) -> list[tuple[int, int]]:
-        cuts, current, last = [0], None, -1
-        for i in range(len(safe)):
-            if not is_result[i]:
-                continue
-            if current is None:
-                current = eligible[i]
-            elif eligible[i] != current:
-                latest = max((c for c in range(max(1, last + 1), i + 1) if safe[c - 1]), default=-1)
-                if latest > cuts[-1]:
-                    cuts.append(latest)
-                    current = eligible[i]
-            last = i
-        return [(a, b - 1) for a, b in zip(cuts, [*cuts[1:], len(safe)], strict=True) if all(eligible[i] for i in range(a, b) if is_result[i])]
-
-    def session(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["segment", "pos"])
-        segment, pos = rows["segment"].tolist(), rows["pos"].tolist()
-        columns = rows["safe_end"].tolist(), (rows["type"] == "tool/result").tolist(), rows["eligible"].tolist()
-        starts = [i for i in range(len(pos)) if not i or segment[i] != segment[i - 1]]
-        out = [(segment[i], pos[i + a], pos[i + b]) for i, j in zip(starts, [*starts[1:], len(pos)], strict=True) for a, b in spans(*(c[i:j] for c in columns))]
-        found = pd.DataFrame(out, columns=["segment", "start_pos", "end_pos"])
-        found.insert(0, "session_id", rows["session_id"].iloc[0])
-        return found
-
-    columns = ["session_id", "segment", "pos", "type", "safe_end", "eligible"]
-    return nodes.select(*columns).groupBy("session_id").applyInPandas(session, "session_id long, segment long, start_pos long, end_pos long")
+    Only results with a safe cut since the result before them can be cut off. Whether one is or not, what counts from it on is its
+    own eligibility: so it is cut off exactly if the newest such result before it (or the first of all) was of the other kind.
+    """
+    own = Window.partitionBy("session_id", "segment").orderBy("pos")
+    before, onward = own.rowsBetween(Window.unboundedPreceding, -1), own.rowsBetween(0, Window.unboundedFollowing)
+    result = F.col("type") == "tool/result"
+    rows = nodes.select("session_id", "segment", "pos", "safe_end", result.alias("_result"), "eligible", F.row_number().over(own).alias("_i"))
+    rows = rows.withColumns({"_last": F.max(F.when(F.col("_result"), F.col("_i"))).over(before), "_safe": F.max(F.when(F.col("safe_end"), F.col("_i"))).over(before)})
+    rows = rows.withColumn("_free", F.col("_result") & (F.col("_last").isNull() | F.coalesce(F.col("_safe") >= F.col("_last"), F.lit(False))))
+    kind = F.last(F.when(F.col("_free"), F.col("eligible")), ignorenulls=True).over(before)
+    cut = F.when(F.col("_free") & F.col("_last").isNotNull() & (F.col("eligible") != kind), F.col("_safe") + 1)
+    rows = rows.withColumn("_cut", F.when(F.col("_result"), F.struct(cut.alias("at"))))
+    starts = F.coalesce(F.first("_cut", ignorenulls=True).over(onward)["at"] == F.col("_i"), F.lit(False))
+    rows = rows.withColumn("_starts", starts.cast("int"))
+    rows = rows.withColumn("_part", F.sum("_starts").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    parts = rows.groupBy("session_id", "segment", "_part").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.bool_and(~F.col("_result") | F.col("eligible")).alias("_good"))
+    return parts.where("_good").select("session_id", "segment", "start_pos", "end_pos")
 
 
 def segment_owners(nodes: DataFrame, surface: DataFrame, asked: DataFrame) -> DataFrame:

@@ -85,6 +85,16 @@ SLOTS = """sv as (select user_id as session_id, event_id as seq, row_number() ov
 slot as (select session_id, seq, pos from sv where event_type = 'purchase' and k % 23 = 0)"""
 
 ORACLE_SQL = {
+    "eligible_spans": f"""with recursive {TOOL_LOG}, {cuts('surface')}, {SEGMENTS},
+        r as (select session_id, island, pos, type = 'tool/result' as is_result, chars <= 6000 as ok, open_after = 0 and step_end as safe, row_number() over (partition by session_id, island order by pos) - 1 as i from seg),
+        fold(session_id, island, i, current, last, safe_at, cut_list) as (select session_id, island, -1::bigint, null::boolean, -1::bigint, -1::bigint, [0::bigint] from r where i = 0
+          union all select f.session_id, f.island, r.i, case when r.is_result and (current is null or (r.ok <> current and safe_at >= greatest(0, last))) then r.ok else current end, case when r.is_result then r.i else last end,
+            case when r.safe then r.i else safe_at end,
+            case when r.is_result and current is not null and r.ok <> current and safe_at >= greatest(0, last) and safe_at + 1 > list_last(cut_list) then list_append(cut_list, safe_at + 1) else cut_list end
+          from fold f join r on r.session_id = f.session_id and r.island = f.island and r.i = f.i + 1),
+        ends as (select session_id, island, cut_list from fold qualify row_number() over (partition by session_id, island order by i desc) = 1),
+        parts as (select r.*, len(list_filter(cut_list, lambda c: c <= r.i)) as part from r join ends using (session_id, island))
+        select session_id, min(pos) as start_pos, max(pos) as end_pos from parts group by session_id, island, part having bool_and(not is_result or ok)""",
     "segment_owners": f"""with {TOOL_LOG}, {cuts('surface')}, {SEGMENTS}, firsts as (select session_id, island, arg_min(seq, pos) as first_seq from seg group by 1, 2)
         select t.session_id, t.seq, first_seq, case when s.seq is null then 'not-on-surface' end as reason from tool_log t left join surface s on s.session_id = t.session_id and s.seq = t.seq
         left join seg on seg.session_id = t.session_id and seg.seq = t.seq left join firsts on firsts.session_id = seg.session_id and firsts.island = seg.island""",
