@@ -85,6 +85,21 @@ SLOTS = """sv as (select user_id as session_id, event_id as seq, row_number() ov
 slot as (select session_id, seq, pos from sv where event_type = 'purchase' and k % 23 = 0)"""
 
 ORACLE_SQL = {
+    "json_leaves": f"""with {AUTHORITY}, g as (select session_id, seq, k, revision, event_id from au where event_type = 'signup'), t as (select session_id, seq, k, event_id from au where event_type = 'view' and k % 5 <> 0)
+        select session_id, seq, 'operation' as path, case when k = 0 then 'clear' else 'set' end as leaf from g
+        union all select session_id, seq, 'goal.id', 'g' || k % 7 from g where k <> 0 union all select session_id, seq, 'goal.revision', cast(revision as varchar) from g where k <> 0
+        union all select session_id, seq, 'goal.objective', 'objective ' || event_id from g where k <> 0
+        union all select session_id, seq, 'todos[0].content', 'task ' || event_id from t union all select session_id, seq, 'todos[0].status', 'done' from t where k % 2 = 0""",
+    "batch_window_bytes": """with recursive c as (select conv_id as session_id, turn as seq, role, case when strlen(text) <= 200 then text else left(text, list_last(list_filter(range(0, 198), lambda n: strlen(left(text, n)) <= 197))) || '…' end as said
+          from conversations where trim(text) <> '' and (role = 'user' or (role = 'assistant' and turn % 7 <> 3))),
+        e as (select session_id, '{"seq":' || seq || ',"type":"' || case role when 'user' then 'user/message' else 'assistant/message' end || '","kind":"' || case when role = 'assistant' then 'assistant'
+            when seq % 4 = 2 then 'goal-continuation' else 'user' end || '","text":' || to_json(said) || '}' as written, seq, row_number() over (partition by session_id order by seq) as n from c),
+        fold(session_id, n, list, source_cursor, bytes) as (select session_id, 0::bigint, '', null::bigint, cast(strlen('{"base":"","views":{},"events":[]}') as bigint) from e where n = 1
+          union all select f.session_id, e.n, f.list || case when f.n > 0 then ',' else '' end || written, e.seq, cast(strlen('{"base":"","views":{},"events":[' || f.list || case when f.n > 0 then ',' else '' end || written || ']}') as bigint)
+          from fold f join e on e.session_id = f.session_id and e.n = f.n + 1 where e.n <= 20 and f.bytes <= 2000),
+        last as (select session_id, max(n) as n from fold where bytes <= 2000 group by 1)
+        select f.session_id, case when l.n > 0 then 'window' else 'infeasible' end as outcome, l.n, f.source_cursor, case when l.n > 0 then f.bytes else (select bytes from fold k where k.session_id = f.session_id and k.n = 1) end as bytes
+        from fold f join last l on l.session_id = f.session_id and l.n = f.n""",
     "eligible_spans": f"""with recursive {TOOL_LOG}, {cuts('surface')}, {SEGMENTS},
         r as (select session_id, island, pos, type = 'tool/result' as is_result, chars <= 6000 as ok, open_after = 0 and step_end as safe, row_number() over (partition by session_id, island order by pos) - 1 as i from seg),
         fold(session_id, island, i, current, last, safe_at, cut_list) as (select session_id, island, -1::bigint, null::boolean, -1::bigint, -1::bigint, [0::bigint] from r where i = 0
