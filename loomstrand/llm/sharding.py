@@ -16,7 +16,7 @@ placed as often as they come. An empty table gives no rows. Other columns are ke
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstrand.llm.common import materialise
@@ -62,6 +62,16 @@ def _negotiated(cells: DataFrame, shards: int) -> DataFrame:
     return state.select("arc", "cell", F.explode(F.filter(F.array(*rounds), lambda r: r["many"] > 0)).alias("r")).select("arc", "cell", "r.*")
 
 
+def _below(tops: list[int], place: Column) -> Column:
+    """How many of these places are before a place. The ring falls into as many equal slices, so that only the few in its own are compared."""
+    width = RING // len(tops) + 1
+    slices = [[t for t in tops if t // width == s] for s in range(len(tops))]
+    begun = [sum(map(len, slices[:s])) for s in range(len(tops))]
+    at = F.floor(place / width).cast("int")
+    inside = F.get(F.array(*[F.array(*map(F.lit, own)).cast("array<bigint>") for own in slices]), at)
+    return F.get(F.array(*map(F.lit, begun)), at) + F.size(F.filter(inside, lambda t: t < place))
+
+
 def bounded_ring(df: DataFrame, shards: int, key: str = "doc_id", text: str = "text", virtual_nodes: int = VIRTUAL_NODES, cell_rows: int = CELL_ROWS) -> DataFrame:
     """The rows of `df` with shard (0 to shards - 1) and slot (gapless from 0 in each shard)."""
     named = F.coalesce(F.col(key).cast("string"), F.lit(""))
@@ -70,7 +80,7 @@ def bounded_ring(df: DataFrame, shards: int, key: str = "doc_id", text: str = "t
     arcs = ring(df, shards, virtual_nodes)
     # As many numbers as the ring has points, by parameters alone.
     tops = sorted(r["top"] for r in arcs.select("top").collect())
-    arc = F.pmod(F.size(F.filter(F.array(*map(F.lit, tops)), lambda t: t < F.col("place"))), F.lit(len(tops)))
+    arc = F.pmod(_below(tops, F.col("place")), F.lit(len(tops)))
     kept = [F.col(f"`{c}`") for c in df.columns if c not in ("shard", "slot")]
     dealt = df.select(F.struct(*kept).alias("row"), place.alias("place"), fine.alias("fine")).withColumn("arc", arc)
     same = dealt.groupBy("place", "fine").agg(F.count("*").alias("n"))
