@@ -15,7 +15,8 @@ OVERHEAD_TOKENS = 8
 # The ranges of ideographs that cost a token each.
 IDEOGRAPHS = r"[\x{4E00}-\x{9FFF}\x{3400}-\x{4DBF}\x{20000}-\x{2A6DF}\x{F900}-\x{FAFF}]"
 
-PRUNE_MARKER = "\n[... pruned ...]\n"
+# What stands for a pruned middle, and the default budget.
+PRUNE_MARKER = "\n\n[... tool result middle pruned ...]\n\n"
 PRUNE_THRESHOLD, PRUNE_HEAD, PRUNE_TAIL = 8192, 4096, 1024
 
 

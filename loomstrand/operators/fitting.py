@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loomstrand.functions.blocks import BLOCK, BLOCK_TOKENS, ROLE_TOKENS
 from loomstrand.functions.text import OVERHEAD_TOKENS, bounded, is_blank, trimmed
 
 # What frames a checkpoint.
-PREAMBLE = "The following is a summary of the earlier part of this session."
-OPEN_TAG, CLOSE_TAG = "<checkpoint>", "</checkpoint>"
+PREAMBLE = "This is an automatically generated checkpoint condensing an earlier span of the conversation to free up context. Treat the captured context as established background and build on it without restating it. Continue the task directly from the messages that follow, without acknowledging this checkpoint."
+OPEN_TAG, CLOSE_TAG = "<compacted-summary>", "</compacted-summary>"
 
 
 def written_bytes(value: Column) -> Column:
@@ -67,13 +68,14 @@ def event_windows(events: DataFrame, bases: DataFrame, most_events: int, most_by
 
 
 def framed(summary: Column) -> Column:
-    """A summary in the frame of a checkpoint."""
-    return F.concat(F.lit(f"{PREAMBLE}\n\n{OPEN_TAG}\n"), summary, F.lit(f"\n{CLOSE_TAG}"))
+    """The blocks of a summary in the frame of a checkpoint: one text block before them, one behind."""
+    block = lambda path, text: F.array(F.struct(F.lit(path).alias("path"), F.lit("text").alias("kind"), F.lit(text).alias("text"), F.lit(None).cast("string").alias("rich")).cast(BLOCK))
+    return F.concat(block("head", f"{PREAMBLE}\n\n{OPEN_TAG}"), summary, block("tail", CLOSE_TAG))
 
 
 def least_checkpoint_tokens() -> int:
     """Tokens of a checkpoint without a summary: a span that costs no more can't be made smaller."""
-    return OVERHEAD_TOKENS + -(-len(f"{PREAMBLE}\n\n{OPEN_TAG}\n\n{CLOSE_TAG}") // 4)
+    return ROLE_TOKENS + sum(BLOCK_TOKENS + -(-len(text) // 4) for text in (f"{PREAMBLE}\n\n{OPEN_TAG}", CLOSE_TAG))
 
 
 def input_item(type_: Column, seq: Column, call_id: Column, content: Column, calls: Column) -> Column:

@@ -136,8 +136,8 @@ ORACLE_SQL = {
           greatest(0, room - 1500) <= 0 as dominated, cast(least(30000, under) as bigint) as zone_forget, cast(greatest(0, s - under) as bigint) as deficit,
           e + greatest(2000, least(under, 12000)) >= 48000 as zone_dominated from g""",
     "prune_documents": """select doc_id % 50 as session_id, doc_id as seq, length(text) as chars_before,
-        length(case when length(text) > 8192 then substr(text, 1, 4096) || chr(10) || '[... pruned ...]' || chr(10) || substr(text, length(text) - 1023) else text end) as chars_after,
-        md5(case when length(text) > 8192 then substr(text, 1, 4096) || chr(10) || '[... pruned ...]' || chr(10) || substr(text, length(text) - 1023) else text end) as digest from documents where length(text) > 8192""",
+        length(case when length(text) > 8192 then substr(text, 1, 4096) || chr(10) || chr(10) || '[... tool result middle pruned ...]' || chr(10) || chr(10) || substr(text, length(text) - 1023) else text end) as chars_after,
+        md5(case when length(text) > 8192 then substr(text, 1, 4096) || chr(10) || chr(10) || '[... tool result middle pruned ...]' || chr(10) || chr(10) || substr(text, length(text) - 1023) else text end) as digest from documents where length(text) > 8192""",
     "bounded_text": """with c as (select doc_id, text, strlen(text) as n, [substr(text, 1, 100 - i) for i in range(0, 100)] as tries from documents)
         select doc_id, case when n <= 100 then text else list_filter(tries, lambda t: strlen(t) <= 97)[1] || '…' end as bounded, n > 100 as truncated from c""",
     "tool_segments": f"with {TOOL_LOG}, {cuts('surface')}, {SEGMENTS} select session_id, {TOTALS} from seg group by session_id, island",
@@ -270,7 +270,7 @@ ORACLE_SQL = {
     "prune_pass": f"""with {TOOL_LOG}, {cuts('surface')}, {zones(12000, 30000)}, ends as (select session_id, max(seq) + 1 as top from tool_log group by 1),
         p as (select z.session_id, z.seq, z.tokens, top, row_number() over (partition by z.session_id order by pos) - 1 as i from zoned z join ends using (session_id) where type = 'tool/result' and chars > case when zone = 'recent' then 9000 else 6000 end)
         select session_id, top + 2 * i as seq, 'compaction/prune' as type, null as covered, cast(tokens as bigint) as tokens from p
-        union all select session_id, top + 2 * i + 1, 'tool/result', seq, (4096 + 18 + 1024 + 3) // 4 + 8 from p""",
+        union all select session_id, top + 2 * i + 1, 'tool/result', seq, (4096 + 39 + 1024 + 3) // 4 + 8 from p""",
     "group_replacements": f"""with {TOOL_LOG}, {cuts('surface')}, {SEGMENTS}, ends as (select session_id, max(seq) + 1 as top from tool_log group by 1),
         p as (select *, pos * 37 % 1500 + 60 as price from seg where type = 'tool/result'), q as (select p.*, top, row_number() over (partition by p.session_id order by pos) - 1 as i from p join ends using (session_id) where price < tokens)
         select session_id, top + 2 * i as seq, 'compaction/prune' as type, null as covered, cast(tokens as bigint) as tokens from q union all select session_id, top + 2 * i + 1, 'tool/result', seq, price from q""",

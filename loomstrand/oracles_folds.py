@@ -190,7 +190,7 @@ ORACLE_SQL = {
     "block_prunes": f"""with {BLOCKS}, {BEFORE}, placed as (select u.k, path, kind, text, size, i, recent, total, cast(sum(size) over (partition by u.k order by i) as bigint) - size as begin_at from units u join before using (k)),
         cutting as (select *, kind = 'text' and begin_at < total - 300 and begin_at + size > 700 as touched from placed where total > case when recent then 3000 else 1500 end),
         marked as (select *, min(i) filter (touched) over (partition by k) as first from cutting),
-        cut as (select k, path, kind, case when kind = 'text' then substr(text, 1, least(size, greatest(0, 700 - begin_at))) || case when i = first then chr(10) || '[... pruned ...]' || chr(10) else '' end
+        cut as (select k, path, kind, case when kind = 'text' then substr(text, 1, least(size, greatest(0, 700 - begin_at))) || case when i = first then chr(10) || chr(10) || '[... tool result middle pruned ...]' || chr(10) || chr(10) else '' end
           || substr(text, least(size, greatest(0, total - 300 - begin_at)) + 1) end as text from marked),
         made as (select k, {WRITTEN} as written, 4 + sum({UNITS}) as tokens from cut where text is distinct from '' group by k),
         {LANDED.format(chosen='true')}""",

@@ -56,13 +56,13 @@ def pruned(items, limit, head, tail, inside=True):
 @pytest.mark.parametrize("inside", [True, False])
 def test_clipping_against_a_walk(spark, inside):
     rng = random.Random(7)
-    contents = [nested(rng) for _ in range(400)]
+    contents = [nested(rng) for _ in range(900)]
     frame = spark.createDataFrame([(i, json.dumps(c)) for i, c in enumerate(contents)], "i long, content string").withColumn("blocks", blocks.blocks_of(F.col("content")))
-    cut = blocks.clipped(F.col("blocks"), limit=40, threshold=40, head=9, tail=7, nested=inside)
+    cut = blocks.clipped(F.col("blocks"), limit=60, threshold=60, head=9, tail=7, nested=inside)
     rows = frame.select("i", "blocks", cut.alias("cut"), blocks.measured(F.col("blocks"), inside).alias("n"), blocks.measured(cut, inside).alias("left")).collect()
     cuts = 0
     for r in rows:
-        expected = pruned(contents[r.i], 40, 9, 7, inside)
+        expected = pruned(contents[r.i], 60, 9, 7, inside)
         assert [(b.path, b.kind, b.text) for b in r.blocks] == list(flat(contents[r.i]))
         assert (None if r.cut is None else [(b.path, b.kind, b.text) for b in r.cut]) == expected
         if expected is not None:

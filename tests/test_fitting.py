@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from loomstrand.functions import blocks
 from loomstrand.operators import fitting
 
 CUT = "array<struct<path: string, limit_bytes: bigint, kept_bytes: bigint>>"
@@ -57,8 +58,10 @@ def test_prefixes_of_ties_and_nulls(spark):
 
 
 def test_frames_and_references(spark):
-    text = spark.range(1).select(fitting.framed(F.lit("")).alias("t"), fitting.written_bytes(F.lit('a"é\n')).alias("n")).first()
-    assert 8 + -(-len(text.t) // 4) == fitting.least_checkpoint_tokens() and text.n == len(compact('a"é\n').encode())
+    empty = F.array().cast(f"array<{blocks.BLOCK}>")
+    text = spark.range(1).select(fitting.framed(empty).alias("t"), blocks.token_sum(fitting.framed(empty)).alias("price"), fitting.written_bytes(F.lit('a"é\n')).alias("n")).first()
+    assert text.price == fitting.least_checkpoint_tokens() and text.n == len(compact('a"é\n').encode())
+    assert [b.path for b in text.t] == ["head", "tail"] and text.t[0].text.endswith("\n\n" + fitting.OPEN_TAG)
     schema = "todo struct<status: string, source_seq: bigint, items: array<struct<content: string, status: string>>>"
     rows = [(("current", 4, [(" a ", "done"), (" ", "x"), ("b", "pending")]),), (("cleared", 4, [("a", "x")]),), (("current", None, [("a", "x")]),), (("current", 4, [("  ", "x")]),), (None,), (("current", 4, [("é" * 50, "x")]),)]
     found = [r.r for r in spark.createDataFrame(rows, schema).select(fitting.todo_reference(F.col("todo"), 40).alias("r")).collect()]
