@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields, replace
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loomstrand.functions.text import PRUNE_HEAD, PRUNE_MARKER, PRUNE_TAIL, PRUNE_THRESHOLD
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -146,3 +148,25 @@ def injection_budget(max_bytes: float, max_tokens: float | None = None) -> tuple
 def capped_group_tokens(most: int, cap: int | None) -> int:
     """The most tokens of a tool group, narrowed by what one auxiliary call can take in."""
     return most if cap is None else min(most, max(0, cap))
+
+
+@dataclass(frozen=True)
+class PruneConfig:
+    """Budget of pruned texts in code points: head, marker and tail must fit into the threshold, and it into the hard limit of recent ones."""
+
+    threshold: int = PRUNE_THRESHOLD
+    head: int = PRUNE_HEAD
+    tail: int = PRUNE_TAIL
+    hard_limit: int | None = None
+
+    def __post_init__(self) -> None:
+        for name, least in (("threshold", 1), ("head", 0), ("tail", 0), ("hard_limit", 1)):
+            value = getattr(self, name)
+            if value is None and name == "hard_limit":
+                continue
+            if isinstance(value, bool) or not isinstance(value, int) or value < least:
+                raise ValueError(f"{name} must be a whole number from {least} on")
+        if self.head + len(PRUNE_MARKER) + self.tail > self.threshold:
+            raise ValueError("head, marker and tail must fit into the threshold")
+        if self.hard_limit is not None and self.hard_limit < self.threshold:
+            raise ValueError("the hard limit must not be below the threshold")

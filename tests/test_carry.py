@@ -112,3 +112,12 @@ def test_fold_limits():
         config.FoldConfig("p", "m", unknown=1)
     assert config.injection_budget(0.5) == (1, 512) and config.injection_budget(800.9, 0) == (800, 1)
     assert [config.capped_group_tokens(100, c) for c in (None, 50, -3, 200)] == [100, 50, 0, 100]
+
+
+def test_prune_budgets():
+    from loomstrand.plans.config import PruneConfig
+
+    assert PruneConfig().hard_limit is None and PruneConfig(hard_limit=8192).threshold == 8192
+    for change in ({"threshold": 0}, {"head": -1}, {"tail": 1.0}, {"head": 8_000}, {"hard_limit": 8_191}, {"hard_limit": 0}, {"threshold": True}):
+        with pytest.raises(ValueError):
+            PruneConfig(**change)
