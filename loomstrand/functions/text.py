@@ -25,9 +25,8 @@ def _column(c: Column | str) -> Column:
 
 
 def utf16_length(text: Column | str) -> Column:
-    """Length in UTF-16 units."""
-    text = _column(text)
-    return F.length(text) + F.length(F.regexp_replace(text, r"[^\x{10000}-\x{10FFFF}]", ""))
+    """Length in UTF-16 units, of which each code point has one or two."""
+    return (F.octet_length(F.encode(_column(text), "UTF-16BE")) / 2).cast("int")
 
 
 def token_estimate(text: Column | str) -> Column:

@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loomstrand.functions.blocks import BLOCK, BLOCK_TOKENS, ROLE_TOKENS
-from loomstrand.functions.text import OVERHEAD_TOKENS, bounded, is_blank, trimmed
+from loomstrand.functions.rows import once
+from loomstrand.functions.text import OVERHEAD_TOKENS, bounded, is_blank, trimmed, utf16_length
 
 # What frames a checkpoint.
 PREAMBLE = "This is an automatically generated checkpoint condensing an earlier span of the conversation to free up context. Treat the captured context as established background and build on it without restating it. Continue the task directly from the messages that follow, without acknowledging this checkpoint."
@@ -23,7 +24,7 @@ def written_bytes(value: Column) -> Column:
     return (F.octet_length(F.to_json(F.array(value))) - 2).cast("long")
 
 
-def fitting_prefix(items: DataFrame, group: str, place: str, size: Column, most: Column | int, budget: Column | int, separator: int = 1) -> DataFrame:
+def fitting_prefix(items: DataFrame, group: str | list[str], place: str, size: Column, most: Column | int, budget: Column | int, separator: int = 1) -> DataFrame:
     """`items` with `fits`, `taken_bytes` and `over`: whether an item is in the longest prefix of its group that has at most `most` items and
     whose sizes and separators sum up to at most `budget`, the sum up to it, and whether the first item alone is too large.
 
@@ -93,12 +94,12 @@ def group_inputs(items: DataFrame, cap: int, reserve: int, instruction: str, ver
     and reserve for the whole group, `fits` whether that is within the cap, and `fitting` the items of the longest prefix that would be.
     """
     frame = len(f'{instruction}\n\nINPUT:\n{{"version":{version},"items":[]}}')
-    units = lambda c: (F.length(c) + F.length(F.regexp_replace(c, r"[^\x{10000}-\x{10FFFF}]", ""))).cast("long")
     reserve = max(0, reserve)
     price = lambda n: OVERHEAD_TOKENS + F.ceil((n + frame) / 4) + reserve
     room = (cap - reserve - OVERHEAD_TOKENS) * 4 - frame
-    rows = items.where("item is not null").withColumns({"_group": F.struct("session_id", "group_id"), "_units": units(F.col("item"))})
-    fitted = fitting_prefix(rows, "_group", "pos", F.col("_units"), 2**31 - 1, room)
+    # An item is long and is written once, where it is measured; windows only see its size. Groups are parts of sessions and move no further.
+    rows = once(items, _units=utf16_length("item").cast("long")).where("_units is not null").drop("item")
+    fitted = fitting_prefix(rows, ["session_id", "group_id"], "pos", F.col("_units"), 2**31 - 1, room)
     sums = fitted.groupBy("session_id", "group_id").agg(F.count("*").alias("items"), F.count_if("fits").alias("fitting"), F.max("taken_bytes").alias("_all"))
     return sums.select("session_id", "group_id", "items", "fitting", price(F.col("_all")).cast("long").alias("tokens"), (price(F.col("_all")) <= cap).alias("fits"))
 
