@@ -40,8 +40,8 @@ DISTANCE = 4
 SHINGLE = 4
 SEED = 42
 SIMILARITY, SIMILAR_SHINGLE = 0.8, 5
-#: Which shingles count as common is read off one text in `SAMPLED` (of all while there are few): those in one of `COMMON` texts or more.
-SAMPLED, COMMON, SAMPLE_ROWS = 16, 2000, 2500
+#: Shingles are common whose bucket, of `1 << RANGE_BITS + 16` (by their first bits), is met in one of `COMMON` texts or more.
+COMMON, RANGE_BITS = 2000, 10
 #: Bits of a set's parity sketch, and pairs that a task holds before it gives them back.
 SKETCH, HELD_PAIRS = 512, 1 << 20
 #: Ids of texts that are fetched again are broadcast up to so many, and joined beyond.
@@ -258,22 +258,41 @@ def shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
     return int.from_bytes(xxh64_digest(items.tobytes(), SEED), "big", signed=True), items
 
 
+def bucket_of(items: np.ndarray) -> np.ndarray:
+    """The buckets in which shingles are counted: their first bits."""
+    return items >> np.uint64(48 - RANGE_BITS)
+
+
 def common_shingles(docs: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted shingles that many texts hold, and how many of the sampled ones do. They only decide which shingles are rarest."""
-    total = docs.count()
-    every = max(1, min(SAMPLED, total // SAMPLE_ROWS))
+    """Sorted buckets of shingles that many texts hold, and how often all texts together do. They only decide which shingles are rarest.
+
+    Ranges of buckets are counted apart, and what moves is two bytes a shingle."""
+    least = max(8, docs.count() // COMMON)
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.slices(batches, "text"):
             sets = [shingle_set(t, shingle)[1] for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["item"])
+            buckets = np.sort(bucket_of(np.concatenate(sets)))
+            parts, firsts = np.unique(buckets >> np.uint64(16), return_index=True)
+            lows = [part.tobytes() for part in np.split((buckets & np.uint64(0xFFFF)).astype(np.uint16), firsts[1:])] if len(parts) else []
+            yield pa.RecordBatch.from_arrays([pa.array(parts.astype(np.int32)), pa.array(lows, pa.binary())], ["part", "lows"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, lows in zip(batch.column("part").to_pylist(), batch.column("lows").to_pylist(), strict=True):
+                if part not in counts:
+                    counts[part] = np.zeros(1 << 16, dtype=np.int64)
+                np.add.at(counts[part], np.frombuffer(lows, dtype=np.uint16), 1)
+        for part, own in counts.items():
+            many = np.flatnonzero(own >= least)
+            yield pa.RecordBatch.from_arrays([pa.array(many + (part << 16)), pa.array(own[many])], ["bucket", "n"])
 
-    sampled = docs.select(F.col("text").cast("string").alias("text")).where(F.pmod(F.xxhash64("text"), F.lit(every)) == 0)
-    counts = sampled.mapInArrow(listed, "item long").groupBy("item").agg(F.count("*").alias("n"))
-    found = counts.where(F.col("n") >= max(8, total // every // COMMON)).toPandas()
-    items = found["item"].to_numpy(dtype=np.int64).view(np.uint64)
-    order = np.argsort(items)
-    return items[order], found["n"].to_numpy(dtype=np.int64)[order]
+    texts = docs.select(F.col("text").cast("string").alias("text"))
+    found = texts.mapInArrow(listed, "part int, lows binary").repartition("part").mapInArrow(added, "bucket long, n long").toPandas()
+    buckets = found["bucket"].to_numpy(dtype=np.int64).view(np.uint64)
+    order = np.argsort(buckets)
+    return buckets[order], found["n"].to_numpy(dtype=np.int64)[order]
 
 
 def rarest(items: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
@@ -281,8 +300,9 @@ def rarest(items: np.ndarray, known: tuple[np.ndarray, np.ndarray], similarity:
     most = len(items) - math.ceil(similarity * len(items) - 1e-9) + 1 if len(items) else 0
     if not len(known[0]):
         return items[:most]
-    place = np.minimum(np.searchsorted(known[0], items), len(known[0]) - 1)
-    return items[np.argsort(np.where(known[0][place] == items, known[1][place], 0), kind="stable")[:most]]
+    buckets = bucket_of(items)
+    place = np.minimum(np.searchsorted(known[0], buckets), len(known[0]) - 1)
+    return items[np.argsort(np.where(known[0][place] == buckets, known[1][place], 0), kind="stable")[:most]]
 
 
 def sketch(items: np.ndarray, width: int = SKETCH) -> bytes:
