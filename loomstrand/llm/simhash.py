@@ -569,28 +569,33 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = common.materialise(texts.mapInArrow(made, "doc_id long, node long, size int, code binary, head binary, sketch binary"))
-    rows = prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "code", "head", "sketch")])
-    classes = common.materialise(rows)
+    #: No name holds on to a step whose rows are written: its files go when nothing knows them any more.
+    classes = common.materialise(prints.groupBy("node").agg(F.min("doc_id").alias("least_id"), *[F.first(c).alias(c) for c in ("size", "code", "head", "sketch")]))
+    prints = common.materialise(prints.select("doc_id", "node"))
+    common.let_go(docs.sparkSession)
 
     def merged(links: DataFrame, roots: DataFrame | None, picks: int) -> tuple[DataFrame, bool]:
         links = common.materialise(links)
+        common.let_go(docs.sparkSession)
         tries = links.count()
         links = sketched(links, listed(links, classes, docs, shingle, wide=True), classes, similarity)
+        common.let_go(docs.sparkSession)
         roots, right = joined_roots(links, listed(links, classes, docs, shingle, wide=False), similarity, roots, picks)
+        common.let_go(docs.sparkSession)
         return roots, 0 < tries <= 2 * right
 
     count = classes.count()
-    near = fingerprint_links(classes, count, band_masks(count), DISTANCE).distinct()
-    roots, _ = merged(near, None, 0)
+    roots, _ = merged(fingerprint_links(classes, count, band_masks(count), DISTANCE).distinct(), None, 0)
     shared = shared_rarest(classes)
-    forest = True
+    common.let_go(docs.sparkSession)
+    parts, forest = shared.rdd.getNumPartitions(), True
     while True:
         rooted = classes.select("node", "sketch").join(roots, "node", "left").select("node", "sketch", F.coalesce("root", "node").alias("root"))
-        apart = shared.join(rooted, "node").repartition(shared.rdd.getNumPartitions(), "token", "block")
+        apart = shared.join(rooted, "node").repartition(parts, "token", "block")
         #: What isn't a forest may name a pair of components many times, so each first tries its closest link.
         roots, more = merged(candidates(apart, similarity, forest), roots, 0 if forest else 1)
         if not forest:
-            return _named(prints.select("doc_id", "node"), classes, roots).select("doc_id", "component_id")
+            return _named(prints, classes, roots).select("doc_id", "component_id")
         forest = more
         common.let_go(docs.sparkSession)
 
