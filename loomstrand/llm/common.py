@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Text bytes that a Python worker handles at once.
 SLICE_BYTES = 2 << 20
+#: Short rows that a partition of what a round has written should hold, and up to how many of them a join broadcasts.
+PART_ROWS, FEW_ROWS = 1 << 14, 200_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,22 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def few(df: DataFrame, rows: int, most: int | None = None) -> DataFrame:
+    """`df`, about so many rows; joins broadcast it while they are `most`, or else FEW_ROWS, at most."""
+    return F.broadcast(df) if rows <= (FEW_ROWS if most is None else most) else df
+
+
+def gathered(df: DataFrame) -> tuple[DataFrame, int]:
+    """The short rows of `df`, written, in no more partitions than they fill, and how many there are.
+
+    A round costs Spark one task for each partition of each of its shuffles, and a few kilobytes of files and log for each
+    task: with many partitions and few rows that is more than the rows themselves.
+    """
+    written = materialise(df)
+    rows = written.count()
+    return written.coalesce(max(1, -(-rows // PART_ROWS))), rows
+
+
 def let_go(spark: SparkSession) -> None:
     """Have the files of rounds that are over removed: Spark cleans up what the driver has collected as garbage, and small rounds
     alone bring no collection about."""

@@ -430,13 +430,12 @@ def joining(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.array(taken, dtype=np.int64)
 
 
-def listed(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int, wide: bool) -> DataFrame:
-    """(node, items) of the nodes of `links` (a, b): their sets, or the wide sketches of these, made from the texts again."""
-    linked = common.materialise(links.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-    few = F.broadcast if linked.count() <= FETCHED else lambda df: df
-    needed = common.materialise(classes.join(few(linked), "node").select(F.col("least_id").alias("doc_id")).distinct())
+def listed(links: DataFrame, tries: int, classes: DataFrame, docs: DataFrame, shingle: int, wide: bool) -> DataFrame:
+    """(node, size, items) of the nodes of `links` (a, b), so many: their sets, or the wide sketches of these, made from the texts again."""
+    linked = common.few(links.select(F.explode(F.array("a", "b")).alias("node")).distinct(), 2 * tries, FETCHED)
+    needed, count = common.gathered(classes.select("node", F.col("least_id").alias("doc_id")).join(linked, "node"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = rows.join(few(needed), "doc_id").select("text")
+    texts = rows.join(common.few(needed.select("doc_id"), count, FETCHED), "doc_id", "left_semi").select("text")
     #: Classes without an id are looked for in all rows without one.
     if needed.where("doc_id is null").head(1):
         texts = texts.unionByName(rows.where("doc_id is null").select("text"))
@@ -446,19 +445,21 @@ def listed(links: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int,
             #: Rows that repeat an id may differ in text, so the node is made from the text again.
             found = dict(shingle_set(t, shingle) for t in batch.column("text").to_pylist())
             items = [wide_sketch(i) if wide else i.tobytes() for i in found.values()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(items, pa.binary())], ["node", "items"])
+            sizes = [len(i) for i in found.values()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(sizes, pa.int32()), pa.array(items, pa.binary())], ["node", "size", "items"])
 
-    return common.materialise(texts.mapInArrow(sets, "node long, items binary").join(few(linked), "node", "left_semi").dropDuplicates(["node"]))
+    made = texts.mapInArrow(sets, "node long, size int, items binary")
+    return common.materialise(made.join(common.few(needed.select("node"), count, FETCHED), "node", "left_semi").dropDuplicates(["node"]))
 
 
 def _beside(links: DataFrame, items: DataFrame) -> DataFrame:
-    """`links` with what `items` holds of a, as x, and of b, as y."""
-    first, second = (items.select(F.col("node").alias(n), F.col("items").alias(v)) for n, v in (("a", "x"), ("b", "y")))
+    """`links` with what `items` holds of a, as x, and of b, as y, and the sizes of both sets."""
+    first, second = (items.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}"), F.col("items").alias(v)) for n, v in (("a", "x"), ("b", "y")))
     return links.join(first, "a").join(second, "b")
 
 
-def sketched(links: DataFrame, items: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) that the wide sketches don't rule out, with how many of their bits differ."""
+def sketched(links: DataFrame, items: DataFrame, similarity: float) -> tuple[DataFrame, int]:
+    """The links (a, b) that the wide sketches don't rule out, with how many of their bits differ, and how many these are."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -468,18 +469,16 @@ def sketched(links: DataFrame, items: DataFrame, classes: DataFrame, similarity:
                     size = min(len(x), len(y))
                     x, y = (folded(np.frombuffer(v, np.uint8), size).view(np.uint64) for v in (x, y))
                     apart.append(int(np.bitwise_count(x ^ y).sum()))
-                both = batch.column("both").to_numpy()
+                both = batch.column("size_a").to_numpy().astype(np.int64) + batch.column("size_b").to_numpy()
                 good = pa.array(np.array(apart) <= (1 - similarity) / (1 + similarity) * both + 1e-9)
                 made = pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(apart, pa.int64())], ["a", "b", "apart"])
                 yield made.filter(good)
 
-    first, second = (classes.select(F.col("node").alias(n), F.col("size").alias(f"size_{n}")) for n in ("a", "b"))
-    both = links.join(first, "a").join(second, "b").select("a", "b", (F.col("size_a") + F.col("size_b")).cast("long").alias("both"))
-    return common.materialise(_beside(both, items).mapInArrow(compared, "a long, b long, apart long"))
+    return common.gathered(_beside(links.select("a", "b"), items).mapInArrow(compared, "a long, b long, apart long"))
 
 
-def verified(links: DataFrame, items: DataFrame, similarity: float) -> DataFrame:
-    """The links (a, b) whose sets are this similar."""
+def verified(links: DataFrame, items: DataFrame, similarity: float) -> tuple[DataFrame, int]:
+    """The links (a, b, root_a, root_b) whose sets are this similar, and how many these are."""
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -488,9 +487,10 @@ def verified(links: DataFrame, items: DataFrame, similarity: float) -> DataFrame
                 for x, y in zip(batch.column("x").to_pylist(), batch.column("y").to_pylist(), strict=True):
                     both = len(np.intersect1d(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), assume_unique=True))
                     good.append(both >= similarity * ((len(x) + len(y)) // 8 - both) - 1e-9)
-                yield batch.select(["a", "b"]).filter(pa.array(good))
+                yield batch.select(["a", "b", "root_a", "root_b"]).filter(pa.array(good))
 
-    return common.materialise(_beside(links.select("a", "b"), items).mapInArrow(compared, "a long, b long"))
+    ends = ["a", "b", "root_a", "root_b"]
+    return common.gathered(_beside(links.select(*ends), items).mapInArrow(compared, ", ".join(f"{c} long" for c in ends)))
 
 
 def _rooted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -510,27 +510,26 @@ def joined_roots(links: DataFrame, items: DataFrame, similarity: float, roots: D
     """
     right = 0
     for turn in range(picks + 1):
-        links = common.materialise(_rooted(links, roots).select("a", "b", "apart", "root_a", "root_b"))
-        if not links.head(1):
+        links, left = common.gathered(_rooted(links, roots).select("a", "b", "apart", "root_a", "root_b"))
+        if not left:
             break
         tried = links
         if turn < picks:
             ends = links.select("a", "b", F.struct("apart", "a", "b").alias("rank"), F.explode(F.array("root_a", "root_b")).alias("root"))
             tried = ends.groupBy("root").agg(F.min("rank").alias("best")).select("best.*").distinct()
-            tried = common.materialise(tried.join(links.select("a", "b", "root_a", "root_b"), ["a", "b"]))
-        good = verified(tried, items, similarity)
-        now = good.count()
+            tried, left = common.gathered(tried.join(links.select("a", "b", "root_a", "root_b"), ["a", "b"]))
+        good, now = verified(tried, items, similarity)
         right += now
-        links = links.drop("root_a", "root_b").join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        links = links.drop("root_a", "root_b").join(common.few(tried.select("a", "b"), left), ["a", "b"], "left_anti")
         common.let_go(links.sparkSession)
         if now:
-            found = components(tried.join(good, ["a", "b"]), "root_a", "root_b")
+            found = components(good, "root_a", "root_b")
             if roots is None:
                 roots = found
             else:
                 moved = roots.join(found.select(F.col("node").alias("root"), F.col("root").alias("_now")), "root", "left")
                 fresh = found.join(roots.select("node"), "node", "left_anti")
-                roots = common.materialise(moved.select("node", F.coalesce("_now", "root").alias("root")).unionByName(fresh))
+                roots = common.few(*common.gathered(moved.select("node", F.coalesce("_now", "root").alias("root")).unionByName(fresh)))
     if roots is None:
         roots = links.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0)
     return roots, right
@@ -575,12 +574,11 @@ def similar_groups(docs: DataFrame, similarity: float = SIMILARITY, shingle: int
     common.let_go(docs.sparkSession)
 
     def merged(links: DataFrame, roots: DataFrame | None, picks: int) -> tuple[DataFrame, bool]:
-        links = common.materialise(links)
+        links, tries = common.gathered(links)
         common.let_go(docs.sparkSession)
-        tries = links.count()
-        links = sketched(links, listed(links, classes, docs, shingle, wide=True), classes, similarity)
+        links, left = sketched(links, listed(links, tries, classes, docs, shingle, wide=True), similarity)
         common.let_go(docs.sparkSession)
-        roots, right = joined_roots(links, listed(links, classes, docs, shingle, wide=False), similarity, roots, picks)
+        roots, right = joined_roots(links, listed(links, left, classes, docs, shingle, wide=False), similarity, roots, picks)
         common.let_go(docs.sparkSession)
         return roots, 0 < tries <= 2 * right
 
